@@ -110,10 +110,11 @@ def _runs(sorted_hashes: np.ndarray) -> np.ndarray:
 
 
 def candidate_rows(docs: DataFrame, window: int, shared: np.ndarray, bits: int) -> DataFrame:
-    """``route, h, doc_id, key, place, known``: candidate windows, routed to where they are compared.
+    """``h, doc_id, key, mark``: candidate windows, routed by ``h`` to where they are compared.
 
-    Within a batch only the windows of the smallest document of each hash are routed by hash; the others are known
-    to repeat and are routed by document.  So a window that very many documents have sends one document a batch."""
+    Within a batch only the windows of the smallest document of each hash keep their hash; the others are known to
+    repeat and get a hash of their document instead.  So a window that very many documents have sends one document a
+    batch.  ``mark`` is twice the window's place, and one more if it is known to repeat."""
     spread = docs.sparkSession.sparkContext.broadcast(shared)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,38 +129,35 @@ def candidate_rows(docs: DataFrame, window: int, shared: np.ndarray, bits: int)
             order = np.lexsort((doc, h))
             h, doc, key, place = h[order].astype(np.uint64), doc[order], key[order], place[order]
             known = doc > doc[_runs(h)] if len(h) else np.zeros(0, bool)
-            route = np.where(known, mixed(key.view(np.uint64)), h)
+            h = np.where(known, mixed(key.view(np.uint64)), h)
             back = np.argsort(order)  # in the order of texts, which compresses better
-            columns = [route.view(np.int64), h.view(np.int64), doc, key, place]
-            yield pa.record_batch([*[pa.array(c[back], _INT) for c in columns], pa.array(known[back])], names=["route", "h", "doc_id", "key", "place", "known"])
+            columns = [h.view(np.int64), doc, key, 2 * place + known]
+            yield pa.record_batch([pa.array(c[back], _INT) for c in columns], names=["h", "doc_id", "key", "mark"])
 
-    return docs.select("doc_id", "key", "text").mapInArrow(run, "route long, h long, doc_id long, key long, place long, known boolean")
+    return docs.select("doc_id", "key", "text").mapInArrow(run, "h long, doc_id long, key long, mark long")
 
 
 def repeated_windows(rows: DataFrame) -> DataFrame:
-    """``doc_id, key, place``: windows whose words also begin somewhere in a document with a smaller id."""
+    """``key, place``: windows whose words also begin somewhere in a document with a smaller id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_hash, least = None, None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            h, doc, key, place = (batch.column(i).to_numpy() for i in range(4))
-            known = batch.column(4).to_numpy(zero_copy_only=False)
+            h, doc, key, mark = (batch.column(i).to_numpy() for i in range(4))
             first = _runs(h)
             smallest = doc[first]
             if last_hash is not None and h[0] == last_hash:
                 smallest = np.where(first == 0, least, smallest)
             last_hash, least = h[-1], smallest[-1]
-            out = known | (doc > smallest)
-            yield pa.record_batch([pa.array(x[out], _INT) for x in (doc, key, place)], names=["doc_id", "key", "place"])
+            out = (mark % 2 == 1) | (doc > smallest)
+            yield pa.record_batch([pa.array(x[out], _INT) for x in (key, mark // 2)], names=["key", "place"])
 
-    sorted_ = rows.repartition("route").sortWithinPartitions("known", "h", "doc_id")
-    # known rows follow the others; their own runs never decide anything
-    return sorted_.select("h", "doc_id", "key", "place", "known").mapInArrow(run, "doc_id long, key long, place long")
+    return rows.repartition("h").sortWithinPartitions("h", "doc_id").mapInArrow(run, "key long, place long")
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 13, filter_bits: int = 1 << 27) -> DataFrame:
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 13, filter_bits: int = 1 << 28) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_text, kept_sha256``: one row for each row of ``docs``.
 
     A word goes if a window of ``window`` words that covers it also begins in a document with a smaller id, as the
