@@ -11,10 +11,11 @@ from meshlark.llm.common import text_or_empty
 TABLES = 3
 #: Cells of each sub-table in the sketch that is the fingerprint.
 BASE_CELLS = 3
-ROUNDS = 42
+#: Peeling rounds; a table that comes apart does so in far fewer, and rounds after the last cost nothing.
+ROUNDS = 24
 #: A pair with more digests than this is split by hash into parts that are peeled apart from each other.
 PART = 256
-_CELL = "struct<c:int,k:bigint,h:bigint>"
+_CELLS = "array<struct<c:int,k:bigint,h:bigint>>"
 
 
 def digests(text: Column) -> Column:
@@ -22,59 +23,67 @@ def digests(text: Column) -> Column:
     return F.array_distinct(F.transform(F.filter(F.split(text, "\n"), lambda p: p != ""), lambda p: F.xxhash64(p)))
 
 
-def _keyed(ds: Column, sign: Column, cells: Column, salt: int) -> Column:
-    """Digests with their sign, check sum and cell in each sub-table."""
-    at = lambda d, j: (F.pmod(F.xxhash64(d, F.lit(salt * TABLES + j)), cells.cast("bigint")) + j * cells).cast("int")
-    return F.transform(ds, lambda d: F.struct(sign.cast("int").alias("s"), d.alias("d"), F.xxhash64(d, F.lit(-1)).alias("h"), *[at(d, j).alias(f"p{j}") for j in range(TABLES)]))
+def _entry(sign: Column, d: Column, h: Column, cells: Column, salt: int) -> Column:
+    """A digest with its sign, check sum, and cell in each sub-table."""
+    at = lambda j: F.pmod(F.xxhash64(d, F.lit(salt * TABLES + j)), cells.cast("bigint")).cast("int")
+    return F.struct(sign.cast("int").alias("s"), d.alias("d"), h.alias("h"), *[at(j).alias(f"p{j}") for j in range(TABLES)])
 
 
-def _put(cell: Column, i: Column, cells: Column, x: Column, factor: int) -> Column:
-    here = F.when(i < cells, x["p0"]).when(i < 2 * cells, x["p1"]).otherwise(x["p2"]) == i
-    return F.when(
-        here,
-        F.struct((cell["c"] + x["s"] * factor).alias("c"), cell["k"].bitwiseXOR(x["d"]).alias("k"), cell["h"].bitwiseXOR(x["h"]).alias("h")),
-    ).otherwise(cell)
+def entries(ds: Column, sign: int, cells: Column, salt: int) -> Column:
+    return F.transform(ds, lambda d: _entry(F.lit(sign), d, F.xxhash64(d, F.lit(-1)), cells, salt))
 
 
-def sketch(keyed: Column, cells: Column) -> Column:
-    """The table: per cell the signed count, and the xor of digests and of check sums."""
+def _into(cell: Column, xs: Column, j: int, i: Column, factor: int) -> Column:
+    """A cell of sub-table j with those of ``xs`` that belong there put in (or, with factor -1, taken out)."""
+    return F.aggregate(
+        F.filter(xs, lambda x: x[f"p{j}"] == i),
+        cell,
+        lambda a, x: F.struct((a["c"] + x["s"] * factor).alias("c"), a["k"].bitwiseXOR(x["d"]).alias("k"), a["h"].bitwiseXOR(x["h"]).alias("h")),
+    )
+
+
+def sketch(xs: Column, cells: Column) -> list[Column]:
+    """The sub-tables: per cell the signed count, and the xor of digests and of check sums."""
     zero = F.struct(F.lit(0).alias("c"), F.lit(0).cast("bigint").alias("k"), F.lit(0).cast("bigint").alias("h"))
-    return F.transform(F.sequence(F.lit(0), TABLES * cells - 1), lambda i: F.aggregate(keyed, zero, lambda cell, x: _put(cell, i, cells, x, 1)))
+    return [_table(xs, zero, cells, j) for j in range(TABLES)]
 
 
-def _pure(cell: Column) -> Column:
-    return (F.abs(cell["c"]) == 1) & (F.xxhash64(cell["k"], F.lit(-1)) == cell["h"])
+def _table(xs: Column, zero: Column, cells: Column, j: int) -> Column:
+    return F.transform(F.sequence(F.lit(0), cells - 1), lambda i: _into(zero, xs, j, i, 1))
 
 
-def peel(table: Column, cells: Column, salt: int) -> Column:
-    """The digests recovered from a difference, or null if the table doesn't come apart.
+def subtract(a: list[Column], b: list[Column]) -> list[Column]:
+    """The difference of two sketches of one size, cell by cell."""
+    less = lambda x, y: F.struct((x["c"] - y["c"]).alias("c"), x["k"].bitwiseXOR(y["k"]).alias("k"), x["h"].bitwiseXOR(y["h"]).alias("h"))
+    return [F.zip_with(x, y, less) for x, y in zip(a, b)]
 
-    Each round takes the pure cells of one sub-table, in which a digest has only one cell, and removes their digests
-    from all three."""
-    start = F.struct(table.cast(f"array<{_CELL}>").alias("t"), F.array().cast("array<bigint>").alias("found"))
 
-    def step(state: Column, r: Column) -> Column:
-        # tables are taken in turn; an empty list of pure cells leaves the state as it is
-        own = F.filter(F.slice(state["t"], F.pmod(r, F.lit(TABLES)) * cells + 1, cells), _pure)
-        at = lambda d, j: (F.pmod(F.xxhash64(d, F.lit(salt * TABLES + j)), cells.cast("bigint")) + j * cells).cast("int")
-        out = F.transform(own, lambda c: F.struct(c["c"].alias("s"), c["k"].alias("d"), c["h"].alias("h"), *[at(c["k"], j).alias(f"p{j}") for j in range(TABLES)]))
-        holder = F.transform(
-            F.array(out),
-            lambda xs: F.when(F.size(xs) == 0, state).otherwise(
-                F.struct(
-                    F.transform(state["t"], lambda cell, i: F.aggregate(xs, cell, lambda a, x: _put(a, i, cells, x, -1))).alias("t"),
-                    F.concat(state["found"], F.transform(xs, lambda x: x["d"])).alias("found"),
-                )
-            ),
-        )
-        return F.element_at(holder, 1)
+def peel(tables: list[Column], cells: Column, salt: int) -> Column:
+    """How many digests are recovered from a difference, or null if it doesn't come apart.
 
-    return F.aggregate(
-        F.sequence(F.lit(0), F.lit(ROUNDS - 1)),
-        start,
-        step,
-        lambda s: F.when(F.forall(s["t"], lambda c: (c["c"] == 0) & (c["k"] == 0) & (c["h"] == 0)), s["found"]),
-    )
+    A cell with one digest (count 1 or -1 and a check sum that fits) is pure.  Each round takes the digests of all
+    pure cells, each once, out of all sub-tables; it ends when none is pure."""
+    names = [f"t{j}" for j in range(TABLES)]
+    start = F.struct(*[t.cast(_CELLS).alias(n) for t, n in zip(tables, names)], F.lit(0).alias("found"), F.lit(False).alias("done"))
+
+    def step(state: Column, _: Column) -> Column:
+        pure = lambda c: (F.abs(c["c"]) == 1) & (F.xxhash64(c["k"], F.lit(-1)) == c["h"])
+        every = F.concat(*[F.filter(state[n], pure) for n in names])
+        once = F.transform(F.array_distinct(every), lambda c: _entry(c["c"], c["k"], c["h"], cells, salt))
+
+        def taken(xs: Column) -> Column:
+            rest = [_rest(state[n], xs, j).alias(n) for j, n in enumerate(names)]
+            return F.struct(*rest, (state["found"] + F.size(xs)).alias("found"), (F.size(xs) == 0).alias("done"))
+
+        # the list of pure digests is made once and then used in each sub-table
+        return F.when(state["done"], state).otherwise(F.element_at(F.transform(F.array(once), taken), 1))
+
+    empty = lambda t: F.forall(t, lambda c: (c["c"] == 0) & (c["k"] == 0) & (c["h"] == 0))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step, lambda s: F.when(empty(s["t0"]) & empty(s["t1"]) & empty(s["t2"]), s["found"]))
+
+
+def _rest(table: Column, xs: Column, j: int) -> Column:
+    return F.transform(table, lambda cell, i: _into(cell, xs, j, i, -1))
 
 
 def differing(a: Column, b: Column) -> Column:
@@ -84,23 +93,23 @@ def differing(a: Column, b: Column) -> Column:
     hashes each time; after four failures (as good as never) the sets themselves are compared."""
 
     def at_size(cells: Column, salt: int) -> Column:
-        # both sketches go into one table with opposite signs, which is their difference; cells is computed once
-        one = F.transform(
-            F.array(cells.cast("int")),
-            lambda n: F.size(peel(sketch(F.concat(_keyed(a, F.lit(1), n, salt), _keyed(b, F.lit(-1), n, salt)), n), n, salt)),
-        )
-        return F.nullif(F.element_at(one, 1), F.lit(-1))
+        def peeled(n: Column) -> Column:
+            return peel(subtract(sketch(entries(a, 1, n, salt), n), sketch(entries(b, 1, n, salt), n)), n, salt)
+
+        # the size is computed once
+        return F.element_at(F.transform(F.array(cells.cast("int")), peeled), 1)
 
     total = F.size(a) + F.size(b)
     tries = [at_size(F.ceil(total * share) + 3, n + 1) for n, share in enumerate((0.5, 0.75, 1.5))]
-    first = F.when(F.abs(F.size(a) - F.size(b)) <= TABLES * BASE_CELLS, at_size(F.lit(BASE_CELLS), 0))
+    few = F.abs(F.size(a) - F.size(b)) <= TABLES * BASE_CELLS
+    first = F.when(few & (F.size(a) > 0) & (F.size(b) > 0), at_size(F.lit(BASE_CELLS), 0))
     return F.when(total == 0, F.lit(0)).otherwise(F.coalesce(first, *tries, F.size(F.array_except(a, b)) + F.size(F.array_except(b, a))))
 
 
 def base_sketch(ds: Column) -> Column:
     """The fingerprint: number of paragraphs, then count, digests and check sums of each cell, in hexadecimal."""
     n = F.lit(BASE_CELLS)
-    cells = F.transform(sketch(_keyed(ds, F.lit(1), n, 0), n), lambda c: F.concat_ws(":", c["c"].cast("string"), F.hex(c["k"]), F.hex(c["h"])))
+    cells = F.transform(F.concat(*sketch(entries(ds, 1, n, 0), n)), lambda c: F.concat_ws(":", c["c"].cast("string"), F.hex(c["k"]), F.hex(c["h"])))
     return F.concat_ws(";", F.size(ds).cast("string"), F.array_join(cells, ";"))
 
 
