@@ -50,3 +50,9 @@ def cut_by(text: Column, pattern: str, gate: Column | None = None) -> Column:
     zipped = F.slice(F.arrays_zip(gaps.alias("gap"), hits.alias("hit")), 1, F.greatest(F.size(gaps) - 1, F.lit(0)))
     pairs = F.transform(zipped, lambda z, i: F.struct(i.alias("i"), z["gap"].alias("gap"), z["hit"].alias("hit")))
     return pairs if gate is None else F.when(gate, pairs)
+
+
+def without_keys(docs: DataFrame, keys: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` less those whose hash of id and text is in ``keys`` (``__key``); texts move only if the keys are many."""
+    keyed = docs.withColumn("__key", F.xxhash64(F.col(doc_id), F.col(text)))
+    return keyed.join(keys, "__key", "left_anti").select(*docs.columns)

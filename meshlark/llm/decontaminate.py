@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from meshlark.llm.common import without_keys
 from meshlark.llm.textwords import FOLDED, Words, words_of
 
 #: Words of a shard: so many bound the memory of its index (about 100 bytes a word while it is built).
@@ -239,7 +240,7 @@ def _search_shards(docs: DataFrame, phrases: Phrases) -> DataFrame:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 13, block_bytes: int = 16 << 20) -> DataFrame:
-    """``doc_id, n_words, n_hit, spans, items``: one row for each row of ``docs``.
+    """``doc_id, key, n_words, n_hit, spans, items``: one row for each row of ``docs``; ``key`` hashes id and text.
 
     A window is ``window`` consecutive words of a test item, or all of an item with fewer; ``spans`` are the merged
     stretches of words inside occurrences of windows (``first``..``last`` in words, ``start``..``end`` in code points,
@@ -257,11 +258,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
         part = tests.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b).toArrow()
         searched.append(_search_shards(own, Phrases(part["item"].to_pylist(), part["text"].to_pylist(), window)))
     if blocks == 1:
-        found = searched[0].drop("key")
+        found = searched[0]
     else:
         found = _merged(searched)
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["last"] - s["first"])
-    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), "spans", "items")
+    return found.select("doc_id", "key", "n_words", n_hit.alias("n_hit"), "spans", "items")
 
 
 def _merged(searched: list[DataFrame]) -> DataFrame:
@@ -284,9 +285,15 @@ def _merged(searched: list[DataFrame]) -> DataFrame:
 
     empty = F.array().cast("array<struct<first:bigint,last:bigint,start:bigint,end:bigint>>")
     merged = one.withColumn("spans", F.when(F.size("s") == 0, empty).otherwise(F.aggregate("s", empty, join)))
-    return merged.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc_id", "n_words", "spans", "items")
+    return merged.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc_id", "key", "n_words", "spans", "items")
 
 
 def is_contaminated():
     """The rule for whole documents: words are hit, and at least one in twenty."""
     return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` without the contaminated ones; those with a few hits among many words stay as they are."""
+    bad = contamination(docs, benchmark, doc_id, text).where(is_contaminated()).select(F.col("key").alias("__key")).distinct()
+    return without_keys(docs, bad, doc_id, text)

@@ -14,7 +14,7 @@ BASE_CELLS = 3
 #: Peeling rounds; a table that comes apart does so in far fewer, and rounds after the last cost nothing.
 ROUNDS = 24
 #: A pair with more digests than this is split by hash into parts that are peeled apart from each other.
-PART = 256
+PART = 128
 _CELLS = "array<struct<c:int,k:bigint,h:bigint>>"
 
 
@@ -154,43 +154,28 @@ def fingerprint_versions(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     pairs = with_next(docs, doc_id, text).withColumn("edited", edited)
     d = pairs.select("doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), digests(body).alias("own"), digests(F.col("edited")).alias("ed"), digests(F.col("next_text")).alias("nx"))
 
-    def likeness(a: str, b: str) -> Column:
-        total = F.size(a) + F.size(b)
-        return F.when(total == 0, F.lit(1.0)).otherwise(1 - F.col(f"{a}_{b}") / total)
-
-    small = lambda a, b: F.size(a) + F.size(b) <= PART
-    d = d.withColumn("own_ed", F.when(small("own", "ed"), differing(F.col("own"), F.col("ed"))).otherwise(_in_parts("own", "ed")))
-    d = d.withColumn("own_nx", F.when(small("own", "nx"), differing(F.col("own"), F.col("nx"))).otherwise(_in_parts("own", "nx")))
-    return d.select(
+    likeness = F.transform(F.array(*[F.struct(F.col("own").alias("a"), F.col(x).alias("b")) for x in ("ed", "nx")]), lambda p: _likeness(p["a"], p["b"]))
+    return d.withColumn("like", likeness).select(
         "doc_id",
         "n_chars",
         "edited_sha256",
         base_sketch(F.col("own")).alias("fingerprint"),
         base_sketch(F.col("ed")).alias("edited_fingerprint"),
-        likeness("own", "ed").alias("near_edited"),
-        likeness("own", "nx").alias("near_next"),
+        F.get("like", F.lit(0)).alias("near_edited"),
+        F.get("like", F.lit(1)).alias("near_next"),
     )
 
 
-def _in_parts(a: str, b: str) -> Column:
-    """Large pairs: digests are dealt by hash into parts of some tens, and each part has sketches of its own."""
-    parts = F.greatest(F.lit(1), F.ceil((F.size(a) + F.size(b)) / 64)).cast("int")
-    part = lambda d: F.pmod(F.xxhash64(d, F.lit(-2)), parts.cast("bigint")).cast("int")
-
-    def dealt(name: str) -> Column:
-        return F.transform(name, lambda d: F.struct(part(d).alias("g"), d.alias("d")))
-
-    both = F.struct(dealt(a).alias("a"), dealt(b).alias("b"))
-    one = F.transform(
-        F.array(both),
-        lambda s: F.aggregate(
-            F.sequence(F.lit(0), parts - 1),
-            F.lit(0),
-            lambda acc, g: acc
-            + differing(
-                F.transform(F.filter(s["a"], lambda x: x["g"] == g), lambda x: x["d"]),
-                F.transform(F.filter(s["b"], lambda x: x["g"] == g), lambda x: x["d"]),
-            ),
-        ),
-    )
-    return F.element_at(one, 1)
+def _likeness(a: Column, b: Column) -> Column:
+    """1 - differing / all.  Digests of large pairs are dealt by hash into parts with sketches of their own."""
+    total = F.size(a) + F.size(b)
+    parts = F.ceil(total / PART).cast("int")
+
+    def of_part(ds: Column, g: Column) -> Column:
+        return F.when(parts == 1, ds).otherwise(F.filter(ds, lambda d: F.pmod(F.xxhash64(d, F.lit(-2)), parts.cast("bigint")) == g))
+
+    def count(acc: Column, g: Column) -> Column:
+        return acc + F.element_at(F.transform(F.array(F.struct(of_part(a, g).alias("a"), of_part(b, g).alias("b"))), lambda p: differing(p["a"], p["b"])), 1)
+
+    apart = F.aggregate(F.sequence(F.lit(0), parts - 1), F.lit(0), count)
+    return F.when(total == 0, F.lit(1.0)).otherwise(1 - apart / total)

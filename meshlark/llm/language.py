@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meshlark.llm.common import settle
+from meshlark.llm.common import settle, without_keys
 from meshlark.llm.textwords import string_parts
 
 UNKNOWN = "und"
@@ -151,14 +151,22 @@ def identify(scored: DataFrame, languages: list[str], strength: float = 10.0, te
 
 
 def identify_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", sample_rows: int = 20_000) -> DataFrame:
-    """``doc_id, declared, host, seen, lang, confidence, accepted``: the source stands for the host.
+    """``doc_id, key, declared, suffix, host, seen, lang, confidence, accepted``: the source stands for the host, ``key``
+    hashes id and text.
 
     Null and empty texts, and those in no known language, are rejected; an empty table gives an empty result."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("declared"), F.lit(None).cast("string").alias("suffix"), F.col(source).alias("host"))
+    key = F.xxhash64(F.col(doc_id), F.col(text))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), key.alias("key"), F.col(text).alias("text"), F.col(lang).alias("declared"), F.lit(None).cast("string").alias("suffix"), F.col(source).alias("host"))
     languages, model = train(rows.select("text", F.col("declared").alias("lang")), sample_rows)
     return identify(settle(likelihoods(rows, model)), languages)
 
 
+def drop_unidentified(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
+    """``docs`` without those that are rejected; the others stay as they are."""
+    found = identify_documents(docs, doc_id, text, lang, source)
+    return without_keys(docs, found.where(~F.col("accepted")).select(F.col("key").alias("__key")).distinct(), doc_id, text)
+
+
 def address_parts(url: Column) -> tuple[Column, Column]:
     """Host and suffix (its last label) of an address, in lower case, null if it has none."""
     host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1))

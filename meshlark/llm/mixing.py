@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,10 +55,12 @@ def mix(
     share: float = 1.5,
     max_epochs: float = 2,
     seed: str = "mix",
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """How many words of each document a mix of sources takes.
 
-    Returns ``doc_id, source, size, source_size, target, taken``, one row for each row of ``docs``.  Size is the
+    Returns ``doc_id, source, size, source_size, target, taken`` and the columns of ``keep`` (under their names with
+    ``kept_`` before), one row for each row of ``docs``.  Size is the
     number of words (null or empty text: 0, taken 0).  Sources in code-point order (null last, a source of its own)
     weigh ``weights``, repeating; targets come from :func:`source_targets`.  A source's target is whole repetitions
     of all its documents plus a remainder: documents in the order of a seeded hash are repeated once more until the
@@ -73,6 +77,7 @@ def mix(
         word_count(text_or_empty(text)).alias("size"),
         F.conv(F.substring(h, 1, 3), 16, 10).cast("int").alias("slice"),
         h.alias("h"),
+        *[F.col(c).alias(f"kept_{c}") for c in keep],
     )
     slices = sized.groupBy("source", "slice").agg(F.sum("size").alias("slice_size"))
     targets = source_targets(slices.groupBy("source").agg(F.sum("slice_size").alias("source_size")), weights, share, max_epochs)
@@ -90,5 +95,5 @@ def mix(
     return (
         sized.join(plan, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("slice") == F.col("p_slice")))
         .withColumn("extra", extra)
-        .select("doc_id", "source", "size", "source_size", "target", (F.col("whole") * F.col("size") + F.col("extra")).cast("long").alias("taken"))
+        .select("doc_id", "source", "size", "source_size", "target", (F.col("whole") * F.col("size") + F.col("extra")).cast("long").alias("taken"), *[f"kept_{c}" for c in keep])
     )

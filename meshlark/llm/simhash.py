@@ -8,7 +8,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meshlark.llm.common import settle
@@ -151,7 +151,7 @@ def links(codes: DataFrame, radius: int = 3, shard_limit: int = 20_000) -> DataF
         yield _pairs(done(held))
 
     shard = ["mask", "key", "mask2", "key2"]
-    return keyed.repartition(*shard).sortWithinPartitions(*shard, "code").mapInArrow(search, "a long, b long").distinct()
+    return keyed.select("code", *shard).repartition(*shard).sortWithinPartitions(*shard, "code").mapInArrow(search, "a long, b long").distinct()
 
 
 def _pairs(rows: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -189,3 +189,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     least = named.groupBy("label").agg(F.min("first").alias("component_id"))
     of_code = named.join(least, "label").select("code", "component_id")
     return coded.join(of_code, "code").select("doc_id", F.lower(F.lpad(F.hex("code"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one document of each component: that with the smallest id, and of repeated ids one row."""
+    found = settle(near_duplicates(docs, doc_id, text).select("doc_id", "component_id"))
+    extra = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__gone")).distinct()
+    kept = docs.join(extra, F.col(doc_id).cast("long").eqNullSafe(F.col("__gone")), "left_anti")
+    twice = found.groupBy("doc_id").count().where(F.col("count") > 1).select(F.col("doc_id").alias("__twice"))
+    same = F.col(doc_id).cast("long").eqNullSafe(F.col("__twice"))
+    first = F.row_number().over(Window.partitionBy(doc_id).orderBy(text))
+    repeated = kept.join(twice, same, "left_semi").withColumn("__n", first).where(F.col("__n") == 1)
+    return kept.join(twice, same, "left_anti").unionByName(repeated.drop("__n")).select(*docs.columns)
