@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from meshlark.operators import fourier, geometry, label, order, piv, stats, structure
 from meshlark.plans.settings import Settings
+from meshlark.sources.settled import settled
 
 Tables = dict[str, DataFrame]
 
@@ -25,23 +26,23 @@ def _joined(first: DataFrame, *others: DataFrame) -> DataFrame:
 def region_tables(pixels: DataFrame, frames: DataFrame, height: int, width: int, s: Settings) -> Tables:
     """``runs``, ``found`` (all components), ``regions`` (kept ones with psi and smoothing), ``triangles``, ``flags``.
 
-    Each is kept for the tables that follow: one labelling and one tessellation a frame serve all of them."""
+    Each is settled for the tables that follow: one labelling and one tessellation a frame serve all of them."""
     wrap = height if s.periodic else None
-    runs = label.components(pixels, wrap).persist()
-    found = label.filter_regions(label.regions(runs, height, width, s.periodic), s.filters.min_area, s.filters.max_area, s.filters.exclude_border).persist()
+    runs = settled(label.components(pixels, wrap))
+    found = settled(label.filter_regions(label.regions(runs, height, width, s.periodic), s.filters.min_area, s.filters.max_area, s.filters.exclude_border))
     kept = found.where("kept").select("frame", F.col("new_label").alias("region_id"), "label", F.col("area").cast("double").alias("area"), "row", "col")
-    triangles = geometry.triangulate(kept, wrap).persist()
-    flags = geometry.boundary(kept, triangles, height, width, s.periodic).persist()
+    triangles = settled(geometry.triangulate(kept, wrap))
+    flags = settled(geometry.boundary(kept, triangles, height, width, s.periodic))
     psi = order.psi(kept, triangles, s.n_fold)
     psi = order.without_boundary(psi, flags) if s.exclude_boundary else psi.join(flags, ["frame", "region_id"])
-    regions = kept.join(psi, ["frame", "region_id"]).persist()
+    regions = settled(kept.join(psi, ["frame", "region_id"]))
     smooth = order.smooth(regions, s.neighbours, height=wrap, include_self=s.include_self)
-    regions = regions.join(smooth, ["frame", "region_id"]).persist()
+    regions = settled(regions.join(smooth, ["frame", "region_id"]))
     return {"runs": runs, "found": found, "regions": regions, "triangles": triangles, "flags": flags}
 
 
 def analyze(spark: SparkSession, pixels: DataFrame, frames: DataFrame, height: int, width: int, s: Settings) -> Tables:
-    """Tables by name; nothing runs before a table is used, so what isn't asked for costs nothing.
+    """Tables by name; beyond labels, tessellation and order nothing runs before a table is used.
 
     ``pixels`` are the foreground (frame, row, col), ``frames`` the frames there are (frame, path), all of one shape."""
     made = region_tables(pixels, frames, height, width, s)
@@ -56,7 +57,7 @@ def analyze(spark: SparkSession, pixels: DataFrame, frames: DataFrame, height: i
         stats.finite_mean("smoothed").alias("mean_smoothed_psi_magnitude"),
         stats.weighted_mean("smoothed", "area").alias("area_weighted_mean_smoothed_psi_magnitude"),
     )
-    plain = geometry.triangulate(regions) if s.periodic else made["triangles"]
+    plain = settled(geometry.triangulate(regions)) if s.periodic else made["triangles"]
     counted = made["flags"].groupBy("frame").agg(F.count_if("boundary").alias("voronoi_boundary_count"))
     quality = _joined(frames, label.quality(made["found"]), structure.spacing_qc(regions, plain, height, width), counted).withColumns({f"{k}_foreground_fraction": F.coalesce(F.col(f"{k}_foreground_pixels"), F.lit(0)) / (height * width) for k in ("raw", "retained")})
     tests = _joined(base, stats.pearson(regions, value, periodic=s.periodic), stats.anova(regions, s.bin_size, value))
@@ -77,19 +78,21 @@ def analyze(spark: SparkSession, pixels: DataFrame, frames: DataFrame, height: i
         h, w = y2 - y1, x2 - x1
         mask = label.label_pixels(made["runs"]).join(made["found"].where("kept").select("frame", "label"), ["frame", "label"], "left_semi").select("frame", "row", "col", F.lit(1.0).alias("value"))
         cut = fourier.crop(fourier.roll_rows(mask, s.vertical_shift, height), s.rectangle)
-        grid = _dense(base, cut, h, w)
-        spec = fourier.spectrum(grid, h, w).persist()
+        grid = settled(_dense(base, cut, h, w))
+        spec = settled(fourier.spectrum(grid, h, w))
         out["fourier_bins"] = fourier.top_bins(spec, s.top_bins)
         extended.append(fourier.legacy_metric(spec).withColumnRenamed("metric", "fourier_metric"))
         if s.band.enabled:
-            band = fourier.band_spectrum(grid, h, w, (s.band.low, s.band.high), s.band.window).persist()
+            band = fourier.band_spectrum(grid, h, w, (s.band.low, s.band.high), s.band.window)
+            band = settled(band)
             out["fourier_v2_pairs"] = fourier.peak_pairs(band, h, w, s.band.top_pairs)
             out["fourier_v2_radial"] = fourier.radial_profile(band, h, w, s.band.radial_width)
             first = out["fourier_v2_pairs"].where("rank = 1").select("frame", F.col("radial").alias("dominant_radial_frequency"), F.col("wavelength").alias("dominant_wavelength_pixels"))
             out["fourier_v2_metrics"] = fourier.band_metrics(band, s.band.low).join(first, "frame", "left")
             extended.append(_prefixed(out["fourier_v2_metrics"], "fourier_v2_"))
     if s.structure.enabled:
-        curve = structure.g6_curve(regions, height, width, s.periodic, s.structure.max_spacings, s.structure.bin_spacings).persist()
+        curve = structure.g6_curve(regions, height, width, s.periodic, s.structure.max_spacings, s.structure.bin_spacings)
+        curve = settled(curve)
         out["g6_correlation"] = curve
         out["structure_metrics"] = _joined(base, structure.structure_of(regions, made["triangles"], made["flags"]), structure.decay_lengths(curve))
     if s.velocity.enabled:
@@ -113,7 +116,7 @@ def _roi(spark: SparkSession, made: Tables, frames: DataFrame, height: int, widt
     if missing := [f for f in steps if f not in fields]:
         raise ValueError(f"velocity fields {missing[:5]} are missing")
     path = piv.evolve_polygon(spark, s.velocity.polygon, field, steps, height, width, s.periodic, s.velocity.method)
-    moved = path.withColumn("frame", (F.col("step") + s.start).cast("int")).drop("step").persist()
+    moved = path.withColumn("frame", (F.col("step") + s.start).cast("int")).drop("step")
     pixels = label.value_map(label.label_pixels(made["runs"]), made["regions"], "psi_mag").withColumnRenamed("psi_mag", "value")
     by_time: dict[int, list] = {t: [] for t in times}
     for r in moved.orderBy("frame", "vertex").collect():
