@@ -183,7 +183,17 @@ _QC = [(f"{a}(area)", f"raw_area_{n}") for a, n in (("min", "min"), ("median", "
 _KEPT = [(f"{a}(area) FILTER (kept)", f"retained_area_{n}") for a, n in (("min", "min"), ("median", "median"), ("avg", "mean"), ("max", "max"))]
 _DECAY = "lg AS (SELECT *, lag(gn) OVER w AS g0, lag(r) OVER w AS r0, coalesce(max(CAST(r >= a AND gn < 0.05 AS INT)) OVER (w ROWS UNBOUNDED PRECEDING), 0) AS st FROM cu WHERE gn IS NOT NULL AND r >= 0.75 * a WINDOW w AS (PARTITION BY frame ORDER BY r))"
 
+PCROP = f"""bx AS (SELECT min(r) AS r0, max(r) AS r1, min(c) AS c0, max(c) AS c1 FROM dense WHERE {_in_polygon("c", "r")}),
+pc AS (SELECT frame, r - r0 AS r, c - c0 AS c, CASE WHEN {_in_polygon("c", "r")} THEN v ELSE 0 END AS v FROM dense, bx WHERE r BETWEEN r0 AND r1 AND c BETWEEN c0 AND c1)"""
+
 ORACLE_SQL: dict[str, str] = {
+    "polygon_crop": _with(GRID, DENSE, PCROP, select='SELECT frame, CAST(r AS INT) AS "row", CAST(c AS INT) AS col, v AS value FROM pc'),
+    "polygon_fourier": _with(GRID, DENSE, PCROP,
+        f"sp AS (SELECT frame, a.i - 9 AS fr, b.i - 11 AS fc, sum(v * cos({TURN} * ((a.i - 9) * r / 19.0 + (b.i - 11) * c / 23.0))) AS re, sum(v * sin({TURN} * ((a.i - 9) * r / 19.0 + (b.i - 11) * c / 23.0))) AS im FROM pc CROSS JOIN range(19) a(i) CROSS JOIN range(23) b(i) GROUP BY ALL)",
+        V1, select=f"SELECT frame, {_r('CASE WHEN avg(i) > 0 THEN max(i) / avg(i) ELSE 0 END', 'metric')} FROM v1 GROUP BY frame"),
+    "centroid_impulses": _with(GRID, COMP, "im AS (SELECT DISTINCT frame, round_even(mr - 24 * floor(mr / 24), 0) AS r, round_even(mc, 0) AS c FROM rg)", select=f'SELECT frame, CAST(r AS INT) AS "row", CAST(c AS INT) AS col FROM im WHERE r BETWEEN 0 AND 23 AND c BETWEEN 0 AND 29 AND {_in_polygon("c", "r")}'),
+    "pad_center": _with(GRID, DENSE, select='SELECT f.frame, CAST(a.i AS INT) AS "row", CAST(b.i AS INT) AS col, coalesce(v, 0) AS value FROM (SELECT DISTINCT frame FROM dense) f CROSS JOIN range(29) a(i) CROSS JOIN range(32) b(i) LEFT JOIN dense d ON d.frame = f.frame AND d.r + 2 = a.i AND d.c + 1 = b.i'),
+    "polygon_display": _with(PIV, select="SELECT field, x, (y + 3) - 7 * floor((y + 3) / 7) AS shown_y, y - 7 * floor(y / 7) AS back_y FROM fd"),
     "harmonic_daily": _with(EV, HARMONIC, _bh("ha", "p", "hq"), select=f"""SELECT frame, 'value' AS basis, {_r("b1", "cosine_coefficient")}, {_r("b2", "sine_coefficient")}, {_r("sqrt(b1 * b1 + b2 * b2)", "amplitude")},
       {_r(f"CASE WHEN atan2(b2, b1) < 0 THEN atan2(b2, b1) + {TURN} ELSE atan2(b2, b1) END * 86400 / {TURN}", "peak_row", 2)}, {_r("1 - rss / tss", "r_squared")}, {_r("f", "f_statistic")}, {_r("p", "p_value")}, {_r("q", "q_value")} FROM hq"""),
     "anova_daily": _with(EV, ANOVA, _bh("an", "p", "aq"), select=f"SELECT frame, {_r('f', 'anova_f_statistic')}, {_r('p', 'anova_p_value')}, {_r('q', 'anova_q_value_bh')} FROM aq"),

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshlark.operators import fourier, geometry, label, order, piv, stats, structure
+from meshlark.operators import fourier, geometry, label, order, piv, polygons, stats, structure
 from meshlark.operators.joins import range_self_join
 from meshlark.sources import adapters, discovery
 
@@ -181,6 +181,30 @@ def roi_stats(spark, sf_dir):
     return rounded(piv.roi_statistics(adapters.grid_of_events(spark, sf_dir).withColumn("value", F.when(F.col("foreground"), F.col("n").cast("double"))), POLYGON, HOURS, DAYS))
 
 
+def polygon_crop(spark, sf_dir):
+    return polygons.crop_to_polygon(_dense(spark, sf_dir), POLYGON)
+
+
+def polygon_fourier(spark, sf_dir):
+    """The legacy metric of the polygon's bounding box, outside set to zero."""
+    return rounded(fourier.legacy_metric(fourier.spectrum(polygons.crop_to_polygon(_dense(spark, sf_dir), POLYGON), 19, 23)))
+
+
+def centroid_impulses(spark, sf_dir):
+    found = label.regions(_labelled(spark, sf_dir), HOURS, DAYS, periodic=True)
+    return polygons.centroid_impulses(found, POLYGON, HOURS, DAYS)
+
+
+def pad_center(spark, sf_dir):
+    return polygons.pad_center(_dense(spark, sf_dir), HOURS, DAYS, 29, 32)
+
+
+def polygon_display(spark, sf_dir):
+    vertices = adapters.velocities_of_lineitems(spark, sf_dir).select("field", "x", "y")
+    shown = polygons.to_display(vertices, 7, 3).withColumnRenamed("y", "shown_y")
+    return shown.withColumn("back_y", F.pmod(F.col("shown_y") - 3, F.lit(7.0)))
+
+
 def dft_v1_top_bins(spark, sf_dir):
     spec = fourier.spectrum(_dense(spark, sf_dir), HOURS, DAYS)
     return rounded(fourier.top_bins(spec, 10, digits=3).select("frame", "rank", "fr", "fc", "intensity", "distance"), 3)
@@ -251,7 +275,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         harmonic_daily, anova_daily, pearson_daily, conclusions, row_bins, complex_summary_cell, complex_summary_area, area_summary,
         finite_and_weighted_means, delaunay_triangles, voronoi_psi6, voronoi_boundary, voronoi_neighbours, coordination_defects, spacing_qc,
         knn_smooth, boundary_excluded_smooth, pairs_in_range, pairs_in_range_wrapped, g6_curve, decay_lengths, bootstrap_ci, components_grid,
-        component_filter_qc, border_filter, label_map, roll_rows, rectangle_crop, roi_stats, dft_v1_top_bins, dft_v1_metric, dft_v2_band,
+        component_filter_qc, border_filter, label_map, roll_rows, rectangle_crop, polygon_crop,
+        polygon_fourier, centroid_impulses, pad_center, polygon_display, roi_stats, dft_v1_top_bins, dft_v1_metric, dft_v2_band,
         dft_v2_pairs, radial_profile, reconstruct, roi_evolve, piv_percentiles, piv_quiver, missing_timepoints, duplicate_timepoints,
     )
 } | {f"piv_{m}": _interpolated(m) for m in piv.METHODS}
