@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from meshlark.llm import chat, decontaminate, fingerprints, html_extract, language, mixing, pii, secret_scan, simhash, substrings
 from meshlark.llm.common import table, text_or_empty
+from meshlark.llm.oracles import ORACLE_SQL  # noqa: F401  registered with the queries
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,4 +92,3 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_fingerprints, op2_decontamination, op3_pii, op4_substrings, op5_html, op6_simhash, op7_mixing, op8_chat, op9_language, op10_secrets)}
-ORACLE_SQL: dict[str, str] = {}
