@@ -39,6 +39,11 @@ def _covered(words) -> np.ndarray:
     return on[_places(words) % PERIOD]
 
 
+def _anchors(words, size: int, at: np.ndarray) -> np.ndarray:
+    """48 bits of a hash: anchors only name candidates, so a chance equality costs a comparison and nothing else."""
+    return grams(words.hashes, size, at) >> np.uint64(16)
+
+
 def anchor_hashes(docs: DataFrame, window: int) -> DataFrame:
     """``h``: hashes of the anchors of every text, each once a text.
 
@@ -51,7 +56,7 @@ def anchor_hashes(docs: DataFrame, window: int) -> DataFrame:
             for w in words_of(batch.column(0), PLAIN):
                 at = np.flatnonzero(_starts(w, size) & _covered(w))
                 text = np.repeat(np.arange(len(w.begins)), w.stops - w.begins)[at]
-                h = grams(w.hashes, size, at)
+                h = _anchors(w, size, at)
                 # once a text: sort by hash, then text
                 order = np.lexsort((text, h))
                 h, text = h[order], text[order]
@@ -64,7 +69,7 @@ def anchor_hashes(docs: DataFrame, window: int) -> DataFrame:
 
 def _bits(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     mask = np.uint64(bits - 1)
-    return h & mask, (h >> np.uint64(32)) & mask
+    return h & mask, (h >> np.uint64(20)) & mask
 
 
 def shared_filter(anchors: DataFrame, bits: int) -> np.ndarray:
@@ -73,7 +78,7 @@ def shared_filter(anchors: DataFrame, bits: int) -> np.ndarray:
     Its size is fixed.  Past its capacity it lets more candidates through; no result depends on it."""
     shared = anchors.groupBy("h").count().where(F.col("count") > 1)
     mask = F.lit(bits - 1).cast("long")
-    both = F.array(F.col("h").bitwiseAND(mask), F.shiftrightunsigned("h", 32).bitwiseAND(mask))
+    both = F.array(F.col("h").bitwiseAND(mask), F.shiftrightunsigned("h", 20).bitwiseAND(mask))
     cells = (
         shared.select(F.explode(both).alias("bit"))
         .groupBy(F.shiftrightunsigned("bit", 6).alias("cell"))
@@ -95,7 +100,7 @@ def _candidate_windows(w, window: int, shared: np.ndarray, bits: int) -> np.ndar
     """Begins of windows that hold an anchor which another text may have too."""
     size = window - PERIOD + 1
     at = np.flatnonzero(_starts(w, size) & _covered(w))
-    hit = at[_in_filter(shared, grams(w.hashes, size, at), bits)]
+    hit = at[_in_filter(shared, _anchors(w, size, at), bits)]
     near = np.zeros(len(w.hashes), bool)
     for shift in range(PERIOD):
         near[hit[hit >= shift] - shift] = True
