@@ -152,3 +152,19 @@ def test_regions_of_interest(spark):
     r = piv.roi_statistics(values, [(9.5, 1.5), (16.5, 1.5), (16.5, 5.5), (9.5, 5.5)], 12, 20).first()
     assert r["average"] == 0.75 and r["geometric_pixels"] == 28 and r["valid_pixels"] == 28
     assert math.isclose(piv.speed_range(field(spark, lambda x, y: (3, 4))).first()["high"], 6)
+
+
+def test_polygons(spark):
+    from meshlark.operators import polygons
+
+    g = grid(spark, np.arange(42).reshape(6, 7))
+    shape = [(1.5, 0.5), (4.5, 0.5), (4.5, 3.5)]  # below the diagonal: pixels (1, 2), (1, 3), (1, 4), (2, 3), ...
+    got = {(r["row"], r["col"]): r["value"] for r in polygons.crop_to_polygon(g, shape).collect()}
+    assert got[0, 0] == 9 and got[0, 2] == 11 and got[2, 0] == 0 and got[2, 2] == 25 and len(got) == 9
+    near = spark.createDataFrame([(1, 1.5, 3.4), (1, 2.4, 3.0), (1, 0.4, 0.0)], "frame int, row double, col double")
+    assert [(r["row"], r["col"]) for r in polygons.centroid_impulses(near, shape, 6, 7).collect()] == [(2, 3)]
+    assert polygons.pad_center(g, 6, 7, 8, 10).where("row = 1 AND col = 1").first()["value"] == 0
+    moved = polygons.to_display(spark.createDataFrame([(0.0, 18.0)], "x double, y double"), 20, 5)
+    assert moved.first()["y"] == 3 and polygons.from_display(moved, 20, 5).first()["y"] == 18
+    with pytest.raises(ValueError):
+        polygons.pad_center(g, 6, 7, 5, 9)
