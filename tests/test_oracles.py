@@ -8,7 +8,7 @@ import pytest
 from meshlark.plans.oracles import ORACLE_SQL
 from meshlark.plans.queries import QUERIES
 
-SF = "/root/testdata/sf0.001"
+SF = "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
