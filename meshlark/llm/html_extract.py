@@ -45,6 +45,12 @@ def parse(html: str) -> Node:
     """A tree of elements and texts; never fails.  Unclosed and misplaced tags are mended as browsers mostly do."""
     root = Node("", "", False, False)
     stack, at, n = [root], 0, len(html)
+    open_: Counter = Counter()
+
+    def shut(k: int) -> None:
+        open_.subtract(x.tag for x in stack[k:])
+        del stack[k:]
+
     while at < n:
         m = _TOKEN.search(html, at)
         if m is None:
@@ -58,24 +64,24 @@ def parse(html: str) -> Node:
             continue
         tag = tag.lower()
         if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if open_[tag] else ():
                 if stack[k].tag == tag:
-                    del stack[k:]
+                    shut(k)
                     break
                 if stack[k].tag in ("article", "main", "body") and tag in INLINE | {"p"}:
                     break
             continue
         if tag not in INLINE:  # a block ends an open paragraph
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if open_["p"] else ():
                 if stack[k].tag == "p":
-                    del stack[k:]
+                    shut(k)
                     break
                 if stack[k].tag not in INLINE:
                     break
         if tag in _SELF_CLOSING:
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if open_[tag] else ():
                 if stack[k].tag == tag:
-                    del stack[k:]
+                    shut(k)
                     break
                 if stack[k].tag in _SELF_CLOSING[tag]:
                     break
@@ -94,32 +100,32 @@ def parse(html: str) -> Node:
             at = end.end() if end else n
         elif tag not in VOID and not m[3].rstrip().endswith("/"):
             stack.append(node)
+            open_[tag] += 1
     return root
 
 
-def _text(node: Node, out: list[str]) -> list[str]:
-    for x in node.parts:
-        if isinstance(x, str):
-            out.append(x)
-        else:
-            _text(x, out)
-    return out
-
-
 def _clean(chunks: list[str]) -> str:
     joined = "".join(chunks)
     return " ".join((unescape(joined) if "&" in joined else joined).split())
 
 
+def _below(path: str, name: str) -> str:
+    """The path of a child: a digest of its parent's path and its name, of the same length at any depth."""
+    return xxhash.xxh64_hexdigest(f"{path}/{name}")
+
+
 def style_nodes(root: Node) -> Iterator[tuple[str, int, int]]:
     """(path, presentation, content) of every element: digests of its children's names, and of the text below it."""
-    stack = [(root, "")]
-    while stack:
-        node, path = stack.pop()
-        below = [x for x in node.parts if isinstance(x, Node)]
+    order = [(root, "")]
+    for node, path in order:  # parents come before their children; the list grows while it is walked
+        order.extend((x, _below(path, x.name)) for x in node.parts if isinstance(x, Node))
+    digests: dict[int, str] = {}
+    for node, path in reversed(order):
+        said = "|".join(" ".join(x.split()) if isinstance(x, str) else digests.pop(id(x)) for x in node.parts)
+        digests[id(node)] = xxhash.xxh64_hexdigest(said)
         if path:
-            yield path, crc32(" ".join(x.name for x in below).encode()), xxhash.xxh64_intdigest(_clean(_text(node, []))) >> 1
-        stack += [(x, f"{path}/{x.name}") for x in below]
+            look = crc32(" ".join(x.name for x in node.parts if isinstance(x, Node)).encode())
+            yield path, look, xxhash.xxh64_intdigest(said) >> 1
 
 
 def main_text(html: str, low: frozenset[str]) -> str:
@@ -129,35 +135,29 @@ def main_text(html: str, low: frozenset[str]) -> str:
     root = parse(html)
     blocks: list[tuple[bool, str]] = []
     run: list[str] = []
-    inside = False
 
-    def close() -> None:
-        nonlocal run
-        text = _clean(run)
-        if text:
+    def close(inside: bool) -> None:
+        if text := _clean(run):
             blocks.append((inside, text))
-        run = []
+        run.clear()
 
-    def walk(node: Node, path: str) -> None:
-        nonlocal inside
-        for x in node.parts:
+    stack = [(root, "", iter(root.parts), False)]
+    while stack:
+        node, path, parts, block = stack[-1]
+        for x in parts:
             if isinstance(x, str):
                 run.append(x)
                 continue
-            here = f"{path}/{x.name}"
-            block = x.tag not in INLINE
-            if block:
-                close()
+            here, own = _below(path, x.name), x.tag not in INLINE
+            if own:
+                close(node.article)
             if not x.barred and here not in low:
-                was = inside
-                inside = x.article
-                walk(x, here)
-                if block:
-                    close()
-                inside = was
-
-    walk(root, "")
-    close()
+                stack.append((x, here, iter(x.parts), own))
+                break
+        else:
+            stack.pop()
+            if block or not stack:
+                close(node.article)
     some = any(i for i, _ in blocks)
     return " ".join(t for i, t in blocks if i or not some)
 

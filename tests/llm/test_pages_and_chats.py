@@ -38,7 +38,9 @@ def test_broken_pages(page, want):
 
 
 def test_deep_pages_do_not_fail():
-    assert html_extract.main_text("<div>" * 400 + "x", frozenset()) == "x"
+    deep = "<div>" * 20_000 + "x" + "</b>" * 20_000
+    assert html_extract.main_text(deep, frozenset()) == "x"
+    assert sum(1 for _ in html_extract.style_nodes(html_extract.parse(deep))) == 20_000
 
 
 def test_site_trees_find_unnamed_boilerplate(spark):
