@@ -124,7 +124,7 @@ def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", per_s
     count = ided.count()
     slices = max(1, min(most_slices, -(-count // per_slice)))
     cuts = sorted(set(ided.select(F.col("at").cast("double").alias("x")).approxQuantile("x", [i / slices for i in range(1, slices)], 0.2 / slices))) if slices > 1 else []
-    cuts = [int(c) for c in cuts]
+    cuts = [min(int(c), (1 << 63) - 1) for c in cuts]
     # slice 0 has the highest ids
     slice_of = F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]), lambda c: c > F.col("at"))) if cuts else F.lit(0)
     sliced = ided.withColumn("slice", slice_of)

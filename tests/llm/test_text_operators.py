@@ -58,6 +58,15 @@ def test_fingerprints_of_large_texts_in_parts(spark):
     assert got[2]["near_next"] == pytest.approx(likeness(a, b))
 
 
+def test_neighbours_across_slices(spark):
+    ids = [-(1 << 62), -5, 0, 3, 10, 1 << 40, (1 << 63) - 1, None]
+    docs = spark.createDataFrame([(i, f"t{i}") for i in ids], "doc_id long, text string")
+    for per_slice in (1, 3, 100):
+        got = {r["text"]: r["next_text"] for r in fingerprints.with_next(docs, per_slice=per_slice).collect()}
+        order = [f"t{i}" for i in sorted(ids[:-1], reverse=True)] + ["tNone"]
+        assert got == {a: b for a, b in zip(order, order[1:] + order[:1])}
+
+
 def test_fingerprints_of_odd_rows(odd, empty):
     got = fingerprints.fingerprint_versions(odd).collect()
     assert len(got) == odd.count()
