@@ -1,4 +1,6 @@
-"""SimHash near-duplicates: fingerprints of word shingles, linked through BK-trees, and their components."""
+"""SimHash near-duplicates: fingerprints of word shingles, linked through BK-trees, and their components.
+
+The pipeline's stage links by the similarity of shingle sets instead."""
 
 from __future__ import annotations
 
@@ -191,9 +193,145 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return coded.join(of_code, "code").select("doc_id", F.lower(F.lpad(F.hex("code"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+#: Min-hashes of a text: bands of rows.  At similarity 0.8 a pair shares no band once in 300,000 pairs.
+BANDS, ROWS = 32, 5
+_MIX = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingle_hashes(text: str, shingle: int) -> np.ndarray:
+    """Sorted distinct hashes of the shingles, as in :func:`simhash`; none for a text without words."""
+    words = text.encode().lower().split()
+    size = min(shingle, len(words))
+    of = xxhash.xxh64_intdigest
+    return np.unique(np.array([of(b" ".join(words[i : i + size]), SEED) for i in range(len(words) - size + 1)] if words else [], np.uint64))
+
+
+def min_hashes(hashes: np.ndarray) -> np.ndarray:
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(hashes), 1 << 12):
+        least = np.minimum(least, (hashes[i : i + (1 << 12), None] * _MIX[0] + _MIX[1]).min(axis=0))
+    return (least >> np.uint64(32)).astype(np.uint32)
+
+
+def _sketches(docs: DataFrame, shingle: int) -> DataFrame:
+    """``doc_id, key, node, sketch, bands``: equal shingle sets are one node; a sketch has a byte of each min-hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = xxhash.xxh64_intdigest
+        for batch in batches:
+            nodes, sketches, bands = [], [], []
+            for t in batch.column(2):
+                hashes = shingle_hashes(t.as_py() or "", shingle)
+                least = min_hashes(hashes)
+                nodes.append(_signed(of(hashes.tobytes(), SEED)))
+                sketches.append(least.astype(np.uint8).tobytes())
+                bands.append([_signed(of(x.tobytes(), i)) for i, x in enumerate(least.reshape(BANDS, ROWS))])
+            columns = [batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(sketches, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.record_batch(columns, names=["doc_id", "key", "node", "sketch", "bands"])
+
+    return docs.mapInArrow(run, "doc_id long, key long, node long, sketch binary, bands array<long>")
+
+
+def _shingled(texts: DataFrame, shingle: int) -> DataFrame:
+    """``node, hashes`` from ``node, text``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = [shingle_hashes(t.as_py() or "", shingle).tobytes() for t in batch.column(1)]
+            yield pa.record_batch([batch.column(0), pa.array(hashes, pa.binary())], names=["node", "hashes"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, hashes binary")
+
+
+def _verified(pairs: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs ``a, b`` whose shingle sets have at least this Jaccard similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) >= similarity * max(len(x), len(y)) - 1e-9 else 0
+                good.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+            yield pa.record_batch([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    one, two = shingles.toDF("a", "x"), shingles.toDF("b", "y")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def _across(rows: DataFrame, least_equal: int) -> DataFrame:
+    """Pairs of nodes of one bucket and part whose labels differ and whose sketches have so many bytes in common."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, held = None, []
+
+        def done() -> list[tuple[int, int]]:
+            sketches = np.frombuffer(b"".join(x[3] for x in held), np.uint8).reshape(len(held), -1)
+            nodes, labels = (np.array([x[i] for x in held], np.int64) for i in (0, 1))
+            out = []
+            for i in [i for i, x in enumerate(held) if x[2]]:
+                other = np.flatnonzero(labels != labels[i])
+                near = other[(sketches[other] == sketches[i]).sum(axis=1) >= least_equal]
+                out += [(min(nodes[i], x), max(nodes[i], x)) for x in nodes[near]]
+            return out
+
+        for batch in batches:
+            out = []
+            columns = [batch.column(i).to_pylist() for i in range(6)]
+            for bucket, part, *row in zip(*columns):
+                if (bucket, part) != shard:
+                    out += done() if held else []
+                    shard, held = (bucket, part), []
+                held.append(row)
+            yield _pairs(out)
+        yield _pairs(done() if held else [])
+
+    keys = ["bucket", "part"]
+    return rows.select(*keys, "node", "label", "home", "sketch").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long").distinct()
+
+
+def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, part_rows: int = 256) -> DataFrame:
+    """``doc_id, component_id``: one row for each row of ``docs``.
+
+    Documents are linked if the Jaccard similarity of their sets of ``shingle`` words is at least ``similarity``;
+    every link is checked on the sets.  Candidates share a bucket (a band of min-hashes).  First each node is held
+    against one node of each of its buckets, then against all nodes of its buckets that are not yet in its component,
+    unless their sketches differ too much (4.5 standard deviations).  So a group of near copies costs rows in
+    proportion to its size.  Buckets of more than ``part_rows`` are searched in parts: nodes outside the bucket's
+    smallest-labelled component go to every part."""
+    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(doc_id), F.col(text)).alias("key"), F.col(text).alias("text"))
+    coded = settle(_sketches(own, shingle))
+    nodes = settle(coded.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("key").alias("key"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")))
+    members = nodes.select("node", F.explode("bands").alias("bucket"))
+    mixed = F.col("node").bitwiseXOR(F.col("bucket"))  # another centre in each bucket
+    stars = members.groupBy("bucket").agg(F.min(mixed).alias("low"), F.max(mixed).alias("high")).where(F.col("low") < F.col("high"))
+    shared = settle(members.join(stars.select("bucket", F.col("low").bitwiseXOR(F.col("bucket")).alias("centre")), "bucket"))
+    wanted = shared.select("node").distinct().join(nodes.select("node", "key"), "node")
+    shingles = settle(_shingled(own.join(wanted, "key").select("node", "text"), shingle).groupBy("node").agg(F.first("hashes").alias("hashes")))
+    to_centres = shared.where(F.col("node") != F.col("centre")).select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+    linked = settle(_verified(to_centres, shingles, similarity))
+
+    labelled = shared.select("bucket", "node").join(components(linked), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    labelled = settle(labelled)
+    open_ = labelled.groupBy("bucket").agg(F.min("label").alias("main"), F.max("label").alias("top"), F.count("*").alias("n")).where(F.col("main") < F.col("top")).drop("top")
+    parts = F.ceil(F.col("n") / part_rows).cast("int")
+    at = F.pmod(F.xxhash64("node"), parts).cast("int")
+    dealt = labelled.join(open_, "bucket").withColumn("at", at).withColumn("part", F.explode(F.when(F.col("label") == F.col("main"), F.array("at")).otherwise(F.sequence(F.lit(0), parts - 1))))
+    dealt = dealt.withColumn("home", F.col("at") == F.col("part")).join(nodes.select("node", "sketch"), "node")
+    total = BANDS * ROWS
+    least_equal = int(total * similarity - 4.5 * (total * similarity * (1 - similarity)) ** 0.5)
+    rest = _across(dealt, least_equal).join(to_centres, ["a", "b"], "left_anti")
+    labels = components(linked.unionByName(settle(_verified(rest, shingles, similarity))))
+
+    named = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    least = named.groupBy("label").agg(F.min("first").alias("component_id"))
+    return coded.select("doc_id", "node").join(named.join(least, "label").select("node", "component_id"), "node").select("doc_id", "component_id")
+
+
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one document of each component: that with the smallest id, and of repeated ids one row."""
-    found = settle(near_duplicates(docs, doc_id, text).select("doc_id", "component_id"))
+    """``docs`` with one document of each component (:func:`similar_documents`): that with the smallest id, and of
+    repeated ids one row."""
+    found = settle(similar_documents(docs, doc_id, text))
     extra = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__gone")).distinct()
     kept = docs.join(extra, F.col(doc_id).cast("long").eqNullSafe(F.col("__gone")), "left_anti")
     twice = found.groupBy("doc_id").count().where(F.col("count") > 1).select(F.col("doc_id").alias("__twice"))
