@@ -6,7 +6,6 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from html import unescape
-from zlib import crc32
 
 import pyarrow as pa
 import xxhash
@@ -23,6 +22,7 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 #: Elements that never hold main text, and those that don't unless they stand inside an article.
 NEVER = frozenset("head nav footer aside form button dialog menu".split()) | RAW
 OUTSIDE = frozenset({"header"})
+WHOLE = frozenset({"html", "body", "main", "article"})
 #: What class, id and role say of elements that hold no main text.
 _SAYS = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|banner|breadcrumbs?|comments?|cookies?|consent|footer|menu|nav|navbar|navigation|newsletter|notices?|popup|promo|related|respond|share|sharing|sidebar|social|sponsor|sponsored|subscribe|toolbar|widget)(?:$|[\s_-])",
@@ -34,10 +34,11 @@ _SELF_CLOSING = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {
 
 
 class Node:
-    __slots__ = ("tag", "name", "parts", "barred", "article")
+    __slots__ = ("tag", "name", "parts", "barred", "article", "holds")
 
     def __init__(self, tag: str, name: str, barred: bool, article: bool) -> None:
         self.tag, self.name, self.barred, self.article = tag, name, barred, article
+        self.holds = False  # whether an article or main element stands below
         self.parts: list[Node | str] = []
 
 
@@ -95,6 +96,11 @@ def parse(html: str) -> Node:
         kind = attributes.get("class", "").split()
         node = Node(tag, f"{tag}.{kind[0]}" if kind else tag, barred, inside)
         up.parts.append(node)
+        if tag in ("article", "main") and not barred:
+            for x in reversed(stack):
+                if x.holds:
+                    break
+                x.holds = True
         if tag in RAW:
             end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, at)
             at = end.end() if end else n
@@ -114,18 +120,22 @@ def _below(path: str, name: str) -> str:
     return xxhash.xxh64_hexdigest(f"{path}/{name}")
 
 
-def style_nodes(root: Node) -> Iterator[tuple[str, int, int]]:
-    """(path, presentation, content) of every element: digests of its children's names, and of the text below it."""
+def _whole(node: Node) -> bool:
+    """Elements that never go for what their site repeats: parts of sentences, and what the article stands in."""
+    return node.tag in INLINE or node.tag in WHOLE or node.holds
+
+
+def style_nodes(root: Node) -> Iterator[tuple[str, int | None]]:
+    """(path, content) of every element that can go: a digest of the text below it, none if there is no text."""
     order = [(root, "")]
     for node, path in order:  # parents come before their children; the list grows while it is walked
         order.extend((x, _below(path, x.name)) for x in node.parts if isinstance(x, Node))
     digests: dict[int, str] = {}
     for node, path in reversed(order):
-        said = "|".join(" ".join(x.split()) if isinstance(x, str) else digests.pop(id(x)) for x in node.parts)
-        digests[id(node)] = xxhash.xxh64_hexdigest(said)
-        if path:
-            look = crc32(" ".join(x.name for x in node.parts if isinstance(x, Node)).encode())
-            yield path, look, xxhash.xxh64_intdigest(said) >> 1
+        said = "|".join(x for x in (" ".join(x.split()) if isinstance(x, str) else digests.pop(id(x)) for x in node.parts) if x)
+        digests[id(node)] = xxhash.xxh64_hexdigest(said) if said else ""
+        if path and not _whole(node):
+            yield path, xxhash.xxh64_intdigest(said) >> 1 if said else None
 
 
 def main_text(html: str, low: frozenset[str]) -> str:
@@ -151,7 +161,7 @@ def main_text(html: str, low: frozenset[str]) -> str:
             here, own = _below(path, x.name), x.tag not in INLINE
             if own:
                 close(node.article)
-            if not x.barred and here not in low:
+            if not x.barred and (here not in low or _whole(x)):
                 stack.append((x, here, iter(x.parts), own))
                 break
         else:
@@ -163,32 +173,37 @@ def main_text(html: str, low: frozenset[str]) -> str:
 
 
 def style_tree(pages: DataFrame, least_pages: int = 20) -> DataFrame:
-    """``host, path, importance``: nodes of each host's merged tree that at least ``least_pages`` elements share.
+    """``host, path, importance``: nodes of each host's merged tree that at least ``least_pages`` distinct pages share.
 
-    Presentation importance is the entropy of the child sequences seen at a path, content importance that of the texts,
-    both over the largest entropy so many elements can have; a node counts by the larger.  Menus, footers and adverts
-    say the same things over and over; articles don't.  Elements are counted where the pages are, so a host with very
-    many pages sends one row a distinct text, and its entropies are sums of partial sums."""
+    What a page says at a path is one content, however many elements it has there.  Importance is the share of the
+    path's distinct pages that say anything but the most common content: menus, footers and adverts say the same on
+    every page; articles don't.  The share doesn't depend on the size of the host.  Identical pages of a host count as
+    one: each of c copies counts 1 / c.  Contents are counted where the pages are, so a host with very many pages
+    sends one row a distinct text, and counts are sums of partial sums."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: Counter = Counter()
-            for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for path, look, content in style_nodes(parse(html or "")):
-                    seen[host, path, 0, look] += 1
-                    seen[host, path, 1, content] += 1
+            for host, html, copies in zip(*[batch.column(i).to_pylist() for i in range(3)]):
+                said: dict[str, int] = {}
+                for path, content in style_nodes(parse(html or "")):
+                    if content is not None:
+                        said[path] = (said.get(path, 0) * 1_000_003 + content) & (1 << 63) - 1
+                for path, content in said.items():
+                    seen[host, path, content] += 1 / copies
             keys = list(seen)
             yield pa.record_batch(
-                [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([k[2] for k in keys], pa.int32()), pa.array([k[3] for k in keys], pa.int64()), pa.array(list(seen.values()), pa.int64())],
-                names=["host", "path", "kind", "value", "n"],
+                [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([k[2] for k in keys], pa.int64()), pa.array(list(seen.values()), pa.float64())],
+                names=["host", "path", "content", "n"],
             )
 
-    counted = pages.select("host", "html").mapInArrow(run, "host string, path string, kind int, value long, n long")
-    values = counted.groupBy("host", "path", "kind", "value").agg(F.sum("n").alias("n"))
-    nodes = values.groupBy("host", "path", "kind").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.ln("n")).alias("s")).where(F.col("m") >= least_pages)
-    # - sum p log p over log m, with p = n / m
-    entropy = (F.ln("m") - F.col("s") / F.col("m")) / F.ln("m")
-    return nodes.groupBy("host", "path").agg(F.max(entropy).alias("importance"))
+    own = pages.select("host", "html", F.xxhash64("html").alias("page"))
+    again = settle(own.groupBy("host", "page").agg(F.count("*").alias("copies")).where(F.col("copies") > 1))
+    weighed = own.join(again, ["host", "page"], "left").select("host", "html", F.coalesce("copies", F.lit(1)).alias("copies"))
+    counted = weighed.mapInArrow(run, "host string, path string, content long, n double")
+    values = counted.groupBy("host", "path", "content").agg(F.sum("n").alias("n"))
+    nodes = values.groupBy("host", "path").agg(F.sum("n").alias("m"), F.max("n").alias("most")).where(F.round("m", 6) >= least_pages)
+    return nodes.select("host", "path", F.round(1 - F.col("most") / F.col("m"), 9).alias("importance"))
 
 
 def extract_main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", threshold: float = 0.4, least_pages: int = 20) -> DataFrame:
