@@ -17,36 +17,48 @@ from meshlark.llm.language import address_parts
 
 #: Fixed values of HTML: elements without content, elements whose content is raw text, and inline elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style template noscript textarea title iframe svg math select".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+RAW = frozenset("script style template noscript textarea title iframe select".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup svg time tspan tt u var wbr math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtext munder munderover semantics annotation".split())
 #: Elements that never hold main text, and those that don't unless they stand inside an article.
 NEVER = frozenset("head nav footer aside form button dialog menu".split()) | RAW
 OUTSIDE = frozenset({"header"})
 WHOLE = frozenset({"html", "body", "main", "article"})
-#: What class, id and role say of elements that hold no main text.
-_SAYS = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|banner|breadcrumbs?|comments?|cookies?|consent|footer|menu|nav|navbar|navigation|newsletter|notices?|popup|promo|related|respond|share|sharing|sidebar|social|sponsor|sponsored|subscribe|toolbar|widget)(?:$|[\s_-])",
-    re.I,
-)
+#: Names by which class, id and role set elements apart from main text: whole words of a class, whole ids.  Modifiers of
+#: layouts (has-sidebar, sidebar-right) and slugs of headings (social-impact, related-work) are none.
+_NAME = r"(?:ads?|adv|adverts?|advertisement|advertising|banner|breadcrumbs?|comments?|cookies?|consent|footer|menu|nav|navbar|navigation|newsletter|notices?|popup|promo|related|respond|share|sharing|sidebar|social|sponsor|sponsored|subscribe|toolbar|widget)"
+_WHERE = r"(?:site|main|page|top|bottom|global|primary|secondary|left|right|mobile|user|header|footer|side|cookie|social|share|post|article|entry|google)"
+_PIECE = r"(?:bar|box|list|links?|buttons?|icons?|form|popup|modal|banner|notice|consent|overlay|container|slot|unit|section|area|menu|block|posts|articles|signup|wrapper)"
+_ID = re.compile(rf"(?:{_WHERE}[_-]+)?{_NAME}", re.I)
+_CLASS = re.compile(rf"(?:{_WHERE}[_-]+)?{_NAME}(?:[_-]+{_PIECE})?", re.I)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _SELF_CLOSING = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 
 
 class Node:
-    __slots__ = ("tag", "name", "parts", "barred", "article", "holds")
+    __slots__ = ("tag", "name", "parts", "barred", "article", "holds", "named", "under")
 
     def __init__(self, tag: str, name: str, barred: bool, article: bool) -> None:
         self.tag, self.name, self.barred, self.article = tag, name, barred, article
+        self.named = self.under = False  # set apart by its own name, or by its or an outer one's
         self.holds = False  # whether an article or main element stands below
         self.parts: list[Node | str] = []
 
 
+def _named(attributes: dict[str, str], tag: str) -> bool:
+    said = any(_CLASS.fullmatch(x) for k in ("class", "role") for x in attributes.get(k, "").split())
+    return said or (tag not in HEADINGS and _ID.fullmatch(attributes.get("id", "").strip()) is not None)
+
+
 def parse(html: str) -> Node:
     """A tree of elements and texts; never fails.  Unclosed and misplaced tags are mended as browsers mostly do."""
     root = Node("", "", False, False)
     stack, at, n = [root], 0, len(html)
     open_: Counter = Counter()
+    #: Whether an article (main element) stands outside all named elements; if not, those round the first one.
+    free: set[str] = set()
+    shut_in: dict[str, list[Node]] = {}
 
     def shut(k: int) -> None:
         open_.subtract(x.tag for x in stack[k:])
@@ -89,14 +101,17 @@ def parse(html: str) -> Node:
         attributes = {x[1].lower(): x[2] or x[3] or x[4] or "" for x in _NAMED.finditer(m[3])} if "=" in m[3] else {}
         up = stack[-1]
         inside = up.article or tag in ("article", "main")
-        said = " ".join(attributes.values())
-        barred = up.barred or tag in NEVER or (tag in OUTSIDE and not up.article) or (bool(said) and tag not in ("html", "body", "article", "main") and _SAYS.search(said) is not None)
-        if tag == "article" and up.article and _SAYS.search(said):
-            barred = True
+        barred = up.barred or tag in NEVER or (tag in OUTSIDE and not up.article)
+        named = bool(attributes) and tag not in ("html", "body", "main") and (tag != "article" or up.article) and _named(attributes, tag)
         kind = attributes.get("class", "").split()
         node = Node(tag, f"{tag}.{kind[0]}" if kind else tag, barred, inside)
+        node.named, node.under = named, named or up.under
         up.parts.append(node)
-        if tag in ("article", "main") and not barred:
+        if tag in ("article", "main") and not barred and not named:
+            if not node.under:
+                free.add(tag)
+            elif tag not in shut_in:
+                shut_in[tag] = [x for x in stack if x.named]
             for x in reversed(stack):
                 if x.holds:
                     break
@@ -107,6 +122,10 @@ def parse(html: str) -> Node:
         elif tag not in VOID and not m[3].rstrip().endswith("/"):
             stack.append(node)
             open_[tag] += 1
+    for tag in shut_in.keys() - free:
+        if tag == "article" or not free:
+            for x in shut_in[tag]:
+                x.named = False
     return root
 
 
@@ -161,7 +180,7 @@ def main_text(html: str, low: frozenset[str]) -> str:
             here, own = _below(path, x.name), x.tag not in INLINE
             if own:
                 close(node.article)
-            if not x.barred and (here not in low or _whole(x)):
+            if not x.barred and not x.named and (here not in low or _whole(x)):
                 stack.append((x, here, iter(x.parts), own))
                 break
         else:
