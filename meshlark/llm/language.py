@@ -29,15 +29,19 @@ def trigrams(raw: np.ndarray) -> np.ndarray:
     return (mixed ^ (mixed >> np.uint32(15))) & np.uint32(BUCKETS - 1)
 
 
-def train(labelled: DataFrame, sample_rows: int = 20_000, least_rows: int = 20, most_languages: int = 64, smoothing: float = 0.5) -> tuple[list[str], np.ndarray]:
-    """Languages and log probabilities of trigrams (bucket x language) from about ``sample_rows`` rows (text, lang).
-
-    The sample is the rows with the smallest hashes of their text, the same in every run.  Counts are taken where the
-    rows are and only their sums, at most languages x buckets, reach the driver."""
-    labelled = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    n = labelled.count()
-    if n > sample_rows:
-        labelled = labelled.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int((1 << 30) * sample_rows / n))
+def train(labelled: DataFrame, language_rows: int = 5_000, least_rows: int = 1, smoothing: float = 0.5) -> tuple[list[str], np.ndarray]:
+    """Languages and log probabilities of trigrams (bucket x language) from distinct texts (text, lang) of each label.
+
+    Every label that occurs is a language.  A label with at most ``language_rows`` distinct texts gives all of them,
+    another about so many: those with the smallest hashes, the same in every run.  Counts are taken where the
+    rows are and only their sums reach the driver: at most 65,536 a label, so a label costs 256 KB of the model.
+    ``smoothing`` is the most that is added to a count."""
+    labelled = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang", F.xxhash64("text").alias("h"))
+    sizes = settle(labelled.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")))
+    shares = sizes.select("lang", (F.lit(float(language_rows)) / F.col("n") * (1 << 30)).alias("below"))
+    drawn = labelled.join(F.broadcast(shares), "lang").where(F.pmod("h", F.lit(1 << 30)) < F.col("below"))
+    # copies of a text count once
+    labelled = drawn.groupBy("lang", "h").agg(F.first("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
@@ -54,13 +58,18 @@ def train(labelled: DataFrame, sample_rows: int = 20_000, least_rows: int = 20,
 
     summed = labelled.select("text", "lang").mapInArrow(run, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     summed = settle(summed)
-    sizes = summed.where((F.col("bucket") == -1) & (F.col("n") >= least_rows)).orderBy(F.col("n").desc(), "lang").limit(most_languages).collect()
-    languages = sorted(r["lang"] for r in sizes)
-    counts = np.full((BUCKETS, len(languages)), smoothing)
-    for i, lang in enumerate(languages):
-        own = summed.where((F.col("lang") == lang) & (F.col("bucket") >= 0)).select("bucket", "n").toArrow()
-        counts[own["bucket"].to_numpy(), i] += own["n"].to_numpy()
-    return languages, np.log(counts / counts.sum(axis=0, keepdims=True)).astype(np.float32) if languages else np.zeros((BUCKETS, 0), np.float32)
+    languages = sorted(r["lang"] for r in summed.where((F.col("bucket") == -1) & (F.col("n") >= least_rows)).select("lang").collect())
+    model = np.zeros((BUCKETS, len(languages)), np.float32)
+    for at in range(0, len(languages), 16):  # so many at once on the driver
+        some = languages[at : at + 16]
+        own = summed.where(F.col("lang").isin(some) & (F.col("bucket") >= 0)).select("lang", "bucket", "n").toArrow()
+        counts = np.zeros((BUCKETS, len(some)))
+        column = np.searchsorted(np.array(some, object), np.array(own["lang"].to_pylist(), object))
+        counts[own["bucket"].to_numpy(), column] += own["n"].to_numpy()
+        # no more is added than there are trigrams seen: else a label of few texts would be as likely as none for any text
+        counts += np.minimum(smoothing, np.count_nonzero(counts, axis=0) / BUCKETS + 1e-6)
+        model[:, at : at + 16] = np.log(counts / counts.sum(axis=0, keepdims=True))
+    return languages, model
 
 
 def likelihoods(rows: DataFrame, model: np.ndarray, markup: bool = False) -> DataFrame:
@@ -128,36 +137,40 @@ def identify(scored: DataFrame, languages: list[str], strength: float = 10.0, te
     known = [float(x or 0.0) for x in total]
     share = [(x + strength * (unknown_share if i == n - 1 else (1 - unknown_share) / max(1, n - 1))) / (sum(known) + strength) for i, x in enumerate(known)]
 
-    def smoothed(above: list[Column], of: str) -> Column:
-        all_ = sum((F.col(f"n{i}") for i in range(n)), F.lit(0.0))
-        return F.array(*[(F.col(f"n{i}") + strength * above[i]) / (all_ + strength) for i in range(n)]).alias(of)
+    # arrays, so that plans grow in proportion to the languages
+    def smoothed(above: Column, of: str) -> tuple[Column, Column]:
+        own = F.array(*[F.col(f"n{i}") for i in range(n)])
+        all_ = F.aggregate(own, F.lit(0.0), lambda a, x: a + x)
+        return F.zip_with(own, above, lambda x, y: x + strength * y).alias(of), (all_ + strength).alias("of_all")
+
+    def prior(rows: DataFrame, keys: list[Column], above: Column, of: str) -> DataFrame:
+        return rows.select(*keys, *smoothed(above, "raised")).select("*", F.transform("raised", lambda x: x / F.col("of_all")).alias(of)).drop("raised", "of_all")
 
-    suffixes = by_host.groupBy("suffix").agg(*counts).select("suffix", smoothed([F.lit(s) for s in share], "suffix_prior"))
+    suffixes = prior(by_host.groupBy("suffix").agg(*counts), [F.col("suffix")], F.array(*map(F.lit, share)), "suffix_prior")
     hosts = by_host.groupBy("host", "suffix").agg(*counts).alias("h").join(suffixes.alias("s"), F.col("h.suffix").eqNullSafe(F.col("s.suffix")))
-    hosts = hosts.select(F.col("host").alias("p_host"), F.col("h.suffix").alias("p_suffix"), smoothed([F.get("suffix_prior", F.lit(i)) for i in range(n)], "prior"))
+    hosts = prior(hosts, [F.col("host").alias("p_host"), F.col("h.suffix").alias("p_suffix")], F.col("suffix_prior"), "prior")
     # P(declared | language): a small table of (languages + 1) x (languages + 2) at most
     said = {r["told"]: [float(r[f"n{i}"] or 0) for i in range(n)] for r in by_host.where(F.col("told").isNotNull()).groupBy("told").agg(*counts).collect()}
-    declared = F.array(*[F.lit(0.0)] * n)
-    for value, own in said.items():
-        odds = [float(np.log((own[i] + 1) / (known[i] + len(said) + 1))) for i in range(n)]
-        declared = F.when(F.col("told") == value, F.array(*[F.lit(x) for x in odds])).otherwise(declared)
+    odds = [(value, [float(np.log((own[i] + 1) / (known[i] + len(said) + 1))) for i in range(n)]) for value, own in said.items()]
+    declared = F.coalesce("odds", F.array(*[F.lit(0.0)] * n))
+    rows = rows.join(F.broadcast(rows.sparkSession.createDataFrame(odds, "told string, odds array<double>")), "told", "left") if odds else rows.withColumn("odds", F.lit(None).cast("array<double>"))
     joined = rows.join(hosts, F.col("host").eqNullSafe(F.col("p_host")) & F.col("suffix").eqNullSafe(F.col("p_suffix")))
     ll = F.zip_with(F.zip_with("base", declared, lambda a, b: a + b), F.transform("prior", lambda x: F.ln(x)), lambda a, b: a + b)
     fused = joined.withColumn("post", _softmax(ll))
     best = F.array_max("post")
     named = fused.withColumn("confidence", best).withColumn("lang", F.get(F.array(*map(F.lit, classes)), F.array_position("post", F.col("confidence")) - 1))
     accepted = (F.col("lang") != UNKNOWN) & (F.col("confidence") >= least) & (F.col("seen") > 0)
-    return named.withColumn("accepted", accepted).drop("told", "base", "p", "p_host", "p_suffix", "prior", "post", "text_ll")
+    return named.withColumn("accepted", accepted).drop("told", "odds", "base", "p", "p_host", "p_suffix", "prior", "post", "text_ll")
 
 
-def identify_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", sample_rows: int = 20_000) -> DataFrame:
+def identify_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", language_rows: int = 5_000) -> DataFrame:
     """``doc_id, key, declared, suffix, host, seen, lang, confidence, accepted``: the source stands for the host, ``key``
     hashes id and text.
 
     Null and empty texts, and those in no known language, are rejected; an empty table gives an empty result."""
     key = F.xxhash64(F.col(doc_id), F.col(text))
     rows = docs.select(F.col(doc_id).alias("doc_id"), key.alias("key"), F.col(text).alias("text"), F.col(lang).alias("declared"), F.lit(None).cast("string").alias("suffix"), F.col(source).alias("host"))
-    languages, model = train(rows.select("text", F.col("declared").alias("lang")), sample_rows)
+    languages, model = train(rows.select("text", F.col("declared").alias("lang")), language_rows)
     return identify(settle(likelihoods(rows, model)), languages)
 
 
@@ -173,7 +186,7 @@ def address_parts(url: Column) -> tuple[Column, Column]:
     return F.nullif(host, F.lit("")), F.nullif(F.regexp_extract(host, r"\.([a-z]+)$", 1), F.lit(""))
 
 
-def identify_all(docs: DataFrame, pages: DataFrame, sample_rows: int = 20_000) -> DataFrame:
+def identify_all(docs: DataFrame, pages: DataFrame, language_rows: int = 5_000) -> DataFrame:
     """Documents and web pages together: ``doc_id`` or ``page_id``, then as :func:`identify_documents`.
 
     Trigram probabilities come from labelled documents; a page declares its language by ``lang`` of its html tag and
@@ -183,5 +196,5 @@ def identify_all(docs: DataFrame, pages: DataFrame, sample_rows: int = 20_000) -
     own = docs.select("doc_id", F.lit(None).cast("long").alias("page_id"), "text", F.col("lang").alias("declared"), none.alias("suffix"), F.col("source").alias("host"))
     said = F.nullif(F.lower(F.regexp_extract("html", r"""(?i)<html\b[^>]*?\blang\s*=\s*["']?([a-zA-Z]{2,3})""", 1)), F.lit(""))
     web = pages.select(F.lit(None).cast("long").alias("doc_id"), "page_id", F.col("html").alias("text"), said.alias("declared"), suffix.alias("suffix"), host.alias("host"))
-    languages, model = train(docs.select("text", "lang"), sample_rows)
+    languages, model = train(docs.select("text", "lang"), language_rows)
     return identify(settle(likelihoods(own, model).unionByName(likelihoods(web, model, markup=True))), languages)
