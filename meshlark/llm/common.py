@@ -34,7 +34,11 @@ def cut_by(text: Column, pattern: str, gate: Column | None = None) -> Column:
     return pairs if gate is None else F.when(gate, pairs)
 
 
-def without_keys(docs: DataFrame, keys: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` less those whose hash of id and text is in ``keys`` (``__key``); texts move only if the keys are many."""
-    keyed = docs.withColumn("__key", F.xxhash64(F.col(doc_id), F.col(text)))
-    return keyed.join(keys, "__key", "left_anti").select(*docs.columns)
+def drop_rows(docs: DataFrame, gone: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` less the rows that ``gone`` names by ``doc_id`` and ``key``, the hash of id and text.
+
+    Rows are told apart by both, so a chance equality of hashes takes no other document; texts move only if the rows
+    that go are many.  Ids that are null are equal."""
+    named = gone.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key")).distinct()
+    same = F.col(doc_id).eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(doc_id), F.col(text)) == F.col("__key"))
+    return docs.join(named, same, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

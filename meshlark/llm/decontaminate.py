@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshlark.llm.common import without_keys
-from meshlark.llm.textwords import FOLDED, Words, words_of
+from meshlark.llm.common import drop_rows, settle
+from meshlark.llm.textwords import FOLDED, Words, same_words, words_of
 
 #: Words of a shard: so many bound the memory of its index (about 100 bytes a word while it is built).
 SHARD_WORDS = 1 << 19
@@ -155,41 +155,82 @@ class FMIndex:
 
 
 class Phrases:
-    """The windows of test items by length, and which items have each."""
+    """The windows of test items by length, which items have each, and the words as they are written."""
 
-    def __init__(self, items: list[str], texts: list[str], window: int) -> None:
-        found: dict[bytes, set[int]] = {}
+    def __init__(self, items: list[str | None], texts: list[str], window: int) -> None:
+        found: dict[bytes, tuple[np.ndarray, set[str]]] = {}
+        words: dict[int, set[bytes]] = {}
         for w in words_of(pa.array(texts, pa.string()), FOLDED):
+            said = [w.data[s:e].tobytes() for s, e in zip(w.starts, w.ends)]
+            for h, x in zip(w.hashes.tolist(), said):
+                words.setdefault(h, set()).add(x)
             for i, (b, s) in enumerate(zip(w.begins.tolist(), w.stops.tolist())):
                 size = min(window, s - b)
                 for k in range(b, s - size + 1) if size else ():
-                    found.setdefault(w.hashes[k : k + size].tobytes(), set()).add(w.first + i)
-        self.items = items
-        self.by_length: list[tuple[np.ndarray, list[np.ndarray]]] = []
-        for size in sorted({len(k) // 8 for k in found}):
-            own = [k for k in found if len(k) == 8 * size]
-            self.by_length.append((np.frombuffer(b"".join(own), np.uint64).reshape(-1, size), [np.array(sorted(found[k])) for k in own]))
-
-
-def _hits(shard: list[Words], phrases: Phrases) -> tuple[np.ndarray, np.ndarray, list[set[int]]]:
-    """For a shard: whether each word is hit, the bounds of its texts, and the items of each text."""
+                    owners = found.setdefault(b" ".join(said[k : k + size]), (w.hashes[k : k + size], set()))[1]
+                    if items[w.first + i] is not None:
+                        owners.add(items[w.first + i])
+        #: Hashes in order, with a word of each; those that two words share are compared phrase by phrase.
+        self.hashes = np.array(sorted(words), np.uint64)
+        self.shared = np.array(sorted(h for h, x in words.items() if len(x) > 1), np.uint64)
+        written = [min(words[h]) for h in self.hashes.tolist()]
+        self.ends = np.cumsum([len(x) for x in written], dtype=np.int64)
+        self.begins = self.ends - np.array([len(x) for x in written], np.int64)
+        self.data = np.frombuffer(b"".join(written) + bytes(8), np.uint8)
+        self.by_length: list[tuple[np.ndarray, list[bytes], list[set[str]]]] = []
+        for size in sorted({len(x[0]) for x in found.values()}):
+            own = [(x, *found[x]) for x in found if len(found[x][0]) == size]
+            self.by_length.append((np.stack([x[1] for x in own]), [x[0] for x in own], [x[2] for x in own]))
+
+
+def _confirmed(shard: list[Words], word: np.ndarray, which: np.ndarray, size: int, said: list[bytes], phrases: Phrases) -> np.ndarray:
+    """Which of the places found by hash (``size`` words from ``word``) have the words of their phrase, byte for byte."""
+    n = sum(len(w.hashes) for w in shard)
+    steps = np.zeros(n + 1, np.int64)
+    np.add.at(steps, word, 1)
+    np.subtract.at(steps, word + size, 1)
+    asked = np.cumsum(steps[:-1]) > 0
+    other, doubtful, before = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64), 0
+    for w in shard:
+        at = np.flatnonzero(asked[before : before + len(w.hashes)])
+        if len(at):
+            of = np.minimum(np.searchsorted(phrases.hashes, w.hashes[at]), len(phrases.hashes) - 1)
+            other[before + at + 1] = ~same_words(w.data, w.starts[at], w.ends[at], phrases.data, phrases.begins[of], phrases.ends[of])
+            doubtful[before + at + 1] = np.isin(w.hashes[at], phrases.shared)
+        before += len(w.hashes)
+    good = np.diff(np.cumsum(other)[np.stack([word, word + size])], axis=0)[0] == 0
+    doubt = np.diff(np.cumsum(doubtful)[np.stack([word, word + size])], axis=0)[0] > 0
+    firsts = np.cumsum([0, *[len(w.hashes) for w in shard]])
+    for i in np.flatnonzero(doubt).tolist():
+        k = int(np.searchsorted(firsts, word[i], "right")) - 1
+        w, b = shard[k], int(word[i] - firsts[k])
+        good[i] = b" ".join(w.data[s:e].tobytes() for s, e in zip(w.starts[b : b + size], w.ends[b : b + size])) == said[which[i]]
+    return good
+
+
+def _hits(shard: list[Words], phrases: Phrases) -> tuple[np.ndarray, np.ndarray, list[set[str]]]:
+    """For a shard: whether each word is hit, the bounds of its texts, and the items of each text.
+
+    The index works on hashes of words; what it finds counts only if the words themselves are equal."""
     hashes = np.concatenate([w.hashes for w in shard])
     sizes = np.concatenate([w.stops - w.begins for w in shard])
     bounds = np.concatenate([[0], np.cumsum(sizes)])
-    items: list[set[int]] = [set() for _ in sizes]
+    items: list[set[str]] = [set() for _ in sizes]
     steps = np.zeros(len(hashes) + 1, np.int64)
     if len(hashes) and phrases.by_length:
         index = FMIndex(hashes, bounds[:-1])
-        for array, owners in phrases.by_length:
+        for array, said, owners in phrases.by_length:
             which, rows = index.search(array)
             if len(rows):
                 at = index.locate(rows)
                 text = np.searchsorted(index.begins, at, "right") - 1
                 word = at - text  # without separators
+                good = _confirmed(shard, word, which, array.shape[1], said, phrases)
+                which, text, word = which[good], text[good], word[good]
                 np.add.at(steps, word, 1)
                 np.subtract.at(steps, word + array.shape[1], 1)
                 for p, t in np.unique(np.stack([which, text], axis=1), axis=0).tolist():
-                    items[t].update(owners[p].tolist())
+                    items[t].update(owners[p])
     return np.cumsum(steps[:-1]) > 0, bounds, items
 
 
@@ -207,7 +248,7 @@ def _search_shards(docs: DataFrame, phrases: Phrases) -> DataFrame:
         spans = []
         for t, (w, i) in enumerate(home):
             own = hit[bounds[t] : bounds[t + 1]]
-            if not items[t]:
+            if not own.any():
                 spans.append([])
                 continue
             edge = np.flatnonzero(np.diff(np.concatenate([[0], own.astype(np.int8), [0]])))
@@ -217,7 +258,7 @@ def _search_shards(docs: DataFrame, phrases: Phrases) -> DataFrame:
             begin, end = starts[bounds[t] + first] - w.offsets[i], ends[bounds[t] + last - 1] - w.offsets[i]
             spans.append([dict(first=int(a), last=int(b), start=int(lead[c]), end=int(lead[d])) for a, b, c, d in zip(first, last, begin, end)])
         return pa.record_batch(
-            [pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(np.diff(bounds), pa.int64()), pa.array(spans, _SPAN), pa.array([sorted(spread.value.items[x] for x in own) for own in items], pa.list_(pa.string()))],
+            [pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(np.diff(bounds), pa.int64()), pa.array(spans, _SPAN), pa.array([sorted(own) for own in items], pa.list_(pa.string()))],
             names=["doc_id", "key", "n_words", "spans", "items"],
         )
 
@@ -239,13 +280,20 @@ def _search_shards(docs: DataFrame, phrases: Phrases) -> DataFrame:
     return docs.mapInArrow(run, _SCHEMA)
 
 
+def _phrases(tests: DataFrame, window: int) -> Phrases:
+    part = tests.toArrow()
+    return Phrases(part["item"].to_pylist(), part["text"].to_pylist(), window)
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 13, block_bytes: int = 16 << 20) -> DataFrame:
     """``doc_id, key, n_words, n_hit, spans, items``: one row for each row of ``docs``; ``key`` hashes id and text.
 
     A window is ``window`` consecutive words of a test item, or all of an item with fewer; ``spans`` are the merged
     stretches of words inside occurrences of windows (``first``..``last`` in words, ``start``..``end`` in code points,
-    ends exclusive), ``items`` the items with a window that occurs, as strings in order.  Null and empty texts have no
-    words; empty tables give no rows or no hits; rows that share an id keep rows of their own.
+    ends exclusive), ``items`` the items with a window that occurs, each once, as strings in order.  An item without an
+    id hits words but isn't listed; items that share an id are listed once.  Null and empty texts have no words; empty
+    tables give no rows or no hits; rows that share an id keep rows of their own; further columns, whatever their
+    names, are passed over.
 
     Documents are indexed in shards where they are read, without a shuffle.  Test items are broadcast in blocks of at
     most about ``block_bytes`` of text; if there is more than one, results are merged by document."""
@@ -253,14 +301,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     tests = benchmark.select(F.col(item_id).cast("string").alias("item"), F.coalesce(F.col(item_text), F.lit("")).alias("text"))
     total = tests.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
     blocks = -(-int(total) // block_bytes) or 1
-    searched = []
-    for b in range(blocks):
-        part = tests.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b).toArrow()
-        searched.append(_search_shards(own, Phrases(part["item"].to_pylist(), part["text"].to_pylist(), window)))
     if blocks == 1:
-        found = searched[0]
-    else:
-        found = _merged(searched)
+        found = _search_shards(own, _phrases(tests, window))
+    else:  # each block is settled before the next is made, so one block is in memory at a time
+        found = _merged([settle(_search_shards(own, _phrases(tests.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b), window))) for b in range(blocks)])
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["last"] - s["first"])
     return found.select("doc_id", "key", "n_words", n_hit.alias("n_hit"), "spans", "items")
 
@@ -294,6 +338,8 @@ def is_contaminated():
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the contaminated ones; those with a few hits among many words stay as they are."""
-    bad = contamination(docs, benchmark, doc_id, text).where(is_contaminated()).select(F.col("key").alias("__key")).distinct()
-    return without_keys(docs, bad, doc_id, text)
+    """``docs`` without the contaminated ones; those with a few hits among many words stay as they are.
+
+    Null and empty texts stay; repeated rows stay or go together; empty tables change nothing."""
+    bad = contamination(docs, benchmark, doc_id, text).where(is_contaminated())
+    return drop_rows(docs, bad, doc_id, text)

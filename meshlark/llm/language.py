@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meshlark.llm.common import settle, without_keys
+from meshlark.llm.common import drop_rows, settle
 from meshlark.llm.textwords import string_parts
 
 UNKNOWN = "und"
@@ -177,7 +177,7 @@ def identify_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 def drop_unidentified(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """``docs`` without those that are rejected; the others stay as they are."""
     found = identify_documents(docs, doc_id, text, lang, source)
-    return without_keys(docs, found.where(~F.col("accepted")).select(F.col("key").alias("__key")).distinct(), doc_id, text)
+    return drop_rows(docs, found.where(~F.col("accepted")), doc_id, text)
 
 
 def address_parts(url: Column) -> tuple[Column, Column]:

@@ -7,16 +7,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 #: Texts are taken in stretches of about so many bytes, which bounds the arrays that go with them.
 STRETCH = 1 << 17
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_STEP = np.uint64(0xD6E8FEB86659FD93)
+_KEY = 0x6D6573686C61726B
+_STEPS = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15))
+#: Longer words are hashed one by one.
+_LONG = 64
 
 
 def class_of(spaces: bytes | None = None, keep: bytes | None = None, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """(is a word byte, its number after lower-casing A-Z): all but ``spaces``, or ``keep`` and all bytes from 0x80."""
+    """(is a word byte, the byte after lower-casing A-Z): all but ``spaces``, or ``keep`` and all bytes from 0x80."""
     word = np.ones(256, dtype=bool)
     if keep is not None:
         word[:128] = False
@@ -26,7 +28,7 @@ def class_of(spaces: bytes | None = None, keep: bytes | None = None, lower: bool
     fold = np.arange(256, dtype=np.uint8)
     if lower:
         fold[65:91] += 32
-    return word[fold], fold.astype(np.uint64) + np.uint64(1)
+    return word[fold], fold
 
 
 #: Words between ASCII white space, as they stand.
@@ -40,7 +42,8 @@ class Words:
     """Words of consecutive texts ``first .. first + len(begins) - 1`` of a column.
 
     ``hashes``, ``starts`` and ``ends`` (bytes in ``data``) have an entry a word; text ``t`` has the words
-    ``begins[t]:stops[t]`` and the bytes ``offsets[t]:offsets[t + 1]``."""
+    ``begins[t]:stops[t]`` and the bytes ``offsets[t]:offsets[t + 1]``.  ``data`` is lower-cased if the words are, and
+    ends in eight bytes of padding."""
 
     first: int
     data: np.ndarray
@@ -60,19 +63,48 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-_powers = (np.ones(0, np.uint64), np.ones(0, np.uint64))
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place on as a number; ``data`` ends in eight bytes of padding."""
+    return np.ndarray((len(data) - 7,), "<u8", buffer=data, strides=(1,))
 
 
-def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _powers
-    if len(_powers[0]) < n:
-        up, down = np.full(n, _BASE), np.full(n, _BASE_INVERSE)
-        up[0] = down[0] = 1
-        made = np.cumprod(up), np.cumprod(down)
-        if n > 16 * STRETCH:  # for one very long text; not kept
-            return made
-        _powers = made
-    return _powers
+def _masks(left: np.ndarray) -> np.ndarray:
+    """Those bits of eight bytes that belong to a word with so many bytes left."""
+    return np.where(left >= 8, ~np.uint64(0), (np.uint64(1) << (np.minimum(left, 7).astype(np.uint64) * np.uint64(8))) - np.uint64(1))
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Keyed 64-bit hashes of words, eight bytes at a time; ``data`` as in :func:`_eights`.
+
+    Equal hashes only name candidates: what follows from them is compared word by word (:func:`same_words`)."""
+    eights, length = _eights(data), ends - starts
+    out = mixed(np.uint64(_KEY) ^ length.astype(np.uint64))
+    live = np.flatnonzero(length <= _LONG)
+    for k in range(0, _LONG, 8):
+        live = live[length[live] > k]
+        if not len(live):
+            break
+        out[live] = mixed(out[live] ^ (eights[starts[live] + k] & _masks(length[live] - k)))
+    for i in np.flatnonzero(length > _LONG).tolist():
+        out[i] = xxhash.xxh64_intdigest(data[starts[i] : ends[i]].tobytes(), _KEY)
+    return out
+
+
+def same_words(a: np.ndarray, a_starts: np.ndarray, a_ends: np.ndarray, b: np.ndarray, b_starts: np.ndarray, b_ends: np.ndarray) -> np.ndarray:
+    """Whether words are equal byte for byte, pair by pair; ``a`` and ``b`` as in :func:`_eights`."""
+    length = a_ends - a_starts
+    same = length == b_ends - b_starts
+    live, one, two = np.flatnonzero(same), _eights(a), _eights(b)
+    for k in range(0, _LONG, 8):
+        live = live[length[live] > k]
+        if not len(live):
+            return same
+        good = ((one[a_starts[live] + k] ^ two[b_starts[live] + k]) & _masks(length[live] - k)) == 0
+        same[live[~good]] = False
+        live = live[good]
+    for i in live[length[live] > _LONG].tolist():
+        same[i] = np.array_equal(a[a_starts[i] : a_ends[i]], b[b_starts[i] : b_ends[i]])
+    return same
 
 
 def string_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -86,13 +118,13 @@ def string_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offsets, data
 
 
-def words_of(column: pa.Array, kind: tuple[np.ndarray, np.ndarray]) -> Iterator[Words]:
+def words_of(column: pa.Array, kind: tuple[np.ndarray, np.ndarray], stretch: int = STRETCH) -> Iterator[Words]:
     """Words with 64-bit hashes.  Whole texts only; a text longer than a stretch is a stretch of its own."""
-    is_word, number = kind
+    is_word, fold = kind
     offsets, data = string_parts(column)
     n, first = len(column), 0
     while first < n:
-        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + STRETCH, "right")) - 1)
+        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + stretch, "right")) - 1)
         last = min(last, n)
         own = offsets[first : last + 1] - offsets[first]
         raw = data[offsets[first] : offsets[last]]
@@ -108,19 +140,20 @@ def words_of(column: pa.Array, kind: tuple[np.ndarray, np.ndarray]) -> Iterator[
         edge = own[1:][own[1:] > 0]
         stop[edge] = inside[edge - 1]
         starts, ends = np.flatnonzero(begin), np.flatnonzero(stop)
-        up, down = _powers_to(len(raw) + 1)
-        sums = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(number[raw] * up[: len(raw)], out=sums[1:])
-        hashes = mixed((sums[ends] - sums[starts]) * down[starts])
-        yield Words(first, raw, own, hashes, starts, ends, np.searchsorted(starts, own[:-1]), np.searchsorted(starts, own[1:]))
+        padded = np.zeros(len(raw) + 8, np.uint8)
+        np.take(fold, raw, out=padded[: len(raw)])
+        hashes = word_hashes(padded, starts, ends)
+        yield Words(first, padded, own, hashes, starts, ends, np.searchsorted(starts, own[:-1]), np.searchsorted(starts, own[1:]))
         first = last
 
 
-def grams(hashes: np.ndarray, size: int, at: np.ndarray | None = None) -> np.ndarray:
-    """Hashes of ``size`` consecutive words, from every position (or those given) that has so many after it."""
+def grams(hashes: np.ndarray, size: int, at: np.ndarray | None = None, other: bool = False) -> np.ndarray:
+    """Hashes of ``size`` consecutive words, from every position (or those given) that has so many after it.
+
+    ``other`` gives a second hash that doesn't depend on the first."""
     if at is None:
         at = np.arange(max(0, len(hashes) - size + 1))
     out = np.zeros(len(at), np.uint64)
     for k in range(size):
-        out = out * _STEP + hashes[at + k]
+        out = out * _STEPS[other] + hashes[at + k]
     return mixed(out)

@@ -243,17 +243,17 @@ def test_substrings(spark, texts):
 def test_substrings_at_every_offset(spark):
     shared = [f"s{i}" for i in range(13)]
     texts = {d: " ".join([f"d{d}w{i}" for i in range(d)] + shared + [f"e{d}"]) for d in range(30)}
-    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substrings.remove_repeats(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), filter_bits=1 << 12).collect()}
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substrings.remove_repeats(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
     assert got == kept(texts) and got[29][1] == 13
 
 
 def test_substrings_of_odd_rows(spark, odd, empty):
-    got = substrings.remove_repeats(odd, filter_bits=1 << 12)
+    got = substrings.remove_repeats(odd)
     assert got.count() == odd.count() and {r["n_removed"] for r in got.collect()} == {0}
-    assert substrings.remove_repeats(empty, filter_bits=1 << 12).count() == 0
+    assert substrings.remove_repeats(empty).count() == 0
     long = " ".join(map(str, range(20)))
     same = spark.createDataFrame([(1, long), (1, long), (None, long), (2, long)], "doc_id long, text string")
-    assert sorted((r["doc_id"] or 0, r["n_removed"]) for r in substrings.remove_repeats(same, filter_bits=1 << 12).collect()) == [(0, 0), (1, 20), (1, 20), (2, 20)]
+    assert sorted((r["doc_id"] or 0, r["n_removed"]) for r in substrings.remove_repeats(same).collect()) == [(0, 0), (1, 20), (1, 20), (2, 20)]
     with pytest.raises(ValueError):
         substrings.remove_repeats(odd, window=5)
 
