@@ -24,13 +24,13 @@ def word_count(text: Column) -> Column:
 
 
 def cut_by(text: Column, pattern: str, gate: Column | None = None) -> Column:
-    """The matches of ``pattern`` with the stretch of text before each: array<struct<i, gap, hit>>.
+    """The matches of ``pattern`` with the stretches of text before and after: array<struct<i, gap, hit, next>>.
 
     ``gate`` is a cheap necessary condition; the expression for rows that fail it is never evaluated."""
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)  # one more than hits
-    zipped = F.slice(F.arrays_zip(gaps.alias("gap"), hits.alias("hit")), 1, F.greatest(F.size(gaps) - 1, F.lit(0)))
-    pairs = F.transform(zipped, lambda z, i: F.struct(i.alias("i"), z["gap"].alias("gap"), z["hit"].alias("hit")))
+    zipped = F.slice(F.arrays_zip(gaps.alias("gap"), hits.alias("hit"), F.slice(gaps, 2, F.greatest(F.size(gaps) - 1, F.lit(0))).alias("next")), 1, F.greatest(F.size(gaps) - 1, F.lit(0)))
+    pairs = F.transform(zipped, lambda z, i: F.struct(i.alias("i"), z["gap"].alias("gap"), z["hit"].alias("hit"), z["next"].alias("next")))
     return pairs if gate is None else F.when(gate, pairs)
 
 

@@ -1,4 +1,4 @@
-"""Main text of web pages by site style trees."""
+"""Main text of web pages by site style trees: what a branch is worth is learnt from all pages of its site."""
 
 from __future__ import annotations
 
@@ -19,46 +19,34 @@ from meshlark.llm.language import address_parts
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style template noscript textarea title iframe select".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup svg time tspan tt u var wbr math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtext munder munderover semantics annotation".split())
-#: Elements that never hold main text, and those that don't unless they stand inside an article.
-NEVER = frozenset("head nav footer aside form button dialog menu".split()) | RAW
-OUTSIDE = frozenset({"header"})
-WHOLE = frozenset({"html", "body", "main", "article"})
-#: Names by which class, id and role set elements apart from main text: whole words of a class, whole ids.  Modifiers of
-#: layouts (has-sidebar, sidebar-right) and slugs of headings (social-impact, related-work) are none.
+#: Elements that are not text of the page at all.
+NEVER = frozenset("head form button dialog".split()) | RAW
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Weak evidence: elements and names that mostly stand for something beside the main text, and elements that hold it.
+BESIDE = frozenset("nav footer aside header menu".split())
+MAIN = frozenset("main article".split())
 _NAME = r"(?:ads?|adv|adverts?|advertisement|advertising|banner|breadcrumbs?|comments?|cookies?|consent|footer|menu|nav|navbar|navigation|newsletter|notices?|popup|promo|related|respond|share|sharing|sidebar|social|sponsor|sponsored|subscribe|toolbar|widget)"
 _WHERE = r"(?:site|main|page|top|bottom|global|primary|secondary|left|right|mobile|user|header|footer|side|cookie|social|share|post|article|entry|google)"
 _PIECE = r"(?:bar|box|list|links?|buttons?|icons?|form|popup|modal|banner|notice|consent|overlay|container|slot|unit|section|area|menu|block|posts|articles|signup|wrapper)"
-_ID = re.compile(rf"(?:{_WHERE}[_-]+)?{_NAME}", re.I)
-_CLASS = re.compile(rf"(?:{_WHERE}[_-]+)?{_NAME}(?:[_-]+{_PIECE})?", re.I)
-HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_SAID = re.compile(rf"(?:{_WHERE}[_-]+)?{_NAME}(?:[_-]+{_PIECE})?", re.I)
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _SELF_CLOSING = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 
 
 class Node:
-    __slots__ = ("tag", "name", "parts", "barred", "article", "holds", "named", "under")
+    __slots__ = ("tag", "name", "parts", "barred")
 
-    def __init__(self, tag: str, name: str, barred: bool, article: bool) -> None:
-        self.tag, self.name, self.barred, self.article = tag, name, barred, article
-        self.named = self.under = False  # set apart by its own name, or by its or an outer one's
-        self.holds = False  # whether an article or main element stands below
+    def __init__(self, tag: str, name: str, barred: bool) -> None:
+        self.tag, self.name, self.barred = tag, name, barred
         self.parts: list[Node | str] = []
 
 
-def _named(attributes: dict[str, str], tag: str) -> bool:
-    said = any(_CLASS.fullmatch(x) for k in ("class", "role") for x in attributes.get(k, "").split())
-    return said or (tag not in HEADINGS and _ID.fullmatch(attributes.get("id", "").strip()) is not None)
-
-
 def parse(html: str) -> Node:
     """A tree of elements and texts; never fails.  Unclosed and misplaced tags are mended as browsers mostly do."""
-    root = Node("", "", False, False)
+    root = Node("", "", False)
     stack, at, n = [root], 0, len(html)
     open_: Counter = Counter()
-    #: Whether an article (main element) stands outside all named elements; if not, those round the first one.
-    free: set[str] = set()
-    shut_in: dict[str, list[Node]] = {}
 
     def shut(k: int) -> None:
         open_.subtract(x.tag for x in stack[k:])
@@ -100,150 +88,181 @@ def parse(html: str) -> Node:
                     break
         attributes = {x[1].lower(): x[2] or x[3] or x[4] or "" for x in _NAMED.finditer(m[3])} if "=" in m[3] else {}
         up = stack[-1]
-        inside = up.article or tag in ("article", "main")
-        barred = up.barred or tag in NEVER or (tag in OUTSIDE and not up.article)
-        named = bool(attributes) and tag not in ("html", "body", "main") and (tag != "article" or up.article) and _named(attributes, tag)
-        kind = attributes.get("class", "").split()
-        node = Node(tag, f"{tag}.{kind[0]}" if kind else tag, barred, inside)
-        node.named, node.under = named, named or up.under
+        kind = (attributes.get("class", "") or attributes.get("id", "") or attributes.get("role", "")).split()
+        node = Node(tag, f"{tag}.{kind[0]}" if kind else tag, up.barred or tag in NEVER)
         up.parts.append(node)
-        if tag in ("article", "main") and not barred and not named:
-            if not node.under:
-                free.add(tag)
-            elif tag not in shut_in:
-                shut_in[tag] = [x for x in stack if x.named]
-            for x in reversed(stack):
-                if x.holds:
-                    break
-                x.holds = True
         if tag in RAW:
             end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, at)
             at = end.end() if end else n
         elif tag not in VOID and not m[3].rstrip().endswith("/"):
             stack.append(node)
             open_[tag] += 1
-    for tag in shut_in.keys() - free:
-        if tag == "article" or not free:
-            for x in shut_in[tag]:
-                x.named = False
     return root
 
 
+def evidence(name: str) -> float:
+    """What the name of an element says for (above 1) or against its holding main text.  Headings have no names."""
+    tag, _, said = name.partition(".")
+    if tag in BESIDE or (said and tag not in HEADINGS | MAIN and _SAID.fullmatch(said)):
+        return 0.5
+    return 1.5 if tag in MAIN else 1.0
+
+
 def _clean(chunks: list[str]) -> str:
     joined = "".join(chunks)
     return " ".join((unescape(joined) if "&" in joined else joined).split())
 
 
-def _below(path: str, name: str) -> str:
+def _below(path: int, name: str) -> int:
     """The path of a child: a digest of its parent's path and its name, of the same length at any depth."""
-    return xxhash.xxh64_hexdigest(f"{path}/{name}")
-
-
-def _whole(node: Node) -> bool:
-    """Elements that never go for what their site repeats: parts of sentences, and what the article stands in."""
-    return node.tag in INLINE or node.tag in WHOLE or node.holds
-
-
-def style_nodes(root: Node) -> Iterator[tuple[str, int | None]]:
-    """(path, content) of every element that can go: a digest of the text below it, none if there is no text."""
-    order = [(root, "")]
-    for node, path in order:  # parents come before their children; the list grows while it is walked
-        order.extend((x, _below(path, x.name)) for x in node.parts if isinstance(x, Node))
-    digests: dict[int, str] = {}
-    for node, path in reversed(order):
-        said = "|".join(x for x in (" ".join(x.split()) if isinstance(x, str) else digests.pop(id(x)) for x in node.parts) if x)
-        digests[id(node)] = xxhash.xxh64_hexdigest(said) if said else ""
-        if path and not _whole(node):
-            yield path, xxhash.xxh64_intdigest(said) >> 1 if said else None
-
-
-def main_text(html: str, low: frozenset[str]) -> str:
-    """Text of the blocks outside barred elements and ``low`` paths, in page order.
-
-    If the page has an article (else a main element), only what stands inside counts."""
+    return xxhash.xxh64_intdigest(f"{path}/{name}") >> 1
+
+
+def style_nodes(root: Node) -> dict[int, list]:
+    """What a page has at each path of blocks: [path above, name, digest of the text, its length, its length in links,
+    whether blocks stand below].  Several elements at a path are one node."""
+    order: list[tuple[Node, int, int]] = [(root, 0, 0)]  # node, its path, the path of the block that it is in
+    for node, path, _ in order:  # parents come before their children; the list grows while it is walked
+        for x in node.parts:
+            if isinstance(x, Node) and not x.barred:
+                order.append((x, path if x.tag in INLINE else _below(path, x.name), path))
+    said: dict[int, tuple[str, int, int]] = {}
+    out: dict[int, list] = {}
+    blocks = {path for node, _, path in order if node.tag not in INLINE}
+    for node, path, above in reversed(order):
+        texts, size, links = [], 0, 0
+        for x in node.parts:
+            if isinstance(x, str):
+                text = " ".join(x.split())
+                own = (text, len(text), len(text) if node.tag == "a" else 0)
+            else:
+                own = said.pop(id(x), ("", 0, 0))
+            if own[1]:
+                texts.append(own[0])
+                size += own[1]
+                links += own[2]
+        digest = xxhash.xxh64_hexdigest("|".join(texts)) if size else ""
+        said[id(node)] = (digest, size, size if node.tag == "a" else links)
+        if path and node.tag not in INLINE and size:
+            held = out.setdefault(path, [above, node.name, 0, 0, 0, path in blocks])
+            held[2] = (held[2] * 1_000_003 + int(digest, 16)) & (1 << 63) - 1
+            held[3] += size
+            held[4] += links
+    out[0] = [0, "", 0, said[id(root)][1], 0, True]
+    return out
+
+
+def main_text(html: str, low: frozenset[int]) -> str:
+    """Text of the blocks outside ``low`` paths and outside elements that are no text, in page order."""
     root = parse(html)
-    blocks: list[tuple[bool, str]] = []
+    blocks: list[str] = []
     run: list[str] = []
 
-    def close(inside: bool) -> None:
+    def close() -> None:
         if text := _clean(run):
-            blocks.append((inside, text))
+            blocks.append(text)
         run.clear()
 
-    stack = [(root, "", iter(root.parts), False)]
+    stack = [(root, 0, iter(root.parts), False)]
     while stack:
-        node, path, parts, block = stack[-1]
+        _, path, parts, block = stack[-1]
         for x in parts:
             if isinstance(x, str):
                 run.append(x)
                 continue
-            here, own = _below(path, x.name), x.tag not in INLINE
+            own = x.tag not in INLINE
+            here = _below(path, x.name) if own else path
             if own:
-                close(node.article)
-            if not x.barred and not x.named and (here not in low or _whole(x)):
+                close()
+            if not x.barred and not (own and here in low):
                 stack.append((x, here, iter(x.parts), own))
                 break
         else:
             stack.pop()
             if block or not stack:
-                close(node.article)
-    some = any(i for i, _ in blocks)
-    return " ".join(t for i, t in blocks if i or not some)
+                close()
+    return " ".join(blocks)
 
 
-def style_tree(pages: DataFrame, least_pages: int = 20) -> DataFrame:
-    """``host, path, importance``: nodes of each host's merged tree that at least ``least_pages`` distinct pages share.
+_ROWS = "host string, page long, above long, path long, name string, content long, share double, links double, blocks double"
 
-    What a page says at a path is one content, however many elements it has there.  Importance is the share of the
-    path's distinct pages that say anything but the most common content: menus, footers and adverts say the same on
-    every page; articles don't.  The share doesn't depend on the size of the host.  Identical pages of a host count as
-    one: each of c copies counts 1 / c.  Contents are counted where the pages are, so a host with very many pages
-    sends one row a distinct text, and counts are sums of partial sums."""
+
+def page_nodes(pages: DataFrame) -> DataFrame:
+    """The rows of :func:`style_nodes` for pages (host, html, page): ``share`` is a node's part of the text of the
+    block above, ``links`` the part of its text in links."""
+    names = [x.split()[0] for x in _ROWS.split(", ")]
+    kinds = [pa.string(), *[pa.int64()] * 3, pa.string(), pa.int64(), *[pa.float64()] * 3]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen: Counter = Counter()
-            for host, html, copies in zip(*[batch.column(i).to_pylist() for i in range(3)]):
-                said: dict[str, int] = {}
-                for path, content in style_nodes(parse(html or "")):
-                    if content is not None:
-                        said[path] = (said.get(path, 0) * 1_000_003 + content) & (1 << 63) - 1
-                for path, content in said.items():
-                    seen[host, path, content] += 1 / copies
-            keys = list(seen)
-            yield pa.record_batch(
-                [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([k[2] for k in keys], pa.int64()), pa.array(list(seen.values()), pa.float64())],
-                names=["host", "path", "content", "n"],
-            )
-
-    own = pages.select("host", "html", F.xxhash64("html").alias("page"))
-    again = settle(own.groupBy("host", "page").agg(F.count("*").alias("copies")).where(F.col("copies") > 1))
-    weighed = own.join(again, ["host", "page"], "left").select("host", "html", F.coalesce("copies", F.lit(1)).alias("copies"))
-    counted = weighed.mapInArrow(run, "host string, path string, content long, n double")
-    values = counted.groupBy("host", "path", "content").agg(F.sum("n").alias("n"))
-    nodes = values.groupBy("host", "path").agg(F.sum("n").alias("m"), F.max("n").alias("most")).where(F.round("m", 6) >= least_pages)
-    return nodes.select("host", "path", F.round(1 - F.col("most") / F.col("m"), 9).alias("importance"))
-
-
-def extract_main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", threshold: float = 0.4, least_pages: int = 20) -> DataFrame:
+            rows = []
+            for host, html, page in zip(*[batch.column(i).to_pylist() for i in range(3)]):
+                nodes = style_nodes(parse(html))
+                for path, (above, name, content, size, links, blocks) in nodes.items():
+                    if path:
+                        rows.append((host, page, above, path, name, content, size / nodes[above][3], links / size, float(blocks)))
+            columns = list(zip(*rows)) or [[]] * len(names)
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+
+    return pages.select("host", "html", "page").mapInArrow(run, _ROWS)
+
+
+def style_tree(nodes: DataFrame, copies: DataFrame, strength: float = 5.0) -> DataFrame:
+    """``host, path, name, importance`` for each node of the merged tree of each host, from the nodes of its pages.
+
+    Identical pages count as one: each of c copies (``copies``: host, page, copies) counts 1 / c.  Over a host's pages
+    a node has a variety (the share of pages that say anything but its most common content), a part of the text above
+    it, and a part of its own text in links.  Each is smoothed by ``strength`` pages of what elements of that name are
+    like on all hosts, so a host of one page is judged by the others.  Presentation: beside a block of blocks that
+    holds most of the text above, the others count by their size relative to it.  The importance is the product of
+    variety, text outside links, this size and the weak evidence of the name; it doesn't depend on the size of the host."""
+    keys = ["host", "above", "path", "name"]
+    weighed = nodes.join(copies, ["host", "page"], "left").withColumn("w", 1 / F.coalesce("copies", F.lit(1)))
+    sums = [F.sum(F.col("w") * F.col(x)).alias(x) for x in ("share", "links", "blocks")]
+    values = weighed.groupBy(*keys, "content").agg(F.sum("w").alias("n"), *sums)
+    own = settle(values.groupBy(*keys).agg(F.sum("n").alias("m"), F.max("n").alias("most"), *[F.sum(x).alias(x) for x in ("share", "links", "blocks")]))
+    chances = F.greatest(F.col("m") - 1, F.lit(0.0))
+    every = own.groupBy("name").agg(
+        ((F.sum(F.col("m") - F.col("most")) + 0.8 * strength) / (F.sum(chances) + strength)).alias("variety_0"),
+        *[(F.sum(x) / F.sum("m")).alias(f"{x}_0") for x in ("share", "links", "blocks")],
+    )
+    like = lambda x: ((F.col(x) + strength * F.col(f"{x}_0")) / (F.col("m") + strength)).alias(x)
+    variety = (F.col("m") - F.col("most") + strength * F.col("variety_0")) / (chances + strength)
+    smooth = own.join(every, "name").select(*keys, variety.alias("variety"), like("share"), like("links"), like("blocks"))
+    main = smooth.where(F.col("blocks") >= 0.5).groupBy("host", "above").agg(F.max("share").alias("main")).where(F.col("main") >= 0.5)
+    size = F.least(F.lit(1.0), F.coalesce(F.col("share") / (0.2 * F.col("main")), F.lit(1.0)))
+    return smooth.join(main, ["host", "above"], "left").select("host", "path", "name", F.round(F.col("variety") * (1 - F.col("links")) * size, 9).alias("importance"))
+
+
+def _weighed(names: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in names:
+        own = batch.column(2).to_pylist()
+        factor = [evidence(x) if x.partition(".")[0] not in HEADINGS | {"html", "body"} else float("inf") for x in own]
+        yield pa.record_batch([batch.column(0), batch.column(1), pa.array([i * f if i else 0.0 if f < 9 else 1.0 for i, f in zip(batch.column(3).to_pylist(), factor)], pa.float64())], names=["host", "path", "importance"])
+
+
+def extract_main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", threshold: float = 0.4) -> DataFrame:
     """``page_id, url, text``: one row for each row of ``pages``.
 
-    Branches go that their site shows to be of low importance (:func:`style_tree`, below ``threshold``), and elements
-    that HTML itself or their class, id or role set apart from main text.  The rest is decoded; white space inside a
-    block becomes one space; blocks are joined by one space.  Null and empty pages give an empty text; pages without
-    an address form a site of their own; an empty table gives an empty result."""
+    Branches go whose importance for their site (:func:`style_tree`) is below ``threshold``; headings go only with the
+    branch that they are in.  Scripts, styles, forms and the like are no text.  The rest is decoded; white space
+    inside a block becomes one space; blocks are joined by one space.  Null and empty pages give an empty text; pages
+    without an address form a site of their own; repeated pages have the same text; an empty table gives an empty
+    result; further columns, whatever their names, are passed over.
+
+    A page is parsed twice.  Between, only its nodes travel; each page gets the low paths of its own, so neither
+    a host with very many pages nor one with very many paths comes together anywhere."""
     host, _ = address_parts(F.col(url))
-    own = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"), F.coalesce(host, F.lit("")).alias("host"))
-    low = settle(style_tree(own, least_pages).where(F.col("importance") < threshold).groupBy("host").agg(F.sort_array(F.collect_set("path")).alias("low")))
+    own = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"), F.coalesce(host, F.lit("")).alias("host")).withColumn("page", F.xxhash64("html"))
+    nodes = settle(page_nodes(own))
+    copies = own.groupBy("host", "page").agg(F.count("*").alias("copies")).where(F.col("copies") > 1)
+    low = style_tree(nodes, copies).mapInArrow(_weighed, "host string, path long, importance double").where(F.col("importance") < threshold).select("host", "path")
+    gone = nodes.select("host", "page", "path").join(low, ["host", "path"], "left_semi").groupBy("host", "page").agg(F.collect_set("path").alias("low"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets: dict[tuple, frozenset] = {}
         for batch in batches:
-            texts = []
-            for page, paths in zip(batch.column(2), batch.column(3)):
-                key = tuple(paths.as_py() or ())
-                texts.append(main_text(page.as_py(), sets.setdefault(key, frozenset(key))))
+            texts = [main_text(page.as_py(), frozenset(paths.as_py() or ())) for page, paths in zip(batch.column(2), batch.column(3))]
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
     kind = dict(own.dtypes)
-    return own.join(low, "host", "left").select("page_id", "url", "html", "low").mapInArrow(run, f"page_id {kind['page_id']}, url string, text string")
+    return own.join(gone, ["host", "page"], "left").select("page_id", "url", "html", "low").mapInArrow(run, f"page_id {kind['page_id']}, url string, text string")
