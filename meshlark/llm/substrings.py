@@ -22,8 +22,6 @@ BLOCK = 64
 #: Equal anchors are first combined within so many bytes of text.
 _STRETCH = 1 << 20
 _INT = pa.int64()
-#: Rows of :func:`linked_anchors`.
-LINK, WITNESS, PENDING, FIRST = range(4)
 _LINK = "doc long, key long, pos long, m_doc long, m_key long, m_pos long"
 _LINK_NAMES = [x.split()[0] for x in _LINK.split(", ")]
 _REQUEST = ["m_doc", "m_key", "block"]
@@ -63,17 +61,19 @@ def _batch(columns: list[np.ndarray], names: list[str], null: dict[str, np.ndarr
 
 
 def anchors(own: DataFrame, window: int) -> DataFrame:
-    """``h, salt, doc, key, mark``: anchors of every text.
+    """``h, salt, doc, key, mark, m_doc``: anchors of every text.
 
     An anchor is a run of ``window - PERIOD + 1`` words that begins at a cover position.  Two equal windows share an
     anchor at the same offset: some shift below the period brings both of their begins onto the cover.
 
-    Within a stretch of texts the anchors of the document with the smallest id lead: they go to where all of their
-    hash meet.  The others wait for the answer under a salt, so that a hot anchor sends one document a stretch.
-    ``mark`` is four times the place, and 1 for a leader that others wait for, 2 for one that waits."""
+    Within a stretch of texts the document with the smallest id leads: its places of an anchor go to where all of
+    their hash meet (salt 0), and the others link to its first place at once.  So a hot anchor sends one document a
+    stretch.  ``mark`` is twice the place, and one more for a leader that others link to.  Links have the key of the
+    leader for their hash, and its place, doubled and one more, for their salt."""
     size = window - PERIOD + 1
     on = np.zeros(PERIOD, bool)
     on[list(COVER)] = True
+    names = ["h", "salt", "doc", "key", "mark", "m_doc"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -83,38 +83,36 @@ def anchors(own: DataFrame, window: int) -> DataFrame:
                 place = np.arange(len(text)) - w.begins[text]
                 at = np.flatnonzero(_starts(w, size) & on[place % PERIOD])
                 h, place, doc, key = grams(w.hashes, size, at).view(np.int64), place[at], ids[w.first + text[at]], keys[w.first + text[at]]
-                order = np.lexsort((doc, h))
+                order = np.lexsort((place, key, doc, h))
                 h, place, doc, key = h[order], place[order], doc[order], key[order]
                 first = _runs(h)
-                waits = doc > doc[first]
-                asked = waits[_last_of_run(first)] & ~waits if len(h) else waits
-                salt = np.where(waits, mixed(key.view(np.uint64)).view(np.int64) | 1, 0)
-                yield _batch([h, salt, doc, key, 4 * place + asked + 2 * waits], ["h", "salt", "doc", "key", "mark"])
+                linked = doc > doc[first]
+                led = linked[_last_of_run(first)] & ~linked if len(h) else linked
+                columns = [np.where(linked, key[first], h), np.where(linked, 2 * place[first] + 1, 0), doc, key, 2 * place + led, np.where(linked, doc[first], 0)]
+                yield _batch(columns, names)
 
-    return own.select("doc", "key", "text").mapInArrow(run, "h long, salt long, doc long, key long, mark long")
+    return own.select("doc", "key", "text").mapInArrow(run, "h long, salt long, doc long, key long, mark long, m_doc long")
 
 
 def linked_anchors(own: DataFrame, window: int) -> DataFrame:
-    """``kind, h`` and the columns of a link, from anchors sorted by hash.
+    """Links from anchors sorted by hash.
 
-    All of a hash link to one place: its first, in the document with the smallest id (kind LINK).  Other places of
-    that document are WITNESSes without a link.  PENDING rows still wait, FIRST rows answer them by hash."""
-    names = ["kind", "h", *_LINK_NAMES]
-    led = {"m_doc", "m_key", "m_pos"}
+    All leaders of a hash link to one place: its first, in the document with the smallest id.  That document's other
+    places have no link and stand as witnesses, and so does the first place if others than leaders share the hash.
+    So of any two documents that share a window, one links to the other, or a link of the later one fails and the
+    earlier one is a witness or has a link that fails as well: then :func:`linked_windows` brings them together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None  # the first place of the run that the batch before ended in
         for batch in batches:
-            h, salt, doc, key, mark = (batch.column(i).to_numpy() for i in range(5))
-            waits = salt != 0
-            if waits.any():
-                none = np.zeros(waits.sum(), np.int64)
-                gone = np.ones(len(none), bool)
-                yield _batch([none + PENDING, h[waits], doc[waits], key[waits], mark[waits] >> 2, none, none, none], names, dict.fromkeys(led, gone))
-            h, doc, key, mark = (x[~waits] for x in (h, doc, key, mark))
+            h, salt, doc, key, mark, m_doc = (batch.column(i).to_numpy() for i in range(6))
+            linked = salt != 0
+            if linked.any():
+                yield _batch([x[linked] for x in (doc, key, mark >> 1, m_doc, h, salt >> 1)], _LINK_NAMES)
+            h, doc, key, mark = (x[~linked] for x in (h, doc, key, mark))
             if not len(h):
                 continue
-            first, place, asked = _runs(h), mark >> 2, mark & 1 == 1
+            first, place, led = _runs(h), mark >> 1, mark & 1 == 1
             last = _last_of_run(first)
             m_doc, m_key, m_place = doc[first], key[first], place[first]
             begins = first == np.arange(len(h))
@@ -125,20 +123,16 @@ def linked_anchors(own: DataFrame, window: int) -> DataFrame:
             held = (h[-1], m_doc[-1], m_key[-1], m_place[-1])
             link = doc > m_doc
             ends = np.flatnonzero(last == np.arange(len(h)))
-            answer = ends[np.logical_or.reduceat(asked, first[ends])]
-            others = link[last] | (last == len(h) - 1)  # a run at the edge of a batch may go on in the next one
-            others |= np.isin(last, answer)
-            witness = ~link & ~begins & others
-            some = link | witness
-            nobody = witness[some]
-            out = [np.where(link, LINK, WITNESS), h, doc, key, place, m_doc, m_key, m_place]
-            yield _batch([x[some] for x in out], names, dict.fromkeys(led, nobody))
-            if len(answer):
-                out[0] = np.full(len(h), FIRST)
-                yield _batch([x[answer] for x in out], names)
-
-    rows = anchors(own, window).repartition("h", "salt").sortWithinPartitions("h", "salt", "doc", "key", "mark")
-    return rows.mapInArrow(run, f"kind long, h long, {_LINK}")
+            asked = ends[np.logical_or.reduceat(led, first[ends])]
+            # a run at the edge of a batch may have other documents in the next one
+            others = link[last] | (last == len(h) - 1) | np.isin(last, asked)
+            some = link | (~begins & others)
+            nobody = ~link[some]
+            yield _batch([x[some] for x in (doc, key, place, m_doc, m_key, m_place)], _LINK_NAMES, dict.fromkeys(_LINK_NAMES[3:], nobody))
+            none = np.ones(len(asked), bool)
+            yield _batch([x[asked] for x in (m_doc, m_key, m_place) * 2], _LINK_NAMES, dict.fromkeys(_LINK_NAMES[3:], none))
+
+    return anchors(own, window).repartition("h", "salt").sortWithinPartitions("h", "salt", "doc", "key", "mark").mapInArrow(run, _LINK)
 
 
 def _excerpts(links: DataFrame, texts: DataFrame, window: int) -> DataFrame:
@@ -226,11 +220,9 @@ def extended(own: DataFrame, found: DataFrame, window: int) -> DataFrame:
     """``doc, key, gone, open, w1, w2``: what the anchors' links say of each document that has any.
 
     ``gone`` lists begins and ends of stretches in turn; ``open`` the windows that are left open, with 128 bits of hash."""
-    waiting = found.where(F.col("kind") == PENDING).select("h", "doc", "key", "pos")
-    answers = found.where(F.col("kind") == FIRST).select("h", "m_doc", "m_key", "m_pos").dropDuplicates(["h"])
-    links = found.where(F.col("kind") == LINK).select(*_LINK_NAMES).unionByName(waiting.join(answers, "h").select(*_LINK_NAMES))
+    links = found.where(F.col("m_doc").isNotNull())
     alone = F.struct(F.col("pos").alias("diagonal"), F.lit(0).cast("long").alias("block"), F.lit(1).cast("long").alias("at"), F.lit(None).cast("binary").alias("said"))
-    witnesses = found.where(F.col("kind") == WITNESS).select("doc", "key", alone.alias("link"))
+    witnesses = found.where(F.col("m_doc").isNull()).select("doc", "key", alone.alias("link"))
     texts = own.select("doc", "key", "text")
     listed = _excerpts(links, texts, window).unionByName(witnesses).groupBy("doc", "key").agg(F.collect_list("link").alias("links"))
     names = ["doc", "key", "gone", "open", "w1", "w2"]
@@ -302,8 +294,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     all others; rows with the same id never remove each other's words; an empty table gives an empty result; further
     columns, whatever their names, are passed over.
 
-    All places of an anchor link to its first place.  A link is followed in both directions as far as the words of both
-    texts agree, which settles every window that both have.  Windows that hold a shared anchor but differ from what
+    Places of an anchor link to a place in an earlier document.  A link is followed in both directions as far as the words
+    of both texts agree, which settles every window that both have.  Windows that hold a shared anchor but differ from what
     it links to are few; they meet once more by 128 bits of hash, and those links are compared word by word too.  So
     hashes only name candidates: no word goes that an earlier document doesn't have.  Steps are settled in the shared
     folder; texts are shuffled by both comparisons."""
