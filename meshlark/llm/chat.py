@@ -41,7 +41,8 @@ def _unescape_role(role: Column) -> Column:
 class Layout:
     """A declarative mapping.
 
-    ``fields`` is a sequence of (field, role): the field's text is a turn of that role, in this order.
+    ``fields`` is a sequence of (field, role): the field's text is a turn of that role, in this order; with ``joined``,
+    neighbours of one role are one turn, a blank line between.
     Or ``items`` is (array field, role field, content field, renamed roles)."""
 
     name: str
@@ -49,6 +50,7 @@ class Layout:
     optional: tuple[str, ...] = ()
     items: tuple[str, str, str] | None = None
     roles: tuple[tuple[str, str], ...] = ()
+    joined: bool = False
 
     def paths(self) -> list[tuple[str, ...]]:
         """The sets of nested field paths that records of this layout may have."""
@@ -69,7 +71,14 @@ class Layout:
                 return F.struct(out.alias("role"), F.coalesce(x[content], F.lit("")).alias("content"))
 
             return F.transform(F.col(array), turn)
-        parts = [F.when(F.col(f).isNotNull(), F.struct(F.lit(r).alias("role"), F.col(f).alias("content"))) for f, r in self.fields if f in has]
+        groups: list[tuple[str, list[Column]]] = []
+        for f, r in self.fields:
+            if f in has:
+                if self.joined and groups and groups[-1][0] == r:
+                    groups[-1][1].append(F.col(f"`{f}`"))
+                else:
+                    groups.append((r, [F.col(f"`{f}`")]))
+        parts = [F.when(F.coalesce(*xs).isNotNull(), F.struct(F.lit(r).alias("role"), F.concat_ws("\n\n", *xs).alias("content"))) for r, xs in groups]
         return F.array_compact(F.array(*parts))
 
 
@@ -79,7 +88,7 @@ LAYOUTS = (
     Layout("conversations", items=("conversations", "from", "value"), roles=(("human", "user"), ("gpt", "assistant"))),
     Layout("prompt_response", fields=(("system", "system"), ("prompt", "user"), ("response", "assistant")), optional=("system",)),
     Layout("prompt_completion", fields=(("prompt", "user"), ("completion", "assistant"))),
-    Layout("instruction", fields=(("instruction", "system"), ("input", "user"), ("output", "assistant")), optional=("input",)),
+    Layout("instruction", fields=(("system", "system"), ("instruction", "user"), ("input", "user"), ("output", "assistant")), optional=("system", "input"), joined=True),
     Layout("question_answer", fields=(("question", "user"), ("answer", "assistant"))),
 )
 
@@ -110,27 +119,32 @@ def canonical_turns(records: DataFrame, layouts: Sequence[Layout] = LAYOUTS) ->
 
     ``records`` has the union of all layouts' fields, as ``spark.read.json`` gives it; a record has the paths whose
     values are not null.  The hash of its sorted known paths selects the mapping.  Fields no layout knows are passed
-    over.  Records that no layout fits get a null layout and no turns; null texts inside a list are empty turns."""
+    over.  Records that no layout fits get a null layout and no turns; null roles and texts inside a list are empty.
+    Columns of the records that are named like the three added ones are replaced, after they have been read as fields;
+    others stay.  Equal records have equal results; an empty table gives an empty result."""
     known = {p for x in layouts for paths in x.paths() for p in paths}
     have = _paths(records.schema, known)
     paths = F.array_join(F.sort_array(F.array_compact(F.array(*have))), "|") if have else F.lit("")
     there = {c for c in records.columns} | {f"{f.name}[].{x.name}" for f in records.schema.fields if isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StructType) for x in f.dataType.elementType.fields}
     name, turns = F.lit(None).cast("string"), F.array().cast(TURNS)
-    print_ = F.col("schema_fingerprint")
+    print_ = F.xxhash64(paths)
     for layout in layouts:
         fits = [p for p in layout.paths() if set(p) <= there]
         if fits:
             hit = print_.isin(*[fingerprint_of(p) for p in fits]) if len(fits) > 1 else print_ == fingerprint_of(fits[0])
             name = F.when(hit, F.lit(layout.name)).otherwise(name)
             turns = F.when(hit, layout.turns(there).cast(TURNS)).otherwise(turns)
-    return records.withColumn("schema_fingerprint", F.xxhash64(paths)).withColumns({"layout": name, "turns": turns})
+    # all three come from the records as given, also where those have columns of these names
+    added = {"schema_fingerprint": F.xxhash64(paths), "layout": name, "turns": turns}
+    return records.withColumns(added)
 
 
 def format_chats(turns: DataFrame, loss_roles: Sequence[str] = ("assistant",)) -> DataFrame:
     """Adds ``segments``, the formatted text in pieces, each with its loss flag, to rows with ``turns``.
 
     The text is ``<|im_start|>role\\ntext<|im_end|>\\n`` a turn, with control strings inside roles and texts escaped;
-    its loss mask covers the texts of ``loss_roles``.  No turns give no segments."""
+    its loss mask covers the texts of ``loss_roles``.  No turns give no segments, null turns null ones; null roles and
+    texts are empty.  A column named ``segments`` is replaced; others stay.  An empty table gives an empty result."""
 
     def piece(t: Column) -> Column:
         seg = lambda x, loss: F.struct(x.alias("text"), loss.alias("loss"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from html import unescape
 
 import pyarrow as pa
@@ -22,8 +23,8 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 #: Elements that are not text of the page at all.
 NEVER = frozenset("head form button dialog".split()) | RAW
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Weak evidence: elements and names that mostly stand for something beside the main text, and elements that hold it.
-BESIDE = frozenset("nav footer aside header menu".split())
+#: Evidence, not a verdict: elements and names that mostly stand beside the main text, and elements that hold it.
+BESIDE = frozenset("nav footer aside menu".split())
 MAIN = frozenset("main article".split())
 _NAME = r"(?:ads?|adv|adverts?|advertisement|advertising|banner|breadcrumbs?|comments?|cookies?|consent|footer|menu|nav|navbar|navigation|newsletter|notices?|popup|promo|related|respond|share|sharing|sidebar|social|sponsor|sponsored|subscribe|toolbar|widget)"
 _WHERE = r"(?:site|main|page|top|bottom|global|primary|secondary|left|right|mobile|user|header|footer|side|cookie|social|share|post|article|entry|google)"
@@ -42,6 +43,19 @@ class Node:
         self.parts: list[Node | str] = []
 
 
+def said_beside(tag: str, word: str = "") -> bool:
+    """Whether a tag, or a word of its class, id or role, mostly stands for something beside the main text."""
+    return tag in BESIDE or (tag not in HEADINGS and tag not in MAIN and _SAID.fullmatch(word) is not None)
+
+
+@lru_cache(1 << 14)
+def _name(tag: str, kind: str, own_id: str, role: str) -> str:
+    """The name of an element in the tree: its tag and a word that says most of it."""
+    words = [*kind.split(), *own_id.split(), *role.split()]
+    word = next((x for x in words if said_beside(tag, x)), kind.split()[0] if kind.split() else "")
+    return f"{tag}.{word}" if word else tag
+
+
 def parse(html: str) -> Node:
     """A tree of elements and texts; never fails.  Unclosed and misplaced tags are mended as browsers mostly do."""
     root = Node("", "", False)
@@ -88,8 +102,8 @@ def parse(html: str) -> Node:
                     break
         attributes = {x[1].lower(): x[2] or x[3] or x[4] or "" for x in _NAMED.finditer(m[3])} if "=" in m[3] else {}
         up = stack[-1]
-        kind = (attributes.get("class", "") or attributes.get("id", "") or attributes.get("role", "")).split()
-        node = Node(tag, f"{tag}.{kind[0]}" if kind else tag, up.barred or tag in NEVER)
+        name = _name(tag, attributes.get("class", ""), attributes.get("id", ""), attributes.get("role", "")) if attributes else tag
+        node = Node(tag, name, up.barred or tag in NEVER)
         up.parts.append(node)
         if tag in RAW:
             end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, at)
@@ -100,14 +114,6 @@ def parse(html: str) -> Node:
     return root
 
 
-def evidence(name: str) -> float:
-    """What the name of an element says for (above 1) or against its holding main text.  Headings have no names."""
-    tag, _, said = name.partition(".")
-    if tag in BESIDE or (said and tag not in HEADINGS | MAIN and _SAID.fullmatch(said)):
-        return 0.5
-    return 1.5 if tag in MAIN else 1.0
-
-
 def _clean(chunks: list[str]) -> str:
     joined = "".join(chunks)
     return " ".join((unescape(joined) if "&" in joined else joined).split())
@@ -184,14 +190,14 @@ def main_text(html: str, low: frozenset[int]) -> str:
     return " ".join(blocks)
 
 
-_ROWS = "host string, page long, above long, path long, name string, content long, share double, links double, blocks double"
+_ROWS = "host string, page long, above long, path long, name string, beside boolean, content long, share double, links double, blocks double"
 
 
 def page_nodes(pages: DataFrame) -> DataFrame:
     """The rows of :func:`style_nodes` for pages (host, html, page): ``share`` is a node's part of the text of the
     block above, ``links`` the part of its text in links."""
     names = [x.split()[0] for x in _ROWS.split(", ")]
-    kinds = [pa.string(), *[pa.int64()] * 3, pa.string(), pa.int64(), *[pa.float64()] * 3]
+    kinds = [pa.string(), *[pa.int64()] * 3, pa.string(), pa.bool_(), pa.int64(), *[pa.float64()] * 3]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -200,7 +206,8 @@ def page_nodes(pages: DataFrame) -> DataFrame:
                 nodes = style_nodes(parse(html))
                 for path, (above, name, content, size, links, blocks) in nodes.items():
                     if path:
-                        rows.append((host, page, above, path, name, content, size / nodes[above][3], links / size, float(blocks)))
+                        beside = said_beside(*name.split(".", 1))
+                        rows.append((host, page, above, path, name, beside, content, size / nodes[above][3], links / size, float(blocks)))
             columns = list(zip(*rows)) or [[]] * len(names)
             yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
@@ -208,15 +215,19 @@ def page_nodes(pages: DataFrame) -> DataFrame:
 
 
 def style_tree(nodes: DataFrame, copies: DataFrame, strength: float = 5.0) -> DataFrame:
-    """``host, path, name, importance`` for each node of the merged tree of each host, from the nodes of its pages.
+    """``host, path, importance`` for each node of the merged tree of each host, from the nodes of its pages.
 
     Identical pages count as one: each of c copies (``copies``: host, page, copies) counts 1 / c.  Over a host's pages
     a node has a variety (the share of pages that say anything but its most common content), a part of the text above
     it, and a part of its own text in links.  Each is smoothed by ``strength`` pages of what elements of that name are
-    like on all hosts, so a host of one page is judged by the others.  Presentation: beside a block of blocks that
-    holds most of the text above, the others count by their size relative to it.  The importance is the product of
-    variety, text outside links, this size and the weak evidence of the name; it doesn't depend on the size of the host."""
-    keys = ["host", "above", "path", "name"]
+    like on all hosts, so a host of one page is judged by the others.
+
+    Importance is variety times the text outside links times the weight of the node's presentation.  A node whose
+    name stands for something beside the main text weighs as much as the text that it holds of what is above.  Others
+    weigh 1, unless they stand beside a block of blocks that holds most of the text above: then they weigh by their
+    size relative to a fifth of it.  Importance doesn't depend on the size of the host.  Headings, html and body have 1:
+    they go with the branch that they are in."""
+    keys = ["host", "above", "path", "name", "beside"]
     weighed = nodes.join(copies, ["host", "page"], "left").withColumn("w", 1 / F.coalesce("copies", F.lit(1)))
     sums = [F.sum(F.col("w") * F.col(x)).alias(x) for x in ("share", "links", "blocks")]
     values = weighed.groupBy(*keys, "content").agg(F.sum("w").alias("n"), *sums)
@@ -229,16 +240,12 @@ def style_tree(nodes: DataFrame, copies: DataFrame, strength: float = 5.0) -> Da
     like = lambda x: ((F.col(x) + strength * F.col(f"{x}_0")) / (F.col("m") + strength)).alias(x)
     variety = (F.col("m") - F.col("most") + strength * F.col("variety_0")) / (chances + strength)
     smooth = own.join(every, "name").select(*keys, variety.alias("variety"), like("share"), like("links"), like("blocks"))
-    main = smooth.where(F.col("blocks") >= 0.5).groupBy("host", "above").agg(F.max("share").alias("main")).where(F.col("main") >= 0.5)
-    size = F.least(F.lit(1.0), F.coalesce(F.col("share") / (0.2 * F.col("main")), F.lit(1.0)))
-    return smooth.join(main, ["host", "above"], "left").select("host", "path", "name", F.round(F.col("variety") * (1 - F.col("links")) * size, 9).alias("importance"))
-
-
-def _weighed(names: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in names:
-        own = batch.column(2).to_pylist()
-        factor = [evidence(x) if x.partition(".")[0] not in HEADINGS | {"html", "body"} else float("inf") for x in own]
-        yield pa.record_batch([batch.column(0), batch.column(1), pa.array([i * f if i else 0.0 if f < 9 else 1.0 for i, f in zip(batch.column(3).to_pylist(), factor)], pa.float64())], names=["host", "path", "importance"])
+    main = smooth.where((F.col("blocks") >= 0.5) & ~F.col("beside")).groupBy("host", "above").agg(F.max("share").alias("main")).where(F.col("main") >= 0.5)
+    tag = F.substring_index("name", ".", 1)
+    weight = F.when(F.col("beside"), F.least("share", F.lit(1.0))).otherwise(F.least(F.lit(1.0), F.coalesce(F.col("share") / (0.2 * F.col("main")), F.lit(1.0))))
+    weight = weight * F.when(tag.isin(*sorted(MAIN)), 1.5).otherwise(1.0)
+    importance = F.when(tag.isin(*sorted(HEADINGS), "html", "body"), 1.0).otherwise(F.round(F.col("variety") * (1 - F.col("links")) * weight, 9))
+    return smooth.join(main, ["host", "above"], "left").select("host", "path", importance.alias("importance"))
 
 
 def extract_main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", threshold: float = 0.4) -> DataFrame:
@@ -256,7 +263,7 @@ def extract_main_text(pages: DataFrame, page_id: str = "page_id", url: str = "ur
     own = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"), F.coalesce(host, F.lit("")).alias("host")).withColumn("page", F.xxhash64("html"))
     nodes = settle(page_nodes(own))
     copies = own.groupBy("host", "page").agg(F.count("*").alias("copies")).where(F.col("copies") > 1)
-    low = style_tree(nodes, copies).mapInArrow(_weighed, "host string, path long, importance double").where(F.col("importance") < threshold).select("host", "path")
+    low = style_tree(nodes, copies).where(F.col("importance") < threshold).select("host", "path")
     gone = nodes.select("host", "page", "path").join(low, ["host", "path"], "left_semi").groupBy("host", "page").agg(F.collect_set("path").alias("low"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -116,7 +116,8 @@ def _softmax(lls: Column) -> Column:
 def identify(scored: DataFrame, languages: list[str], strength: float = 10.0, temper: float = 0.3, unknown_share: float = 0.001, least: float = 0.5) -> DataFrame:
     """Fuses evidence; ``scored`` has ``text_ll``, ``declared``, ``suffix``, ``host`` (any may be null) and more.
 
-    Adds ``lang``, ``confidence`` and ``accepted``.  The posterior of a language is the tempered text likelihood times
+    Adds ``lang``, ``confidence`` and ``accepted`` (in place of columns with these names) and leaves out ``text_ll``; other
+    columns stay, and none may begin with two underscores.  The posterior of a language is the tempered text likelihood times
     the probability of what the markup declares given the language, times the host's prior.  Priors are shares of
     languages by text alone, summed over all rows by host, suffix and altogether, each smoothed by ``strength`` rows
     of the level above; a missing host or suffix is a group of its own.  Neighbouring trigrams depend on each other,
@@ -126,11 +127,11 @@ def identify(scored: DataFrame, languages: list[str], strength: float = 10.0, te
     n = len(classes)
     start = F.array(*[F.lit(float(np.log((1 - unknown_share) / max(1, n - 1)))) for _ in languages], F.lit(float(np.log(unknown_share))))
     told = F.when(F.col("declared").isNull(), F.lit(None)).when(F.col("declared").isin(*languages), F.col("declared")).otherwise(F.lit("other")) if languages else F.lit(None).cast("string")
-    rows = scored.withColumn("told", told.cast("string")).withColumn("base", F.transform("text_ll", lambda x: x * temper))
-    rows = rows.withColumn("p", _softmax(F.zip_with("base", start, lambda a, b: a + b)))
-    sums = [F.sum(F.get("p", F.lit(i))).alias(f"n{i}") for i in range(n)]
+    rows = scored.withColumn("__told", told.cast("string")).withColumn("__base", F.transform("text_ll", lambda x: x * temper))
+    rows = rows.withColumn("__p", _softmax(F.zip_with("__base", start, lambda a, b: a + b)))
+    sums = [F.sum(F.get("__p", F.lit(i))).alias(f"n{i}") for i in range(n)]
     # one aggregation over the rows; the levels above come from its small result
-    by_host = rows.groupBy("host", "suffix", "told").agg(*sums)
+    by_host = rows.groupBy("host", "suffix", "__told").agg(*sums)
     by_host = settle(by_host)
     counts = [F.sum(f"n{i}").alias(f"n{i}") for i in range(n)]
     total = by_host.agg(*counts).first()
@@ -148,34 +149,38 @@ def identify(scored: DataFrame, languages: list[str], strength: float = 10.0, te
 
     suffixes = prior(by_host.groupBy("suffix").agg(*counts), [F.col("suffix")], F.array(*map(F.lit, share)), "suffix_prior")
     hosts = by_host.groupBy("host", "suffix").agg(*counts).alias("h").join(suffixes.alias("s"), F.col("h.suffix").eqNullSafe(F.col("s.suffix")))
-    hosts = prior(hosts, [F.col("host").alias("p_host"), F.col("h.suffix").alias("p_suffix")], F.col("suffix_prior"), "prior")
+    hosts = prior(hosts, [F.col("host").alias("__host"), F.col("h.suffix").alias("__suffix")], F.col("suffix_prior"), "__prior")
     # P(declared | language): a small table of (languages + 1) x (languages + 2) at most
-    said = {r["told"]: [float(r[f"n{i}"] or 0) for i in range(n)] for r in by_host.where(F.col("told").isNotNull()).groupBy("told").agg(*counts).collect()}
+    said = {r["__told"]: [float(r[f"n{i}"] or 0) for i in range(n)] for r in by_host.where(F.col("__told").isNotNull()).groupBy("__told").agg(*counts).collect()}
     odds = [(value, [float(np.log((own[i] + 1) / (known[i] + len(said) + 1))) for i in range(n)]) for value, own in said.items()]
-    declared = F.coalesce("odds", F.array(*[F.lit(0.0)] * n))
-    rows = rows.join(F.broadcast(rows.sparkSession.createDataFrame(odds, "told string, odds array<double>")), "told", "left") if odds else rows.withColumn("odds", F.lit(None).cast("array<double>"))
-    joined = rows.join(hosts, F.col("host").eqNullSafe(F.col("p_host")) & F.col("suffix").eqNullSafe(F.col("p_suffix")))
-    ll = F.zip_with(F.zip_with("base", declared, lambda a, b: a + b), F.transform("prior", lambda x: F.ln(x)), lambda a, b: a + b)
-    fused = joined.withColumn("post", _softmax(ll))
-    best = F.array_max("post")
-    named = fused.withColumn("confidence", best).withColumn("lang", F.get(F.array(*map(F.lit, classes)), F.array_position("post", F.col("confidence")) - 1))
+    declared = F.coalesce("__odds", F.array(*[F.lit(0.0)] * n))
+    rows = rows.join(F.broadcast(rows.sparkSession.createDataFrame(odds, "__told string, __odds array<double>")), "__told", "left") if odds else rows.withColumn("__odds", F.lit(None).cast("array<double>"))
+    joined = rows.join(hosts, F.col("host").eqNullSafe(F.col("__host")) & F.col("suffix").eqNullSafe(F.col("__suffix")))
+    ll = F.zip_with(F.zip_with("__base", declared, lambda a, b: a + b), F.transform("__prior", lambda x: F.ln(x)), lambda a, b: a + b)
+    fused = joined.withColumn("__post", _softmax(ll))
+    best = F.array_max("__post")
+    named = fused.withColumn("confidence", best).withColumn("lang", F.get(F.array(*map(F.lit, classes)), F.array_position("__post", F.col("confidence")) - 1))
     accepted = (F.col("lang") != UNKNOWN) & (F.col("confidence") >= least) & (F.col("seen") > 0)
-    return named.withColumn("accepted", accepted).drop("told", "odds", "base", "p", "p_host", "p_suffix", "prior", "post", "text_ll")
+    return named.withColumn("accepted", accepted).drop("__told", "__odds", "__base", "__p", "__host", "__suffix", "__prior", "__post", "text_ll")
 
 
 def identify_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", language_rows: int = 5_000) -> DataFrame:
     """``doc_id, key, declared, suffix, host, seen, lang, confidence, accepted``: the source stands for the host, ``key``
     hashes id and text.
 
-    Null and empty texts, and those in no known language, are rejected; an empty table gives an empty result."""
+    The label in ``lang`` trains the text likelihoods and is no evidence for its own row: ``declared`` is null.  Null
+    and empty texts, and those in no known language, are rejected; repeated rows and ids keep rows of their own; an
+    empty table gives an empty result; further columns, whatever their names, are passed over."""
     key = F.xxhash64(F.col(doc_id), F.col(text))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), key.alias("key"), F.col(text).alias("text"), F.col(lang).alias("declared"), F.lit(None).cast("string").alias("suffix"), F.col(source).alias("host"))
-    languages, model = train(rows.select("text", F.col("declared").alias("lang")), language_rows)
+    rows = docs.select(F.col(doc_id).alias("doc_id"), key.alias("key"), F.col(text).alias("text"), F.lit(None).cast("string").alias("declared"), F.lit(None).cast("string").alias("suffix"), F.col(source).alias("host"))
+    languages, model = train(docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")), language_rows)
     return identify(settle(likelihoods(rows, model)), languages)
 
 
 def drop_unidentified(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """``docs`` without those that are rejected; the others stay as they are."""
+    """``docs`` without those that are rejected; the others stay as they are, with all their columns.
+
+    Null and empty texts go; repeated rows stay or go together; an empty table gives an empty result."""
     found = identify_documents(docs, doc_id, text, lang, source)
     return drop_rows(docs, found.where(~F.col("accepted")), doc_id, text)
 
@@ -190,10 +195,10 @@ def identify_all(docs: DataFrame, pages: DataFrame, language_rows: int = 5_000)
     """Documents and web pages together: ``doc_id`` or ``page_id``, then as :func:`identify_documents`.
 
     Trigram probabilities come from labelled documents; a page declares its language by ``lang`` of its html tag and
-    has a host and a suffix by its address."""
+    has a host and a suffix by its address.  Null texts and pages are rejected; empty tables give no rows."""
     none = F.lit(None).cast("string")
     host, suffix = address_parts(F.col("url"))
-    own = docs.select("doc_id", F.lit(None).cast("long").alias("page_id"), "text", F.col("lang").alias("declared"), none.alias("suffix"), F.col("source").alias("host"))
+    own = docs.select("doc_id", F.lit(None).cast("long").alias("page_id"), "text", none.alias("declared"), none.alias("suffix"), F.col("source").alias("host"))
     said = F.nullif(F.lower(F.regexp_extract("html", r"""(?i)<html\b[^>]*?\blang\s*=\s*["']?([a-zA-Z]{2,3})""", 1)), F.lit(""))
     web = pages.select(F.lit(None).cast("long").alias("doc_id"), "page_id", F.col("html").alias("text"), said.alias("declared"), suffix.alias("suffix"), host.alias("host"))
     languages, model = train(docs.select("text", "lang"), language_rows)

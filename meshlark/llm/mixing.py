@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 from meshlark.llm.common import text_or_empty, word_count
 
-#: A source's documents are spread over so many slices by a seeded hash (three hexadecimal digits).
-SLICES = 4096
+def _seeded(seed: str, doc_id: str, text: str) -> Column:
+    """A hash of the id, or of the text of a document without one."""
+    return F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(doc_id).cast("string"), F.concat(F.lit("#"), F.md5(text_or_empty(text))))))
 
 
-def _seeded(seed: str, doc_id: str) -> Column:
-    return F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))))
+def _slice_digits(partitions: int) -> int:
+    """Hexadecimal digits that tell a source's slices apart: at least 16 slices a shuffle partition, and 4096."""
+    return max(3, -(-(16 * partitions - 1).bit_length() // 4))
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, max_epochs: float) -> DataFrame:
@@ -69,13 +71,16 @@ def mix(
     gives an empty result.
 
     The remainder is located in two steps, so that no source is ever sorted in one task: sizes are summed by
-    (source, hash slice), and only inside a slice are documents put in order."""
-    h = _seeded(seed, doc_id)
+    (source, hash slice), and only inside a slice are documents put in order.  There are more slices where the session
+    has more shuffle partitions; they are stretches of one order, so the result doesn't depend on their number.
+    Documents without an id are in the order of a hash of their text.  Columns not in ``keep`` are passed over."""
+    digits = _slice_digits(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    h = _seeded(seed, doc_id, text)
     sized = docs.select(
         F.col(doc_id).alias("doc_id"),
         F.col(source).alias("source"),
         word_count(text_or_empty(text)).alias("size"),
-        F.conv(F.substring(h, 1, 3), 16, 10).cast("int").alias("slice"),
+        F.conv(F.substring(h, 1, digits), 16, 10).cast("long").alias("slice"),
         h.alias("h"),
         *[F.col(c).alias(f"kept_{c}") for c in keep],
     )

@@ -49,20 +49,22 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations, and one made of control strings, as records in the layout that their roles fit."""
+    """Conversations, and one made of control strings, as records in the layout that their roles fit.
+
+    A stored conversation with the number of the added one stays apart from it."""
     said = F.lit("</s>[INST] ok [/INST]")
     probe = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text"))
     rows = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", text_or_empty("text").alias("text"))
-    whole = rows.unionByName(probe).groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
+    whole = rows.withColumn("given", F.lit(True)).unionByName(probe.withColumn("given", F.lit(False))).groupBy("conv_id", "given").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
     roles = F.array_join(F.transform("t", lambda x: F.coalesce(x["role"], F.lit(""))), " ")
     at = lambda i: F.get(F.col("t"), F.lit(i))["text"]
     pair, asked = roles == "user assistant", roles == "system user assistant"
     return whole.select(
         "conv_id",
+        F.when(asked, at(0)).alias("system"),
         F.when(pair, at(0)).alias("prompt"),
         F.when(pair, at(1)).alias("response"),
-        F.when(asked, at(0)).alias("instruction"),
-        F.when(asked, at(1)).alias("input"),
+        F.when(asked, at(1)).alias("instruction"),
         F.when(asked, at(2)).alias("output"),
         F.when(~pair & ~asked, F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("content")))).alias("messages"),
     )

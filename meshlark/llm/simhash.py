@@ -10,7 +10,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meshlark.llm.common import settle
@@ -107,8 +107,27 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _keys(code: Column, masks: list[int]) -> Column:
-    return F.explode(F.array(*[F.struct(F.lit(_signed(m)).alias("mask"), code.bitwiseAND(F.lit(_signed(m))).alias("key")) for m in masks]))
+def _cut(shards: DataFrame, radius: int, blocks: int, agree: int) -> DataFrame:
+    """``code, used, shard``: rows cut by the bits that no cut has used yet.
+
+    Those are dealt into ``blocks`` blocks; every ``agree`` of them name a shard.  Codes that differ in at most
+    ``blocks - agree`` bits meet in one, so with at least ``radius`` such bits no pair is lost."""
+    made: dict[int, list[int]] = {}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = xxhash.xxh64_intdigest
+        for batch in batches:
+            out = []
+            for code, used, shard in zip(*[batch.column(i).to_pylist() for i in range(3)]):
+                if used not in made:
+                    free = [i for i in range(64) if not used >> i & 1]
+                    made[used] = [sum(c) for c in combinations(_blocks(min(blocks, len(free)), free), agree)]
+                for mask in made[used]:
+                    key = b"%d %d %d" % (shard, mask, code & mask)
+                    out.append((code, _signed((used | mask) & (1 << 64) - 1), _signed(of(key, SEED))))
+            yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out)] or [pa.array([], pa.int64())] * 3, names=["code", "used", "shard"])
+
+    return shards.select("code", "used", "shard").mapInArrow(run, "code long, used long, shard long")
 
 
 def links(codes: DataFrame, radius: int = 3, shard_limit: int = 20_000) -> DataFrame:
@@ -116,24 +135,24 @@ def links(codes: DataFrame, radius: int = 3, shard_limit: int = 20_000) -> DataF
 
     Codes cut into b blocks agree in at least b - radius of them if they differ in at most ``radius`` bits, so every
     pair meets in the shard of some b - radius blocks.  A shard is searched with its own BK-tree.  The number of
-    blocks grows with the number of codes, so shards stay small; shards beyond ``shard_limit`` are cut once more by
-    blocks of their other bits, in the same exact way."""
+    blocks grows with the number of codes; shards beyond ``shard_limit`` are cut again by blocks of the bits that are
+    left, in the same exact way, until none is or too few bits are left to tell more codes apart than that."""
     n = codes.count()
     b = radius + 1
     while b < radius + 6 and n >> (64 * (b - radius) // b) > 64:
         b += 1
-    every = list(range(64))
-    masks = [sum(c) for c in combinations(_blocks(b, every), b - radius)]
-    keyed = codes.select("code", _keys(F.col("code"), masks).alias("k")).select("code", "k.mask", "k.key", F.lit(0).cast("long").alias("mask2"), F.lit(0).cast("long").alias("key2"))
-    large = settle(keyed.groupBy("mask", "key").count().where(F.col("count") > shard_limit).select("mask", "key"))
-    if not large.isEmpty():
-        cut = F.lit(None)
-        for m in masks:
-            rest = [i for i in every if not m >> i & 1]
-            finer = F.array(*[F.struct(F.lit(_signed(x)).alias("mask2"), F.col("code").bitwiseAND(F.lit(_signed(x))).alias("key2")) for x in _blocks(radius + 1, rest)])
-            cut = F.when(F.col("mask") == _signed(m), finer).otherwise(cut)
-        hot = keyed.join(large, ["mask", "key"], "left_semi").select("code", "mask", "key", F.explode(cut).alias("k2")).select("code", "mask", "key", "k2.mask2", "k2.key2")
-        keyed = keyed.join(large, ["mask", "key"], "left_anti").unionByName(hot)
+    start = codes.select("code", F.lit(0).cast("long").alias("used"), F.lit(0).cast("long").alias("shard"))
+    keyed, done = _cut(start, radius, b, b - radius), None
+    enough = F.bit_count("used") <= 64 - 2 * (radius + 1)
+    while True:
+        sizes = keyed.where(enough).groupBy("shard").count()
+        large = settle(sizes.where(F.col("count") > shard_limit).select("shard"))
+        if large.isEmpty():
+            break
+        small = keyed.join(large, "shard", "left_anti")
+        done = small if done is None else done.unionByName(small)
+        keyed = settle(_cut(keyed.join(large, "shard"), radius, radius + 1, 1))
+    keyed = keyed if done is None else done.unionByName(keyed)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, held = None, []
@@ -143,17 +162,16 @@ def links(codes: DataFrame, radius: int = 3, shard_limit: int = 20_000) -> DataF
 
         for batch in batches:
             out = []
-            rows = zip(*[batch.column(i).to_pylist() for i in range(1, 5)])
-            for code, own in zip(batch.column(0).to_pylist(), rows):
+            for code, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if own != shard:
                     out += done(held)
                     shard, held = own, []
-                held.append(code & (1 << 64) - 1)
+                if not held or held[-1] != code & (1 << 64) - 1:
+                    held.append(code & (1 << 64) - 1)
             yield _pairs(out)
         yield _pairs(done(held))
 
-    shard = ["mask", "key", "mask2", "key2"]
-    return keyed.select("code", *shard).repartition(*shard).sortWithinPartitions(*shard, "code").mapInArrow(search, "a long, b long").distinct()
+    return keyed.select("code", "shard").repartition("shard").sortWithinPartitions("shard", "code").mapInArrow(search, "a long, b long").distinct()
 
 
 def _pairs(rows: list[tuple[int, int]]) -> pa.RecordBatch:
