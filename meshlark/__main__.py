@@ -5,11 +5,12 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+from dataclasses import fields
 
 from pyspark.sql import SparkSession
 
 from meshlark.plans.run import run
-from meshlark.plans.settings import Settings, load_profile, merged
+from meshlark.plans.settings import Outputs, Settings, load_profile, merged
 from meshlark.sources import discovery, frames
 
 
@@ -19,10 +20,13 @@ def _parser() -> argparse.ArgumentParser:
     for name in ("analyze", "inspect"):
         p = commands.add_parser(name, argument_default=argparse.SUPPRESS)
         p.add_argument("--profile")
-        for option, kind in (("folder", str), ("output", str), ("pattern", str), ("start", int), ("end", int), ("n-fold", int), ("neighbours", int), ("vertical-shift", int), ("bin-size", int), ("top-bins", int), ("minutes", float)):
+        for option, kind in (("folder", str), ("output", str), ("pattern", str), ("start", int), ("end", int), ("n-fold", int), ("neighbours", int), ("vertical-shift", int), ("bin-size", int), ("top-bins", int), ("minutes", float), ("step-frames", int)):
             p.add_argument(f"--{option}", type=kind)
         p.add_argument("--rectangle", type=lambda x: tuple(map(int, x.split(","))), help="x1,x2,y1,y2")
         p.add_argument("--background", type=lambda x: tuple(map(float, x.split(","))))
+        p.add_argument("--no-fourier", action="store_true", help="no rectangle, no spectra")
+        for f in fields(Outputs):
+            p.add_argument(f"--save-{f.name.replace('_', '-')}", dest=f"save_{f.name}", action=argparse.BooleanOptionalAction)
         for option in ("periodic", "exclude-boundary", "include-self", "strict-missing", "resume"):
             p.add_argument(f"--{option}", action=argparse.BooleanOptionalAction)
     return parser
@@ -33,7 +37,12 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
     command, profile = given.pop("command"), given.pop("profile", None)
     try:
         base = load_profile(profile) if profile else Settings(folder=given.get("folder", ""))
-        settings = merged(base, given)
+        if given.pop("no_fourier", False):
+            if "rectangle" in given or base.band.enabled:
+                raise ValueError("--no-fourier contradicts a rectangle or band that is asked for")
+            given["rectangle"] = None
+        wanted = {name.removeprefix("save_"): given.pop(name) for name in [x for x in given if x.startswith("save_")]}
+        settings = merged(base, given | ({"outputs": wanted} if wanted else {}))
         spark = spark or SparkSession.builder.appName("meshlark").getOrCreate()
         if command == "analyze":
             print(json.dumps(run(spark, settings), indent=2))

@@ -1,12 +1,15 @@
 """Two-dimensional spectra of grids, and what is read from them.
 
-The transform is separable: one join and sum over columns, one over rows, so a grid of h x w pixels takes
-h * w * (h + w) products in partial aggregates, whatever the number of frames."""
+The transform is separable: each image row is transformed by itself, then each column of what comes out.  A task holds
+one line at a time, and a grid of h x w pixels is shuffled twice, whatever the number of frames."""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,23 +45,38 @@ def window_value(i: Column, size: int, name: str) -> Column:
     return sum((F.lit(c) * F.cos(i * (2 * math.pi * k / (size - 1))) for k, c in enumerate(WINDOWS[name])), F.lit(0.0))
 
 
+def _transformed(cells: DataFrame, line: str, at: str, size: int, out: str) -> DataFrame:
+    """``frame``, ``line`` and one row for each frequency ``out``, with ``re, im``: the transform of each line of cells.
+
+    Cells that are not there count as 0."""
+    lines = cells.groupBy("frame", line).agg(F.collect_list(F.struct(F.col(at).cast("int").alias("at"), "re", "im")).alias("cells"))
+    low, numbers = -(size // 2), pa.list_(pa.float64())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            re, im = [], []
+            for own in batch.column(2):
+                place, x, y = (own.values.field(i).to_numpy() for i in range(3))
+                values = np.zeros(size, complex)
+                values[place] = x + 1j * y
+                turned = np.roll(np.fft.fft(values), -low)
+                re.append(turned.real)
+                im.append(turned.imag)
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(re, numbers), pa.array(im, numbers)], names=["frame", line, "re", "im"])
+
+    kinds = dict(lines.dtypes)
+    made = lines.mapInArrow(run, f"frame {kinds['frame']}, {line} {kinds[line]}, re array<double>, im array<double>")
+    opened = made.select("frame", line, F.posexplode(F.arrays_zip("re", "im")).alias("at", "z"))
+    return opened.select("frame", line, (F.col("at") + low).alias(out), F.col("z.re").alias("re"), F.col("z.im").alias("im"))
+
+
 def spectrum(grid: DataFrame, height: int, width: int) -> DataFrame:
-    """``frame, fr, fc, re, im``: signed frequencies (cycles over the grid), from dense (frame, row, col, value).
+    """``frame, fr, fc, re, im``: signed frequencies (cycles over the grid) of (frame, row, col, value), 0 where the grid
+    has no value.
 
     Equal to a forward transform with a negative exponent, zero frequency in the middle."""
-    low = lambda n: -(n // 2)
-    cols = F.explode(F.sequence(F.lit(low(width)), F.lit(low(width) + width - 1)))
-    rows = F.explode(F.sequence(F.lit(low(height)), F.lit(low(height) + height - 1)))
-    turn = lambda f, x, n: F.pmod(f * x, F.lit(n)).cast("double") * (-2 * math.pi / n)
-    a = grid.where(F.col("value") != 0).withColumn("fc", cols)
-    ta = turn(F.col("fc"), F.col("col"), width)
-    first = a.groupBy("frame", "row", "fc").agg(F.sum(F.col("value") * F.cos(ta)).alias("a"), F.sum(F.col("value") * F.sin(ta)).alias("b"))
-    b = first.withColumn("fr", rows)
-    tb = turn(F.col("fr"), F.col("row"), height)
-    second = b.groupBy("frame", "fr", "fc").agg(F.sum(F.col("a") * F.cos(tb) - F.col("b") * F.sin(tb)).alias("re"), F.sum(F.col("a") * F.sin(tb) + F.col("b") * F.cos(tb)).alias("im"))
-    # frames without any value keep their (empty) spectrum
-    spine = grid.select("frame").distinct().withColumn("fr", rows).withColumn("fc", cols)
-    return spine.join(second, ["frame", "fr", "fc"], "left").fillna(0.0, ["re", "im"])
+    cells = grid.select("frame", "row", "col", F.col("value").cast("double").alias("re"), F.lit(0.0).alias("im"))
+    return _transformed(_transformed(cells, "row", "col", width, "fc"), "fc", "row", height, "fr").select("frame", "fr", "fc", "re", "im")
 
 
 def legacy_intensity(spec: DataFrame) -> DataFrame:
@@ -82,6 +100,12 @@ def top_bins(spec: DataFrame, k: int, digits: int = 6) -> DataFrame:
     return some.withColumn("rank", rank).where(F.col("rank") <= k).drop("__i").withColumn("distance", F.hypot("fr", "fc"))
 
 
+def mean_bin_distance(bins: DataFrame, frames: DataFrame) -> DataFrame:
+    """``frame, mean_distance``: mean distance of selected bins from the centre, null for frames without any."""
+    means = bins.groupBy("frame").agg(F.avg("distance").alias("mean_distance"))
+    return frames.select("frame").distinct().join(means, "frame", "left")
+
+
 def reconstruct(bins: DataFrame, height: int, width: int) -> DataFrame:
     """``frame, row, col, value``: the modulus of the inverse transform of selected bins, scaled to a maximum of 1."""
     angle = (F.col("fr") * F.col("row") / float(height) + F.col("fc") * F.col("col") / float(width)) * (2 * math.pi)

@@ -6,15 +6,45 @@ frame, and everything after it is joins and aggregates."""
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def _turn(a: tuple[float, float], b: tuple[float, float], c: tuple[float, float]) -> float:
+    """Positive if c lies to the left of the line from a to b; its sign is exact."""
+    left, right = (b[0] - a[0]) * (c[1] - a[1]), (b[1] - a[1]) * (c[0] - a[0])
+    det = left - right
+    if abs(det) > 4e-16 * (abs(left) + abs(right)) * 2:
+        return det
+    (ax, ay), (bx, by), (cx, cy) = ((Fraction(x), Fraction(y)) for x, y in (a, b, c))
+    exact = (bx - ax) * (cy - ay) - (by - ay) * (cx - ax)
+    return (exact > 0) - (exact < 0)
+
+
+def _in_circle(a: tuple[float, float], b: tuple[float, float], c: tuple[float, float], p: tuple[float, float]) -> float:
+    """Positive if p lies inside the circle through a, b, c (in left turn); its sign is exact."""
+    ax, ay, bx, by, cx, cy = a[0] - p[0], a[1] - p[1], b[0] - p[0], b[1] - p[1], c[0] - p[0], c[1] - p[1]
+    a2, b2, c2 = ax * ax + ay * ay, bx * bx + by * by, cx * cx + cy * cy
+    bc, ca, ab = bx * cy - by * cx, cx * ay - cy * ax, ax * by - ay * bx
+    det = a2 * bc + b2 * ca + c2 * ab
+    size = a2 * (abs(bx * cy) + abs(by * cx)) + b2 * (abs(cx * ay) + abs(cy * ax)) + c2 * (abs(ax * by) + abs(ay * bx))
+    if abs(det) > 2e-15 * size:
+        return det
+    (ax, ay), (bx, by), (cx, cy) = ((Fraction(q[0]) - Fraction(p[0]), Fraction(q[1]) - Fraction(p[1])) for q in (a, b, c))
+    exact = (ax * ax + ay * ay) * (bx * cy - by * cx) + (bx * bx + by * by) * (cx * ay - cy * ax) + (cx * cx + cy * cy) * (ax * by - ay * bx)
+    return (exact > 0) - (exact < 0)
+
+
 def delaunay(points: np.ndarray) -> np.ndarray:
-    """Triangles (rows of three indices) of distinct points by insertion: those whose circle holds the new point go,
-    and their outline is joined to it."""
+    """Triangles (rows of three indices) of distinct points by insertion.
+
+    Points are taken along a snake through cells, so the triangle that holds the next point is a few steps from the
+    last one.  From there the triangles whose circle holds the point are found over shared edges; they go, and their
+    outline is joined to it.  About constant work a point."""
     n = len(points)
     if n < 3:
         return np.zeros((0, 3), np.int64)
@@ -22,36 +52,55 @@ def delaunay(points: np.ndarray) -> np.ndarray:
     size = float(max(high - low)) or 1.0
     scaled = (points - (low + high) / 2) / size
     far = 1e6
-    xy = np.vstack([scaled, [[-far, -far], [far, -far], [0.0, far]]])
-    room = 8 * n + 64
-    tri = np.zeros((room, 3), np.int64)
-
-    def inside(t: np.ndarray, p: np.ndarray) -> np.ndarray:
-        a, b, c = (xy[t[:, k]] - p for k in range(3))
-        sq = lambda v: v[:, 0] * v[:, 0] + v[:, 1] * v[:, 1]
-        return sq(a) * (b[:, 0] * c[:, 1] - c[:, 0] * b[:, 1]) - sq(b) * (a[:, 0] * c[:, 1] - c[:, 0] * a[:, 1]) + sq(c) * (a[:, 0] * b[:, 1] - b[:, 0] * a[:, 1])
-
-    tri[0], used = (n, n + 1, n + 2), 1
-    alive = np.zeros(room, bool)
-    alive[0] = True
-    for i in np.lexsort((scaled[:, 1], np.floor(scaled[:, 0] * np.sqrt(n)))):
-        at = np.flatnonzero(alive[:used])
-        bad = at[inside(tri[at], xy[i]) > 0]
-        alive[bad] = False
-        edges: dict[tuple[int, int], tuple[int, int]] = {}
-        for x, y, z in tri[bad].tolist():
-            for e in ((x, y), (y, z), (z, x)):
-                if edges.pop((e[1], e[0]), None) is None:
-                    edges[e] = e
-        free = bad.tolist()
-        for e in edges:
-            slot = free.pop() if free else used
-            if slot == used:
-                used += 1
-                if used > len(alive):
-                    tri, alive = np.vstack([tri, np.zeros_like(tri)]), np.concatenate([alive, np.zeros_like(alive)])
-            tri[slot], alive[slot] = (e[0], e[1], i), True
-    out = tri[:used][alive[:used]]
+    xy: list[tuple[float, float]] = [*map(tuple, scaled.tolist()), (-far, -far), (far, -far), (0.0, far)]
+    tri = [(n, n + 1, n + 2)]
+    #: the triangle on the other side of each directed edge, by its corners in turn
+    owner = {(n, n + 1): 0, (n + 1, n + 2): 0, (n + 2, n): 0}
+    band = np.floor(scaled[:, 0] * np.sqrt(n) / 2).astype(int)
+    order = np.lexsort((np.where(band % 2 == 0, scaled[:, 1], -scaled[:, 1]), band))
+    last = 0
+    for i in order.tolist():
+        p = xy[i]
+        at, seen = last, 0
+        while True:
+            a, b, c = tri[at]
+            for u, v in ((a, b), (b, c), (c, a)):
+                if _turn(xy[u], xy[v], p) < 0 and (v, u) in owner:
+                    at = owner[v, u]
+                    break
+            else:
+                break
+            seen += 1
+            if seen > len(tri):  # never in exact arithmetic
+                break
+        bad, todo, outline = {at}, [at], []
+        while todo:
+            a, b, c = tri[todo.pop()]
+            for u, v in ((a, b), (b, c), (c, a)):
+                over = owner.get((v, u))
+                if over in bad:
+                    continue
+                if over is not None and _in_circle(*(xy[k] for k in tri[over]), p) > 0:
+                    bad.add(over)
+                    todo.append(over)
+                else:
+                    outline.append((u, v))
+        inner = [(u, v) for u, v in outline if owner.get((v, u)) not in bad]
+        for t in bad:
+            a, b, c = tri[t]
+            for e in ((a, b), (b, c), (c, a)):
+                del owner[e]
+        free = list(bad)
+        for u, v in inner:
+            if free:
+                t = free.pop()
+                tri[t] = (u, v, i)
+            else:
+                t = len(tri)
+                tri.append((u, v, i))
+            owner[u, v] = owner[v, i] = owner[i, u] = t
+            last = t
+    out = np.array(tri, np.int64).reshape(-1, 3)
     return np.sort(out[(out < n).all(axis=1)], axis=1)
 
 

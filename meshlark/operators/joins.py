@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from meshlark.sources.settled import settled
+
 
 def _row_gap(a: Column, b: Column, height: float | None) -> Column:
     gap = F.abs(a - b)
@@ -80,8 +82,31 @@ def knn_self_join(points: DataFrame, k: int, height: float | None = None, by: st
             # the nearest k are certain if the last of them is no farther than the ring reaches
             whole = Window.partitionBy(by, "i")
             sure = (F.max("rank").over(whole) >= F.least(F.lit(k), F.col("__n") - 1)) & (F.sqrt(F.max("d2").over(whole)) <= reach * F.col("__side"))
-            good = good.withColumn("__sure", sure).where("__sure").drop("__sure").persist()
+            good = settled(good.withColumn("__sure", sure).where("__sure").drop("__sure"))
             todo = todo.join(good.where(F.col("rank") == 1), [by, "i"], "left_anti")
         good = good.drop("__n", "__side")
         done = good if done is None else done.unionByName(good)
     return done
+
+
+def nearest_join(points: DataFrame, samples: DataFrame, by: str, key: str, keep: tuple[str, ...], per_cell: float = 2.0, reach: int = 2) -> DataFrame:
+    """``points`` (with x, y) and the ``keep`` columns of the nearest of ``samples`` (with sx, sy): inner, ties by sx, sy.
+
+    Cells of about ``per_cell`` samples a group; a point looks at the cells around it, and the few for which that leaves
+    it open (outside of all samples) look at their whole group.  ``key`` tells points of a group apart."""
+    box = samples.groupBy(by).agg(F.count("*").alias("__n"), F.min("sx").alias("__x0"), F.max("sx").alias("__x1"), F.min("sy").alias("__y0"), F.max("sy").alias("__y1"))
+    wide, tall = F.col("__x1") - F.col("__x0"), F.col("__y1") - F.col("__y0")
+    side = F.greatest(F.sqrt(F.greatest(tall, F.lit(1e-9)) * F.greatest(wide, F.lit(1e-9)) / F.greatest(F.lit(1.0), F.col("__n") / per_cell)), F.greatest(tall, wide) / 4096, F.lit(1e-9))
+    box = box.select(by, side.alias("__side"), "__x0", "__y0")
+    cell = lambda df, x, y: df.withColumns({"__cx": F.floor((F.col(x) - F.col("__x0")) / F.col("__side")), "__cy": F.floor((F.col(y) - F.col("__y0")) / F.col("__side"))})
+    told = F.struct("sx", "sy", *keep)
+    other = cell(samples.join(box, by), "sx", "sy").select(by, "__cx", "__cy", told.alias("__s"))
+    todo = cell(points.join(box, by), "x", "y").withColumnsRenamed({"__cx": "__px", "__cy": "__py"})
+    d2 = F.pow(F.col("x") - F.col("__s.sx"), F.lit(2)) + F.pow(F.col("y") - F.col("__s.sy"), F.lit(2))
+    step = F.sequence(F.lit(-reach), F.lit(reach))
+    probe = todo.withColumn("__dx", F.explode(step)).withColumn("__dy", F.explode(step)).withColumn("__cx", F.col("__px") + F.col("__dx")).withColumn("__cy", F.col("__py") + F.col("__dy"))
+    best = lambda met: met.groupBy(by, key).agg(F.min(F.struct(d2.alias("d2"), "__s")).alias("__b"), F.first("__side").alias("__w"))
+    # the nearest is certain if it is no farther than the cells reach
+    near = settled(best(probe.join(other, [by, "__cx", "__cy"])).where(F.sqrt("__b.d2") <= reach * F.col("__w")))
+    far = best(todo.join(near.select(by, key), [by, key], "left_anti").join(other, by))
+    return points.join(near.unionByName(far).select(by, key, *[F.col(f"__b.__s.{c}").alias(c) for c in keep]), [by, key])

@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from meshlark.operators.joins import nearest_join
 from meshlark.operators.stats import finite
+from meshlark.sources.settled import settled
 
 POLYGON = "array<struct<x:double,y:double>>"
 
@@ -16,16 +18,29 @@ def _samples(field: DataFrame) -> DataFrame:
     return field.where(finite("u") & finite("v") & finite("x") & finite("y"))
 
 
+def check_shared_grid(field: DataFrame) -> None:
+    """Raises unless all velocity fields have their samples at the same places, each once.
+
+    Places are compared to about nine digits; missing coordinates are equal to each other."""
+    near = lambda c: F.when(finite(c), F.round(F.col(c), 9)).otherwise(F.lit(None)).alias(c)
+    places = field.select("field", near("x"), near("y"))
+    n = places.agg(F.count_distinct("field").alias("n")).first()["n"]
+    odd = places.groupBy("x", "y").agg(F.count_distinct("field").alias("fields"), F.count("*").alias("rows")).where((F.col("fields") != n) | (F.col("rows") != F.col("fields")) & F.col("x").isNotNull() & F.col("y").isNotNull())
+    bad = odd.take(1)
+    if bad:
+        raise ValueError(f"velocity fields have different grids: ({bad[0]['x']}, {bad[0]['y']}) is in {bad[0]['fields']} of {n} fields, {bad[0]['rows']} times")
+
+
 def nearest(points: DataFrame, field: DataFrame) -> DataFrame:
     """Velocity of the nearest sample (ties by x, then y) at points (field, point, x, y)."""
     s = _samples(field).select("field", F.col("x").alias("sx"), F.col("y").alias("sy"), "u", "v")
-    d2 = F.pow(F.col("x") - F.col("sx"), F.lit(2)) + F.pow(F.col("y") - F.col("sy"), F.lit(2))
-    best = F.min(F.struct(d2.alias("d2"), "sx", "sy", "u", "v"))
-    return points.join(s, "field").groupBy("field", "point", "x", "y").agg(best.alias("b")).select("field", "point", "x", "y", F.col("b.u").alias("u"), F.col("b.v").alias("v"))
+    return nearest_join(points, s, "field", "point", ("u", "v")).select("field", "point", "x", "y", "u", "v")
 
 
 def inverse_distance(points: DataFrame, field: DataFrame) -> DataFrame:
-    """Mean of all samples weighted by 1 / distance squared; a sample at the point itself decides alone."""
+    """Mean of all samples weighted by 1 / distance squared; a sample at the point itself decides alone.
+
+    All samples of a field have a part in each of its points, so this compares all of them; sums are partial."""
     s = _samples(field).select("field", F.col("x").alias("sx"), F.col("y").alias("sy"), "u", "v")
     d2 = F.pow(F.col("x") - F.col("sx"), F.lit(2)) + F.pow(F.col("y") - F.col("sy"), F.lit(2))
     hit = F.sqrt("d2") <= 1e-12
@@ -66,22 +81,19 @@ METHODS = {"nearest": nearest, "inverse_distance": inverse_distance, "bilinear":
 def evolve_polygon(spark: SparkSession, polygon: Sequence[tuple[float, float]], field: DataFrame, fields: Sequence[int], height: float, width: float, periodic: bool = False, method: str = "bilinear") -> DataFrame:
     """``step, vertex, x, y``: the polygon before the first field and after each of ``fields`` in turn.
 
-    A step depends on where the one before has led, so steps are a chain; each is a join of the polygon's few
-    vertices with one field.  Only vertices reach the driver.  x is clamped to the image, y too unless rows wrap."""
-    here = [(i, float(x), float(y)) for i, (x, y) in enumerate(polygon)]
-    rows = [(0, *v) for v in here]
+    A step depends on where the one before has led: each is a join of the vertices with one field, settled for the
+    next, and a vertex takes its way along in an array.  Nothing but field numbers is on the driver.  x is clamped to the image, y too unless rows wrap."""
+    start = [(i, float(x), float(y)) for i, (x, y) in enumerate(polygon)]
+    here = spark.createDataFrame(start, "point int, x double, y double").withColumn("way", F.array(F.struct(F.lit(0).alias("step"), "x", "y")))
     for step, f in enumerate(fields, 1):
-        points = spark.createDataFrame([(int(f), i, x, y) for i, x, y in here], "field int, point int, x double, y double")
-        moved = METHODS[method](points, field.where(F.col("field") == int(f)))
-        found = {r["point"]: (r["u"], r["v"]) for r in moved.collect()}
-        new = []
-        for i, x, y in here:
-            u, v = found.get(i, (0.0, 0.0))
-            nx, ny = min(max(x + u, 0.0), width - 1.0), y + v
-            new.append((i, nx, ny % height if periodic else min(max(ny, 0.0), height - 1.0)))
-        here = new
-        rows += [(step, *v) for v in here]
-    return spark.createDataFrame(rows, "step int, vertex int, x double, y double")
+        moved = METHODS[method](here.select(F.lit(int(f)).alias("field"), "point", "x", "y"), field.where(F.col("field") == int(f))).select("point", "u", "v")
+        x, y = F.col("x") + F.coalesce("u", F.lit(0.0)), F.col("y") + F.coalesce("v", F.lit(0.0))
+        x = F.greatest(F.lit(0.0), F.least(F.lit(width - 1.0), x))
+        y = F.pmod(y, F.lit(float(height))) if periodic else F.greatest(F.lit(0.0), F.least(F.lit(height - 1.0), y))
+        here = here.join(moved, "point", "left").select("point", x.alias("x"), y.alias("y"), "way")
+        here = here.withColumn("way", F.concat("way", F.array(F.struct(F.lit(step).alias("step"), "x", "y"))))
+        here = settled(here)
+    return here.select(F.col("point").alias("vertex"), F.explode("way").alias("w")).select("w.step", "vertex", "w.x", "w.y")
 
 
 def in_polygon(x: Column, y: Column, polygon: Sequence[tuple[float, float]]) -> Column:
@@ -110,6 +122,29 @@ def roi_statistics(pixels: DataFrame, polygon: Sequence[tuple[float, float]], he
     return spine.join(found, "frame", "left").select("frame", "average", F.lit(area).cast("long").alias("geometric_pixels"), F.coalesce("valid_pixels", F.lit(0)).cast("long").alias("valid_pixels"))
 
 
+def _crossings(polygon: Column, y: Column) -> Column:
+    """Where the edges of a polygon (array of x, y) cross the line at y, by half-open edges, in order."""
+    n = F.size(polygon)
+    edges = F.transform(polygon, lambda a, i: F.struct(a.alias("a"), F.get(polygon, F.pmod(i + 1, n)).alias("b")))
+    met = F.filter(edges, lambda e: (e["a"]["y"] <= y) != (e["b"]["y"] <= y))
+    return F.array_sort(F.transform(met, lambda e: e["a"]["x"] + (y - e["a"]["y"]) * ((e["b"]["x"] - e["a"]["x"]) / (e["b"]["y"] - e["a"]["y"]))))
+
+
+def roi_series(pixels: DataFrame, polygons: DataFrame, height: int, width: int, value: str = "value") -> DataFrame:
+    """:func:`roi_statistics` with a polygon of its own for each frame: ``polygons`` has frame and ``polygon``, an array
+    of (x, y).  One plan for all frames; the geometric area is summed up line by line."""
+    x, y = F.col("col").cast("double"), F.col("row").cast("double")
+    inside = pixels.join(polygons.select("frame", "polygon"), "frame").where(F.pmod(F.size(F.filter(_crossings(F.col("polygon"), y), lambda c: x < c)), F.lit(2)) == 1)
+    ok = finite(value)
+    found = inside.groupBy("frame").agg(F.avg(F.when(ok, F.col(value))).alias("average"), F.count_if(ok).alias("valid_pixels"))
+    clip = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(float(width)), F.ceil(c).cast("double")))
+    lines = polygons.select("frame", "polygon", F.explode(F.sequence(F.lit(0), F.lit(height - 1))).cast("double").alias("y")).select("frame", _crossings(F.col("polygon"), F.col("y")).alias("at"))
+    # inside lies between the first and second crossing, the third and fourth, and so on
+    signed = F.transform("at", lambda c, i: F.when(i % 2 == 1, clip(c)).otherwise(-clip(c)))
+    areas = lines.groupBy("frame").agg(F.sum(F.aggregate(signed, F.lit(0.0), lambda a, c: a + c)).cast("long").alias("geometric_pixels"))
+    return areas.join(found, "frame", "left").select("frame", "average", "geometric_pixels", F.coalesce("valid_pixels", F.lit(0)).cast("long").alias("valid_pixels"))
+
+
 def _inside(x: float, y: float, polygon: Sequence[tuple[float, float]]) -> bool:
     odd = False
     for (x1, y1), (x2, y2) in zip(polygon, [*polygon[1:], polygon[0]]):

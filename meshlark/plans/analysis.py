@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meshlark.operators import fourier, geometry, label, order, piv, stats, structure
-from meshlark.plans.settings import Settings
+from meshlark.plans.settings import TABLES, Settings
 from meshlark.sources.settled import settled
 
 Tables = dict[str, DataFrame]
@@ -63,7 +63,8 @@ def analyze(spark: SparkSession, pixels: DataFrame, frames: DataFrame, height: i
     tests = _joined(base, stats.pearson(regions, value, periodic=s.periodic), stats.anova(regions, s.bin_size, value))
     tests = stats.benjamini_hochberg(stats.benjamini_hochberg(tests, "correlation_p_value", "correlation_q_value_bh"), "anova_p_value", "anova_q_value_bh")
     shown = regions.withColumn("row", F.pmod(F.col("row") + s.vertical_shift, F.lit(float(height))))
-    out: Tables = {"regions": regions, "segmentation_qc": quality, "spatial_statistics": stats.conclusions(tests, periodic=s.periodic), "row_bins": stats.row_bins(regions, height, s.bin_size, value)}
+    pixels_ = label.label_pixels(made["runs"]).join(regions.select("frame", "label", "region_id", "re", "im", "psi_mag", "smoothed"), ["frame", "label"])
+    out: Tables = {"regions": regions, "order_pixels": pixels_.drop("label"), "segmentation_qc": quality, "spatial_statistics": stats.conclusions(tests, periodic=s.periodic), "row_bins": stats.row_bins(regions, height, s.bin_size, value)}
     if s.periodic:
         bases = [stats.harmonic(shown, height, v, basis=b) for v, b in (("psi_mag", "raw_psi_magnitude"), ("smoothed", "smoothed_psi_magnitude")) if v != "smoothed" or s.neighbours > 0]
         out["spatial_statistics_harmonic"] = stats.benjamini_hochberg(reduce(DataFrame.unionByName, bases), "p_value", "q_value_bh", ["basis"])
@@ -81,10 +82,13 @@ def analyze(spark: SparkSession, pixels: DataFrame, frames: DataFrame, height: i
         grid = settled(_dense(base, cut, h, w))
         spec = settled(fourier.spectrum(grid, h, w))
         out["fourier_bins"] = fourier.top_bins(spec, s.top_bins)
+        out["fourier_spectrum"] = fourier.legacy_intensity(spec)
+        extended.append(fourier.mean_bin_distance(out["fourier_bins"], base).withColumnRenamed("mean_distance", "fourier_mean_distance"))
         extended.append(fourier.legacy_metric(spec).withColumnRenamed("metric", "fourier_metric"))
         if s.band.enabled:
             band = fourier.band_spectrum(grid, h, w, (s.band.low, s.band.high), s.band.window)
             band = settled(band)
+            out["fourier_v2_spectrum"] = band
             out["fourier_v2_pairs"] = fourier.peak_pairs(band, h, w, s.band.top_pairs)
             out["fourier_v2_radial"] = fourier.radial_profile(band, h, w, s.band.radial_width)
             first = out["fourier_v2_pairs"].where("rank = 1").select("frame", F.col("radial").alias("dominant_radial_frequency"), F.col("wavelength").alias("dominant_wavelength_pixels"))
@@ -97,8 +101,12 @@ def analyze(spark: SparkSession, pixels: DataFrame, frames: DataFrame, height: i
         out["structure_metrics"] = _joined(base, structure.structure_of(regions, made["triangles"], made["flags"]), structure.decay_lengths(curve))
     if s.velocity.enabled:
         out |= _roi(spark, made, frames, height, width, s)
-    out["frame_metrics_extended"] = _joined(frames.withColumn("minutes", minutes), *extended).fillna(0, ["region_count"])
-    return out
+    whole = _joined(frames.withColumn("minutes", minutes), *extended).fillna(0, ["region_count"])
+    out["frame_metrics_extended"] = whole
+    metric = F.col("fourier_metric") if s.rectangle is not None else F.lit(None).cast("double")
+    out["frame_metrics"] = whole.select("frame", "path", "region_count", "mean_psi_magnitude", "mean_smoothed_psi_magnitude", metric.alias("fourier_metric"))
+    wanted = {t for name, own in TABLES.items() if getattr(s.outputs, name) for t in own}
+    return {name: df for name, df in out.items() if name in wanted}
 
 
 def _dense(frames: DataFrame, sparse: DataFrame, height: int, width: int) -> DataFrame:
@@ -109,25 +117,24 @@ def _dense(frames: DataFrame, sparse: DataFrame, height: int, width: int) -> Dat
 
 def _roi(spark: SparkSession, made: Tables, frames: DataFrame, height: int, width: int, s: Settings) -> Tables:
     """The polygon at each frame, and the mean of psi inside it; frame t + 1 comes after field t of the run."""
-    times = sorted(r["frame"] for r in frames.select("frame").collect())
+    last = frames.agg(F.max("frame").alias("t")).first()["t"]
     field = spark.read.parquet(s.velocity.path)
-    steps = list(range(max(times) - s.start))
+    piv.check_shared_grid(field)
+    steps = list(range(last - s.start))
     fields = {r["field"] for r in field.select("field").distinct().collect()}
     if missing := [f for f in steps if f not in fields]:
         raise ValueError(f"velocity fields {missing[:5]} are missing")
     path = piv.evolve_polygon(spark, s.velocity.polygon, field, steps, height, width, s.periodic, s.velocity.method)
-    moved = path.withColumn("frame", (F.col("step") + s.start).cast("int")).drop("step")
+    moved = settled(path.select((F.col("step") + s.start).cast("int").alias("frame"), "vertex", "x", "y"))
     pixels = label.value_map(label.label_pixels(made["runs"]), made["regions"], "psi_mag").withColumnRenamed("psi_mag", "value")
-    by_time: dict[int, list] = {t: [] for t in times}
-    for r in moved.orderBy("frame", "vertex").collect():
-        if r["frame"] in by_time:
-            by_time[r["frame"]].append((r["x"], r["y"]))
-    parts = [piv.roi_statistics(pixels.where(F.col("frame") == t), polygon, height, width).withColumn("polygon", F.lit(str(polygon))) for t, polygon in by_time.items()]
-    return {"roi_boundaries": moved.select("frame", "vertex", "x", "y"), "roi_statistics": reduce(DataFrame.unionByName, parts)}
+    corners = moved.join(frames.select("frame"), "frame").groupBy("frame").agg(F.sort_array(F.collect_list(F.struct("vertex", "x", "y"))).alias("v"))
+    polygons = corners.select("frame", F.transform("v", lambda v: F.struct(v["x"].alias("x"), v["y"].alias("y"))).alias("polygon"))
+    inside = piv.roi_series(pixels, polygons, height, width).join(polygons.select("frame", F.to_json("polygon").alias("polygon")), "frame")
+    return {"roi_boundaries": moved, "roi_statistics": inside}
 
 
 def plot_tables(tables: Tables) -> Tables:
-    """What plots show: the tables behind histograms, series and curves, ready to draw."""
+    """What plots show: the tables behind histograms, series and curves, ready to draw, of an analysis with all outputs."""
     out = {"histogram": tables["row_bins"], "series": tables["frame_metrics_extended"]}
     q = F.col("anova_q_value_bh")
     floor = tables["spatial_statistics"].agg((F.min(F.when(q > 0, q)) / 2).alias("floor"))

@@ -16,8 +16,8 @@ def _r(expression: str, name: str, digits: int = 6) -> str:
     return f"round({expression}, {digits}) + 0.0 AS {name}"
 
 
-EMB = "emb AS (SELECT label AS frame, vec_id AS id, (CAST(embedding[1] AS DOUBLE) + 1) * 500 AS r, (CAST(embedding[2] AS DOUBLE) + 1) * 500 AS c FROM embeddings)"
-WIDE = "emb AS (SELECT label AS frame, vec_id AS id, ((CAST(embedding[1] AS DOUBLE) + 1) * 500 - 250) * 2 AS r, ((CAST(embedding[2] AS DOUBLE) + 1) * 500 - 250) * 2 AS c FROM embeddings)"
+EMB = "emb AS (SELECT CAST(label + 10 * (vec_id // 500) AS INT) AS frame, vec_id AS id, (CAST(embedding[1] AS DOUBLE) + 1) * 500 AS r, (CAST(embedding[2] AS DOUBLE) + 1) * 500 AS c FROM embeddings)"
+WIDE = "emb AS (SELECT CAST(label + 10 * (vec_id // 500) AS INT) AS frame, vec_id AS id, ((CAST(embedding[1] AS DOUBLE) + 1) * 500 - 250) * 2 AS r, ((CAST(embedding[2] AS DOUBLE) + 1) * 500 - 250) * 2 AS c FROM embeddings)"
 EV = "ev AS (SELECT CAST(day(ts) AS INT) AS frame, event_id AS id, CAST(hour(ts) * 3600 + minute(ts) * 60 + CAST(floor(second(ts)) AS INT) AS DOUBLE) AS r, CAST(user_id AS DOUBLE) AS c, abs(value) AS v FROM events)"
 
 # every triple whose circle holds no other point of its frame
@@ -54,9 +54,17 @@ BOUND = """bound AS (
   FROM emb e)"""
 
 
-def _smoothed(source: str, k: int, self_: int) -> str:
+# rows that wrap: three images of each point, numbered 3 id + 0, 1, 2, and triangles with at least one original corner
+EMB3 = EMB.replace("// 500", "// 200")
+IMAGES = "em3 AS (SELECT frame, id * 3 + i AS id, r + (i - 1) * 1000 AS r, c FROM emb CROSS JOIN range(3) g(i))"
+TRI3 = TRI.replace("emb", "em3").replace("WHERE d <> 0", "WHERE d <> 0 AND (i % 3 = 1 OR j % 3 = 1 OR k % 3 = 1)")
+EDGE3 = EDGE.replace("both_ AS", "both3 AS") + ",\nboth_ AS (SELECT frame, src // 3 AS src, dst // 3 AS dst, th, n, w FROM both3 WHERE src % 3 = 1)"
+_FLAT, _WRAPPED = "(a.r - b.r) ** 2", "least(abs(a.r - b.r), 1000 - abs(a.r - b.r)) ** 2"
+
+
+def _smoothed(source: str, k: int, self_: int, rows: str = _FLAT) -> str:
     return f"""ok AS (SELECT frame, id, r, c, v FROM {source} WHERE v IS NOT NULL),
-near AS (SELECT a.frame, a.id, a.v, b.v AS o, row_number() OVER (PARTITION BY a.frame, a.id ORDER BY (a.r - b.r) ** 2 + (a.c - b.c) ** 2, b.id) AS k
+near AS (SELECT a.frame, a.id, a.v, b.v AS o, row_number() OVER (PARTITION BY a.frame, a.id ORDER BY {rows} + (a.c - b.c) ** 2, b.id) AS k
   FROM ok a JOIN ok b ON a.frame = b.frame AND a.id <> b.id),
 sm AS (SELECT frame, id, (sum(o) + {self_} * any_value(v)) / (count(*) + {self_}) AS s FROM near WHERE k <= {k} GROUP BY ALL)"""
 
@@ -110,12 +118,12 @@ def _complex(weight: str) -> str:
     )
 
 
-G6 = lambda top, step: f"""fr AS (SELECT frame, count(*) AS n, avg(re * re + im * im) AS p2, sqrt(1000000.0 / count(*)) AS a FROM psi GROUP BY frame),
+G6 = lambda top, step, rows="(x.r - y.r) ** 2": f"""fr AS (SELECT frame, count(*) AS n, avg(re * re + im * im) AS p2, sqrt(1000000.0 / count(*)) AS a FROM psi GROUP BY frame),
 fw AS (SELECT *, least({top} * a, 500) AS top, least({step} * a, least({top} * a, 500)) AS w FROM fr),
 ed AS (SELECT frame, a, p2, top, w, unnest(range(CAST(ceil((top + w / 2) / w - 1e-12) AS INT))) * w AS lo FROM fw),
 ed2 AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY lo) - 1 AS bin, coalesce(lead(lo) OVER (PARTITION BY frame ORDER BY lo), CASE WHEN lo < top THEN top END) AS hi FROM ed),
 bins AS (SELECT * FROM ed2 WHERE hi IS NOT NULL),
-pr AS (SELECT x.frame, sqrt((x.r - y.r) ** 2 + (x.c - y.c) ** 2) AS d, x.re * y.re + x.im * y.im AS g FROM psi x JOIN psi y ON x.frame = y.frame AND x.id < y.id),
+pr AS (SELECT x.frame, sqrt({rows} + (x.c - y.c) ** 2) AS d, x.re * y.re + x.im * y.im AS g FROM psi x JOIN psi y ON x.frame = y.frame AND x.id < y.id),
 pb AS (SELECT pr.frame, least(floor(d / w), mb) AS bin, g FROM pr JOIN fw USING (frame) JOIN (SELECT frame, max(bin) AS mb FROM bins GROUP BY frame) USING (frame) WHERE d <= top),
 ag AS (SELECT frame, bin, avg(g) AS g, count(*) AS n FROM pb GROUP BY ALL),
 cu AS (SELECT b.frame, b.bin, (lo + hi) / 2 AS r, g, g / p2 AS gn, coalesce(n, 0) AS n, a FROM bins b LEFT JOIN ag ON ag.frame = b.frame AND ag.bin = b.bin)"""
@@ -154,14 +162,18 @@ def _in_polygon(x: str, y: str) -> str:
     return f"({' + '.join(tests)}) % 2 = 1"
 
 
+YEARS = "fd AS (SELECT CAST(year(l_shipdate) - 1992 AS INT) AS field, floor((l_quantity - 1) / 10) AS x, CAST(l_linenumber AS DOUBLE) AS y, (avg(l_discount) - 0.05) * 1000 AS u, (avg(l_tax) - 0.04) * 1000 AS v FROM lineitem GROUP BY ALL)"
+# field by field in order; each row of the recursion is one vertex
+EVOLVE = """ys AS (SELECT field, row_number() OVER (ORDER BY field) AS n FROM (SELECT DISTINCT field FROM fd)),
+way AS (
+  SELECT * FROM (VALUES (0::BIGINT, 0, 0.5::DOUBLE, 1.5::DOUBLE), (0, 1, 3.2, 2.0), (0, 2, 2.0, 6.1)) t(step, vertex, x, y)
+  UNION ALL
+  SELECT step + 1, vertex, least(greatest(x + m.u, 0), 4), (y + m.v) - 8 * floor((y + m.v) / 8)
+  FROM way JOIN ys ON ys.n = way.step + 1, LATERAL (SELECT first(fd.u ORDER BY (way.x - fd.x) ** 2 + (way.y - fd.y) ** 2, fd.x, fd.y) AS u, first(fd.v ORDER BY (way.x - fd.x) ** 2 + (way.y - fd.y) ** 2, fd.x, fd.y) AS v FROM fd WHERE fd.field = ys.field) m)"""
+
+
 def _evolve() -> str:
-    parts = [PIV, "s0 AS (SELECT * FROM (VALUES (0, 0, 0.5::DOUBLE, 1.5::DOUBLE), (0, 1, 3.2, 2.0), (0, 2, 2.0, 6.1)) t(step, vertex, x, y))"]
-    for i, f in enumerate((40, 41, 42, 43)):
-        parts.append(f"""m{i} AS (SELECT s.step, s.vertex, s.x, s.y, first(fd.u * 100 ORDER BY (s.x - fd.x) ** 2 + (s.y - fd.y) ** 2, fd.x, fd.y) AS u, first(fd.v * 100 ORDER BY (s.x - fd.x) ** 2 + (s.y - fd.y) ** 2, fd.x, fd.y) AS v
-  FROM s{i} s JOIN fd ON fd.field = {f} GROUP BY ALL),
-s{i + 1} AS (SELECT {i + 1} AS step, vertex, least(greatest(x + u, 0), 4) AS x, (y + v) - 8 * floor((y + v) / 8) AS y FROM m{i})""")
-    every = " UNION ALL ".join(f"SELECT * FROM s{i}" for i in range(5))
-    return _with(*parts, select=f"SELECT CAST(step AS INT) AS step, CAST(vertex AS INT) AS vertex, {_r('x', 'x')}, {_r('y', 'y')} FROM ({every})")
+    return _with(YEARS, EVOLVE, select=f"SELECT CAST(step AS INT) AS step, CAST(vertex AS INT) AS vertex, {_r('x', 'x', 5)}, {_r('y', 'y', 5)} FROM way")
 
 
 def _defects() -> str:
@@ -223,6 +235,10 @@ ORACLE_SQL: dict[str, str] = {
     "knn_smooth": _with(EMB, TRI, EDGE, PSI, "src AS (SELECT frame, id, r, c, sqrt(re * re + im * im) AS v FROM psi)", _smoothed("src", 6, 0), select=f"SELECT frame, id AS region_id, {_r('s', 'smoothed', 5)} FROM sm"),
     "boundary_excluded_smooth": _with(EMB, TRI, EDGE, PSI, BOUND, "src AS (SELECT p.frame, p.id, r, c, CASE WHEN NOT flag THEN sqrt(re * re + im * im) END AS v FROM psi p JOIN bound b ON b.frame = p.frame AND b.id = p.id)", _smoothed("src", 3, 1),
         select=f"SELECT src.frame, src.id AS region_id, {_r('coalesce(s, v)', 'smoothed', 5)} FROM src LEFT JOIN sm ON sm.frame = src.frame AND sm.id = src.id"),
+    "voronoi_psi6_periodic": _with(EMB3, IMAGES, TRI3, EDGE3, PSI, select=f"SELECT frame, id AS region_id, {_r('re', 're', 5)}, {_r('im', 'im', 5)}, {_r('sqrt(re * re + im * im)', 'psi_mag', 5)} FROM psi"),
+    "voronoi_neighbours_periodic": _with(EMB3, IMAGES, TRI3, EDGE3, select="SELECT DISTINCT frame, src, dst FROM both_ WHERE src <> dst"),
+    "knn_smooth_periodic": _with(EMB3, IMAGES, TRI3, EDGE3, PSI, "src AS (SELECT frame, id, r, c, sqrt(re * re + im * im) AS v FROM psi)", _smoothed("src", 6, 0, _WRAPPED), select=f"SELECT frame, id AS region_id, {_r('s', 'smoothed', 5)} FROM sm"),
+    "g6_curve_periodic": _with(EMB3, IMAGES, TRI3, EDGE3, PSI, G6(15.0, 0.25, "least(abs(x.r - y.r), 1000 - abs(x.r - y.r)) ** 2"), select=f"SELECT frame, CAST(bin AS INT) AS bin, {_r('r', 'r', 5)}, {_r('g', 'g6', 5)}, {_r('gn', 'g6_normalized', 5)}, n AS pairs, {_r('a', 'spacing', 5)} FROM cu"),
     "pairs_in_range": _with(EMB, select=f"SELECT a.frame, a.id AS i, b.id AS j, {_r('sqrt((a.r - b.r) ** 2 + (a.c - b.c) ** 2)', 'distance')} FROM emb a JOIN emb b ON a.frame = b.frame AND a.id < b.id WHERE (a.r - b.r) ** 2 + (a.c - b.c) ** 2 <= 625"),
     "pairs_in_range_wrapped": _with(EV, "w AS (SELECT a.frame, a.id AS i, b.id AS j, sqrt(least(abs(a.r - b.r) / 60, 1440 - abs(a.r - b.r) / 60) ** 2 + (a.c - b.c) ** 2) AS d FROM ev a JOIN ev b ON a.frame = b.frame AND a.id < b.id)", select=f"SELECT frame, i, j, {_r('d', 'distance')} FROM w WHERE d <= 20"),
     "g6_curve": _with(EMB, TRI, EDGE, PSI, G6(4.0, 0.25), select=f"SELECT frame, CAST(bin AS INT) AS bin, {_r('r', 'r', 5)}, {_r('g', 'g6', 5)}, {_r('gn', 'g6_normalized', 5)}, n AS pairs, {_r('a', 'spacing', 5)} FROM cu"),
@@ -243,6 +259,7 @@ ORACLE_SQL: dict[str, str] = {
     "roi_stats": _with(GRID, f"ar AS (SELECT count(*) AS n FROM range(24) a(i) CROSS JOIN range(30) b(i) WHERE {_in_polygon('b.i', 'a.i')})",
         select=f"SELECT grid.frame, {_r(f'avg(grid.n) FILTER (grid.n >= 4 AND {_in_polygon("c", "r")})', 'average')}, any_value(ar.n) AS geometric_pixels, count(*) FILTER (grid.n >= 4 AND {_in_polygon('c', 'r')}) AS valid_pixels FROM grid CROSS JOIN ar GROUP BY grid.frame"),
     "dft_v1_top_bins": _with(GRID, DENSE, _dft("dense"), V1, TOP, select=f"SELECT frame, CAST(rank AS INT) AS rank, CAST(fr AS INT) AS fr, CAST(fc AS INT) AS fc, {_r('i', 'intensity', 3)}, {_r('sqrt(fr * fr + fc * fc)', 'distance', 3)} FROM tb WHERE rank <= 10"),
+    "dft_v1_mean_distance": _with(GRID, DENSE, _dft("dense"), V1, TOP, select=f"SELECT frame, {_r('avg(sqrt(fr * fr + fc * fc))', 'mean_distance')} FROM tb WHERE rank <= 10 GROUP BY frame"),
     "dft_v1_metric": _with(GRID, DENSE, _dft("dense"), V1, select=f"SELECT frame, {_r('CASE WHEN avg(i) > 0 THEN max(i) / avg(i) ELSE 0 END', 'metric')} FROM v1 GROUP BY frame"),
     "dft_v2_band": _with(GRID, DENSE, HANN, _dft("wn"), BAND, select=f"""SELECT frame, {_r("max(i) FILTER (rad BETWEEN 0.08 AND 0.3)", "eligible_max")}, {_r("avg(i) FILTER (rad BETWEEN 0.08 AND 0.3)", "eligible_mean")}, {_r("max(i) FILTER (rad BETWEEN 0.08 AND 0.3) / avg(i) FILTER (rad BETWEEN 0.08 AND 0.3)", "metric")},
       {_r("sum(i) FILTER (rad > 0 AND rad < 0.08) / sum(i) FILTER (rad > 0)", "low_frequency_power_fraction")}, {_r("sum(i) FILTER (rad BETWEEN 0.08 AND 0.3) / sum(i) FILTER (rad > 0)", "eligible_power_fraction")} FROM bs GROUP BY frame"""),
@@ -268,6 +285,7 @@ ORACLE_SQL: dict[str, str] = {
     "roi_evolve": _evolve(),
     "piv_percentiles": _with(PIV, "sp AS (SELECT quantile_cont(sqrt(u * u + v * v), 0.02) AS lo, quantile_cont(sqrt(u * u + v * v), 0.98) AS hi FROM fd)", select=f"SELECT {_r('lo', 'low')}, {_r('CASE WHEN hi <= lo THEN lo + 1 ELSE hi END', 'high')} FROM sp"),
     "piv_quiver": _with(PIV, "rk AS (SELECT *, dense_rank() OVER (PARTITION BY field ORDER BY x) - 1 AS ix, dense_rank() OVER (PARTITION BY field ORDER BY y) - 1 AS iy FROM fd)", select=f"SELECT field, x, y, {_r('u', 'u')}, {_r('v', 'v')} FROM rk WHERE ix % 2 = 0 AND iy % 2 = 0"),
-    "missing_timepoints": "SELECT CAST(i AS INT) AS timepoint FROM range(96) t(i) WHERE i NOT IN (SELECT (year(o_orderdate) - 1992) * 12 + month(o_orderdate) - 1 FROM orders GROUP BY 1 HAVING count(*) % 7 <> 0)",
+    "missing_timepoints": """WITH d AS (SELECT DISTINCT date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) AS t FROM orders), e AS (SELECT min(t) AS a, max(t) AS b FROM d)
+      SELECT CAST(i AS INT) AS timepoint FROM e, range(e.a, e.b + 1) g(i) WHERE i NOT IN (SELECT t FROM d)""",
     "duplicate_timepoints": "SELECT CAST(date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) AS INT) AS timepoint, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) > 1",
 }

@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 from meshlark.operators import fourier, geometry, label, order, piv, polygons, stats, structure
 from meshlark.operators.joins import range_self_join
 from meshlark.sources import adapters, discovery
+from meshlark.sources.settled import settled
 
 SIDE, DAY = adapters.SIDE, adapters.DAY
 HOURS, DAYS = 24, 30
+#: Ids a frame where rows wrap: three images of each point are triangulated.
+WRAPPED_PER_FRAME = 200
 POLYGON = ((3.0, 2.0), (20.0, 4.0), (26.0, 15.0), (12.0, 21.0), (5.0, 13.0))
 BAND = (0.08, 0.3)
 
@@ -23,15 +26,15 @@ def rounded(df: DataFrame, digits: int = 6, **own: int) -> DataFrame:
     return df.select(*[(F.round(F.col(c), own.get(c, digits)) + 0.0).alias(c) if kinds[c] == "double" else F.col(c) for c in df.columns])
 
 
-def _embedded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Points, and their triangles, kept: ridges, flags and neighbours all come from one tessellation."""
-    points = adapters.regions_of_embeddings(spark, sf_dir)
-    return points, geometry.triangulate(points).persist()
+def _embedded(spark: SparkSession, sf_dir: str, wrap: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """Points, and their triangles, settled: ridges, flags and neighbours all come from one tessellation."""
+    points = adapters.regions_of_embeddings(spark, sf_dir, adapters.PER_FRAME if wrap is None else WRAPPED_PER_FRAME)
+    return points, settled(geometry.triangulate(points, wrap))
 
 
-def _ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points, triangles = _embedded(spark, sf_dir)
-    return points.join(order.psi(points, triangles), ["frame", "region_id"]).persist()
+def _ordered(spark: SparkSession, sf_dir: str, wrap: float | None = None) -> DataFrame:
+    points, triangles = _embedded(spark, sf_dir, wrap)
+    return settled(points.join(order.psi(points, triangles), ["frame", "region_id"]))
 
 
 def harmonic_daily(spark, sf_dir):
@@ -104,7 +107,7 @@ def coordination_defects(spark, sf_dir):
 def spacing_qc(spark, sf_dir):
     points = adapters.regions_of_embeddings(spark, sf_dir)
     shifted = points.withColumns({"row": (F.col("row") - 250) * 2, "col": (F.col("col") - 250) * 2})
-    return rounded(structure.spacing_qc(shifted, geometry.triangulate(shifted).persist(), SIDE, SIDE))
+    return rounded(structure.spacing_qc(shifted, settled(geometry.triangulate(shifted)), SIDE, SIDE))
 
 
 def knn_smooth(spark, sf_dir):
@@ -114,7 +117,7 @@ def knn_smooth(spark, sf_dir):
 def boundary_excluded_smooth(spark, sf_dir):
     points, t = _embedded(spark, sf_dir)
     masked = order.without_boundary(order.psi(points, t), geometry.boundary(points, t, SIDE, SIDE, periodic=False))
-    return rounded(order.smooth(points.join(masked, ["frame", "region_id"]).persist(), 3, include_self=True), 5)
+    return rounded(order.smooth(settled(points.join(masked, ["frame", "region_id"])), 3, include_self=True), 5)
 
 
 def pairs_in_range(spark, sf_dir):
@@ -135,6 +138,25 @@ def decay_lengths(spark, sf_dir):
     return rounded(structure.decay_lengths(structure.g6_curve(_ordered(spark, sf_dir), SIDE, SIDE, periodic=False, max_spacings=4.0, bin_spacings=0.5)), 3)
 
 
+def voronoi_psi6_periodic(spark, sf_dir):
+    points, t = _embedded(spark, sf_dir, SIDE)
+    return rounded(order.psi(points, t, 6), 5)
+
+
+def voronoi_neighbours_periodic(spark, sf_dir):
+    _, t = _embedded(spark, sf_dir, SIDE)
+    return geometry.neighbours(t)
+
+
+def knn_smooth_periodic(spark, sf_dir):
+    return rounded(order.smooth(_ordered(spark, sf_dir, SIDE), 6, height=SIDE), 5)
+
+
+def g6_curve_periodic(spark, sf_dir):
+    """At the default 15 spacings, or half the side."""
+    return rounded(structure.g6_curve(_ordered(spark, sf_dir, SIDE), SIDE, SIDE, periodic=True), 5)
+
+
 def bootstrap_ci(spark, sf_dir):
     regions = _ordered(spark, sf_dir).withColumn("area", F.lit(1.0))
     return rounded(stats.block_bootstrap(regions, SIDE, block=100, replicates=200, seed=7))
@@ -210,6 +232,11 @@ def dft_v1_top_bins(spark, sf_dir):
     return rounded(fourier.top_bins(spec, 10, digits=3).select("frame", "rank", "fr", "fc", "intensity", "distance"), 3)
 
 
+def dft_v1_mean_distance(spark, sf_dir):
+    grid = _dense(spark, sf_dir)
+    return rounded(fourier.mean_bin_distance(fourier.top_bins(fourier.spectrum(grid, HOURS, DAYS), 10, digits=3), grid))
+
+
 def dft_v1_metric(spark, sf_dir):
     return rounded(fourier.legacy_metric(fourier.spectrum(_dense(spark, sf_dir), HOURS, DAYS)))
 
@@ -248,8 +275,10 @@ def _interpolated(method: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def roi_evolve(spark, sf_dir):
-    field = adapters.velocities_of_lineitems(spark, sf_dir).withColumns({c: F.col(c) * 100 for c in ("u", "v")})
-    return rounded(piv.evolve_polygon(spark, [(0.5, 1.5), (3.2, 2.0), (2.0, 6.1)], field, [40, 41, 42, 43], height=8.0, width=5.0, periodic=True, method="nearest"))
+    """A triangle carried through all years of shipping, each a field."""
+    field = settled(adapters.velocities_of_lineitems(spark, sf_dir, yearly=True).withColumns({c: F.col(c) * 1000 for c in ("u", "v")}))
+    years = [r["field"] for r in field.select("field").distinct().orderBy("field").collect()]
+    return rounded(piv.evolve_polygon(spark, [(0.5, 1.5), (3.2, 2.0), (2.0, 6.1)], field, years, height=8.0, width=5.0, periodic=True, method="nearest"), 5)
 
 
 def piv_percentiles(spark, sf_dir):
@@ -261,8 +290,10 @@ def piv_quiver(spark, sf_dir):
 
 
 def missing_timepoints(spark, sf_dir):
-    months = adapters.months_of_orders(spark, sf_dir).where(F.col("n") % 7 != 0)
-    return discovery.missing_timepoints(months, 0, 95)
+    """Days without orders between the first and the last day with some."""
+    days = adapters.days_of_orders(spark, sf_dir)
+    ends = days.agg(F.min("timepoint").alias("first"), F.max("timepoint").alias("last")).first()
+    return discovery.missing_timepoints(days, ends["first"] or 0, ends["last"] or 0)
 
 
 def duplicate_timepoints(spark, sf_dir):
@@ -274,9 +305,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         harmonic_daily, anova_daily, pearson_daily, conclusions, row_bins, complex_summary_cell, complex_summary_area, area_summary,
         finite_and_weighted_means, delaunay_triangles, voronoi_psi6, voronoi_boundary, voronoi_neighbours, coordination_defects, spacing_qc,
-        knn_smooth, boundary_excluded_smooth, pairs_in_range, pairs_in_range_wrapped, g6_curve, decay_lengths, bootstrap_ci, components_grid,
+        knn_smooth, boundary_excluded_smooth, voronoi_psi6_periodic, voronoi_neighbours_periodic, knn_smooth_periodic, g6_curve_periodic, pairs_in_range, pairs_in_range_wrapped, g6_curve, decay_lengths, bootstrap_ci, components_grid,
         component_filter_qc, border_filter, label_map, roll_rows, rectangle_crop, polygon_crop,
-        polygon_fourier, centroid_impulses, pad_center, polygon_display, roi_stats, dft_v1_top_bins, dft_v1_metric, dft_v2_band,
+        polygon_fourier, centroid_impulses, pad_center, polygon_display, roi_stats, dft_v1_top_bins, dft_v1_mean_distance, dft_v1_metric, dft_v2_band,
         dft_v2_pairs, radial_profile, reconstruct, roi_evolve, piv_percentiles, piv_quiver, missing_timepoints, duplicate_timepoints,
     )
 } | {f"piv_{m}": _interpolated(m) for m in piv.METHODS}

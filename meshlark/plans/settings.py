@@ -117,6 +117,51 @@ class Velocity(Checked):
             raise ValueError(f"{prefix}path is required when velocity fields are enabled")
 
 
+@dataclass
+class Outputs(Checked):
+    """Which tables are made; a table that is not wanted is never computed."""
+
+    metrics: bool = rule(True, bool)
+    extended_metrics: bool = rule(True, bool)
+    regions: bool = rule(True, bool)
+    pixels: bool = rule(True, bool)
+    row_bins: bool = rule(True, bool)
+    quality: bool = rule(True, bool)
+    statistics: bool = rule(True, bool)
+    harmonic: bool = rule(True, bool)
+    bootstrap: bool = rule(True, bool)
+    fourier_bins: bool = rule(True, bool)
+    fourier_spectrum: bool = rule(True, bool)
+    band_tables: bool = rule(True, bool)
+    band_spectrum: bool = rule(True, bool)
+    structure: bool = rule(True, bool)
+    roi: bool = rule(True, bool)
+
+    def check_together(self, prefix: str) -> None:
+        if not any(getattr(self, f.name) for f in fields(self)):
+            raise ValueError(f"{prefix[:-1] or 'outputs'} leave nothing to be made")
+
+
+#: The tables of each output.
+TABLES = {
+    "metrics": ("frame_metrics",),
+    "extended_metrics": ("frame_metrics_extended",),
+    "regions": ("regions",),
+    "pixels": ("order_pixels",),
+    "row_bins": ("row_bins",),
+    "quality": ("segmentation_qc",),
+    "statistics": ("spatial_statistics",),
+    "harmonic": ("spatial_statistics_harmonic",),
+    "bootstrap": ("spatial_block_bootstrap",),
+    "fourier_bins": ("fourier_bins",),
+    "fourier_spectrum": ("fourier_spectrum",),
+    "band_tables": ("fourier_v2_pairs", "fourier_v2_radial", "fourier_v2_metrics"),
+    "band_spectrum": ("fourier_v2_spectrum",),
+    "structure": ("g6_correlation", "structure_metrics"),
+    "roi": ("roi_boundaries", "roi_statistics"),
+}
+
+
 @dataclass
 class Settings(Checked):
     folder: str = rule("", str)
@@ -137,6 +182,8 @@ class Settings(Checked):
     bin_size: int = rule(25, int, low=1)
     minutes: float = rule(0.5, float, above=0)
     resume: bool = rule(False, bool)
+    step_frames: int = rule(64, int, low=1)
+    outputs: Outputs = field(default_factory=Outputs)
     filters: Filters = field(default_factory=Filters)
     band: Band = field(default_factory=Band)
     bootstrap: Bootstrap = field(default_factory=Bootstrap)
@@ -209,8 +256,8 @@ def merged(settings: Settings, changes: dict) -> Settings:
 
 
 def canonical(settings: Settings) -> str:
-    """One text for equal settings: sorted names, no spaces; whether to resume doesn't matter."""
-    return json.dumps(asdict(settings) | {"resume": False, "output": None}, sort_keys=True, separators=(",", ":"), allow_nan=False)
+    """One text for equal settings: sorted names, no spaces; whether to resume, and in which steps, doesn't matter."""
+    return json.dumps(asdict(settings) | {"resume": False, "output": None, "step_frames": None}, sort_keys=True, separators=(",", ":"), allow_nan=False)
 
 
 def write_text(path: str | Path, text: str) -> None:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Height and width of the square into which embeddings are mapped.
 SIDE = 1000.0
+#: Vectors with neighbouring ids share a frame, so many at most a label: more vectors give more frames, not larger ones.
+PER_FRAME = 500
 DAY = 86400.0
 
 
@@ -14,10 +16,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def regions_of_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """frame = label; the first two components of the vector are row and column."""
+def regions_of_embeddings(spark: SparkSession, sf_dir: str, per_frame: int = PER_FRAME) -> DataFrame:
+    """frame = label, and ten more with each further block of ids; the first two components are row and column."""
     e = lambda i: (F.get("embedding", F.lit(i)).cast("double") + 1.0) * 500.0
-    return table(spark, sf_dir, "embeddings").select(F.col("label").alias("frame"), F.col("vec_id").alias("region_id"), e(0).alias("row"), e(1).alias("col"))
+    return table(spark, sf_dir, "embeddings").select((F.col("label") + 10 * F.floor(F.col("vec_id") / per_frame)).cast("int").alias("frame"), F.col("vec_id").alias("region_id"), e(0).alias("row"), e(1).alias("col"))
 
 
 def regions_of_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,9 +43,10 @@ def dense_grid(grid: DataFrame, height: int, width: int, value: str = "n") -> Da
     return spine.join(grid.select("frame", "row", "col", F.col(value).cast("double").alias("value")), ["frame", "row", "col"], "left").fillna(0.0, ["value"])
 
 
-def velocities_of_lineitems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """field = month of shipping since 1992; x = quantity band, y = line number; u, v = centred mean discount and tax."""
-    month = (F.year("l_shipdate") - 1992) * 12 + F.month("l_shipdate") - 1
+def velocities_of_lineitems(spark: SparkSession, sf_dir: str, yearly: bool = False) -> DataFrame:
+    """field = month (or year) of shipping since 1992; x = quantity band, y = line number; u, v = centred mean discount and tax."""
+    year = F.year("l_shipdate") - 1992
+    month = year if yearly else year * 12 + F.month("l_shipdate") - 1
     band = F.floor((F.col("l_quantity") - 1) / 10)
     cells = table(spark, sf_dir, "lineitem").groupBy(month.alias("field"), band.cast("double").alias("x"), F.col("l_linenumber").cast("double").alias("y"))
     return cells.agg((F.avg("l_discount") - 0.05).alias("u"), (F.avg("l_tax") - 0.04).alias("v"))
@@ -56,7 +59,6 @@ def regions_of_lineitems(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(F.concat("l_returnflag", "l_linestatus").alias("frame"), (size * F.cos(phase)).alias("re"), (size * F.sin(phase)).alias("im"), F.col("l_quantity").alias("weight"))
 
 
-def months_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """timepoint = month since 1992, n = orders."""
-    month = (F.year("o_orderdate") - 1992) * 12 + F.month("o_orderdate") - 1
-    return table(spark, sf_dir, "orders").groupBy(month.alias("timepoint")).agg(F.count("*").alias("n"))
+def days_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """timepoint = day since 1992, n = orders."""
+    return table(spark, sf_dir, "orders").groupBy(F.datediff("o_orderdate", F.lit("1992-01-01")).alias("timepoint")).agg(F.count("*").alias("n"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,9 +39,14 @@ def settled(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Removes all tables settled so far.  For when the results that came from them are written."""
-    fs = spark.sparkContext._jvm.org.apache.hadoop.fs
-    while _folders:
-        path = fs.Path(_folders.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes, at its end, the tables that were settled inside: for when what came from them is written."""
+    first = len(_folders)
+    try:
+        yield
+    finally:
+        fs = spark.sparkContext._jvm.org.apache.hadoop.fs
+        while len(_folders) > first:
+            path = fs.Path(_folders.pop())
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
