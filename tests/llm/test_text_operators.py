@@ -28,8 +28,13 @@ def rows(df, key="doc_id"):
 # 1 fingerprints
 
 
+def paragraphs(text):
+    cut = re.findall(r"[^\n.!?]{0,256}+[\n.!?]++|[^\n.!?]{1,256}+", text)
+    return {x.strip(" \n\r\t") for x in cut} - {""}
+
+
 def likeness(a, b):
-    a, b = ({x for x in t.split("\n") if x} for t in (a, b))
+    a, b = paragraphs(a), paragraphs(b)
     return 1.0 if not a and not b else 1 - len(a ^ b) / (len(a) + len(b))
 
 
@@ -45,10 +50,12 @@ def test_fingerprints(spark, texts):
         assert (r["n_chars"], r["edited_sha256"]) == (len(text), sha(edited))
         assert r["near_edited"] == pytest.approx(likeness(text, edited))
         assert r["near_next"] == pytest.approx(likeness(text, following))
+        own, new = paragraphs(text), paragraphs(edited)
+        assert (len(r["only_text"]), len(r["only_edited"])) == (len(own - new), len(new - own))
     by_text = defaultdict(set)
     for d, r in got.items():
         by_text[texts[d]].add(r["fingerprint"])
-    assert all(len(x) == 1 for x in by_text.values())
+    assert all(len(x) == 1 for x in by_text.values()) and len({x for y in by_text.values() for x in y}) == len(by_text)
 
 
 def test_fingerprints_of_large_texts_in_parts(spark):
@@ -58,13 +65,35 @@ def test_fingerprints_of_large_texts_in_parts(spark):
     assert got[2]["near_next"] == pytest.approx(likeness(a, b))
 
 
+def test_fingerprints_of_very_long_texts(spark):
+    a = "\n".join(f"line {i}" for i in range(60_000))
+    b = a.replace("line 777\n", "another\n")
+    got = rows(fingerprints.fingerprint_versions(spark.createDataFrame([(2, a), (1, b), (0, "x" * 1_000_000)], "doc_id long, text string")))
+    assert got[2]["near_next"] == pytest.approx(1 - 2 / 120_000) and got[0]["n_chars"] == 1_000_000
+
+
+def test_sketches_give_the_digests_that_differ(spark):
+    own = [i * 0x9E3779B97F4A7C1 - (1 << 62) for i in range(200)]
+    for a, b in (([], []), (own[:1], []), (own[:3], own[1:5]), (own[:150], own[5:160]), (own, own[::-1])):
+        df = spark.createDataFrame([(sorted(a), sorted(b))], "a array<bigint>, b array<bigint>")
+        col = fingerprints.F.col
+        found = df.select(fingerprints.differing(col("a"), col("b"), fingerprints.sketch(col("a")), fingerprints.sketch(col("b"))).alias("x")).first()["x"]
+        assert sorted((x["s"], x["d"]) for x in found) == sorted([(1, x) for x in set(a) - set(b)] + [(-1, x) for x in set(b) - set(a)])
+
+
 def test_neighbours_across_slices(spark):
     ids = [-(1 << 62), -5, 0, 3, 10, 1 << 40, (1 << 63) - 1, None]
     docs = spark.createDataFrame([(i, f"t{i}") for i in ids], "doc_id long, text string")
-    for per_slice in (1, 3, 100):
-        got = {r["text"]: r["next_text"] for r in fingerprints.with_next(docs, per_slice=per_slice).collect()}
-        order = [f"t{i}" for i in sorted(ids[:-1], reverse=True)] + ["tNone"]
-        assert got == {a: b for a, b in zip(order, order[1:] + order[:1])}
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for slices in ("1", "3", "40"):
+            spark.conf.set("spark.sql.shuffle.partitions", slices)
+            rows_ = docs.selectExpr("coalesce(doc_id, -9223372036854775808) AS at", "doc_id IS NOT NULL AS there", "hash(text) AS key")
+            got = {(r["at"], r["there"]): (r["next"]["at"], r["next"]["there"]) for r in fingerprints.neighbours(rows_).collect()}
+            order = [(i, True) for i in sorted(ids[:-1], reverse=True)] + [(-(1 << 63), False)]
+            assert got == dict(zip(order, order[1:] + order[:1]))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
 def test_fingerprints_of_odd_rows(odd, empty):
