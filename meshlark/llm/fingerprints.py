@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from meshlark.llm.common import settle, text_or_empty
 
-#: A paragraph ends with its sentence or line; one without an end is cut after so many characters.
-PARAGRAPH = r"[^\n.!?]{0,256}+[\n.!?]++|[^\n.!?]{1,256}+"
+#: A paragraph is a line; a longer one is cut at the first end of a sentence after 200 characters, or after 300.
+PARAGRAPH = r"[^\n]{1,200}+[^\n.!?]{0,100}+[.!?]*+"
 #: A sketch has three sub-tables with so many cells each; a digest has one cell in each sub-table.
 TABLES, CELLS = 3, 4
 #: More rounds than any sketch of this size needs; those after the last cost nothing.

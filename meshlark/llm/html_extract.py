@@ -190,6 +190,8 @@ def main_text(html: str, low: frozenset[int]) -> str:
     return " ".join(blocks)
 
 
+#: Rows of nodes that are held at most, but for those of one page.
+FLUSH = 4096
 _ROWS = "host string, page long, above long, path long, name string, beside boolean, content long, share double, links double, blocks double"
 
 
@@ -199,17 +201,24 @@ def page_nodes(pages: DataFrame) -> DataFrame:
     names = [x.split()[0] for x in _ROWS.split(", ")]
     kinds = [pa.string(), *[pa.int64()] * 3, pa.string(), pa.bool_(), pa.int64(), *[pa.float64()] * 3]
 
+    def pack(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows)) or [[]] * len(names)
+        return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for host, html, page in zip(*[batch.column(i).to_pylist() for i in range(3)]):
-                nodes = style_nodes(parse(html))
+            rows: list[tuple] = []
+            for host, html, page in zip(*[batch.column(i) for i in range(3)]):
+                host, page = host.as_py(), page.as_py()
+                nodes = style_nodes(parse(html.as_py()))
                 for path, (above, name, content, size, links, blocks) in nodes.items():
                     if path:
                         beside = said_beside(*name.split(".", 1))
                         rows.append((host, page, above, path, name, beside, content, size / nodes[above][3], links / size, float(blocks)))
-            columns = list(zip(*rows)) or [[]] * len(names)
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+                if len(rows) >= FLUSH:
+                    yield pack(rows)
+                    rows = []
+            yield pack(rows)
 
     return pages.select("host", "html", "page").mapInArrow(run, _ROWS)
 

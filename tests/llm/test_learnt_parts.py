@@ -82,7 +82,7 @@ def brute(texts, rounds=3, least=5, sure=0.9):
         best = dict.fromkeys(score, 0.0)
         for p, i in edges:
             best[i] = max(best[i], sure_.get(p, 0.0))
-        score = {i: 1.0 if i in seeds else best[i] for i in score}
+        score = {i: 1.0 if i in seeds or best[i] >= sure else best[i] for i in score}
     new = {(d, s, e) for d, s, e, x, seed in judged if not seed and score[x] >= sure}
     return {x for x in new if not any(y[0] == x[0] and y[1] <= x[1] and y[2] >= x[2] and y != x for y in new)}
 
@@ -104,15 +104,15 @@ def prose(rng, n):
 def test_planted_identifiers(spark):
     """Badge numbers that no base pattern knows: learnt from mails in the same places, then from their own shape."""
     rng, docs, want = random.Random(5), {}, set()
-    for d in range(300):
+    for d in range(500):
         text = prose(rng, 20)
-        if d < 60:
+        if d < 400:
             text += f" staff badge u{d}@corp.example here " + prose(rng, 10)
-        elif d < 110:
+        elif d < 430:
             text += " staff badge "
             want.add((d, len(text), len(text) + 10))
             text += f"QX-{10000 + d}-z here " + prose(rng, 10)
-        elif d < 130:  # other places, the same shape
+        elif d < 432:  # other places, the same shape
             text += " somewhere "
             want.add((d, len(text), len(text) + 10))
             text += f"QX-{10000 + d}-z, " + prose(rng, 10)
@@ -128,7 +128,7 @@ def test_long_words_and_long_identifiers(spark):
     docs = [(i, f"my {long} user{i}@host.org ok") for i in range(40)] + [(100, f"my {long} {'k7' * 60} ok")]
     got = rows(pii.pii_report(spark.createDataFrame(docs, "doc_id long, text string")))
     assert got[100]["spans"] == f"id:{4 + len(long)}:{4 + len(long) + 120}"
-    secret = spark.createDataFrame([(1, f"client_id={'a' * 90} and token = abcdef")], "doc_id long, text string")
+    secret = spark.createDataFrame([(1, f"client_id={'q' * 90} and token = abcdef")], "doc_id long, text string")
     assert secret_scan.secret_report(secret).first()["spans"] == "id:0:100,assign:105:119"
 
 
@@ -158,7 +158,7 @@ def test_linked_parts_against_brute_force(spark):
 
 
 def test_scopes_and_entropy(spark):
-    key, word = "Zx9Qw8Er7Ty6Ui5Op4As3Df2", "aaaaaaaaaaaaaaaaaaaaaaaaaaaa1"
+    key, word = "Zx9Qw8Er7Ty6Ui5Op4As3Df2", "zzzzzzzzzzzzzzzzzzzzzzzzzzzz1"
     docs = [(1, f"login: bob7\n\n{key}"), (2, f"login: bob7\n{key}"), (3, f"login: bob7 {word}"), (4, f"ann@corp.example {key} 10.0.0.7:5432"), (5, "ann@corp.example 10.0.0.7:5432"), (6, f"[a]\nlogin=bob7\n[b]\nx={key}")]
     got = {d: [x.split(":")[0] for x in r["spans"].split(",") if x] for d, r in rows(secret_scan.secret_report(spark.createDataFrame(docs, "doc_id long, text string"))).items()}
     assert got == {1: [], 2: ["id", "key"], 3: [], 4: ["user", "key", "endpoint"], 5: [], 6: []}

@@ -29,7 +29,7 @@ def rows(df, key="doc_id"):
 
 
 def paragraphs(text):
-    cut = re.findall(r"[^\n.!?]{0,256}+[\n.!?]++|[^\n.!?]{1,256}+", text)
+    cut = re.findall(r"[^\n]{1,200}+[^\n.!?]{0,100}+[.!?]*+", text)
     return {x.strip(" \n\r\t") for x in cut} - {""}
 
 
@@ -73,7 +73,7 @@ def test_fingerprints_of_very_long_texts(spark):
 
 
 def test_sketches_give_the_digests_that_differ(spark):
-    own = [i * 0x9E3779B97F4A7C1 - (1 << 62) for i in range(200)]
+    own = [i * 0x9E3779B97F4A7C15 % (1 << 64) - (1 << 63) for i in range(200)]
     for a, b in (([], []), (own[:1], []), (own[:3], own[1:5]), (own[:150], own[5:160]), (own, own[::-1])):
         df = spark.createDataFrame([(sorted(a), sorted(b))], "a array<bigint>, b array<bigint>")
         col = fingerprints.F.col
@@ -381,6 +381,19 @@ def level(sizes, weights=(3, 1, 2), share=1.5, most=2):
     return out
 
 
+def test_mixing_spreads_documents_without_ids(spark):
+    docs = spark.range(4000).selectExpr("CAST(NULL AS long) AS doc_id", "concat('w ', id) AS text", "IF(id % 4 = 0, 'b', 'a') AS source")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    taken = []
+    try:
+        for n in ("4", "600"):  # three digits of the hash, or four
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            taken.append(sorted((r["kept_text"], r["taken"]) for r in mixing.mix(docs, keep=["text"]).coalesce(4).collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert taken[0] == taken[1] and len(taken[0]) == 4000 and sum(t for _, t in taken[0]) == 12000
+
+
 def test_mixing_of_odd_rows(odd, empty):
     got = mixing.mix(odd, keep=["text"]).collect()
     assert len(got) == odd.count() and {r["taken"] for r in got if r["doc_id"] in (2, 3, 4)} == {0}
@@ -420,6 +433,46 @@ def test_language_of_odd_rows(odd, empty):
     assert language.drop_unidentified(odd).columns == odd.columns
 
 
+def test_language_against_brute_force(spark, documents):
+    """The posterior of the given tables, computed apart from the plan from the same text likelihoods."""
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    languages, model = language.train(documents.select("text", "lang"))
+    host, suffix = language.address_parts(language.F.col("url"))
+    said = language.F.expr("nullif(lower(regexp_extract(html, '(?i)<html[^>]* lang=\"?([a-z]{2,3})', 1)), '')")
+    rows_ = language.likelihoods(pages.select("page_id", language.F.col("html").alias("text"), said.alias("declared"), suffix.alias("suffix"), host.alias("host")), model, markup=True)
+    got = {r["page_id"]: r for r in language.identify(rows_, languages).collect()}
+    rows_ = rows_.collect()
+    n, m, strength, unknown = len(languages), len(languages) + 1, 10.0, 0.001
+    start = np.array([(1 - unknown) / n] * n + [unknown])
+    base = np.array([r["text_ll"] for r in rows_]) * 0.3
+
+    def norm(x):
+        x = np.exp(x - x.max(axis=-1, keepdims=True))
+        return x / x.sum(axis=-1, keepdims=True)
+
+    p = norm(base + np.log(start))
+    keys = [(r["host"], r["suffix"]) for r in rows_]
+    total = p.sum(axis=0)
+    above = (total + strength * start) / (total.sum() + strength)
+    by = lambda key, of: {k: sum(x for x, r in zip(p, of) if r == k) for k in set(of)}
+    suffixes = {k: (x + strength * above) / (x.sum() + strength) for k, x in by(1, [k[1] for k in keys]).items()}
+    hosts = {k: (x + strength * suffixes[k[1]]) / (x.sum() + strength) for k, x in by(0, keys).items()}
+    told = [None if r["declared"] is None else r["declared"] if r["declared"] in languages else "other" for r in rows_]
+    sums = {k: x for k, x in by(2, told).items() if k is not None}
+    odds = {k: np.log((x + 1) / (total + len(sums) + 1)) for k, x in sums.items()} | {None: np.zeros(m)}
+    post = norm(base + np.array([odds[t] for t in told]) + np.log(np.array([hosts[k] for k in keys])))
+    for r, x in zip(rows_, post):
+        assert got[r["page_id"]]["lang"] == [*languages, "und"][int(x.argmax())] and got[r["page_id"]]["confidence"] == pytest.approx(x.max())
+
+
+def test_language_keeps_clashing_columns(spark):
+    rows_ = [(i, "die der und ist nicht " * 5, "h", 1, 2, 3, 4, 5) for i in range(3)]
+    df = spark.createDataFrame(rows_, "doc_id long, text string, host string, told int, base int, p int, prior int, post int").selectExpr("*", "NULL AS declared", "'de' AS suffix")
+    languages, model = language.train(df.selectExpr("text", "'de' AS lang"))
+    got = language.identify(language.likelihoods(df.withColumn("declared", df.declared.cast("string")), model), languages).collect()
+    assert [(r["told"], r["base"], r["p"], r["prior"], r["post"]) for r in got] == [(1, 2, 3, 4, 5)] * 3
+
+
 # 10 secrets
 
 
