@@ -134,7 +134,7 @@ def style_nodes(root: Node) -> dict[int, list]:
                 order.append((x, path if x.tag in INLINE else _below(path, x.name), path))
     said: dict[int, tuple[str, int, int]] = {}
     out: dict[int, list] = {}
-    blocks = {path for node, _, path in order if node.tag not in INLINE}
+    blocks = {path for node, _, path in order if node.tag not in INLINE and node.tag not in VOID}
     for node, path, above in reversed(order):
         texts, size, links = [], 0, 0
         for x in node.parts:

@@ -25,7 +25,7 @@ def test_host_of_copies(spark, copies):
 
 def test_values_of_few_kinds(spark):
     """A yes/no column and recurring headings stay, in one page and over a large host."""
-    column = [["yes" if i * 7 % 11 % (k + 2) else "no" for i in range(60)] for k in range(3)]
+    column = [["yes" if i * 7 % 11 % (k + 2) else "no" for i in range(300)] for k in range(3)]
     rows = lambda cells: "".join(f"<tr><td>{c}</td></tr>" for c in cells)
     assert texts(spark, [BODY.format("One", "page", rows(column[0]))]) == [" ".join(["One page", *column[0]])]
     pages = [BODY.format(f"Part {i % 10}", f"Story {i}", rows(column[i % 3])) for i in range(3000)]
