@@ -26,6 +26,8 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Evidence, not a verdict: elements and names that mostly stand beside the main text, and elements that hold it.
 BESIDE = frozenset("nav footer aside menu".split())
 MAIN = frozenset("main article".split())
+#: Elements that are text themselves: what stands beside a larger block says nothing against them.
+PROSE = frozenset("p blockquote pre ul ol dl table figure".split())
 _NAME = r"(?:ads?|adv|adverts?|advertisement|advertising|banner|breadcrumbs?|comments?|cookies?|consent|footer|menu|nav|navbar|navigation|newsletter|notices?|popup|promo|related|respond|share|sharing|sidebar|social|sponsor|sponsored|subscribe|toolbar|widget)"
 _WHERE = r"(?:site|main|page|top|bottom|global|primary|secondary|left|right|mobile|user|header|footer|side|cookie|social|share|post|article|entry|google)"
 _PIECE = r"(?:bar|box|list|links?|buttons?|icons?|form|popup|modal|banner|notice|consent|overlay|container|slot|unit|section|area|menu|block|posts|articles|signup|wrapper)"
@@ -86,7 +88,7 @@ def parse(html: str) -> Node:
                 if stack[k].tag in ("article", "main", "body") and tag in INLINE | {"p"}:
                     break
             continue
-        if tag not in INLINE:  # a block ends an open paragraph
+        if tag not in INLINE and tag not in RAW and tag != "br":  # a block ends an open paragraph
             for k in range(len(stack) - 1, 0, -1) if open_["p"] else ():
                 if stack[k].tag == "p":
                     shut(k)
@@ -234,7 +236,7 @@ def style_tree(nodes: DataFrame, copies: DataFrame, strength: float = 5.0) -> Da
     Importance is variety times the text outside links times the weight of the node's presentation.  A node whose
     name stands for something beside the main text weighs as much as the text that it holds of what is above.  Others
     weigh 1, unless they stand beside a block of blocks that holds most of the text above: then they weigh by their
-    size relative to a fifth of it.  Importance doesn't depend on the size of the host.  Headings, html and body have 1:
+    size relative to a fifth of it; paragraphs, lists and tables don't.  Importance doesn't depend on the size of the host.  Headings, html and body have 1:
     they go with the branch that they are in."""
     keys = ["host", "above", "path", "name", "beside"]
     weighed = nodes.join(copies, ["host", "page"], "left").withColumn("w", 1 / F.coalesce("copies", F.lit(1)))
@@ -249,9 +251,9 @@ def style_tree(nodes: DataFrame, copies: DataFrame, strength: float = 5.0) -> Da
     like = lambda x: ((F.col(x) + strength * F.col(f"{x}_0")) / (F.col("m") + strength)).alias(x)
     variety = (F.col("m") - F.col("most") + strength * F.col("variety_0")) / (chances + strength)
     smooth = own.join(every, "name").select(*keys, variety.alias("variety"), like("share"), like("links"), like("blocks"))
-    main = smooth.where((F.col("blocks") >= 0.5) & ~F.col("beside")).groupBy("host", "above").agg(F.max("share").alias("main")).where(F.col("main") >= 0.5)
     tag = F.substring_index("name", ".", 1)
-    weight = F.when(F.col("beside"), F.least("share", F.lit(1.0))).otherwise(F.least(F.lit(1.0), F.coalesce(F.col("share") / (0.2 * F.col("main")), F.lit(1.0))))
+    main = smooth.where((F.col("blocks") >= 0.5) & ~F.col("beside") & ~tag.isin(*sorted(PROSE))).groupBy("host", "above").agg(F.max("share").alias("main")).where(F.col("main") >= 0.5)
+    weight = F.when(F.col("beside"), F.least("share", F.lit(1.0))).when(tag.isin(*sorted(PROSE)), 1.0).otherwise(F.least(F.lit(1.0), F.coalesce(F.col("share") / (0.2 * F.col("main")), F.lit(1.0))))
     weight = weight * F.when(tag.isin(*sorted(MAIN)), 1.5).otherwise(1.0)
     importance = F.when(tag.isin(*sorted(HEADINGS), "html", "body"), 1.0).otherwise(F.round(F.col("variety") * (1 - F.col("links")) * weight, 9))
     return smooth.join(main, ["host", "above"], "left").select("host", "path", importance.alias("importance"))
