@@ -138,7 +138,7 @@ def roi_series(pixels: DataFrame, polygons: DataFrame, height: int, width: int,
     ok = finite(value)
     found = inside.groupBy("frame").agg(F.avg(F.when(ok, F.col(value))).alias("average"), F.count_if(ok).alias("valid_pixels"))
     clip = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(float(width)), F.ceil(c).cast("double")))
-    lines = polygons.select("frame", "polygon", F.explode(F.sequence(F.lit(0), F.lit(height - 1))).cast("double").alias("y")).select("frame", _crossings(F.col("polygon"), F.col("y")).alias("at"))
+    lines = polygons.select("frame", "polygon", F.explode(F.transform(F.sequence(F.lit(0), F.lit(height - 1)), lambda y: y.cast("double"))).alias("y")).select("frame", _crossings(F.col("polygon"), F.col("y")).alias("at"))
     # inside lies between the first and second crossing, the third and fourth, and so on
     signed = F.transform("at", lambda c, i: F.when(i % 2 == 1, clip(c)).otherwise(-clip(c)))
     areas = lines.groupBy("frame").agg(F.sum(F.aggregate(signed, F.lit(0.0), lambda a, c: a + c)).cast("long").alias("geometric_pixels"))

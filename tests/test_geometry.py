@@ -159,3 +159,19 @@ def test_correlation_of_constant_order(spark):
     df = frame(spark, points).withColumns({"re": F.lit(0.6), "im": F.lit(0.8)})
     curve = structure.g6_curve(df, 100, 100, True).collect()
     assert all(r["g6_normalized"] == pytest.approx(1) for r in curve if r["pairs"]) and sum(r["pairs"] for r in curve) > 500
+
+
+def test_triangles_of_many_and_of_lattice_points():
+    rng = np.random.default_rng(9)
+    points = rng.random((3000, 2)) * 1000
+    made = geometry.delaunay(points)
+    assert len(made) < 2 * 3000 and len(set(made.ravel().tolist())) == 3000
+    for t in made[rng.integers(0, len(made), 200)]:
+        a, b, c = points[t]
+        d = 2 * ((b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0]))
+        m = a + np.array([(c[1] - a[1]) * ((b - a) ** 2).sum() - (b[1] - a[1]) * ((c - a) ** 2).sum(), (b[0] - a[0]) * ((c - a) ** 2).sum() - (c[0] - a[0]) * ((b - a) ** 2).sum()]) / d
+        assert (((points - m) ** 2).sum(axis=1) < ((a - m) ** 2).sum() * (1 - 1e-9)).sum() == 0
+    grid = np.array([(i, j) for i in range(15) for j in range(15)], float)
+    corners = grid[geometry.delaunay(grid)]
+    twice = (corners[:, 1, 0] - corners[:, 0, 0]) * (corners[:, 2, 1] - corners[:, 0, 1]) - (corners[:, 1, 1] - corners[:, 0, 1]) * (corners[:, 2, 0] - corners[:, 0, 0])
+    assert np.abs(twice).sum() / 2 == 14 * 14

@@ -168,3 +168,24 @@ def test_polygons(spark):
     assert moved.first()["y"] == 3 and polygons.from_display(moved, 20, 5).first()["y"] == 18
     with pytest.raises(ValueError):
         polygons.pad_center(g, 6, 7, 5, 9)
+
+
+def test_region_series_is_each_frame_by_itself(spark):
+    rng = np.random.default_rng(2)
+    rows = [(t, r, c, float(rng.random())) for t in range(3) for r in range(20) for c in range(25) if rng.random() < 0.8]
+    pixels = spark.createDataFrame(rows, "frame int, row int, col int, value double")
+    shapes = {0: [(2.0, 3.0), (20.0, 4.0), (11.5, 17.2)], 1: [(0.0, 0.0), (24.0, 0.0), (24.0, 19.0), (0.0, 19.0)], 2: [(-3.0, 5.0), (30.0, 6.0), (12.0, 30.0), (9.0, 9.0)]}
+    polygons = spark.createDataFrame([(t, v) for t, v in shapes.items()], "frame int, polygon array<struct<x:double,y:double>>")
+    got = {r["frame"]: tuple(r)[1:] for r in piv.roi_series(pixels, polygons, 20, 25).collect()}
+    for t, shape in shapes.items():
+        one = tuple(piv.roi_statistics(pixels.where(f"frame = {t}"), shape, 20, 25).first())[1:]
+        assert got[t][1:] == one[1:] and got[t][0] == pytest.approx(one[0])
+
+
+def test_nearest_samples_against_all_pairs(spark):
+    rng = np.random.default_rng(6)
+    field = [(f, float(x), float(y), float(i), 0.0) for f in range(2) for i, (x, y) in enumerate(rng.random((150, 2)) * 50)]
+    points = [(f, i, float(x), float(y)) for f in range(2) for i, (x, y) in enumerate(np.vstack([rng.random((80, 2)) * 50, [[-400.0, 7.0], [999.0, 999.0]]]))]
+    got = {(r["field"], r["point"]): r["u"] for r in piv.nearest(spark.createDataFrame(points, "field int, point int, x double, y double"), spark.createDataFrame(field, "field int, x double, y double, u double, v double")).collect()}
+    for f, i, x, y in points:
+        assert got[f, i] == min((s for s in field if s[0] == f), key=lambda s: (s[1] - x) ** 2 + (s[2] - y) ** 2)[3]

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from meshlark.__main__ import main
+from meshlark.operators import piv
 from meshlark.plans import analysis, run, settings
 from meshlark.sources import discovery, frames
 from meshlark.streaming import frames as stream
@@ -106,6 +107,74 @@ def test_run_and_resume(spark, folder):
     assert set(again) == set(paths) and before == {p.name: p.read_bytes() for p in (out / "csv").glob("*.csv")}
     with pytest.raises(ValueError, match="changed"):
         run.run(spark, settings.merged(s, {"resume": True, "n_fold": 4}))
+    small = (out / "csv/frame_metrics.csv").read_text().splitlines()
+    assert small[0] == "frame,path,region_count,mean_psi_magnitude,mean_smoothed_psi_magnitude,fourier_metric" and len(small) == 4
+    assert set(note["inputs"]) == {r["path"] for r in discovery.discover(spark, s.folder, s.pattern).select("path").collect()}
+    spectra = spark.read.parquet(str(out / "parquet/fourier_spectrum"))
+    assert spectra.count() == 3 * 32 * 32 and spark.read.parquet(str(out / "parquet/fourier_v2_spectrum")).count() == 3 * 32 * 32
+    pixels = spark.read.parquet(str(out / "parquet/order_pixels"))
+    assert {"row", "col", "psi_mag", "smoothed"} <= set(pixels.columns) and pixels.select("frame").distinct().count() == 3
+
+
+class Killed(BaseException):
+    pass
+
+
+class Near(float):
+    """Equal to texts of numbers that differ only in how sums were taken."""
+
+    def __eq__(self, other):
+        return float(other) == pytest.approx(float(self))
+
+
+def few(folder, **more):
+    wanted = dict.fromkeys(settings.TABLES, False) | {"metrics": True, "statistics": True}
+    return made(folder, rectangle=None, step_frames=1, outputs=wanted, **more)
+
+
+def test_a_killed_run_goes_on(spark, folder, monkeypatch):
+    s, out, seen = few(folder), folder.parent / "out", []
+    analyze = run.analyze
+
+    def dies(spark, pixels, frames_, *rest):
+        seen.append(sorted(r["frame"] for r in frames_.select("frame").collect()))
+        if len(seen) == 3:
+            raise Killed
+        return analyze(spark, pixels, frames_, *rest)
+
+    monkeypatch.setattr(run, "analyze", dies)
+    with pytest.raises(Killed):
+        run.run(spark, s)
+    assert seen == [[1], [2], [4]] and json.loads((out / "manifest.json").read_text())["status"] == "failed"
+    assert [list(x["frames"]) for x in json.loads((out / "finished.json").read_text())["steps"]] == [["1"], ["2"]]
+    paths = run.run(spark, settings.merged(s, {"resume": True}))
+    assert seen == [[1], [2], [4], [4]] and set(paths) == {"frame_metrics", "spatial_statistics"}
+    tables = lambda d: {p.name: [x.split(",") for x in p.read_text().splitlines()] for p in (d / "csv").glob("*.csv")}
+    number = lambda x: Near(x) if x[:1].isdigit() else x
+    resumed = tables(out)
+    whole = settings.merged(s, {"output": str(folder.parent / "whole"), "step_frames": 64})
+    run.run(spark, whole)
+    assert resumed == {n: [[number(x) for x in row] for row in t] for n, t in tables(folder.parent / "whole").items()}
+    # what has changed since is refused: an input, then a written file
+    resume = settings.merged(s, {"resume": True})
+    np.save(folder / "a_T0002_seg.npy", image(5))
+    with pytest.raises(ValueError, match="time point 2 has changed"):
+        run.run(spark, resume)
+    np.save(folder / "a_T0002_seg.npy", image(2))
+    part = next((out / "steps").rglob("*.parquet"))
+    part.write_bytes(part.read_bytes() + b"x")
+    with pytest.raises(ValueError, match="has changed since it was written"):
+        run.run(spark, resume)
+
+
+def test_outputs_by_choice(spark, folder, capsys):
+    with pytest.raises(ValueError, match="nothing"):
+        made(folder, outputs=dict.fromkeys(settings.TABLES, False))
+    assert main(["analyze", "--folder", str(folder), "--no-fourier", "--rectangle", "0,8,0,8"], spark) == 2
+    assert "contradicts" in capsys.readouterr().err
+    with pytest.raises(ValueError, match="different grids"):
+        piv.check_shared_grid(spark.createDataFrame([(0, 0.0, 0.0), (0, 1.0, 0.0), (1, 0.0, 0.0), (1, 1.5, 0.0)], "field int, x double, y double"))
+    piv.check_shared_grid(spark.createDataFrame([(0, 0.0, 0.0), (1, 0.0, 0.0)], "field int, x double, y double"))
 
 
 def test_strict_and_failed_runs(spark, folder):
