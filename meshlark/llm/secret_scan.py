@@ -42,7 +42,7 @@ WEAK = (
     ),
 )
 #: Where one scope ends and the next begins: blank lines, headings of sections, rules.
-BREAK = Kind("break", r"\n[ \t]*+\n\s*+|\n(?=\[[^\]\n]++\])|\n(?=---|===|#)", lambda text: F.contains(text, F.lit("\n")))
+BREAK = Kind("break", r"\n[ \t]*+\n\s*+|\n(?=\[[^\]\n]++\])|\n(?=---|===|#)", _holds(r"\n(?:[ \t]*+\n|\[|---|===|#)"))
 IDENTIFIERS, SECRETS = ("id", "user", "access"), ("key", "assign", "hex")
 
 
