@@ -29,7 +29,7 @@ def settled(df: DataFrame) -> DataFrame:
         folder = tempfile.mkdtemp(prefix="meshlark-")
         sc.setCheckpointDir(folder)
     path = f"{folder.rstrip('/')}/settled-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEAN)
+    before = spark.conf.get(_CLEAN, "false")
     spark.conf.set(_CLEAN, "true")
     try:
         df.write.parquet(path)
