@@ -213,7 +213,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 #: Min-hashes of a text: bands of rows.  At similarity 0.8 a pair shares no band once in 300,000 pairs.
 BANDS, ROWS = 32, 5
-_MIX = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
+#: Min-hashes of a sketch: those of the bands, and more that make candidates surer.
+HASHES = 2 * BANDS * ROWS
+_MIX = np.random.default_rng(SEED).integers(0, 1 << 63, (2, HASHES), np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingle_hashes(text: str, shingle: int) -> np.ndarray:
@@ -225,7 +227,7 @@ def shingle_hashes(text: str, shingle: int) -> np.ndarray:
 
 
 def min_hashes(hashes: np.ndarray) -> np.ndarray:
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    least = np.full(HASHES, np.iinfo(np.uint64).max, np.uint64)
     for i in range(0, len(hashes), 1 << 12):
         least = np.minimum(least, (hashes[i : i + (1 << 12), None] * _MIX[0] + _MIX[1]).min(axis=0))
     return (least >> np.uint64(32)).astype(np.uint32)
@@ -243,7 +245,7 @@ def _sketches(docs: DataFrame, shingle: int) -> DataFrame:
                 least = min_hashes(hashes)
                 nodes.append(_signed(of(hashes.tobytes(), SEED)))
                 sketches.append(least.astype(np.uint8).tobytes())
-                bands.append([_signed(of(x.tobytes(), i)) for i, x in enumerate(least.reshape(BANDS, ROWS))])
+                bands.append([_signed(of(x.tobytes(), i)) for i, x in enumerate(least[: BANDS * ROWS].reshape(BANDS, ROWS))])
             columns = [batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(sketches, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
             yield pa.record_batch(columns, names=["doc_id", "key", "node", "sketch", "bands"])
 
@@ -313,8 +315,9 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
 
     Documents are linked if the Jaccard similarity of their sets of ``shingle`` words is at least ``similarity``;
     every link is checked on the sets.  Candidates share a bucket (a band of min-hashes).  First each node is held
-    against one node of each of its buckets, then against all nodes of its buckets that are not yet in its component,
-    unless their sketches differ too much (4.5 standard deviations).  So a group of near copies costs rows in
+    against two nodes of each of its buckets: any one, and the one that meets most others in its buckets, which is what
+    copies of one text have in common.  Then it is held against all nodes of its buckets that are not yet in its
+    component, unless their sketches differ too much (4.5 standard deviations).  So a group of near copies costs rows in
     proportion to its size.  Buckets of more than ``part_rows`` are searched in parts: nodes outside the bucket's
     smallest-labelled component go to every part."""
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(doc_id), F.col(text)).alias("key"), F.col(text).alias("text"))
@@ -324,9 +327,13 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     mixed = F.col("node").bitwiseXOR(F.col("bucket"))  # another centre in each bucket
     stars = members.groupBy("bucket").agg(F.min(mixed).alias("low"), F.max(mixed).alias("high")).where(F.col("low") < F.col("high"))
     shared = settle(members.join(stars.select("bucket", F.col("low").bitwiseXOR(F.col("bucket")).alias("centre")), "bucket"))
+    sizes = shared.groupBy("bucket").agg(F.count("*").alias("n"))
+    met = shared.join(sizes, "bucket").groupBy("node").agg(F.sum("n").alias("met"))
+    hubs = shared.select("bucket", "node").join(met, "node").groupBy("bucket").agg(F.max(F.struct("met", "node"))["node"].alias("hub"))
     wanted = shared.select("node").distinct().join(nodes.select("node", "key"), "node")
     shingles = settle(_shingled(own.join(wanted, "key").select("node", "text"), shingle).groupBy("node").agg(F.first("hashes").alias("hashes")))
-    to_centres = shared.where(F.col("node") != F.col("centre")).select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+    pairs = lambda df, other: df.where(F.col("node") != F.col(other)).select(F.least("node", other).alias("a"), F.greatest("node", other).alias("b"))
+    to_centres = settle(pairs(shared, "centre").unionByName(pairs(shared.join(hubs, "bucket"), "hub")).distinct())
     linked = settle(_verified(to_centres, shingles, similarity))
 
     labelled = shared.select("bucket", "node").join(components(linked), "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -336,8 +343,7 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     at = F.pmod(F.xxhash64("node"), parts).cast("int")
     dealt = labelled.join(open_, "bucket").withColumn("at", at).withColumn("part", F.explode(F.when(F.col("label") == F.col("main"), F.array("at")).otherwise(F.sequence(F.lit(0), parts - 1))))
     dealt = dealt.withColumn("home", F.col("at") == F.col("part")).join(nodes.select("node", "sketch"), "node")
-    total = BANDS * ROWS
-    least_equal = int(total * similarity - 4.5 * (total * similarity * (1 - similarity)) ** 0.5)
+    least_equal = int(HASHES * similarity - 4.5 * (HASHES * similarity * (1 - similarity)) ** 0.5)
     rest = _across(dealt, least_equal).join(to_centres, ["a", "b"], "left_anti")
     labels = components(linked.unionByName(settle(_verified(rest, shingles, similarity))))
 
