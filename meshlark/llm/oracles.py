@@ -56,4 +56,42 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   CAST(sum(12 + length(replace({_escaped("role")}, chr(10), '\\n')) + 1 + length({_escaped("text")}) + 11) AS BIGINT) AS formatted_chars
 FROM c GROUP BY conv_id"""
 
-ORACLE_SQL: dict[str, str] = {"op2_decontamination": _OP2, "op4_substrings": _OP4, "op7_mixing": _OP7, "op8_chat": _OP8}
+_VECTORS = """kept AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)"""
+
+
+def _round(i: int) -> str:
+    """Codebooks i + 1 from codebooks i."""
+    return f"""near{i} AS ({_near(i)}),
+mean{i} AS (SELECT n.part, n.entry, p.place, CAST(floor(sum(p.x) / CAST(count(*) AS DOUBLE)) AS BIGINT) AS x FROM near{i} n JOIN piece p ON p.vec_id = n.vec_id AND p.part = n.part GROUP BY ALL),
+book{i + 1} AS (SELECT b.part, b.entry, b.place, coalesce(m.x, b.x) AS x FROM book{i} b LEFT JOIN mean{i} m ON m.part = b.part AND m.entry = b.entry AND m.place = b.place)"""
+
+
+def _near(i: int) -> str:
+    return f"""SELECT vec_id, part, min_by(entry, d * 64 + entry) AS entry, min(d) AS d
+  FROM (SELECT p.vec_id, p.part, b.entry, CAST(sum((p.x - b.x) * (p.x - b.x)) AS BIGINT) AS d FROM piece p JOIN book{i} b ON b.part = p.part AND b.place = p.place GROUP BY ALL) GROUP BY vec_id, part"""
+
+
+_OP11 = f"""
+WITH {_VECTORS},
+piece AS (SELECT vec_id, i // (len(v) // 16) AS part, i % (len(v) // 16) AS place, v[i + 1] AS x FROM (SELECT vec_id, v, unnest(range(len(v))) AS i FROM kept)),
+seed AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM kept ORDER BY vec_id LIMIT 64),
+book0 AS (SELECT part, entry, place, x FROM seed JOIN piece ON piece.vec_id = seed.vec_id),
+{_round(0)},
+{_round(1)},
+near2 AS ({_near(2)}),
+coded AS (SELECT vec_id, string_agg(format('{{:02x}}', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM near2 GROUP BY vec_id)
+SELECT coded.vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY part, entry, place)) FROM book2) AS codebooks_sha256
+FROM coded JOIN kept ON kept.vec_id = coded.vec_id"""
+
+_OP12 = f"""
+WITH {_VECTORS},
+r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, CAST(v AS DOUBLE[]) AS v FROM kept WHERE label IS NOT NULL),
+s AS (SELECT a.vec_id AS anchor_id, r.vec_id AS other, r.label = a.label AS same, CAST(list_inner_product(a.v, r.v) AS BIGINT) AS score FROM r a JOIN r ON r.vec_id <> a.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER w AS INT) AS rank, s.other AS negative_id, positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.other) QUALIFY row_number() OVER w <= 10"""
+
+ORACLE_SQL: dict[str, str] = {"op2_decontamination": _OP2, "op4_substrings": _OP4, "op7_mixing": _OP7, "op8_chat": _OP8, "op11_vector_codes": _OP11, "op12_hard_negatives": _OP12}

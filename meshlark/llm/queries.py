@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshlark.llm import chat, decontaminate, fingerprints, html_extract, language, mixing, pii, secret_scan, simhash, substrings
+from meshlark.llm import chat, decontaminate, fingerprints, hard_negatives, html_extract, language, mixing, packing, pii, secret_scan, simhash, substrings, vector_codes
 from meshlark.llm.common import table, text_or_empty
 from meshlark.llm.oracles import ORACLE_SQL  # noqa: F401  registered with the queries
 
@@ -93,4 +94,20 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_fingerprints, op2_decontamination, op3_pii, op4_substrings, op5_html, op6_simhash, op7_mixing, op8_chat, op9_language, op10_secrets)}
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.col("label").cast("long")
+    moved = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings").select("vec_id", moved.alias("label"), "embedding"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        pieces = packing.tokenize(table(spark, sf_dir, "documents"), f.read())
+    return packing.pack(pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_fingerprints, op2_decontamination, op3_pii, op4_substrings, op5_html, op6_simhash, op7_mixing, op8_chat, op9_language, op10_secrets, op11_vector_codes, op12_hard_negatives, op13_packing)}
