@@ -19,7 +19,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meshlark.llm.common import settle, text_or_empty
@@ -202,21 +202,23 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return first.unionByName(second).unionByName(third)
 
 
-def padded_length(length: Column, capacity: int = CAPACITY) -> Column:
-    """The length that a sequence of so many tokens has when it is padded: powers of two stay."""
-    return F.when(length.bitwiseAND(length - 1) == 0, length).otherwise(F.lit(capacity)).cast("long")
+def sequences(packed: DataFrame, capacity: int = CAPACITY, fill: int = 0) -> DataFrame:
+    """``sequence_id, input_ids, doc_starts``: token ids, and where documents' pieces begin, for masks.
 
+    ``packed`` has ``ids``, at most ``capacity`` a sequence.  Sequences are padded with ``fill`` to ``capacity``, but for those
+    whose length is a power of two."""
 
-def sequences(packed: DataFrame, capacity: int = CAPACITY, fill: int = 0) -> DataFrame:
-    """``sequence_id, input_ids, doc_starts``: padded token ids, and where documents' pieces begin, for masks.
-
-    ``packed`` has ``ids``; a sequence has at most ``capacity`` of them."""
-    by = F.array_sort(F.collect_list(F.struct("offset", "ids")))
-    whole = packed.groupBy("sequence_id").agg(by.alias("p"), F.sum("length").alias("n"))
-    # four bytes a number, least first
-    text = F.hex(F.aggregate("p", F.lit(b""), lambda a, x: F.concat(a, x["ids"])))
-    byte = lambda i, j: F.conv(F.substring(F.col("__hex"), i * 8 + j * 2 + 1, F.lit(2)), 16, 10).cast("long")
-    number = lambda i: byte(i, 0) + byte(i, 1) * 256 + byte(i, 2) * 65536 + byte(i, 3) * 16777216
-    ids = F.transform(F.sequence(F.lit(0), (F.col("n") - 1).cast("int")), number)
-    pad = F.array_repeat(F.lit(fill).cast("long"), (padded_length(F.col("n"), capacity) - F.col("n")).cast("int"))
-    return whole.withColumn("__hex", text).select("sequence_id", F.concat(ids, pad).alias("input_ids"), F.transform("p", lambda x: x["offset"]).alias("doc_starts"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            filled, starts = [], []
+            for row in batch.column("pieces").to_pylist():
+                ids = np.frombuffer(b"".join(p["ids"] for p in row), "<u4")
+                n = len(ids)
+                padded = np.full(n if n & (n - 1) == 0 else capacity, fill, np.int64)
+                padded[:n] = ids
+                filled.append(padded)
+                starts.append([p["offset"] for p in row])
+            yield pa.record_batch([batch.column("sequence_id"), pa.array(filled, pa.list_(pa.int64())), pa.array(starts, pa.list_(pa.int64()))], names=["sequence_id", "input_ids", "doc_starts"])
+
+    whole = packed.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("pieces"))
+    return whole.mapInArrow(run, "sequence_id long, input_ids array<long>, doc_starts array<long>")

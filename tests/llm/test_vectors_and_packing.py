@@ -1,5 +1,6 @@
 """Vector codes, hard negatives and packing against brute force, and on odd rows."""
 
+import functools
 import math
 import random
 import zlib
@@ -7,7 +8,6 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
-from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from meshlark.llm import hard_negatives, packing, vector_codes
@@ -138,10 +138,15 @@ def test_negatives_of_odd_rows(spark):
     assert [(x.positive_score, x.negative_score) for x in hard_negatives.mine(spark.createDataFrame(huge, VECTORS)).collect()] == [(2 * most * most, most * most)]
 
 
-def whole(tokenizer, text):
+@functools.cache
+def loaded(tokenizer):
     t = Tokenizer.from_str(tokenizer)
     t.encode_special_tokens = True
-    return t.encode(text, add_special_tokens=False).ids
+    return t
+
+
+def whole(tokenizer, text):
+    return loaded(tokenizer).encode(text, add_special_tokens=False).ids
 
 
 def test_stretches_give_the_tokens_of_whole_texts(tokenizer):
@@ -236,4 +241,3 @@ def test_sequences_hold_their_pieces(spark, tokenizer):
         assert s.input_ids[: len(ids)] == ids and not any(s.input_ids[len(ids) :])
         assert len(s.input_ids) == (len(ids) if len(ids) & (len(ids) - 1) == 0 else 1024)
         assert s.doc_starts == sorted(r.offset for r in rows[s.sequence_id])
-    assert packing.padded_length(F.lit(5)) is not None
