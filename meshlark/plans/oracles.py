@@ -16,23 +16,32 @@ def _r(expression: str, name: str, digits: int = 6) -> str:
     return f"round({expression}, {digits}) + 0.0 AS {name}"
 
 
-EMB = "emb AS (SELECT CAST(label + 10 * (vec_id // 500) AS INT) AS frame, vec_id AS id, (CAST(embedding[1] AS DOUBLE) + 1) * 500 AS r, (CAST(embedding[2] AS DOUBLE) + 1) * 500 AS c FROM embeddings)"
-WIDE = "emb AS (SELECT CAST(label + 10 * (vec_id // 500) AS INT) AS frame, vec_id AS id, ((CAST(embedding[1] AS DOUBLE) + 1) * 500 - 250) * 2 AS r, ((CAST(embedding[2] AS DOUBLE) + 1) * 500 - 250) * 2 AS c FROM embeddings)"
+EMB = "emb AS (SELECT label AS frame, vec_id AS id, (CAST(embedding[1] AS DOUBLE) + 1) * 500 AS r, (CAST(embedding[2] AS DOUBLE) + 1) * 500 AS c FROM embeddings)"
+WIDE = "emb AS (SELECT label AS frame, vec_id AS id, ((CAST(embedding[1] AS DOUBLE) + 1) * 500 - 250) * 2 AS r, ((CAST(embedding[2] AS DOUBLE) + 1) * 500 - 250) * 2 AS c FROM embeddings)"
 EV = "ev AS (SELECT CAST(day(ts) AS INT) AS frame, event_id AS id, CAST(hour(ts) * 3600 + minute(ts) * 60 + CAST(floor(second(ts)) AS INT) AS DOUBLE) AS r, CAST(user_id AS DOUBLE) AS c, abs(value) AS v FROM events)"
 
-# every triple whose circle holds no other point of its frame
-TRI = """trip AS (
-  SELECT a.frame, a.id AS i, b.id AS j, c.id AS k, a.r AS r0, a.c AS c0, b.r AS r1, b.c AS c1, c.r AS r2, c.c AS c2,
-    2 * ((b.r - a.r) * (c.c - a.c) - (b.c - a.c) * (c.r - a.r)) AS d,
-    (b.r - a.r) ** 2 + (b.c - a.c) ** 2 AS b2, (c.r - a.r) ** 2 + (c.c - a.c) ** 2 AS c2q
-  FROM emb a JOIN emb b ON a.frame = b.frame AND a.id < b.id JOIN emb c ON c.frame = a.frame AND b.id < c.id),
+
+
+def _triangles(points: str, own: str) -> str:
+    """Of the points to the left of a directed edge the one that sees it at the widest angle makes a triangle with it, if no
+    point to the right lies in the circle."""
+    return f"""seen AS (
+  SELECT a.frame, a.id AS a, b.id AS b, p.id AS p, (b.r - a.r) * (p.c - a.c) - (b.c - a.c) * (p.r - a.r) AS side,
+    (p.r - a.r) * (p.r - b.r) + (p.c - a.c) * (p.c - b.c) AS dot
+  FROM {points} a JOIN {points} b ON a.frame = b.frame AND a.id <> b.id JOIN {points} p ON p.frame = a.frame AND p.id <> a.id AND p.id <> b.id WHERE {own}),
+apex AS (
+  SELECT frame, a, b, min_by(p, dot / side) FILTER (side > 0) AS p, min(dot / side) FILTER (side > 0) AS low, max(dot / side) FILTER (side < 0) AS high
+  FROM seen GROUP BY frame, a, b),
+trip AS (SELECT DISTINCT frame, list_sort([a, b, p]) AS t FROM apex WHERE p IS NOT NULL AND (high IS NULL OR low >= high)),
 circ AS (
-  SELECT *, r0 + ((c2 - c0) * b2 - (c1 - c0) * c2q) / d AS ccr, c0 + ((r1 - r0) * c2q - (r2 - r0) * b2) / d AS ccc
-  FROM trip WHERE d <> 0),
-tri AS (
-  SELECT *, sqrt((r0 - ccr) ** 2 + (c0 - ccc) ** 2) AS rad, abs(d) / 4 AS area FROM circ t
-  WHERE NOT EXISTS (SELECT 1 FROM emb p WHERE p.frame = t.frame AND p.id NOT IN (t.i, t.j, t.k)
-    AND (p.r - t.ccr) ** 2 + (p.c - t.ccc) ** 2 < (t.r0 - t.ccr) ** 2 + (t.c0 - t.ccc) ** 2))"""
+  SELECT trip.frame, t[1] AS i, t[2] AS j, t[3] AS k, a.r AS r0, a.c AS c0, b.r AS r1, b.c AS c1, c.r AS r2, c.c AS c2,
+    2 * ((b.r - a.r) * (c.c - a.c) - (b.c - a.c) * (c.r - a.r)) AS d, (b.r - a.r) ** 2 + (b.c - a.c) ** 2 AS b2, (c.r - a.r) ** 2 + (c.c - a.c) ** 2 AS c2q
+  FROM trip JOIN {points} a ON a.frame = trip.frame AND a.id = t[1] JOIN {points} b ON b.frame = trip.frame AND b.id = t[2] JOIN {points} c ON c.frame = trip.frame AND c.id = t[3]),
+cc AS (SELECT *, r0 + ((c2 - c0) * b2 - (c1 - c0) * c2q) / d AS ccr, c0 + ((r1 - r0) * c2q - (r2 - r0) * b2) / d AS ccc FROM circ),
+tri AS (SELECT *, sqrt((r0 - ccr) ** 2 + (c0 - ccc) ** 2) AS rad, abs(d) / 4 AS area FROM cc)"""
+
+
+TRI = _triangles("emb", "true")
 EDGE = """half AS (
   SELECT frame, i AS a, j AS b, r0 AS ra, c0 AS ca, r1 AS rb, c1 AS cb, ccr, ccc FROM tri
   UNION ALL SELECT frame, j, k, r1, c1, r2, c2, ccr, ccc FROM tri UNION ALL SELECT frame, i, k, r0, c0, r2, c2, ccr, ccc FROM tri),
@@ -55,9 +64,8 @@ BOUND = """bound AS (
 
 
 # rows that wrap: three images of each point, numbered 3 id + 0, 1, 2, and triangles with at least one original corner
-EMB3 = EMB.replace("// 500", "// 200")
 IMAGES = "em3 AS (SELECT frame, id * 3 + i AS id, r + (i - 1) * 1000 AS r, c FROM emb CROSS JOIN range(3) g(i))"
-TRI3 = TRI.replace("emb", "em3").replace("WHERE d <> 0", "WHERE d <> 0 AND (i % 3 = 1 OR j % 3 = 1 OR k % 3 = 1)")
+TRI3 = _triangles("em3", "a.id % 3 = 1")
 EDGE3 = EDGE.replace("both_ AS", "both3 AS") + ",\nboth_ AS (SELECT frame, src // 3 AS src, dst // 3 AS dst, th, n, w FROM both3 WHERE src % 3 = 1)"
 _FLAT, _WRAPPED = "(a.r - b.r) ** 2", "least(abs(a.r - b.r), 1000 - abs(a.r - b.r)) ** 2"
 
@@ -235,10 +243,10 @@ ORACLE_SQL: dict[str, str] = {
     "knn_smooth": _with(EMB, TRI, EDGE, PSI, "src AS (SELECT frame, id, r, c, sqrt(re * re + im * im) AS v FROM psi)", _smoothed("src", 6, 0), select=f"SELECT frame, id AS region_id, {_r('s', 'smoothed', 5)} FROM sm"),
     "boundary_excluded_smooth": _with(EMB, TRI, EDGE, PSI, BOUND, "src AS (SELECT p.frame, p.id, r, c, CASE WHEN NOT flag THEN sqrt(re * re + im * im) END AS v FROM psi p JOIN bound b ON b.frame = p.frame AND b.id = p.id)", _smoothed("src", 3, 1),
         select=f"SELECT src.frame, src.id AS region_id, {_r('coalesce(s, v)', 'smoothed', 5)} FROM src LEFT JOIN sm ON sm.frame = src.frame AND sm.id = src.id"),
-    "voronoi_psi6_periodic": _with(EMB3, IMAGES, TRI3, EDGE3, PSI, select=f"SELECT frame, id AS region_id, {_r('re', 're', 5)}, {_r('im', 'im', 5)}, {_r('sqrt(re * re + im * im)', 'psi_mag', 5)} FROM psi"),
-    "voronoi_neighbours_periodic": _with(EMB3, IMAGES, TRI3, EDGE3, select="SELECT DISTINCT frame, src, dst FROM both_ WHERE src <> dst"),
-    "knn_smooth_periodic": _with(EMB3, IMAGES, TRI3, EDGE3, PSI, "src AS (SELECT frame, id, r, c, sqrt(re * re + im * im) AS v FROM psi)", _smoothed("src", 6, 0, _WRAPPED), select=f"SELECT frame, id AS region_id, {_r('s', 'smoothed', 5)} FROM sm"),
-    "g6_curve_periodic": _with(EMB3, IMAGES, TRI3, EDGE3, PSI, G6(15.0, 0.25, "least(abs(x.r - y.r), 1000 - abs(x.r - y.r)) ** 2"), select=f"SELECT frame, CAST(bin AS INT) AS bin, {_r('r', 'r', 5)}, {_r('g', 'g6', 5)}, {_r('gn', 'g6_normalized', 5)}, n AS pairs, {_r('a', 'spacing', 5)} FROM cu"),
+    "voronoi_psi6_periodic": _with(EMB, IMAGES, TRI3, EDGE3, PSI, select=f"SELECT frame, id AS region_id, {_r('re', 're', 5)}, {_r('im', 'im', 5)}, {_r('sqrt(re * re + im * im)', 'psi_mag', 5)} FROM psi"),
+    "voronoi_neighbours_periodic": _with(EMB, IMAGES, TRI3, EDGE3, select="SELECT DISTINCT frame, src, dst FROM both_ WHERE src <> dst"),
+    "knn_smooth_periodic": _with(EMB, IMAGES, TRI3, EDGE3, PSI, "src AS (SELECT frame, id, r, c, sqrt(re * re + im * im) AS v FROM psi)", _smoothed("src", 6, 0, _WRAPPED), select=f"SELECT frame, id AS region_id, {_r('s', 'smoothed', 5)} FROM sm"),
+    "g6_curve_periodic": _with(EMB, IMAGES, TRI3, EDGE3, PSI, G6(15.0, 0.25, "least(abs(x.r - y.r), 1000 - abs(x.r - y.r)) ** 2"), select=f"SELECT frame, CAST(bin AS INT) AS bin, {_r('r', 'r', 5)}, {_r('g', 'g6', 5)}, {_r('gn', 'g6_normalized', 5)}, n AS pairs, {_r('a', 'spacing', 5)} FROM cu"),
     "pairs_in_range": _with(EMB, select=f"SELECT a.frame, a.id AS i, b.id AS j, {_r('sqrt((a.r - b.r) ** 2 + (a.c - b.c) ** 2)', 'distance')} FROM emb a JOIN emb b ON a.frame = b.frame AND a.id < b.id WHERE (a.r - b.r) ** 2 + (a.c - b.c) ** 2 <= 625"),
     "pairs_in_range_wrapped": _with(EV, "w AS (SELECT a.frame, a.id AS i, b.id AS j, sqrt(least(abs(a.r - b.r) / 60, 1440 - abs(a.r - b.r) / 60) ** 2 + (a.c - b.c) ** 2) AS d FROM ev a JOIN ev b ON a.frame = b.frame AND a.id < b.id)", select=f"SELECT frame, i, j, {_r('d', 'distance')} FROM w WHERE d <= 20"),
     "g6_curve": _with(EMB, TRI, EDGE, PSI, G6(4.0, 0.25), select=f"SELECT frame, CAST(bin AS INT) AS bin, {_r('r', 'r', 5)}, {_r('g', 'g6', 5)}, {_r('gn', 'g6_normalized', 5)}, n AS pairs, {_r('a', 'spacing', 5)} FROM cu"),

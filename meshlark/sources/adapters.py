@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 #: Height and width of the square into which embeddings are mapped.
 SIDE = 1000.0
-#: Vectors with neighbouring ids share a frame, so many at most a label: more vectors give more frames, not larger ones.
-PER_FRAME = 500
 DAY = 86400.0
 
 
@@ -16,10 +14,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def regions_of_embeddings(spark: SparkSession, sf_dir: str, per_frame: int = PER_FRAME) -> DataFrame:
-    """frame = label, and ten more with each further block of ids; the first two components are row and column."""
+def regions_of_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """frame = label; the first two components are row and column."""
     e = lambda i: (F.get("embedding", F.lit(i)).cast("double") + 1.0) * 500.0
-    return table(spark, sf_dir, "embeddings").select((F.col("label") + 10 * F.floor(F.col("vec_id") / per_frame)).cast("int").alias("frame"), F.col("vec_id").alias("region_id"), e(0).alias("row"), e(1).alias("col"))
+    return table(spark, sf_dir, "embeddings").select(F.col("label").alias("frame"), F.col("vec_id").alias("region_id"), e(0).alias("row"), e(1).alias("col"))
 
 
 def regions_of_events(spark: SparkSession, sf_dir: str) -> DataFrame:

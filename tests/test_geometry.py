@@ -175,3 +175,42 @@ def test_triangles_of_many_and_of_lattice_points():
     corners = grid[geometry.delaunay(grid)]
     twice = (corners[:, 1, 0] - corners[:, 0, 0]) * (corners[:, 2, 1] - corners[:, 0, 1]) - (corners[:, 1, 1] - corners[:, 0, 1]) * (corners[:, 2, 0] - corners[:, 0, 0])
     assert np.abs(twice).sum() / 2 == 14 * 14
+
+
+def corners(df, tile, height=None):
+    rows = geometry.triangulate(df, height, tile=tile).collect()
+    return sorted(sorted(((r[f"id{m}"], r[f"image{m}"]) for m in range(3))) for r in rows)
+
+
+@pytest.mark.parametrize("kind", ["even", "lattice", "crowded", "curve", "wrapped"])
+def test_tiles_give_the_triangles_of_one_task(spark, kind):
+    rng = np.random.default_rng(3)
+    points = {
+        "even": rng.random((900, 2)) * 1000,
+        # every square has four corners on one circle
+        "lattice": np.array([(i, j) for i in range(24) for j in range(24)], float),
+        "crowded": np.vstack([rng.normal(0, 0.001, (400, 2)), rng.random((200, 2)) * 100]),
+        "curve": np.stack([np.cos(np.arange(200)), np.sin(np.arange(200))], axis=1),
+        "wrapped": rng.random((300, 2)) * 1000,
+    }[kind]
+    df = spark.createDataFrame([(1, (1 << 60) + i, float(r), float(c)) for i, (r, c) in enumerate(points)], "frame int, region_id long, row double, col double").union(frame(spark, [(0, 0), (0, 5), (4, 2)], 2).selectExpr("frame", "CAST(region_id AS long)", "row", "col"))
+    height = 1000.0 if kind == "wrapped" else None
+    got = corners(df, 60, height)
+    assert got == corners(df, 10**9, height)
+    assert len(got) > len(points)
+
+
+def test_few_points_of_a_tile_go_on():
+    xy = np.random.default_rng(5).random((4000, 2))
+    final, outline, open_ = geometry._merge(xy, set(), (0.0, 1.0, 0.0, 1.0))
+    assert open_.sum() < 700 and len(final) > 7000
+    assert {x for e in outline for x in e} <= set(np.flatnonzero(open_).tolist())
+
+
+def test_a_set_has_one_triangulation_whatever_the_order():
+    grid = np.array([(i, j) for i in range(9) for j in range(9)], float)
+    made = set()
+    for seed in range(4):
+        order_ = np.random.default_rng(seed).permutation(len(grid))
+        made.add(frozenset(frozenset(order_[list(t)].tolist()) for t in geometry.delaunay(grid[order_]).tolist()))
+    assert len(made) == 1
