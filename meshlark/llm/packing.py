@@ -13,7 +13,10 @@ Strings of special tokens in a text are ordinary text.  An empty table gives an
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
+import json
+from array import array
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -31,38 +34,44 @@ SLACK = 64
 _LATER = 1 << 62
 
 
-class Encoder(dict):
-    """Token ids (unsigned 32 bits, little endian) of stretches of text, remembered.
+# Fixed value: the pattern by which byte-level pre-tokenizers part a text.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-    A byte-level pre-tokenizer never joins what stands before a blank to the blank and the visible character after it, so a
-    text may be cut there without changing its tokens; most stretches then are words that were seen before."""
 
-    #: Stretches that are remembered, and their longest; a full memory is emptied.
-    MOST, LONGEST = 200_000, 48
+def _ranks(spec: dict) -> dict[bytes, int] | None:
+    """The tokens' bytes by id, if merging pairs in the order of ids is what the tokenizer does; else None."""
+    model, before = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True) and not spec.get("normalizer")
+    if not plain or model["type"] != "BPE" or any(model.get(x) for x in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges", "byte_fallback")):
+        return None
+    # visible bytes stand for themselves, the others for the characters from 256 on
+    visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    byte = {chr(b): b for b in visible} | {chr(256 + n): b for n, b in enumerate(sorted({*range(256)} - {*visible}))}
+    special = {t["content"] for t in spec.get("added_tokens", [])}
+    vocab = {t: i for t, i in model["vocab"].items() if t not in special}
+    made = [vocab.get("".join(m.split(" ") if isinstance(m, str) else m)) for m in model["merges"]]
+    if made != list(range(256, 256 + len(made))) or not all(set(t) <= byte.keys() for t in vocab):
+        return None
+    return {bytes(byte[c] for c in t): i for t, i in vocab.items()}
 
-    def __init__(self, tokenizer: str) -> None:
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_str(tokenizer)
-        self.tokenizer.encode_special_tokens = True
+@functools.lru_cache(1)
+def encoder(tokenizer: str) -> Callable[[str], bytes]:
+    """From a text to its token ids as unsigned 32-bit little-endian numbers, for the content of a tokenizer file.
+
+    Byte-level vocabularies whose merges are in the order of ids are run by ``tiktoken``, which gives the same ids in a fifth
+    of the time; all others by ``tokenizers``.  Strings of special tokens are ordinary text."""
+    ranks = _ranks(json.loads(tokenizer))
+    if ranks is None:
+        from tokenizers import Tokenizer
 
-    def __missing__(self, stretch: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(stretch, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(stretch) <= self.LONGEST:
-            if len(self) >= self.MOST:
-                self.clear()
-            self[stretch] = ids
-        return ids
+        whole = Tokenizer.from_str(tokenizer)
+        whole.encode_special_tokens = True
+        return lambda text: np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    import tiktoken
 
-    def encode(self, text: str) -> bytes:
-        words = text.split(" ")
-        stretches = [words[0]]
-        for word in words[1:]:
-            if word and not word[0].isspace():
-                stretches.append(" " + word)
-            else:
-                stretches[-1] += " " + word
-        return b"".join([self[x] for x in stretches])
+    fast = tiktoken.Encoding("packing", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    return lambda text: np.frombuffer(array("i", fast(text)), "i4").astype("<u4", copy=False).tobytes()
 
 
 def cuts(length: int, capacity: int = CAPACITY, slack: int = SLACK) -> list[int]:
@@ -88,11 +97,11 @@ def tokenize(docs: DataFrame, tokenizer: str, end: int = 0, capacity: int = CAPA
     sent = docs.sparkSession.sparkContext.broadcast(tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, last = Encoder(sent.value), np.array([end], "<u4").tobytes()
+        encode, last = encoder(sent.value), np.array([end], "<u4").tobytes()
         for batch in batches:
             at, start, length, ids, whole, size = [], [], [], [], [], 0
             for i, t in enumerate(batch.column(1)):
-                made = encoder.encode(t.as_py()) + last
+                made = encode(t.as_py()) + last
                 n = len(made) // 4
                 from_ = 0
                 for piece in cuts(n, capacity, slack):

@@ -1,6 +1,7 @@
 """Vector codes, hard negatives and packing against brute force, and on odd rows."""
 
 import functools
+import json
 import math
 import random
 import zlib
@@ -149,14 +150,17 @@ def whole(tokenizer, text):
     return loaded(tokenizer).encode(text, add_special_tokens=False).ids
 
 
-def test_stretches_give_the_tokens_of_whole_texts(tokenizer):
+def test_tokens_are_those_of_the_library(tokenizer):
     r = random.Random(7)
-    encoder = packing.Encoder(tokenizer)
-    encoder.MOST = 50  # forgets often
-    bits = [" ", "  ", "   ", "\n", "\n ", " \n", "\t", " ", "　 ", "  ", "\x1c ", "\x85", "a", "don't", "é", "12", "!?", "<|endoftext|>", "日本", "🙂", "_", "'s", "x" * 60]
-    for _ in range(400):
-        text = "".join(r.choice(bits) for _ in range(r.randint(0, 30)))
-        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == whole(tokenizer, text), repr(text)
+    bits = [" ", "  ", "   ", "\n", "\n ", " \n", "\t", "\u00a0", "\u3000 ", "\x1c ", "\x85", "a", "don't", "é", "12", "!?", "<|endoftext|>", "日本", "🙂", "_", "'s", "x" * 60]
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        other = f.read()
+    assert packing._ranks(json.loads(tokenizer)) and packing._ranks(json.loads(other)) is None
+    for given in (tokenizer, other):
+        encode = packing.encoder(given)
+        for _ in range(300):
+            text = "".join(r.choice(bits) for _ in range(r.randint(0, 30)))
+            assert np.frombuffer(encode(text), "<u4").tolist() == whole(given, text), repr(text)
 
 
 def test_cuts_leave_little_of_a_share_empty():
