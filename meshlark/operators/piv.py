@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meshlark.operators.joins import nearest_join
+from meshlark.operators.quantiles import BOUND, grouped_quantiles
 from meshlark.operators.stats import finite
 from meshlark.sources.settled import settled
 
@@ -153,10 +154,10 @@ def _inside(x: float, y: float, polygon: Sequence[tuple[float, float]]) -> bool:
     return odd
 
 
-def speed_range(field: DataFrame) -> DataFrame:
+def speed_range(field: DataFrame, bound: int = BOUND) -> DataFrame:
     """2nd and 98th percentile of speed over all fields; the upper is one more if they are the same."""
     speed = F.hypot("u", "v")
-    p = field.where(finite(speed)).agg(F.percentile(speed, F.lit(0.02)).alias("low"), F.percentile(speed, F.lit(0.98)).alias("high"))
+    p = grouped_quantiles(field.where(finite(speed)), [], {"low": (speed, 0.02), "high": (speed, 0.98)}, bound=bound)
     return p.select("low", F.when(F.col("high") <= F.col("low"), F.col("low") + 1).otherwise(F.col("high")).alias("high"))
 
 

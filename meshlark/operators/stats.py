@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meshlark.functions.special import f_tail, t_tail
+from meshlark.operators.quantiles import BOUND, grouped_quantiles
 
 EPS = 2.220446049250313e-16
 
@@ -32,10 +33,11 @@ def weighted_mean(value: str, weight: str) -> Column:
     return F.try_divide(F.sum(F.when(ok, F.col(value) * F.col(weight))), F.sum(F.when(ok, F.col(weight))))
 
 
-def area_summary(areas: DataFrame, by: str = "frame", area: str = "area") -> DataFrame:
+def area_summary(areas: DataFrame, by: str = "frame", area: str = "area", bound: int = BOUND) -> DataFrame:
     """Smallest, median, mean and largest area of each frame."""
     a = F.col(area)
-    return areas.groupBy(by).agg(F.min(a).alias("area_min"), F.percentile(a, F.lit(0.5)).alias("area_median"), F.avg(a).alias("area_mean"), F.max(a).alias("area_max"))
+    others = [F.min(a).alias("area_min"), F.avg(a).alias("area_mean"), F.max(a).alias("area_max")]
+    return grouped_quantiles(areas, [by], {"area_median": (a, 0.5)}, others, bound).select(by, "area_min", "area_median", "area_mean", "area_max")
 
 
 def complex_summary(psi: DataFrame, n_fold: int, weight: str | None = None, by: str = "frame") -> DataFrame:

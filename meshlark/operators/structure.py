@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from meshlark.operators.geometry import neighbours
 from meshlark.operators.joins import knn_self_join, range_self_join
+from meshlark.operators.quantiles import BOUND, grouped_quantiles
 from meshlark.operators.stats import finite
+from meshlark.sources.settled import settled
 
 THRESHOLD = 1 / math.e
 
@@ -56,17 +58,19 @@ def structure_of(points: DataFrame, triangles: DataFrame, flags: DataFrame) -> D
     return defects(coordination(points, edges, flags), edges)
 
 
-def spacing_qc(points: DataFrame, triangles: DataFrame, height: float, width: float, hole_factor: float = 1.0) -> DataFrame:
+def spacing_qc(points: DataFrame, triangles: DataFrame, height: float, width: float, hole_factor: float = 1.0, bound: int = BOUND) -> DataFrame:
     """Nearest-neighbour distance, its spread, its ratio to the mean spacing, and the share of area in large triangles.
 
     The margin of three medians and the hole threshold use the median over all points, the figures only inner points;
     fewer than ten of either give nulls.  ``triangles`` are those of the frame without wrapping."""
     near = knn_self_join(points, 1).select("frame", F.col("i").alias("region_id"), F.sqrt("d2").alias("d"))
-    own = points.join(near, ["frame", "region_id"])
-    medians = own.groupBy("frame").agg(F.percentile("d", F.lit(0.5)).alias("median"), F.count("*").alias("n"))
+    own = settled(points.join(near, ["frame", "region_id"]).select("frame", "row", "col", "d"))
+    d = F.col("d")
+    medians = grouped_quantiles(own, ["frame"], {"median": (d, 0.5)}, [F.count("*").alias("n")], bound)
     medians = medians.where(F.col("n") >= 10).withColumn("margin", 3 * F.col("median"))
     within = lambda r, c: (r > F.col("margin")) & (r < height - F.col("margin")) & (c > F.col("margin")) & (c < width - F.col("margin"))
-    inner = own.join(medians, "frame").where(within(F.col("row"), F.col("col"))).groupBy("frame").agg(F.count("*").alias("m"), F.percentile("d", F.lit(0.5)).alias("mid"), (F.stddev_pop("d") / F.avg("d")).alias("cv"), F.first("n").alias("n"))
+    central = own.join(medians, "frame").where(within(F.col("row"), F.col("col")))
+    inner = grouped_quantiles(central, ["frame"], {"mid": (d, 0.5)}, [F.count("*").alias("m"), (F.stddev_pop("d") / F.avg("d")).alias("cv"), F.first("n").alias("n")], bound)
     inner = inner.where(F.col("m") >= 10)
     center = lambda x: (F.col(f"{x}0") + F.col(f"{x}1") + F.col(f"{x}2")) / 3
     kept = triangles.join(medians, "frame").where(within(center("row"), center("col")))

@@ -189,3 +189,55 @@ def test_nearest_samples_against_all_pairs(spark):
     got = {(r["field"], r["point"]): r["u"] for r in piv.nearest(spark.createDataFrame(points, "field int, point int, x double, y double"), spark.createDataFrame(field, "field int, x double, y double, u double, v double")).collect()}
     for f, i, x, y in points:
         assert got[f, i] == min((s for s in field if s[0] == f), key=lambda s: (s[1] - x) ** 2 + (s[2] - y) ** 2)[3]
+
+
+def brute_labels(mask, wrap):
+    """Labels by flooding pixel after pixel, in row order, and those that the seam joins."""
+    h, w = mask.shape
+    out, wrapped, n = np.zeros((h, w), int), set(), 0
+    for r, c in zip(*np.nonzero(mask)):
+        if out[r, c]:
+            continue
+        n += 1
+        todo = [(r, c)]
+        out[r, c] = n
+        while todo:
+            y, x = todo.pop()
+            for dy in (-1, 0, 1):
+                for dx in (-1, 0, 1):
+                    yy, xx = y + dy, x + dx
+                    seam = wrap and not 0 <= yy < h
+                    yy = yy % h if wrap else yy
+                    if 0 <= yy < h and 0 <= xx < w and mask[yy, xx]:
+                        if seam:
+                            wrapped.add(n)
+                        if not out[yy, xx]:
+                            out[yy, xx] = n
+                            todo.append((yy, xx))
+    return out, wrapped
+
+
+@pytest.mark.parametrize("wrap", [False, True])
+@pytest.mark.parametrize("band, alone", [(2, 0), (5, 1000), (256, 1000)])
+def test_bands_are_joined_to_components(spark, wrap, band, alone):
+    rng = np.random.default_rng(band)
+    masks = {1: rng.random((23, 17)) < 0.3, 2: rng.random((23, 17)) < 0.5, 3: np.zeros((23, 17), bool), 4: np.zeros((23, 17), bool)}
+    masks[3][:, 8] = True  # one column through all bands
+    masks[4][::2] = True  # a snake
+    for r in range(1, 23, 2):
+        masks[4][r, 0 if r % 4 == 1 else 16] = True
+    pixels = spark.createDataFrame([(f, int(r), int(c)) for f, m in masks.items() for r, c in zip(*np.nonzero(m))], "frame int, row int, col int")
+    runs = label.components(pixels, 23 if wrap else None, band, alone).collect()
+    for f, m in masks.items():
+        want, wrapped = brute_labels(m, wrap)
+        got = np.zeros(m.shape, int)
+        for r in runs:
+            if r.frame == f:
+                got[r.row, r.first : r.last + 1] = r.label
+                assert r.wrapped == (r.label in wrapped)
+        assert (got == want).all()
+
+
+def test_components_of_nothing(spark):
+    none = spark.createDataFrame([], "frame int, row int, col int")
+    assert label.components(none, 10).count() == 0
