@@ -38,8 +38,9 @@ def _turn(a: Point, b: Point, c: Point) -> float:
 def _in_circle(a: Point, b: Point, c: Point, p: Point) -> float:
     """Positive if p lies inside the circle through a, b, c (in left turn); its sign is exact.
 
-    Of four points on one circle the first by coordinates counts as lifted a little above the others, so every set of
-    points has one triangulation, and its triangles are those of each part of it that has their corners."""
+    Of four points on one circle the first by coordinates counts as inside the circle of the others, as if it were lifted a
+    little less; so every set of points has one triangulation, and its triangles are those of each part of it that has their
+    corners.  A square is cut from its first corner to its last."""
     ax, ay, bx, by, cx, cy = a[0] - p[0], a[1] - p[1], b[0] - p[0], b[1] - p[1], c[0] - p[0], c[1] - p[1]
     a2, b2, c2 = ax * ax + ay * ay, bx * bx + by * by, cx * cx + cy * cy
     bc, ca, ab = bx * cy - by * cx, cx * ay - cy * ax, ax * by - ay * bx
@@ -53,8 +54,8 @@ def _in_circle(a: Point, b: Point, c: Point, p: Point) -> float:
         return 1 if exact > 0 else -1
     first = min(a, b, c, p)
     if first == p:
-        return -1
-    return _turn(p, b, c) if first == a else _turn(a, p, c) if first == b else _turn(a, b, p)
+        return 1
+    return -(_turn(p, b, c) if first == a else _turn(a, p, c) if first == b else _turn(a, b, p))
 
 
 def delaunay(points: np.ndarray) -> np.ndarray:

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from meshlark.operators.interpolate import EDGE, cubic, linear, planes
 from meshlark.operators.joins import nearest_join
 from meshlark.operators.quantiles import BOUND, grouped_quantiles
 from meshlark.operators.stats import finite
@@ -50,51 +52,64 @@ def inverse_distance(points: DataFrame, field: DataFrame) -> DataFrame:
     return sums.select("field", "point", "x", "y", F.coalesce(F.col("own.u"), F.col("wu") / F.col("w")).alias("u"), F.coalesce(F.col("own.v"), F.col("wv") / F.col("w")).alias("v"))
 
 
-def bilinear(points: DataFrame, field: DataFrame) -> DataFrame:
-    """Linear interpolation on the two triangles of each grid cell, cut from its lower left to its upper right corner.
-
-    The grid is rectangular: all pairs of the x and y found.  Outside it, or beside a missing sample, velocity is 0."""
-    s = _samples(field)
-    axis = lambda a: s.select("field", a).distinct().withColumn(f"{a}1", F.lead(a).over(Window.partitionBy("field").orderBy(a))).where(F.col(f"{a}1").isNotNull()).withColumnRenamed(a, f"{a}0")
-    inside = lambda a: (F.col(a) >= F.col(f"{a}0")) & (F.col(a) <= F.col(f"{a}1"))
-    keys = ["field", "point", "x", "y"]
-    cell = points.join(axis("x"), "field").where(inside("x")).join(axis("y"), "field").where(inside("y"))
-    cell = cell.groupBy(*keys).agg(F.min(F.struct("x0", "y0", "x1", "y1")).alias("c")).select(*keys, "c.*")
-    corner = lambda i, j: s.select("field", F.col("x").alias(f"x{i}"), F.col("y").alias(f"y{j}"), F.col("u").alias(f"u{i}{j}"), F.col("v").alias(f"v{i}{j}"))
-    for i, j in ((0, 0), (1, 0), (0, 1), (1, 1)):
-        cell = cell.join(corner(i, j), ["field", f"x{i}", f"y{j}"], "left")
-    p, q = (F.col("x") - F.col("x0")) / (F.col("x1") - F.col("x0")), (F.col("y") - F.col("y0")) / (F.col("y1") - F.col("y0"))
-
-    def at(c: str) -> Column:
-        lower = F.col(f"{c}00") + p * (F.col(f"{c}10") - F.col(f"{c}00")) + q * (F.col(f"{c}11") - F.col(f"{c}10"))
-        upper = F.col(f"{c}00") + q * (F.col(f"{c}01") - F.col(f"{c}00")) + p * (F.col(f"{c}11") - F.col(f"{c}01"))
-        return F.when(p >= q, lower).otherwise(upper)
-
-    found = cell.select(*keys, at("u").alias("u"), at("v").alias("v"))
-    out = points.join(found, keys, "left")
-    none = F.col("u").isNull() | F.col("v").isNull()
-    return out.withColumns({c: F.when(none, 0.0).otherwise(F.col(c)) for c in ("u", "v")})
-
-
-METHODS = {"nearest": nearest, "inverse_distance": inverse_distance, "bilinear": bilinear}
-
-
-def evolve_polygon(spark: SparkSession, polygon: Sequence[tuple[float, float]], field: DataFrame, fields: Sequence[int], height: float, width: float, periodic: bool = False, method: str = "bilinear") -> DataFrame:
-    """``step, vertex, x, y``: the polygon before the first field and after each of ``fields`` in turn.
-
-    A step depends on where the one before has led: each is a join of the vertices with one field, settled for the
-    next, and a vertex takes its way along in an array.  Nothing but field numbers is on the driver.  x is clamped to the image, y too unless rows wrap."""
-    start = [(i, float(x), float(y)) for i, (x, y) in enumerate(polygon)]
-    here = spark.createDataFrame(start, "point int, x double, y double").withColumn("way", F.array(F.struct(F.lit(0).alias("step"), "x", "y")))
-    for step, f in enumerate(fields, 1):
-        moved = METHODS[method](here.select(F.lit(int(f)).alias("field"), "point", "x", "y"), field.where(F.col("field") == int(f))).select("point", "u", "v")
+METHODS = {"nearest": nearest, "inverse_distance": inverse_distance, "bilinear": linear, "bicubic": cubic}
+
+
+def _carried(field: DataFrame, method: str) -> tuple[DataFrame, str]:
+    """``field, held``: what a field's velocities are made from, as an array of structures, and the velocity at ``way.x, way.y``
+    from it, as an SQL expression of a structure with u and v."""
+    if method == "bilinear":
+        at = lambda c: f"t.{c}[0] + t.{c}[1] * way.x + t.{c}[2] * way.y"
+        inside = f"struct(least({at('b0')}, {at('b1')}, {at('b2')}) AS depth, {at('u')} AS u, {at('v')} AS v)"
+        best = f"array_max(transform(held, t -> {inside}))"
+        return planes(field).groupBy("field").agg(F.collect_list("t").alias("held")), f"if({best}.depth >= {-EDGE!r}D, {best}, NULL)"
+    samples = _samples(field).groupBy("field").agg(F.array_sort(F.collect_list(F.struct("x", "y", "u", "v"))).alias("held"))
+    d2 = "power(t.x - way.x, 2) + power(t.y - way.y, 2)"
+    nearest_ = f"array_min(transform(held, t -> struct({d2} AS d2, t.x AS x, t.y AS y, t.u AS u, t.v AS v)))"
+    if method == "nearest":
+        return samples, nearest_
+    total = lambda c: f"aggregate(held, 0D, (a, t) -> a + {c} / ({d2}))"
+    mean = f"named_struct('u', {total('t.u')} / {total('1D')}, 'v', {total('t.v')} / {total('1D')})"
+    return samples, f"if(sqrt({nearest_}.d2) <= 1e-12D, named_struct('u', {nearest_}.u, 'v', {nearest_}.v), {mean})"
+
+
+def evolve_polygon(spark: SparkSession, polygon: Sequence[tuple[float, float]], field: DataFrame, height: float, width: float, periodic: bool = False, method: str = "bilinear") -> DataFrame:
+    """``step, vertex, x, y``: the polygon before the first field and after each field in turn, in the order of ``field``.
+
+    A step depends on where the one before has led, so this is one recursive query: the vertices meet the next field, which
+    is one row with what its velocities are made from (a grid's samples or triangles).  Nothing of it passes the driver but
+    the number of fields.  x is clamped to the image, y too unless rows wrap; outside of all samples a vertex stays.
+    ``bicubic`` has no such row, so its steps are settled one by one."""
+    start = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(polygon)], "vertex int, x double, y double")
+    if method == "bicubic":
+        return _evolve_by_steps(start, field, height, width, periodic, method)
+    held, velocity = _carried(field, method)
+    every = field.select("field").distinct().select("field", F.row_number().over(Window.orderBy("field")).alias("step"))
+    fields = settled(every.join(held, "field", "left").select("step", "held"))
+    y = f"pmod(way.y + coalesce(v.v, 0D), {float(height)!r}D)" if periodic else f"greatest(0D, least({height - 1.0!r}D, way.y + coalesce(v.v, 0D)))"
+    return spark.sql(
+        f"""WITH RECURSIVE way (step, vertex, x, y) MAX RECURSION LEVEL {fields.count() + 2} AS (
+          SELECT 0 AS step, vertex, x, y FROM {{start}}
+          UNION ALL
+          SELECT step, vertex, greatest(0D, least({width - 1.0!r}D, way.x + coalesce(v.u, 0D))) AS x, {y} AS y
+          FROM (SELECT f.step, way.vertex, way.x, way.y, {velocity} AS v FROM way JOIN {{fields}} f ON f.step = way.step + 1) way)
+        SELECT step, vertex, x, y FROM way""",
+        start=start,
+        fields=fields,
+    )
+
+
+def _evolve_by_steps(here: DataFrame, field: DataFrame, height: float, width: float, periodic: bool, method: str) -> DataFrame:
+    """As :func:`evolve_polygon`, a settled job a field; only field numbers are on the driver."""
+    out = [here.select(F.lit(0).alias("step"), "vertex", "x", "y")]
+    for step, row in enumerate(field.select("field").distinct().orderBy("field").toLocalIterator(), 1):
+        moved = METHODS[method](here.select(F.lit(row["field"]).alias("field"), F.col("vertex").alias("point"), "x", "y"), field.where(F.col("field") == row["field"])).select(F.col("point").alias("vertex"), "u", "v")
         x, y = F.col("x") + F.coalesce("u", F.lit(0.0)), F.col("y") + F.coalesce("v", F.lit(0.0))
         x = F.greatest(F.lit(0.0), F.least(F.lit(width - 1.0), x))
         y = F.pmod(y, F.lit(float(height))) if periodic else F.greatest(F.lit(0.0), F.least(F.lit(height - 1.0), y))
-        here = here.join(moved, "point", "left").select("point", x.alias("x"), y.alias("y"), "way")
-        here = here.withColumn("way", F.concat("way", F.array(F.struct(F.lit(step).alias("step"), "x", "y"))))
-        here = settled(here)
-    return here.select(F.col("point").alias("vertex"), F.explode("way").alias("w")).select("w.step", "vertex", "w.x", "w.y")
+        here = settled(here.join(moved, "vertex", "left").select("vertex", x.alias("x"), y.alias("y")))
+        out.append(here.select(F.lit(step).alias("step"), "vertex", "x", "y"))
+    return reduce(DataFrame.unionByName, out)
 
 
 def in_polygon(x: Column, y: Column, polygon: Sequence[tuple[float, float]]) -> Column:

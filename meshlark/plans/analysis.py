@@ -124,7 +124,7 @@ def _roi(spark: SparkSession, made: Tables, frames: DataFrame, height: int, widt
     fields = {r["field"] for r in field.select("field").distinct().collect()}
     if missing := [f for f in steps if f not in fields]:
         raise ValueError(f"velocity fields {missing[:5]} are missing")
-    path = piv.evolve_polygon(spark, s.velocity.polygon, field, steps, height, width, s.periodic, s.velocity.method)
+    path = piv.evolve_polygon(spark, s.velocity.polygon, field.where(F.col("field").between(0, len(steps) - 1)), height, width, s.periodic, s.velocity.method)
     moved = settled(path.select((F.col("step") + s.start).cast("int").alias("frame"), "vertex", "x", "y"))
     pixels = label.value_map(label.label_pixels(made["runs"]), made["regions"], "psi_mag").withColumnRenamed("psi_mag", "value")
     corners = moved.join(frames.select("frame"), "frame").groupBy("frame").agg(F.sort_array(F.collect_list(F.struct("vertex", "x", "y"))).alias("v"))

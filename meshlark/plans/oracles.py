@@ -24,20 +24,20 @@ EV = "ev AS (SELECT CAST(day(ts) AS INT) AS frame, event_id AS id, CAST(hour(ts)
 
 def _triangles(points: str, own: str) -> str:
     """Of the points to the left of a directed edge the one that sees it at the widest angle makes a triangle with it, if no
-    point to the right lies in the circle."""
+    point to the right lies in the circle; points within rounding of the edge's line are on neither side."""
     return f"""seen AS (
   SELECT a.frame, a.id AS a, b.id AS b, p.id AS p, (b.r - a.r) * (p.c - a.c) - (b.c - a.c) * (p.r - a.r) AS side,
     (p.r - a.r) * (p.r - b.r) + (p.c - a.c) * (p.c - b.c) AS dot
   FROM {points} a JOIN {points} b ON a.frame = b.frame AND a.id <> b.id JOIN {points} p ON p.frame = a.frame AND p.id <> a.id AND p.id <> b.id WHERE {own}),
 apex AS (
-  SELECT frame, a, b, min_by(p, dot / side) FILTER (side > 0) AS p, min(dot / side) FILTER (side > 0) AS low, max(dot / side) FILTER (side < 0) AS high
+  SELECT frame, a, b, min_by(p, dot / side) FILTER (side > 1e-9) AS p, min(dot / side) FILTER (side > 1e-9) AS low, max(dot / side) FILTER (side < -1e-9) AS high, count(*) FILTER (abs(side) <= 1e-9 AND dot < 0) AS on_it
   FROM seen GROUP BY frame, a, b),
-trip AS (SELECT DISTINCT frame, list_sort([a, b, p]) AS t FROM apex WHERE p IS NOT NULL AND (high IS NULL OR low >= high)),
+trip AS (SELECT DISTINCT frame, list_sort([a, b, p]) AS t FROM apex WHERE p IS NOT NULL AND on_it = 0 AND (high IS NULL OR low >= high)),
 circ AS (
   SELECT trip.frame, t[1] AS i, t[2] AS j, t[3] AS k, a.r AS r0, a.c AS c0, b.r AS r1, b.c AS c1, c.r AS r2, c.c AS c2,
-    2 * ((b.r - a.r) * (c.c - a.c) - (b.c - a.c) * (c.r - a.r)) AS d, (b.r - a.r) ** 2 + (b.c - a.c) ** 2 AS b2, (c.r - a.r) ** 2 + (c.c - a.c) ** 2 AS c2q
+    2 * ((b.r - a.r) * (c.c - a.c) - (b.c - a.c) * (c.r - a.r)) AS d, (b.r - a.r) ** 2 + (b.c - a.c) ** 2 AS lb, (c.r - a.r) ** 2 + (c.c - a.c) ** 2 AS lc
   FROM trip JOIN {points} a ON a.frame = trip.frame AND a.id = t[1] JOIN {points} b ON b.frame = trip.frame AND b.id = t[2] JOIN {points} c ON c.frame = trip.frame AND c.id = t[3]),
-cc AS (SELECT *, r0 + ((c2 - c0) * b2 - (c1 - c0) * c2q) / d AS ccr, c0 + ((r1 - r0) * c2q - (r2 - r0) * b2) / d AS ccc FROM circ),
+cc AS (SELECT *, r0 + ((c2 - c0) * lb - (c1 - c0) * lc) / d AS ccr, c0 + ((r1 - r0) * lc - (r2 - r0) * lb) / d AS ccc FROM circ),
 tri AS (SELECT *, sqrt((r0 - ccr) ** 2 + (c0 - ccc) ** 2) AS rad, abs(d) / 4 AS area FROM cc)"""
 
 
@@ -160,8 +160,99 @@ pw AS (SELECT sum(((0.5 - 0.5 * cos({TURN} * a.i / 23)) * (0.5 - 0.5 * cos({TURN
 BAND = "bs AS (SELECT frame, fr, fc, (re * re + im * im) / w AS i, sqrt((fr / 24.0) ** 2 + (fc / 30.0) ** 2) AS rad FROM sp CROSS JOIN pw)"
 V1 = "v1 AS (SELECT *, CASE WHEN fr = 0 AND fc = 0 THEN 0 ELSE re * re + im * im END AS i FROM sp)"
 TOP = "tb AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY round(i, 3) DESC, fr, fc) AS rank FROM v1 WHERE fr <> 0 OR fc <> 0)"
-PIV = "fd AS (SELECT CAST((year(l_shipdate) - 1992) * 12 + month(l_shipdate) - 1 AS INT) AS field, floor((l_quantity - 1) / 10) AS x, CAST(l_linenumber AS DOUBLE) AS y, avg(l_discount) - 0.05 AS u, avg(l_tax) - 0.04 AS v FROM lineitem GROUP BY ALL)"
+PIV = "fd AS (SELECT CAST((year(l_shipdate) - 1992) * 12 + month(l_shipdate) - 1 AS INT) AS field, floor((l_quantity - 1) / 10) AS x, CAST(l_linenumber AS DOUBLE) AS y, avg(l_discount) - 0.05 AS u, avg(l_tax) - 0.04 AS v, count(*) AS n FROM lineitem GROUP BY ALL)"
 POINTS = "pt AS (SELECT field, CAST(x * 10 + y AS INT) AS point, x + 0.3 AS x, y + 0.4 AS y FROM fd)"
+DRIFTED = """fc AS (SELECT field, x, y, CASE WHEN n >= 12 THEN u END AS u, CASE WHEN n >= 12 THEN v END AS v FROM fd),
+emb AS (SELECT field AS frame, CAST(x * 10 + y AS INT) AS id, y + 4 * v AS r, x + 4 * u AS c, u, v FROM fc WHERE u IS NOT NULL)"""
+HELD = """held AS (
+  SELECT pt.field, pt.point, pt.x, pt.y, t.*, ((pt.x - c0) * (r2 - r0) - (pt.y - r0) * (c2 - c0)) / w AS b1, ((c1 - c0) * (pt.y - r0) - (r1 - r0) * (pt.x - c0)) / w AS b2, 1 - b1 - b2 AS b0
+  FROM pt JOIN (SELECT *, (c1 - c0) * (r2 - r0) - (r1 - r0) * (c2 - c0) AS w FROM tri) t ON t.frame = pt.field
+  WHERE least(b0, b1, b2) >= -1e-9 QUALIFY row_number() OVER (PARTITION BY pt.field, pt.point ORDER BY least(b0, b1, b2) DESC, i, j, k) = 1)"""
+# rounds of slopes; the error halves at least with each
+SLOPES = """side AS (SELECT frame, i AS a, j AS b, k AS apex FROM tri UNION ALL SELECT frame, j, k, i FROM tri UNION ALL SELECT frame, i, k, j FROM tri),
+link AS (
+  SELECT e.frame, e.a, e.b, q.c - p.c AS ex, q.r - p.r AS ey, ((q.c - p.c) ** 2 + (q.r - p.r) ** 2) ** 1.5 AS l3, q.u - p.u AS du, q.v - p.v AS dv
+  FROM (SELECT DISTINCT frame, a, b FROM side UNION SELECT frame, b, a FROM side) e JOIN emb p ON p.frame = e.frame AND p.id = e.a JOIN emb q ON q.frame = e.frame AND q.id = e.b),
+mat AS (SELECT frame, a, sum(2 * ex * ex / l3) AS xx, sum(2 * ex * ey / l3) AS xy, sum(2 * ey * ey / l3) AS yy FROM link GROUP BY ALL),
+gr AS (
+  SELECT 0 AS n, frame, a AS id, 0.0::DOUBLE AS ux, 0.0::DOUBLE AS uy, 0.0::DOUBLE AS vx, 0.0::DOUBLE AS vy FROM mat
+  UNION ALL
+  SELECT n + 1, frame, a, (tx * yy - ty * xy) / (xx * yy - xy * xy), (ty * xx - tx * xy) / (xx * yy - xy * xy), (sx * yy - sy * xy) / (xx * yy - xy * xy), (sy * xx - sx * xy) / (xx * yy - xy * xy)
+  FROM (
+    SELECT gr.n, link.frame, link.a, any_value(xx) AS xx, any_value(xy) AS xy, any_value(yy) AS yy, sum((3 * du - ux * ex - uy * ey) * ex / l3) AS tx, sum((3 * du - ux * ex - uy * ey) * ey / l3) AS ty,
+      sum((3 * dv - vx * ex - vy * ey) * ex / l3) AS sx, sum((3 * dv - vx * ex - vy * ey) * ey / l3) AS sy
+    FROM gr JOIN link ON link.frame = gr.frame AND link.b = gr.id JOIN mat ON mat.frame = link.frame AND mat.a = link.a WHERE gr.n < 40 GROUP BY gr.n, link.frame, link.a)),
+slope AS (SELECT e.frame, e.id, e.r, e.c, e.u, e.v, ux, uy, vx, vy FROM gr JOIN emb e ON e.frame = gr.frame AND e.id = gr.id WHERE n = 40)"""
+
+
+# On a grid many points share a circle.  Its triangles fan out from the first of them, by y and x: a triangle holds if its
+# circle has no sample inside, begins with its first corner, and has none beyond the edge between the others.
+GRIDDED = """tr AS (
+  SELECT a.field, a.y AS ay, a.x AS ax, b.y AS by_, b.x AS bx, c.y AS cy, c.x AS cx, (b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) AS w,
+    a.u AS au, a.v AS av, b.u AS bu, b.v AS bv, c.u AS cu, c.v AS cv,
+    ((c.y - a.y) * ((b.x - a.x) ** 2 + (b.y - a.y) ** 2) - (b.y - a.y) * ((c.x - a.x) ** 2 + (c.y - a.y) ** 2)) / (2 * w) AS mx,
+    ((b.x - a.x) * ((c.x - a.x) ** 2 + (c.y - a.y) ** 2) - (c.x - a.x) * ((b.x - a.x) ** 2 + (b.y - a.y) ** 2)) / (2 * w) AS my
+  FROM fd a JOIN fd b ON a.field = b.field AND (b.y, b.x) > (a.y, a.x) JOIN fd c ON c.field = a.field AND (c.y, c.x) > (b.y, b.x)
+  WHERE (b.x - a.x) * (c.y - a.y) <> (b.y - a.y) * (c.x - a.x)),
+near AS (
+  SELECT pt.field, pt.point, pt.x, pt.y, tr.* EXCLUDE (field), ((pt.x - ax) * (cy - ay) - (pt.y - ay) * (cx - ax)) / w AS p1, ((bx - ax) * (pt.y - ay) - (by_ - ay) * (pt.x - ax)) / w AS p2
+  FROM pt JOIN tr ON tr.field = pt.field WHERE least(1 - p1 - p2, p1, p2) >= -1e-9),
+ring AS (
+  SELECT n.field, n.point, n.ay, n.ax, n.by_, n.bx, n.cy, n.cx, any_value(au + p1 * (bu - au) + p2 * (cu - au)) AS u, any_value(av + p1 * (bv - av) + p2 * (cv - av)) AS v,
+    min((s.x - ax - mx) ** 2 + (s.y - ay - my) ** 2 - mx ** 2 - my ** 2) AS gap, min({'y': s.y, 'x': s.x}) FILTER (abs((s.x - ax - mx) ** 2 + (s.y - ay - my) ** 2 - mx ** 2 - my ** 2) < 1e-9) AS first,
+    count(*) FILTER (abs((s.x - ax - mx) ** 2 + (s.y - ay - my) ** 2 - mx ** 2 - my ** 2) < 1e-9 AND ((cx - bx) * (s.y - by_) - (cy - by_) * (s.x - bx)) * ((cx - bx) * (ay - by_) - (cy - by_) * (ax - bx)) < -1e-9) AS beyond
+  FROM near n JOIN fd s ON s.field = n.field GROUP BY ALL),
+lin AS (SELECT field, point, u, v FROM ring WHERE gap > -1e-9 AND first.y = ay AND first.x = ax AND beyond = 0 QUALIFY row_number() OVER (PARTITION BY field, point ORDER BY ay, ax, by_, bx, cy, cx) = 1)"""
+
+
+def _smooth_patch(value: str) -> str:
+    """The cubic's value at weights b0, b1, b2 of a triangle with corners s0, s1, s2 and leanings g0, g1, g2."""
+    f = [f"s{m}.{value}" for m in range(3)]
+    q = {(a, b): f"({f[a]} + (s{a}.{value}x * (s{b}.c - s{a}.c) + s{a}.{value}y * (s{b}.r - s{a}.r)) / 3)" for a in range(3) for b in range(3) if a != b}
+    e = [f"(({f[a]} + {q[a, (a + 1) % 3]} + {q[a, (a + 2) % 3]}) / 3)" for a in range(3)]
+    h = []
+    for m in range(3):
+        a, b = (m + 1) % 3, (m + 2) % 3
+        h.append(f"((g{m} * ({f[b]} - 3 * {q[b, a]} + 3 * {q[a, b]} - {f[a]}) + 2 * {q[a, b]} - {f[a]} - {q[b, a]} + {e[a]} + {e[b]}) / 2)")
+    i = [f"(({e[a]} + {h[(a + 1) % 3]} + {h[(a + 2) % 3]}) / 3)" for a in range(3)]
+    w = [f"(b{m} - z)" for m in range(3)]
+    terms = [f"27 * z ** 3 * ({i[0]} + {i[1]} + {i[2]}) / 3"]
+    for a in range(3):
+        b, c = (a + 1) % 3, (a + 2) % 3
+        terms.append(f"{w[a]} ** 3 * {f[a]} + 3 * {w[a]} ** 2 * ({w[b]} * {q[a, b]} + {w[c]} * {q[a, c]} + 3 * z * {e[a]}) + 27 * {w[a]} * z * z * {i[a]} + 18 * {w[b]} * {w[c]} * z * {h[a]}")
+    return " + ".join(terms)
+
+
+def _leaning(m: int) -> str:
+    """How the slope across the edge opposite to corner m leans, from the centre of the triangle beyond."""
+    c, r = f"(({'+'.join(f'c{x}' for x in range(3) if x != m)} + o{m}.c) / 3)", f"(({'+'.join(f'r{x}' for x in range(3) if x != m)} + o{m}.r) / 3)"
+    w1, w2 = f"((({c} - c0) * (r2 - r0) - ({r} - r0) * (c2 - c0)) / w)", f"(((c1 - c0) * ({r} - r0) - (r1 - r0) * ({c} - c0)) / w)"
+    w = [f"(1 - {w1} - {w2})", w1, w2]
+    a, b = w[(m + 1) % 3], w[(m + 2) % 3]
+    return f"coalesce((2 * {b} + {a} - 1) / (2 - 3 * {b} - 3 * {a}), -0.5) AS g{m}"
+
+
+def _bicubic() -> str:
+    ends = [("j", "k", "i"), ("i", "k", "j"), ("i", "j", "k")]
+    beyond = " ".join(f"LEFT JOIN side d{m} ON d{m}.frame = held.frame AND d{m}.a = held.{a} AND d{m}.b = held.{b} AND d{m}.apex <> held.{own} LEFT JOIN emb o{m} ON o{m}.frame = held.frame AND o{m}.id = d{m}.apex" for m, (a, b, own) in enumerate(ends))
+    corners = " ".join(f"JOIN slope s{m} ON s{m}.frame = lean.frame AND s{m}.id = lean.{k}" for m, k in enumerate("ijk"))
+    return _with(
+        PIV, POINTS, DRIFTED, TRI, HELD, SLOPES,
+        f"lean AS (SELECT held.*, least(b0, b1, b2) AS z, {', '.join(_leaning(m) for m in range(3))} FROM held {beyond})",
+        f"cub AS (SELECT lean.field, lean.point, {_smooth_patch('u')} AS u, {_smooth_patch('v')} AS v FROM lean {corners})",
+        select=f"SELECT pt.field, pt.point, {_r('pt.x', 'x', 5)}, {_r('pt.y', 'y', 5)}, {_r('coalesce(u, 0)', 'u', 5)}, {_r('coalesce(v, 0)', 'v', 5)} FROM pt LEFT JOIN cub ON cub.field = pt.field AND cub.point = pt.point",
+    )
+
+
+def _scattered() -> str:
+    corners = " ".join(f"JOIN emb s{m} ON s{m}.frame = held.frame AND s{m}.id = held.{k}" for m, k in enumerate("ijk"))
+    value = lambda c: " + ".join(f"b{m} * s{m}.{c}" for m in range(3))
+    return _with(
+        PIV, POINTS, DRIFTED, TRI, HELD, f"lin AS (SELECT held.field, held.point, {value('u')} AS u, {value('v')} AS v FROM held {corners})",
+        select=f"SELECT pt.field, pt.point, {_r('pt.x', 'x')}, {_r('pt.y', 'y')}, {_r('coalesce(u, 0)', 'u')}, {_r('coalesce(v, 0)', 'v')} FROM pt LEFT JOIN lin ON lin.field = pt.field AND lin.point = pt.point",
+    )
+
+
 POLYGON = ((3.0, 2.0), (20.0, 4.0), (26.0, 15.0), (12.0, 21.0), (5.0, 13.0))
 
 
@@ -170,7 +261,7 @@ def _in_polygon(x: str, y: str) -> str:
     return f"({' + '.join(tests)}) % 2 = 1"
 
 
-YEARS = "fd AS (SELECT CAST(year(l_shipdate) - 1992 AS INT) AS field, floor((l_quantity - 1) / 10) AS x, CAST(l_linenumber AS DOUBLE) AS y, (avg(l_discount) - 0.05) * 1000 AS u, (avg(l_tax) - 0.04) * 1000 AS v FROM lineitem GROUP BY ALL)"
+MONTHS = "fd AS (SELECT CAST((year(l_shipdate) - 1992) * 12 + month(l_shipdate) - 1 AS INT) AS field, floor((l_quantity - 1) / 10) AS x, CAST(l_linenumber AS DOUBLE) AS y, (avg(l_discount) - 0.05) * 100 AS u, (avg(l_tax) - 0.04) * 100 AS v FROM lineitem GROUP BY ALL)"
 # field by field in order; each row of the recursion is one vertex
 EVOLVE = """ys AS (SELECT field, row_number() OVER (ORDER BY field) AS n FROM (SELECT DISTINCT field FROM fd)),
 way AS (
@@ -181,7 +272,7 @@ way AS (
 
 
 def _evolve() -> str:
-    return _with(YEARS, EVOLVE, select=f"SELECT CAST(step AS INT) AS step, CAST(vertex AS INT) AS vertex, {_r('x', 'x', 5)}, {_r('y', 'y', 5)} FROM way")
+    return _with(MONTHS, EVOLVE, select=f"SELECT CAST(step AS INT) AS step, CAST(vertex AS INT) AS vertex, {_r('x', 'x', 5)}, {_r('y', 'y', 5)} FROM way")
 
 
 def _defects() -> str:
@@ -284,12 +375,9 @@ ORACLE_SQL: dict[str, str] = {
     "piv_nearest": _with(PIV, POINTS, select=f"SELECT pt.field, point, {_r('pt.x', 'x')}, {_r('pt.y', 'y')}, {_r('first(u ORDER BY (pt.x - fd.x) ** 2 + (pt.y - fd.y) ** 2, fd.x, fd.y)', 'u')}, {_r('first(v ORDER BY (pt.x - fd.x) ** 2 + (pt.y - fd.y) ** 2, fd.x, fd.y)', 'v')} FROM pt JOIN fd ON fd.field = pt.field GROUP BY pt.field, point, pt.x, pt.y"),
     "piv_inverse_distance": _with(PIV, POINTS, select=f"SELECT pt.field, point, {_r('pt.x', 'x')}, {_r('pt.y', 'y')}, {_r('sum(u / ((pt.x - fd.x) ** 2 + (pt.y - fd.y) ** 2)) / sum(1 / ((pt.x - fd.x) ** 2 + (pt.y - fd.y) ** 2))', 'u')}, {_r('sum(v / ((pt.x - fd.x) ** 2 + (pt.y - fd.y) ** 2)) / sum(1 / ((pt.x - fd.x) ** 2 + (pt.y - fd.y) ** 2))', 'v')} FROM pt JOIN fd ON fd.field = pt.field GROUP BY pt.field, point, pt.x, pt.y"),
     # all points lie 0.3 and 0.4 into their cell, so in its upper triangle: u = a + 0.4 (c - a) + 0.3 (d - c); cells span the next x and y of the field
-    "piv_bilinear": _with(PIV, POINTS,
-        "nx AS (SELECT field, x, lead(x) OVER (PARTITION BY field ORDER BY x) AS x1 FROM (SELECT DISTINCT field, x FROM fd))",
-        "ny AS (SELECT field, y, lead(y) OVER (PARTITION BY field ORDER BY y) AS y1 FROM (SELECT DISTINCT field, y FROM fd))",
-        "ce AS (SELECT pt.*, nx.x AS x0, ny.y AS y0, x1, y1, (pt.x - nx.x) / (x1 - nx.x) AS p, (pt.y - ny.y) / (y1 - ny.y) AS q FROM pt LEFT JOIN nx ON nx.field = pt.field AND pt.x BETWEEN nx.x AND x1 LEFT JOIN ny ON ny.field = pt.field AND pt.y BETWEEN ny.y AND y1)",
-        "vv AS (SELECT ce.*, CASE WHEN p >= q THEN a.u + p * (b.u - a.u) + q * (d.u - b.u) ELSE a.u + q * (c.u - a.u) + p * (d.u - c.u) END AS u, CASE WHEN p >= q THEN a.v + p * (b.v - a.v) + q * (d.v - b.v) ELSE a.v + q * (c.v - a.v) + p * (d.v - c.v) END AS v FROM ce LEFT JOIN fd a ON a.field = ce.field AND a.x = x0 AND a.y = y0 LEFT JOIN fd b ON b.field = ce.field AND b.x = x1 AND b.y = y0 LEFT JOIN fd c ON c.field = ce.field AND c.x = x0 AND c.y = y1 LEFT JOIN fd d ON d.field = ce.field AND d.x = x1 AND d.y = y1)",
-        select=f"SELECT field, point, {_r('x', 'x')}, {_r('y', 'y')}, {_r('coalesce(u, 0)', 'u')}, {_r('coalesce(v, 0)', 'v')} FROM vv"),
+    "piv_scattered": _scattered(),
+    "piv_bicubic": _bicubic(),
+    "piv_bilinear": _with(PIV, POINTS, GRIDDED, select=f"SELECT pt.field, pt.point, {_r('pt.x', 'x', 10)}, {_r('pt.y', 'y', 10)}, {_r('coalesce(u, 0)', 'u', 10)}, {_r('coalesce(v, 0)', 'v', 10)} FROM pt LEFT JOIN lin ON lin.field = pt.field AND lin.point = pt.point"),
     "roi_evolve": _evolve(),
     "piv_percentiles": _with(PIV, "sp AS (SELECT quantile_cont(sqrt(u * u + v * v), 0.02) AS lo, quantile_cont(sqrt(u * u + v * v), 0.98) AS hi FROM fd)", select=f"SELECT {_r('lo', 'low')}, {_r('CASE WHEN hi <= lo THEN lo + 1 ELSE hi END', 'high')} FROM sp"),
     "piv_quiver": _with(PIV, "rk AS (SELECT *, dense_rank() OVER (PARTITION BY field ORDER BY x) - 1 AS ix, dense_rank() OVER (PARTITION BY field ORDER BY y) - 1 AS iy FROM fd)", select=f"SELECT field, x, y, {_r('u', 'u')}, {_r('v', 'v')} FROM rk WHERE ix % 2 = 0 AND iy % 2 = 0"),

@@ -267,16 +267,31 @@ def _moved_points(field: DataFrame) -> DataFrame:
 def _interpolated(method: str) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         field = adapters.velocities_of_lineitems(spark, sf_dir)
-        return rounded(piv.METHODS[method](_moved_points(field), field))
+        return rounded(piv.METHODS[method](_moved_points(field), field), 10 if method == "bilinear" else 6)
 
     return query
 
 
+def _drifted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Points, and samples that their own velocity has carried off the grid; those of few rows are missing."""
+    field = adapters.velocities_of_lineitems(spark, sf_dir, least=12)
+    every = settled(field)
+    drift = lambda p, v: (F.col(p) + F.lit(4.0) * F.coalesce(v, F.lit(0.0))).alias(p)
+    return _moved_points(every), every.select("field", drift("x", "u"), drift("y", "v"), "u", "v")
+
+
+def piv_scattered(spark, sf_dir):
+    return rounded(piv.METHODS["bilinear"](*_drifted(spark, sf_dir)))
+
+
+def piv_bicubic(spark, sf_dir):
+    return rounded(piv.METHODS["bicubic"](*_drifted(spark, sf_dir)), 5)
+
+
 def roi_evolve(spark, sf_dir):
-    """A triangle carried through all years of shipping, each a field."""
-    field = settled(adapters.velocities_of_lineitems(spark, sf_dir, yearly=True).withColumns({c: F.col(c) * 1000 for c in ("u", "v")}))
-    years = [r["field"] for r in field.select("field").distinct().orderBy("field").collect()]
-    return rounded(piv.evolve_polygon(spark, [(0.5, 1.5), (3.2, 2.0), (2.0, 6.1)], field, years, height=8.0, width=5.0, periodic=True, method="nearest"), 5)
+    """A triangle carried through all months of shipping, each a field."""
+    field = settled(adapters.velocities_of_lineitems(spark, sf_dir).withColumns({c: F.col(c) * 100 for c in ("u", "v")}))
+    return rounded(piv.evolve_polygon(spark, [(0.5, 1.5), (3.2, 2.0), (2.0, 6.1)], field, height=8.0, width=5.0, periodic=True, method="nearest"), 5)
 
 
 def piv_percentiles(spark, sf_dir):
@@ -306,6 +321,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         knn_smooth, boundary_excluded_smooth, voronoi_psi6_periodic, voronoi_neighbours_periodic, knn_smooth_periodic, g6_curve_periodic, pairs_in_range, pairs_in_range_wrapped, g6_curve, decay_lengths, bootstrap_ci, components_grid,
         component_filter_qc, border_filter, label_map, roll_rows, rectangle_crop, polygon_crop,
         polygon_fourier, centroid_impulses, pad_center, polygon_display, roi_stats, dft_v1_top_bins, dft_v1_mean_distance, dft_v1_metric, dft_v2_band,
-        dft_v2_pairs, radial_profile, reconstruct, roi_evolve, piv_percentiles, piv_quiver, missing_timepoints, duplicate_timepoints,
+        dft_v2_pairs, radial_profile, reconstruct, roi_evolve, piv_scattered, piv_bicubic, piv_percentiles, piv_quiver, missing_timepoints, duplicate_timepoints,
     )
-} | {f"piv_{m}": _interpolated(m) for m in piv.METHODS}
+} | {f"piv_{m}": _interpolated(m) for m in ("nearest", "inverse_distance", "bilinear")}

@@ -41,13 +41,14 @@ def dense_grid(grid: DataFrame, height: int, width: int, value: str = "n") -> Da
     return spine.join(grid.select("frame", "row", "col", F.col(value).cast("double").alias("value")), ["frame", "row", "col"], "left").fillna(0.0, ["value"])
 
 
-def velocities_of_lineitems(spark: SparkSession, sf_dir: str, yearly: bool = False) -> DataFrame:
-    """field = month (or year) of shipping since 1992; x = quantity band, y = line number; u, v = centred mean discount and tax."""
-    year = F.year("l_shipdate") - 1992
-    month = year if yearly else year * 12 + F.month("l_shipdate") - 1
+def velocities_of_lineitems(spark: SparkSession, sf_dir: str, least: int = 1) -> DataFrame:
+    """field = month of shipping since January 1992; x = quantity band, y = line number; u, v = centred mean discount and tax,
+    missing where a place has fewer than ``least`` rows."""
+    month = (F.year("l_shipdate") - 1992) * 12 + F.month("l_shipdate") - 1
     band = F.floor((F.col("l_quantity") - 1) / 10)
     cells = table(spark, sf_dir, "lineitem").groupBy(month.alias("field"), band.cast("double").alias("x"), F.col("l_linenumber").cast("double").alias("y"))
-    return cells.agg((F.avg("l_discount") - 0.05).alias("u"), (F.avg("l_tax") - 0.04).alias("v"))
+    mean = lambda c, centre: F.when(F.count("*") >= least, F.avg(c) - centre)
+    return cells.agg(mean("l_discount", 0.05).alias("u"), mean("l_tax", 0.04).alias("v"))
 
 
 def regions_of_lineitems(spark: SparkSession, sf_dir: str) -> DataFrame:

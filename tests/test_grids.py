@@ -131,7 +131,7 @@ def field(spark, f, fields=(0, 1)):
 def test_interpolation(spark):
     f = field(spark, lambda x, y: (1 + 2 * x - y, 0.5 * y), (0,))
     points = spark.createDataFrame([(0, 0, 7.0, 3.0), (0, 1, 10.0, 15.0), (0, 2, 99.0, 0.0)], "field int, point int, x double, y double")
-    linear = {r["point"]: (r["u"], r["v"]) for r in piv.bilinear(points, f).collect()}
+    linear = {r["point"]: (r["u"], r["v"]) for r in piv.linear(points, f).collect()}
     assert linear[0] == pytest.approx((12, 1.5)) and linear[1] == pytest.approx((6, 7.5)) and linear[2] == (0, 0)
     near = {r["point"]: (r["u"], r["v"]) for r in piv.nearest(points, f).collect()}
     assert near[0] == (6, 2.5) and near[2] == (41, 0)
@@ -141,10 +141,22 @@ def test_interpolation(spark):
 
 def test_polygons_move(spark):
     f = field(spark, lambda x, y: (1.5, 2.0))
-    path = {(r["step"], r["vertex"]): (r["x"], r["y"]) for r in piv.evolve_polygon(spark, [(2, 3), (8, 3), (8, 18)], f, [0, 1], 19, 21, periodic=True).collect()}
+    path = {(r["step"], r["vertex"]): (r["x"], r["y"]) for r in piv.evolve_polygon(spark, [(2, 3), (8, 3), (8, 18)], f, 19, 21, periodic=True).collect()}
     assert path[1, 0] == (3.5, 5.0) and path[2, 0] == (5.0, 7.0) and path[1, 2] == (9.5, 1.0)
 
 
+@pytest.mark.parametrize("method", ["nearest", "inverse_distance", "bilinear"])
+def test_one_query_moves_polygons_as_steps_do(spark, method):
+    f = field(spark, lambda x, y: (1.5 + x / 9 - y / 40, 2.0 - x / 7), (0, 1, 2))
+    start = [(2.1, 3.3), (8.4, 3.2), (8.7, 18.0), (19.9, 0.1)]
+    whole = {(r.step, r.vertex): (r.x, r.y) for r in piv.evolve_polygon(spark, start, f, 19, 21, method=method).collect()}
+    here = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(start)], "vertex int, x double, y double")
+    steps = {(r.step, r.vertex): (r.x, r.y) for r in piv._evolve_by_steps(here, f, 19, 21, False, method).collect()}
+    assert whole.keys() == steps.keys() and len(whole) == 16
+    for k in steps:
+        assert whole[k] == pytest.approx(steps[k], abs=1e-9)
+
+
 def test_regions_of_interest(spark):
     image = np.full((12, 20), np.nan)
     image[2:6, 8:18] = 0.75
