@@ -7,13 +7,12 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meshlark.functions.special import f_tail, t_tail
 from meshlark.operators.quantiles import BOUND, grouped_quantiles
+from meshlark.sources.settled import settled
 
 EPS = 2.220446049250313e-16
 
@@ -197,49 +196,54 @@ def conclusions(tests: DataFrame, alpha: float = 0.05, periodic: bool = False) -
     )
 
 
-_METRICS = ("cell_mean_psi_magnitude", "area_weighted_mean_psi_magnitude", "phase_coherence_cell", "harmonic_r_squared_raw")
+_TERMS = ("n", "mag", "area", "area_mag", "re", "im", "c", "s", "cc", "cs", "ss", "yc", "ys", "yy")
 
 
-def _metrics(s: np.ndarray, periodic: bool) -> list[np.ndarray]:
-    """Metrics from sums over blocks, one row a replicate."""
-    with np.errstate(divide="ignore", invalid="ignore"):
-        n, mag, area, area_mag, re, im = s[:, :6].T
-        out = [mag / n, area_mag / area, np.where(mag > 0, np.hypot(re, im) / mag, np.nan)]
-        if periodic:
-            c, si, cc, cs, ss, yc, ys, yy = s[:, 6:14].T
-            a, b, d = cc - c * c / n, cs - c * si / n, ss - si * si / n
-            p, q, t = yc - c * mag / n, ys - si * mag / n, yy - mag * mag / n
-            det = a * d - b * b
-            explained = (p * (p * d - q * b) + q * (q * a - p * b)) / det
-            able = (n >= 4) & (t > 1e-10 * yy) & (det > 1e-12 * n * n)
-            out.append(np.where(able, np.clip(explained / t, 0, 1), np.nan))
-    return out
+def _metrics(periodic: bool) -> dict[str, Column]:
+    """Metrics from sums over blocks; null where they are not defined."""
+    n, mag, area, area_mag, re, im, c, s, cc, cs, ss, yc, ys, yy = (F.col(t) for t in _TERMS)
+    out = {"cell_mean_psi_magnitude": F.try_divide(mag, n), "area_weighted_mean_psi_magnitude": F.try_divide(area_mag, area), "phase_coherence_cell": F.when(mag > 0, F.hypot(re, im) / mag)}
+    if periodic:
+        a, b, d = cc - c * c / n, cs - c * s / n, ss - s * s / n
+        p, q, t = yc - c * mag / n, ys - s * mag / n, yy - mag * mag / n
+        det = a * d - b * b
+        explained = F.try_divide(p * (p * d - q * b) + q * (q * a - p * b), det)
+        able = (n >= 4) & (t > 1e-10 * yy) & (det > 1e-12 * n * n)
+        out["harmonic_r_squared_raw"] = F.when(able, F.greatest(F.lit(0.0), F.least(F.lit(1.0), explained / t)))
+    return {k: F.when(finite(v), v) for k, v in out.items()}
+
+
+def drawn(n: Column, *parts: Column | int) -> Column:
+    """A number from 0 to n - 1 that ``parts`` alone decide: 60 bits of the digest of all of them, modulo n.
+
+    So a draw is the same in every run and on every machine, whatever else is drawn."""
+    text = F.concat_ws(":", *[(p if isinstance(p, Column) else F.lit(p)).cast("string") for p in parts])
+    return F.pmod(F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long"), n)
 
 
 def block_bootstrap(regions: DataFrame, height: float, block: int = 100, replicates: int = 1000, level: float = 0.95, seed: int = 0, periodic: bool = True, by: str = "frame") -> DataFrame:
     """Confidence intervals from resampled spatial blocks, for regions (row, col, re, im, area).
 
-    All metrics are functions of sums, so regions are summed by block first; a frame's task then sees one row a block,
-    in the order of the blocks, and the same generator in every run.  Undefined replicates are dropped; a frame
-    without values has no rows."""
+    All metrics are functions of sums, so regions are summed by block first.  A replicate draws as many blocks as a frame has,
+    each draw from seed, frame, replicate and draw; draws are joined with the blocks and summed.  Undefined replicates are
+    dropped; a frame without values has no rows."""
     mag = F.hypot("re", "im")
     phase = F.col("row") * (2 * math.pi / height)
     c, s = F.cos(phase), F.sin(phase)
     terms = [F.lit(1.0), mag, F.col("area"), F.col("area") * mag, F.col("re"), F.col("im"), c, s, c * c, c * s, s * s, mag * c, mag * s, mag * mag]
-    names = [f"t{i}" for i in range(len(terms))]
-    blocks = regions.where(finite("re") & finite("im")).groupBy(F.col(by).cast("long").alias("frame"), F.floor(F.col("row") / block).alias("block_row"), F.floor(F.col("col") / block).alias("block_col")).agg(*[F.sum(t.cast("double")).alias(k) for t, k in zip(terms, names)])
-
-    def resample(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["block_row", "block_col"])
-        sums, occupied, frame = pdf[names].to_numpy(), len(pdf), int(pdf["frame"].iloc[0])
-        rng = np.random.default_rng(np.random.SeedSequence([seed, frame]))
-        drawn = np.stack([np.bincount(rng.integers(0, occupied, size=occupied), minlength=occupied) @ sums for _ in range(replicates)])
-        alpha, rows = (1 - level) / 2, []
-        for name, estimate, values in zip(_METRICS, _metrics(sums.sum(axis=0, keepdims=True), periodic), _metrics(drawn, periodic)):
-            values = values[np.isfinite(values)]
-            low, high = np.quantile(values, [alpha, 1 - alpha]) if len(values) else (None, None)
-            e = float(estimate[0])
-            rows.append((frame, name, e if math.isfinite(e) else None, low, high, occupied, replicates))
-        return pd.DataFrame(rows, columns=["frame", "metric", "estimate", "confidence_low", "confidence_high", "occupied_blocks", "replicates"])
-
-    return blocks.groupBy("frame").applyInPandas(resample, "frame long, metric string, estimate double, confidence_low double, confidence_high double, occupied_blocks int, replicates int")
+    sums = lambda: [F.sum(t).alias(t) for t in _TERMS]
+    place = ["block_row", "block_col"]
+    valued = regions.where(finite("re") & finite("im")).select(F.col(by).cast("long").alias("frame"), F.floor(F.col("row") / block).alias("block_row"), F.floor(F.col("col") / block).alias("block_col"), *[t.cast("double").alias(n) for t, n in zip(terms, _TERMS)])
+    blocks = valued.groupBy("frame", *place).agg(*sums())
+    blocks = settled(blocks.withColumn("block", F.row_number().over(Window.partitionBy("frame").orderBy(*place)) - 1))
+    frames = blocks.groupBy("frame").agg(F.count("*").alias("occupied_blocks"))
+    each = frames.select("*", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
+    draws = each.select("*", F.explode(F.sequence(F.lit(0), (F.col("occupied_blocks") - 1).cast("int"))).alias("draw"))
+    draws = draws.select("frame", "replicate", drawn(F.col("occupied_blocks"), seed, F.col("frame"), F.col("replicate"), F.col("draw")).alias("block"))
+    named = lambda df, name: df.select("frame", F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), v.alias(name)) for k, v in _metrics(periodic).items()])).alias("m")).select("frame", "m.*")
+    again = named(draws.join(blocks, ["frame", "block"]).groupBy("frame", "replicate").agg(*sums()), "value")
+    alpha = (1 - level) / 2
+    ends = again.groupBy("frame", "metric").agg(F.percentile("value", F.lit(alpha)).alias("confidence_low"), F.percentile("value", F.lit(1 - alpha)).alias("confidence_high"))
+    whole = named(blocks.groupBy("frame").agg(*sums()), "estimate")
+    out = whole.join(ends, ["frame", "metric"], "left").join(frames, "frame")
+    return out.select("frame", "metric", "estimate", "confidence_low", "confidence_high", F.col("occupied_blocks").cast("int").alias("occupied_blocks"), F.lit(replicates).alias("replicates"))

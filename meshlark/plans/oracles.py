@@ -271,6 +271,27 @@ way AS (
   FROM way JOIN ys ON ys.n = way.step + 1, LATERAL (SELECT first(fd.u ORDER BY (way.x - fd.x) ** 2 + (way.y - fd.y) ** 2, fd.x, fd.y) AS u, first(fd.v ORDER BY (way.x - fd.x) ** 2 + (way.y - fd.y) ** 2, fd.x, fd.y) AS v FROM fd WHERE fd.field = ys.field) m)"""
 
 
+def _bootstrap(replicates: int, seed: int) -> str:
+    terms = {"n": "1.0", "mag": "m", "area": "1.0", "area_mag": "m", "re": "re", "im": "im", "c": "cos(ph)", "s": "sin(ph)", "cc": "cos(ph) ** 2", "cs": "cos(ph) * sin(ph)", "ss": "sin(ph) ** 2", "yc": "m * cos(ph)", "ys": "m * sin(ph)", "yy": "m * m"}
+    again = ", ".join(f"sum({t}) AS {t}" for t in terms)
+    return _with(
+        EMB, TRI, EDGE, PSI,
+        f"bl AS (SELECT frame, floor(r / 100) AS br, floor(col / 100) AS bc, {', '.join(f'sum({v}) AS {t}' for t, v in terms.items())} FROM (SELECT frame, r, psi.c AS col, re, im, sqrt(re * re + im * im) AS m, r * {TURN} / 1000 AS ph FROM psi) GROUP BY frame, floor(r / 100), floor(col / 100))",
+        "bn AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY br, bc) - 1 AS block, count(*) OVER (PARTITION BY frame) AS occupied FROM bl)",
+        f"""dr AS (SELECT frame, replicate, CAST('0x' || substr(md5('{seed}:' || frame || ':' || replicate || ':' || draw), 1, 15) AS BIGINT) % occupied AS block
+          FROM (SELECT frame, occupied, replicate, unnest(range(occupied)) AS draw FROM (SELECT DISTINCT frame, occupied FROM bn) CROSS JOIN range({replicates}) q(replicate)))""",
+        f"su AS (SELECT dr.frame, replicate, {again} FROM dr JOIN bn ON bn.frame = dr.frame AND bn.block = dr.block GROUP BY ALL UNION ALL SELECT frame, -1, {again} FROM bn GROUP BY frame)",
+        "fo AS (SELECT *, cc - c * c / n AS fa, cs - c * s / n AS fb, ss - s * s / n AS fd, yc - c * mag / n AS fp, ys - s * mag / n AS fq, yy - mag * mag / n AS ft FROM su)",
+        """me AS (SELECT frame, replicate, 'cell_mean_psi_magnitude' AS metric, mag / n AS v FROM fo UNION ALL SELECT frame, replicate, 'area_weighted_mean_psi_magnitude', area_mag / area FROM fo
+          UNION ALL SELECT frame, replicate, 'phase_coherence_cell', CASE WHEN mag > 0 THEN sqrt(re * re + im * im) / mag END FROM fo
+          UNION ALL SELECT frame, replicate, 'harmonic_r_squared_raw', CASE WHEN n >= 4 AND ft > 1e-10 * yy AND fa * fd - fb * fb > 1e-12 * n * n
+            THEN greatest(0, least(1, (fp * (fp * fd - fq * fb) + fq * (fq * fa - fp * fb)) / (fa * fd - fb * fb) / ft)) END FROM fo)""",
+        select=f"""SELECT CAST(me.frame AS BIGINT) AS frame, metric, {_r('any_value(v) FILTER (replicate = -1)', 'estimate')}, {_r('quantile_cont(v, 0.025) FILTER (replicate >= 0)', 'confidence_low')},
+          {_r('quantile_cont(v, 0.975) FILTER (replicate >= 0)', 'confidence_high')}, CAST(any_value(occupied) AS INT) AS occupied_blocks, {replicates} AS replicates
+          FROM me JOIN (SELECT DISTINCT frame, occupied FROM bn) o ON o.frame = me.frame GROUP BY me.frame, metric""",
+    )
+
+
 def _evolve() -> str:
     return _with(MONTHS, EVOLVE, select=f"SELECT CAST(step AS INT) AS step, CAST(vertex AS INT) AS vertex, {_r('x', 'x', 5)}, {_r('y', 'y', 5)} FROM way")
 
@@ -378,6 +399,7 @@ ORACLE_SQL: dict[str, str] = {
     "piv_scattered": _scattered(),
     "piv_bicubic": _bicubic(),
     "piv_bilinear": _with(PIV, POINTS, GRIDDED, select=f"SELECT pt.field, pt.point, {_r('pt.x', 'x', 10)}, {_r('pt.y', 'y', 10)}, {_r('coalesce(u, 0)', 'u', 10)}, {_r('coalesce(v, 0)', 'v', 10)} FROM pt LEFT JOIN lin ON lin.field = pt.field AND lin.point = pt.point"),
+    "bootstrap_ci": _bootstrap(200, 7),
     "roi_evolve": _evolve(),
     "piv_percentiles": _with(PIV, "sp AS (SELECT quantile_cont(sqrt(u * u + v * v), 0.02) AS lo, quantile_cont(sqrt(u * u + v * v), 0.98) AS hi FROM fd)", select=f"SELECT {_r('lo', 'low')}, {_r('CASE WHEN hi <= lo THEN lo + 1 ELSE hi END', 'high')} FROM sp"),
     "piv_quiver": _with(PIV, "rk AS (SELECT *, dense_rank() OVER (PARTITION BY field ORDER BY x) - 1 AS ix, dense_rank() OVER (PARTITION BY field ORDER BY y) - 1 AS iy FROM fd)", select=f"SELECT field, x, y, {_r('u', 'u')}, {_r('v', 'v')} FROM rk WHERE ix % 2 = 0 AND iy % 2 = 0"),

@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import csv
 import hashlib
-import io
 import json
-import math
 import time
 import uuid
 from datetime import datetime, timezone
@@ -30,6 +27,10 @@ ADJUSTED = {"spatial_statistics": [("correlation_p_value", "correlation_q_value_
 PIXELS = frozenset(("order_pixels", "fourier_spectrum", "fourier_v2_spectrum"))
 
 
+#: Rows of one CSV part.
+CSV_ROWS = 1_000_000
+
+
 def signature(settings: Settings) -> str:
     """A digest of the settings and the version; inputs are compared frame by frame."""
     return hashlib.sha256(f"{canonical(settings)}|{__version__}".encode()).hexdigest()
@@ -78,7 +79,7 @@ def run(spark: SparkSession, settings: Settings, tables: list[str] | None = None
     except BaseException as e:
         write_text(manifest, json.dumps(note | {"status": "failed", "error": str(e)[:2000]}, indent=2, allow_nan=False))
         raise
-    outputs = {str(p.relative_to(out)): digest(p) for p in sorted([*(out / "csv").glob("*.csv"), *(out / "parquet").rglob("*.parquet")])}
+    outputs = {str(p.relative_to(out)): digest(p) for p in sorted([*(out / "csv").rglob("*.csv"), *(out / "parquet").rglob("*.parquet")])}
     write_text(manifest, json.dumps(note | {"status": "complete", "seconds": time.time() - began, "outputs": outputs}, indent=2, allow_nan=False))
     return paths
 
@@ -129,17 +130,37 @@ def _combine(spark: SparkSession, record: dict, out: Path, settings: Settings, t
             df = stats.conclusions(df, periodic=settings.periodic)
         target = out / "parquet" / name
         df.write.mode("overwrite").parquet(str(target))
-        paths[name] = write_csv(spark.read.parquet(str(target)), out / "csv" / f"{name}.csv") if name not in PIXELS else str(target)
+        paths[name] = write_csv(spark.read.parquet(str(target)), str(out / "csv" / f"{name}.csv")) if name not in PIXELS else str(target)
     return paths
 
 
-def write_csv(df: DataFrame, path: Path) -> str:
-    """One file in the order of its first columns; missing and NaN are empty.  Report tables have few rows a frame."""
-    keys = [c for c in ("frame", "basis", "metric", "bin", "rank", "region_id", "vertex") if c in df.columns]
-    text = io.StringIO()
-    writer = csv.writer(text)
-    writer.writerow(df.columns)
-    for row in df.orderBy(*keys).toLocalIterator():
-        writer.writerow(["" if x is None or (isinstance(x, float) and math.isnan(x)) else x for x in row])
-    write_text(path, text.getvalue())
-    return str(path)
+def write_csv(df: DataFrame, path: str, rows: int = CSV_ROWS) -> str:
+    """A table in the order of its first columns, with a header; missing and NaN are empty.
+
+    Executors sort and write ranges of about ``rows`` rows.  A table of one range is one file; a larger one is a folder of
+    that name, whose parts are in order.  The result is renamed into its place when it is whole."""
+    keys = [c for c in ("frame", "basis", "metric", "bin", "rank", "region_id", "vertex") if c in df.columns] or df.columns[:1]
+    plain = df.select(*[F.when(~F.isnan(c), F.col(c)).alias(c) if kind in ("double", "float") else F.col(c) for c, kind in df.dtypes])
+    parts = max(1, -(-df.count() // rows))
+    ranged = plain.repartitionByRange(parts, *keys) if parts > 1 else plain.coalesce(1)
+    spark = df.sparkSession
+    hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
+    target = hadoop.Path(path)
+    made = hadoop.Path(target.getParent(), f".{target.getName()}-{uuid.uuid4().hex}")
+    ranged.sortWithinPartitions(*keys).write.option("header", True).option("emptyValue", "").option("escape", "\"").csv(made.toString())
+    fs = target.getFileSystem(conf)
+    # empty ranges write no file
+    files = sorted((f.getPath() for f in fs.listStatus(made) if f.getPath().getName().startswith("part-")), key=lambda f: f.getName())
+    if not files:
+        header = hadoop.Path(made, "part-00000.csv")
+        stream = fs.create(header)
+        stream.write(bytearray((",".join(df.columns) + "\n").encode()))
+        stream.close()
+        files = [header]
+    fs.delete(target, True)
+    if parts == 1:
+        fs.rename(files[0], target)
+        fs.delete(made, True)
+    else:
+        fs.rename(made, target)
+    return path

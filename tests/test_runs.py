@@ -1,5 +1,6 @@
 """Files, settings, whole runs, resuming and streaming."""
 
+import csv
 import json
 import math
 
@@ -214,3 +215,23 @@ def test_streaming(spark, folder, tmp_path):
         stream.summarise(spark, str(folder), "a_T{timepoint:04d}_seg.npy", out, check).awaitTermination()
     rows = spark.read.parquet(out).collect()
     assert sorted(r["frame"] for r in rows) == [1, 2, 4, 7] and all(r["raw_component_count"] > 50 for r in rows)
+
+
+def test_large_tables_are_written_in_ranges(spark, tmp_path):
+    rows = [(i % 7, i, float("nan") if i % 5 == 0 else i / 4, f'a,"{i}"', i % 2 == 0) for i in range(300)]
+    df = spark.createDataFrame(rows, "frame int, region_id int, x double, name string, flag boolean").repartition(5)
+    whole, parts = str(tmp_path / "whole.csv"), str(tmp_path / "parts.csv")
+    assert run.write_csv(df, whole) == whole
+    run.write_csv(df, parts, rows=40)
+    read = lambda f: list(csv.reader(f.read_text().splitlines()))
+    one = read(tmp_path / "whole.csv")
+    files = sorted((tmp_path / "parts.csv").glob("part-*"))
+    assert len(files) > 4 and all(read(f)[0] == one[0] for f in files)
+    assert [r for f in files for r in read(f)[1:]] == one[1:]
+    assert [(int(r[0]), int(r[1])) for r in one[1:]] == sorted((r[0], r[1]) for r in rows)
+    # again in its place, and an empty table
+    run.write_csv(df.where("frame = 3"), parts)
+    assert len(read(tmp_path / "parts.csv")) == 1 + sum(r[0] == 3 for r in rows)
+    run.write_csv(df.where("false"), whole)
+    assert read(tmp_path / "whole.csv") == [["frame", "region_id", "x", "name", "flag"]]
+    assert not [p for p in tmp_path.iterdir() if p.name.startswith(".parts") and not p.name.endswith(".crc")]
