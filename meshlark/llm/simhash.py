@@ -214,7 +214,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 #: Min-hashes of a text: bands of rows.  At similarity 0.8 a pair shares no band once in 300,000 pairs.
 BANDS, ROWS = 32, 5
 #: Min-hashes of a sketch: those of the bands, and more that make candidates surer.
-HASHES = 2 * BANDS * ROWS
+HASHES = 4 * BANDS * ROWS
 _MIX = np.random.default_rng(SEED).integers(0, 1 << 63, (2, HASHES), np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -279,8 +279,9 @@ def _verified(pairs: DataFrame, shingles: DataFrame, similarity: float) -> DataF
     return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _across(rows: DataFrame, least_equal: int) -> DataFrame:
-    """Pairs of nodes of one bucket and part whose labels differ and whose sketches have so many bytes in common."""
+def _across(rows: DataFrame, least_equal: int, nearest: bool) -> DataFrame:
+    """Pairs of nodes of one bucket and part whose labels differ and whose sketches have so many bytes in common; with
+    ``nearest`` a node's likest of each other label only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, held = None, []
@@ -291,7 +292,11 @@ def _across(rows: DataFrame, least_equal: int) -> DataFrame:
             out = []
             for i in [i for i, x in enumerate(held) if x[2]]:
                 other = np.flatnonzero(labels != labels[i])
-                near = other[(sketches[other] == sketches[i]).sum(axis=1) >= least_equal]
+                alike = (sketches[other] == sketches[i]).sum(axis=1)
+                near, alike = other[alike >= least_equal], alike[alike >= least_equal]
+                if nearest:
+                    order = np.lexsort((nodes[near], -alike, labels[near]))
+                    near = near[order[np.unique(labels[near][order], return_index=True)[1]]]
                 out += [(min(nodes[i], x), max(nodes[i], x)) for x in nodes[near]]
             return out
 
@@ -317,7 +322,8 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     every link is checked on the sets.  Candidates share a bucket (a band of min-hashes).  First each node is held
     against two nodes of each of its buckets: any one, and the one that meets most others in its buckets, which is what
     copies of one text have in common.  Then it is held against all nodes of its buckets that are not yet in its
-    component, unless their sketches differ too much (4.5 standard deviations).  So a group of near copies costs rows in
+    component, unless their sketches differ too much (4.5 standard deviations): first against the likest of each other
+    component, which joins most of them, then against all of those that are left.  So a group of near copies costs rows in
     proportion to its size.  Buckets of more than ``part_rows`` are searched in parts: nodes outside the bucket's
     smallest-labelled component go to every part."""
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(doc_id), F.col(text)).alias("key"), F.col(text).alias("text"))
@@ -336,16 +342,19 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     to_centres = settle(pairs(shared, "centre").unionByName(pairs(shared.join(hubs, "bucket"), "hub")).distinct())
     linked = settle(_verified(to_centres, shingles, similarity))
 
-    labelled = shared.select("bucket", "node").join(components(linked), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    labelled = settle(labelled)
-    open_ = labelled.groupBy("bucket").agg(F.min("label").alias("main"), F.max("label").alias("top"), F.count("*").alias("n")).where(F.col("main") < F.col("top")).drop("top")
     parts = F.ceil(F.col("n") / part_rows).cast("int")
     at = F.pmod(F.xxhash64("node"), parts).cast("int")
-    dealt = labelled.join(open_, "bucket").withColumn("at", at).withColumn("part", F.explode(F.when(F.col("label") == F.col("main"), F.array("at")).otherwise(F.sequence(F.lit(0), parts - 1))))
-    dealt = dealt.withColumn("home", F.col("at") == F.col("part")).join(nodes.select("node", "sketch"), "node")
     least_equal = int(HASHES * similarity - 4.5 * (HASHES * similarity * (1 - similarity)) ** 0.5)
-    rest = _across(dealt, least_equal).join(to_centres, ["a", "b"], "left_anti")
-    labels = components(linked.unionByName(settle(_verified(rest, shingles, similarity))))
+    checked = to_centres
+    for nearest in (True, False):
+        labelled = settle(shared.select("bucket", "node").join(components(linked), "node", "left").withColumn("label", F.coalesce("label", "node")))
+        open_ = labelled.groupBy("bucket").agg(F.min("label").alias("main"), F.max("label").alias("top"), F.count("*").alias("n")).where(F.col("main") < F.col("top")).drop("top")
+        dealt = labelled.join(open_, "bucket").withColumn("at", at).withColumn("part", F.explode(F.when(F.col("label") == F.col("main"), F.array("at")).otherwise(F.sequence(F.lit(0), parts - 1))))
+        dealt = dealt.withColumn("home", F.col("at") == F.col("part")).join(nodes.select("node", "sketch"), "node")
+        rest = settle(_across(dealt, least_equal, nearest).join(checked, ["a", "b"], "left_anti"))
+        checked = checked.unionByName(rest)
+        linked = linked.unionByName(settle(_verified(rest, shingles, similarity)))
+    labels = components(linked)
 
     named = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = named.groupBy("label").agg(F.min("first").alias("component_id"))
