@@ -162,3 +162,19 @@ def test_scopes_and_entropy(spark):
     docs = [(1, f"login: bob7\n\n{key}"), (2, f"login: bob7\n{key}"), (3, f"login: bob7 {word}"), (4, f"ann@corp.example {key} 10.0.0.7:5432"), (5, "ann@corp.example 10.0.0.7:5432"), (6, f"[a]\nlogin=bob7\n[b]\nx={key}")]
     got = {d: [x.split(":")[0] for x in r["spans"].split(",") if x] for d, r in rows(secret_scan.secret_report(spark.createDataFrame(docs, "doc_id long, text string"))).items()}
     assert got == {1: [], 2: ["id", "key"], 3: [], 4: ["user", "key", "endpoint"], 5: [], 6: []}
+
+
+def test_what_base_rules_refuse_is_not_found_again(spark):
+    """Cards teach their shape; numbers of that shape that fail the check digit stand alone and stay out, while cards that ran
+    into their neighbours, which no base pattern judged by themselves, come back."""
+    good = ["4111111111111111", "5500005555555559", "4012888888881881", "5105105105105100", "4222222222222220"]
+    rows = [(i, f"paid with {c} today") for i, c in enumerate([*good] * 4)]
+    rows += [(100, "paid with 4111111111111112 today"), (101, "order 5500005555555558, thanks"), (102, "ends 4012888888881882"), (103, "999.1.2.300 and +1 23")]
+    rows += [(200, "paid with 4111111111111111 4111111111111111 today")]
+    found = pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).where("kind IS NOT NULL").collect()
+    by = {}
+    for r in found:
+        by.setdefault(r.doc_id, []).append((r.kind, r.start, r.end))
+    assert all(by[i] == [("card", 10, 26)] for i in range(20))
+    assert not {100, 101, 102, 103} & by.keys()
+    assert sorted(by[200]) == [("id", 10, 26), ("id", 27, 43)]
