@@ -167,11 +167,16 @@ def harmonic(regions: DataFrame, height: float, value: str = "value", by: str =
     return regions.select(by).distinct().join(out, by, "left").withColumn("basis", F.lit(basis))
 
 
-def benjamini_hochberg(tests: DataFrame, p: str, q: str, family: list[str] | None = None) -> DataFrame:
+def benjamini_hochberg(tests: DataFrame, p: str, q: str, family: list[str] | None = None, alone: int = 1 << 20, ranges: int = 64) -> DataFrame:
     """Adds q-values: the least p * m / rank from each rank on, at most 1; missing p-values stay missing, uncounted.
 
-    One row a test, so a family fits one task."""
+    Up to ``alone`` tests, a family is one task.  More are cut into ``ranges`` of p-values: ranks and the least value from a rank on
+    are made within a range, from one row for each distinct p-value, and what the ranges before and behind it add is one
+    row a range."""
     valid = F.col(p).isNotNull() & F.col(p).between(0, 1)
+    tests = settled(tests)
+    if tests.count() > alone:
+        return _adjusted_by_ranges(tests, valid, p, q, family or [], ranges)
     part = [valid, *[F.col(c) for c in family or []]]
     order = Window.partitionBy(*part).orderBy(p)
     m = F.count("*").over(Window.partitionBy(*part))
@@ -181,6 +186,27 @@ def benjamini_hochberg(tests: DataFrame, p: str, q: str, family: list[str] | Non
     return ranked.withColumn(q, value).drop("__rank", "__m")
 
 
+def _adjusted_by_ranges(tests: DataFrame, valid: Column, p: str, q: str, family: list[str], ranges: int) -> DataFrame:
+    # tests with equal p-values share the last of their ranks
+    of = F.struct(F.lit(0), *[F.col(c) for c in family])
+    counted = settled(tests.where(valid).groupBy(of.alias("__f"), F.col(p).alias("__p")).agg(F.count("*").alias("__c")))
+    ends = counted.groupBy("__f").agg(F.percentile_approx("__p", F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), F.lit(16 * ranges)).alias("__ends"))
+    placed = counted.join(ends, "__f").withColumn("__b", F.size(F.filter("__ends", lambda e: e < F.col("__p")))).drop("__ends")
+    inside = Window.partitionBy("__f", "__b")
+    upward = inside.orderBy("__p").rowsBetween(Window.unboundedPreceding, 0)
+    placed = settled(placed.withColumn("__rank", F.sum("__c").over(upward)))
+    over = Window.partitionBy("__f")
+    sizes = placed.groupBy("__f", "__b").agg(F.sum("__c").alias("__n"))
+    sizes = sizes.select("__f", "__b", F.coalesce(F.sum("__n").over(over.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"), F.sum("__n").over(over).alias("__m"))
+    valued = placed.join(sizes, ["__f", "__b"]).withColumn("__v", F.col("__p") * F.col("__m") / (F.col("__before") + F.col("__rank")))
+    valued = settled(valued.withColumn("__v", F.min("__v").over(inside.orderBy(F.col("__p").desc()).rowsBetween(Window.unboundedPreceding, 0))).select("__f", "__b", "__p", "__v"))
+    least = valued.groupBy("__f", "__b").agg(F.min("__v").alias("__l"))
+    behind = least.select("__f", "__b", F.min("__l").over(over.orderBy("__b").rowsBetween(1, Window.unboundedFollowing)).alias("__l"))
+    adjusted = valued.join(behind, ["__f", "__b"]).select("__f", "__p", F.least(F.lit(1.0), "__v", "__l").alias("__q"))
+    joined = tests.join(adjusted, of.eqNullSafe(F.col("__f")) & (F.col(p) == F.col("__p")), "left")
+    return joined.withColumn(q, F.col("__q")).drop("__f", "__p", "__q")
+
+
 def conclusions(tests: DataFrame, alpha: float = 0.05, periodic: bool = False) -> DataFrame:
     """What the tests support, in words; q-values go before p-values."""
 

@@ -82,3 +82,21 @@ def test_bootstrap_repeats_itself(spark):
     got = {r["metric"]: r["confidence_low"] for r in stats.block_bootstrap(zero, 100, 25, 50).collect()}
     assert got["phase_coherence_cell"] is None and got["harmonic_r_squared_raw"] is None and got["cell_mean_psi_magnitude"] == 0
     assert stats.block_bootstrap(df.where("false"), 100).count() == 0
+
+
+def test_q_values_of_many_tests_need_no_task_with_all(spark):
+    import random
+
+    r = random.Random(2)
+    p = lambda: r.choice([None, 0.0, 1.0, 0.5, r.random() ** 4, r.random(), float("nan"), 1.5])
+    rows = [(i, r.choice(["a", "a", "b", None]), p()) for i in range(2000)]
+    tests = spark.createDataFrame(rows, "test int, basis string, p double").repartition(7)
+    for family in (None, ["basis"]):
+        one, many = ({x.test: x.q for x in stats.benjamini_hochberg(tests, "p", "q", family, alone, 8).collect()} for alone in (10**6, 0))
+        assert one.keys() == many.keys() and len(one) == 2000
+        for k in one:
+            assert many[k] == (None if one[k] is None else pytest.approx(one[k], rel=1e-12)), rows[k]
+    few = spark.createDataFrame([(0, 0.01), (1, 0.02), (2, 0.20), (3, None)], "test int, p double")
+    got = {x.test: x.q for x in stats.benjamini_hochberg(few, "p", "q", alone=0).collect()}
+    assert got == {0: pytest.approx(0.03), 1: pytest.approx(0.03), 2: pytest.approx(0.20), 3: None}
+    assert stats.benjamini_hochberg(few.where("p > 2"), "p", "q", alone=0).count() == 0
