@@ -53,7 +53,7 @@ def discover(spark: SparkSession, folder: str, pattern: str, start: int = 0, end
     Contents are read only if a later step uses them.  Raises if nothing matches or two files have one time point."""
     regex, glob = name_pattern(pattern)
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "false").load(folder)
-    name = F.substring_index(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), "/", -1)
+    name = F.substring_index("path", "/", -1)
     found = files.withColumn("timepoint", F.regexp_extract(name, regex, 1)).where(F.col("timepoint") != "").withColumn("timepoint", F.col("timepoint").cast("int"))
     found = found.where(F.col("timepoint") >= start)
     if end is not None:

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import io
 from collections.abc import Iterator
+from typing import BinaryIO
+from urllib.parse import quote
 
 import numpy as np
 import pandas as pd
+import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,24 +26,71 @@ def _image(content: bytes, path: str) -> np.ndarray:
     return data
 
 
+#: Stores whose files the tasks can open themselves; of others Spark reads whole files.
+OPENED = ("file", "s3", "gs")
+#: Bytes in which an image's header ends, but for very long ones.
+HEAD = 4096
+
+
+def _open(path: str) -> BinaryIO:
+    """The file of a Hadoop path in one of the ``OPENED`` stores, to be read from its beginning."""
+    scheme, rest = path.split(":", 1)
+    if scheme == "file":
+        return open("/" + rest.lstrip("/"), "rb", buffering=0)
+    system, inner = pyarrow.fs.FileSystem.from_uri(f"{scheme}:{quote(rest)}")
+    return system.open_input_file(inner)
+
+
+class _Head(io.RawIOBase):
+    """A file that is read in stretches, as far as somebody asks for it; ``taken`` counts the bytes."""
+
+    def __init__(self, file: BinaryIO) -> None:
+        self.file, self.held, self.at, self.taken = file, b"", 0, 0
+
+    def read(self, n: int = -1) -> bytes:
+        while len(self.held) < self.at + n:
+            more = self.file.read(HEAD)
+            if not more:
+                break
+            self.taken += len(more)
+            self.held += more
+        out = self.held[self.at : self.at + n]
+        self.at += len(out)
+        return out
+
+
+def _header(file: BinaryIO, path: str) -> tuple[int, int, str, int]:
+    """Height, width, type, and how many bytes were read for them."""
+    head = _Head(file)
+    version = np.lib.format.read_magic(head)
+    read = np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0
+    shape, _, dtype = read(head)
+    shape = [x for x in shape if x != 1]
+    if len(shape) != 2:
+        raise ValueError(f"an image has 2 dimensions; {path} has shape {tuple(shape)}")
+    return shape[0], shape[1], str(dtype), head.taken
+
+
 def inspect(files: DataFrame) -> DataFrame:
-    """``timepoint, path, height, width, dtype`` from the headers of discovered files."""
+    """``timepoint, path, height, width, dtype, bytes_read`` from the headers of discovered files.
+
+    Where tasks can open files themselves, the first few thousand bytes are all that is read, whatever the images' sizes, and
+    ``content`` isn't asked of Spark; in other stores whole files are."""
+    shape = "timepoint int, path string, height int, width int, dtype string, bytes_read long"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for t, path, content in zip(pdf["timepoint"], pdf["path"], pdf["content"]):
-                head = io.BytesIO(content)
-                version = np.lib.format.read_magic(head)
-                read = np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0
-                shape, _, dtype = read(head)
-                shape = [x for x in shape if x != 1]
-                if len(shape) != 2:
-                    raise ValueError(f"an image has 2 dimensions; {path} has shape {tuple(shape)}")
-                rows.append((t, path, shape[0], shape[1], str(dtype)))
-            yield pd.DataFrame(rows, columns=["timepoint", "path", "height", "width", "dtype"])
-
-    return files.select("timepoint", "path", "content").mapInPandas(run, "timepoint int, path string, height int, width int, dtype string")
+            for t, path, content in zip(pdf["timepoint"], pdf["path"], pdf["content"] if "content" in pdf else [None] * len(pdf)):
+                with io.BytesIO(content) if content is not None else _open(path) as file:
+                    height, width, dtype, taken = _header(file, path)
+                rows.append((t, path, height, width, dtype, taken if content is None else len(content)))
+            yield pd.DataFrame(rows, columns=["timepoint", "path", "height", "width", "dtype", "bytes_read"])
+
+    opened = F.substring_index("path", ":", 1).isin(*OPENED)
+    short = files.where(opened).select("timepoint", "path").mapInPandas(run, shape)
+    whole = files.where(~opened).select("timepoint", "path", "content").mapInPandas(run, shape)
+    return short.unionByName(whole)
 
 
 def consistency(inspected: DataFrame) -> DataFrame:

@@ -235,3 +235,21 @@ def test_large_tables_are_written_in_ranges(spark, tmp_path):
     run.write_csv(df.where("false"), whole)
     assert read(tmp_path / "whole.csv") == [["frame", "region_id", "x", "name", "flag"]]
     assert not [p for p in tmp_path.iterdir() if p.name.startswith(".parts") and not p.name.endswith(".crc")]
+
+
+def test_headers_are_read_without_images(spark, tmp_path):
+    (tmp_path / "odd place %").mkdir()
+    for t, (h, w) in enumerate([(3, 4), (900, 1100), (5, 6)]):
+        np.save(tmp_path / "odd place %" / f"a b+{t:04d}.npy", np.ones((h, w), np.uint16 if t else np.float32))
+    files = discovery.discover(spark, str(tmp_path / "odd place %"), "a b+{timepoint:04d}.npy")
+    got = {r.timepoint: r for r in frames.inspect(files).collect()}
+    assert [(got[t].height, got[t].width, got[t].dtype) for t in range(3)] == [(3, 4, "float32"), (900, 1100, "uint16"), (5, 6, "uint16")]
+    assert all(r.bytes_read <= frames.HEAD for r in got.values())
+    plan = frames.inspect(files)._jdf.queryExecution().executedPlan().toString()
+    assert any("content" not in line for line in plan.splitlines() if "binaryFile" in line)
+    # a store that tasks can't open: whole files, the same answers
+    far = files.selectExpr("timepoint", "'far:' || path AS path", "content")
+    assert {(r.timepoint, r.height, r.width) for r in frames.inspect(far).collect()} == {(t, r.height, r.width) for t, r in got.items()}
+    np.save(tmp_path / "odd place %" / "a b+0009.npy", np.ones((2, 3, 4)))
+    with pytest.raises(Exception, match="2 dimensions"):
+        frames.inspect(discovery.discover(spark, str(tmp_path / "odd place %"), "a b+{timepoint:04d}.npy")).collect()
