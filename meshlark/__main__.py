@@ -1,4 +1,4 @@
-"""``python -m meshlark analyze | inspect``: only options that are given override a profile."""
+"""``python -m meshlark analyze | inspect | piv-frames``: only options that are given override a profile."""
 
 from __future__ import annotations
 
@@ -7,8 +7,11 @@ import json
 import sys
 from dataclasses import fields
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
+from meshlark.operators import piv
 from meshlark.plans.run import run
 from meshlark.plans.settings import Outputs, Settings, load_profile, merged
 from meshlark.sources import discovery, frames
@@ -29,13 +32,34 @@ def _parser() -> argparse.ArgumentParser:
             p.add_argument(f"--save-{f.name.replace('_', '-')}", dest=f"save_{f.name}", action=argparse.BooleanOptionalAction)
         for option in ("periodic", "exclude-boundary", "include-self", "strict-missing", "resume"):
             p.add_argument(f"--{option}", action=argparse.BooleanOptionalAction)
+    arrows = commands.add_parser("piv-frames", help="the arrows and the range of speeds that pictures of velocity fields show")
+    arrows.add_argument("fields", help="Parquet of field, x, y, u, v")
+    arrows.add_argument("output")
+    arrows.add_argument("--step", type=int, default=2, help="every so many samples along both axes")
     return parser
 
 
+def piv_frames(spark: SparkSession, fields: str, output: str, step: int = 2) -> dict[str, str]:
+    """Writes ``arrows`` (field, x, y, u, v, speed) and ``speed_range`` (low, high over all fields), and returns their paths."""
+    if step < 1:
+        raise ValueError("--step is at least 1")
+    field = spark.read.parquet(fields)
+    piv.check_shared_grid(field)
+    made = {"arrows": piv.quiver(field, step).withColumn("speed", F.hypot("u", "v")), "speed_range": piv.speed_range(field)}
+    paths = {name: f"{output.rstrip('/')}/{name}" for name in made}
+    for name, df in made.items():
+        df.write.mode("overwrite").parquet(paths[name])
+    return paths
+
+
 def main(arguments: list[str] | None = None, spark: SparkSession | None = None) -> int:
     given = vars(_parser().parse_args(arguments))
     command, profile = given.pop("command"), given.pop("profile", None)
     try:
+        if command == "piv-frames":
+            spark = spark or SparkSession.builder.appName("meshlark").getOrCreate()
+            print(json.dumps(piv_frames(spark, **given), indent=2))
+            return 0
         base = load_profile(profile) if profile else Settings(folder=given.get("folder", ""))
         if given.pop("no_fourier", False):
             if "rectangle" in given or base.band.enabled:
@@ -50,7 +74,7 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
             files = discovery.discover(spark, settings.folder, settings.pattern, settings.start, settings.end)
             row = frames.consistency(frames.inspect(files)).first()
             print(json.dumps(row.asDict(recursive=True), indent=2))
-    except (ValueError, TypeError, OSError) as e:
+    except (ValueError, TypeError, OSError, AnalysisException) as e:
         print(f"error: {e}", file=sys.stderr)
         return 2
     return 0

@@ -253,3 +253,16 @@ def test_headers_are_read_without_images(spark, tmp_path):
     np.save(tmp_path / "odd place %" / "a b+0009.npy", np.ones((2, 3, 4)))
     with pytest.raises(Exception, match="2 dimensions"):
         frames.inspect(discovery.discover(spark, str(tmp_path / "odd place %"), "a b+{timepoint:04d}.npy")).collect()
+
+
+def test_arrows_of_velocity_fields(spark, tmp_path, capsys):
+    rows = [(f, float(x), float(y), 3.0 * f, 4.0 * f if (x, y) != (2, 2) else None) for f in (1, 2) for x in range(5) for y in range(4)]
+    fields = str(tmp_path / "fields")
+    spark.createDataFrame(rows, "field int, x double, y double, u double, v double").write.parquet(fields)
+    assert main(["piv-frames", fields, str(tmp_path / "out"), "--step", "2"], spark) == 0
+    paths = json.loads(capsys.readouterr().out)
+    arrows = spark.read.parquet(paths["arrows"]).collect()
+    assert len(arrows) == 2 * 3 * 2 and {r.speed for r in arrows} == {3.0, 5.0, 6.0, 10.0}
+    assert tuple(spark.read.parquet(paths["speed_range"]).first()) == (5.0, 10.0)
+    assert main(["piv-frames", fields, str(tmp_path / "out"), "--step", "0"], spark) == 2
+    assert main(["piv-frames", str(tmp_path / "none"), str(tmp_path / "out")], spark) == 2
