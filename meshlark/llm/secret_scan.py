@@ -43,7 +43,8 @@ WEAK = (
 )
 #: Where one scope ends and the next begins: blank lines, headings of sections, rules.
 BREAK = Kind("break", r"\n[ \t]*+\n\s*+|\n(?=\[[^\]\n]++\])|\n(?=---|===|#)", _holds(r"\n(?:[ \t]*+\n|\[|---|===|#)"))
-IDENTIFIERS, SECRETS = ("id", "user", "access"), ("key", "assign", "hex")
+#: A mail address names an account only where something else of a login stands beside it.
+IDENTIFIERS, MAILS, SECRETS, PLACES = ("id", "access"), ("user",), ("key", "assign", "hex"), ("endpoint",)
 
 
 def with_scopes(parts: DataFrame) -> DataFrame:
@@ -57,8 +58,9 @@ def link_parts(parts: DataFrame, reach: int) -> DataFrame:
 
     An interval join: a part stands in the stretch of ``reach`` code points where it starts; the parts it may meet are
     listed under every stretch they reach into.  Each side is keyed by document, scope and stretch, so a document with
-    many parts spreads over many keys.  Identifiers need a secret, secrets an identifier, endpoints both; a weak part
-    that overlaps a base span is that span's, not a part of its own."""
+    many parts spreads over many keys.  Identifiers need a secret, secrets an identifier, endpoints both.  A mail address
+    is an identifier only beside an endpoint, or another identifier: texts are full of addresses that have nothing to do
+    with the token in the next line.  A weak part that overlaps a base span is that span's, not a part of its own."""
     base = [k.name for k in BASE]
     near = F.explode(F.sequence(F.floor((F.col("start") - reach) / reach), F.floor((F.col("end") + reach) / reach)))
     other = parts.where(F.col("kind").isNotNull()).select(*[F.col(c).alias(f"o_{c}") for c in (*ROW, "scope", "kind", "start", "end")], near.alias("o_stretch"))
@@ -72,10 +74,11 @@ def link_parts(parts: DataFrame, reach: int) -> DataFrame:
     seen = (
         weak.join(other, same & meets)
         .groupBy(*ROW, "kind", "start", "end")
-        .agg(has(IDENTIFIERS).alias("with_id"), has(SECRETS).alias("with_secret"), F.bool_or(~apart & F.col("o_kind").isin(*base)).alias("taken"))
+        .agg(*[has(kinds).alias(name) for name, kinds in (("with_id", IDENTIFIERS), ("with_mail", MAILS), ("with_secret", SECRETS), ("with_place", PLACES))], F.bool_or(~apart & F.col("o_kind").isin(*base)).alias("taken"))
     )
     kind = F.col("kind")
-    enough = F.when(kind.isin(*IDENTIFIERS), F.col("with_secret")).when(kind.isin(*SECRETS), F.col("with_id")).otherwise(F.col("with_id") & F.col("with_secret"))
+    named, secret, mail, place = (F.col(f"with_{x}") for x in ("id", "secret", "mail", "place"))
+    enough = F.when(kind.isin(*IDENTIFIERS), secret).when(kind.isin(*MAILS), secret & (named | place)).when(kind.isin(*SECRETS), named | mail & place).otherwise(secret & (named | mail))
     return seen.where(enough & ~F.col("taken")).select(*ROW, "kind", "start", "end")
 
 
