@@ -289,11 +289,15 @@ def _across(rows: DataFrame, least_equal: int, nearest: bool) -> DataFrame:
         def done() -> list[tuple[int, int]]:
             sketches = np.frombuffer(b"".join(x[3] for x in held), np.uint8).reshape(len(held), -1)
             nodes, labels = (np.array([x[i] for x in held], np.int64) for i in (0, 1))
-            out = []
+            band, out = held[0][4], []
             for i in [i for i, x in enumerate(held) if x[2]]:
                 other = np.flatnonzero(labels != labels[i])
                 alike = (sketches[other] == sketches[i]).sum(axis=1)
                 near, alike = other[alike >= least_equal], alike[alike >= least_equal]
+                # a pair with several buckets in common leaves in the first of them only
+                agree = (sketches[near, : BANDS * ROWS] == sketches[i, : BANDS * ROWS]).reshape(-1, BANDS, ROWS).all(axis=2)
+                mine = ~agree[:, :band].any(axis=1)
+                near, alike = near[mine], alike[mine]
                 if nearest:
                     order = np.lexsort((nodes[near], -alike, labels[near]))
                     near = near[order[np.unique(labels[near][order], return_index=True)[1]]]
@@ -302,7 +306,7 @@ def _across(rows: DataFrame, least_equal: int, nearest: bool) -> DataFrame:
 
         for batch in batches:
             out = []
-            columns = [batch.column(i).to_pylist() for i in range(6)]
+            columns = [batch.column(i).to_pylist() for i in range(7)]
             for bucket, part, *row in zip(*columns):
                 if (bucket, part) != shard:
                     out += done() if held else []
@@ -312,7 +316,7 @@ def _across(rows: DataFrame, least_equal: int, nearest: bool) -> DataFrame:
         yield _pairs(done() if held else [])
 
     keys = ["bucket", "part"]
-    return rows.select(*keys, "node", "label", "home", "sketch").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long").distinct()
+    return rows.select(*keys, "node", "label", "home", "sketch", "band").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long").distinct()
 
 
 def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, part_rows: int = 256) -> DataFrame:
@@ -329,7 +333,7 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(doc_id), F.col(text)).alias("key"), F.col(text).alias("text"))
     coded = settle(_sketches(own, shingle))
     nodes = settle(coded.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("key").alias("key"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")))
-    members = nodes.select("node", F.explode("bands").alias("bucket"))
+    members = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
     mixed = F.col("node").bitwiseXOR(F.col("bucket"))  # another centre in each bucket
     stars = members.groupBy("bucket").agg(F.min(mixed).alias("low"), F.max(mixed).alias("high")).where(F.col("low") < F.col("high"))
     shared = settle(members.join(stars.select("bucket", F.col("low").bitwiseXOR(F.col("bucket")).alias("centre")), "bucket"))
@@ -347,7 +351,7 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     least_equal = int(HASHES * similarity - 4.5 * (HASHES * similarity * (1 - similarity)) ** 0.5)
     checked = to_centres
     for nearest in (True, False):
-        labelled = settle(shared.select("bucket", "node").join(components(linked), "node", "left").withColumn("label", F.coalesce("label", "node")))
+        labelled = settle(shared.select("bucket", "band", "node").join(components(linked), "node", "left").withColumn("label", F.coalesce("label", "node")))
         open_ = labelled.groupBy("bucket").agg(F.min("label").alias("main"), F.max("label").alias("top"), F.count("*").alias("n")).where(F.col("main") < F.col("top")).drop("top")
         dealt = labelled.join(open_, "bucket").withColumn("at", at).withColumn("part", F.explode(F.when(F.col("label") == F.col("main"), F.array("at")).otherwise(F.sequence(F.lit(0), parts - 1))))
         dealt = dealt.withColumn("home", F.col("at") == F.col("part")).join(nodes.select("node", "sketch"), "node")
