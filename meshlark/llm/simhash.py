@@ -179,20 +179,34 @@ def _pairs(rows: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``node, label``: the least node of each node's component, by least labels and pointer jumping.
-
-    Each round takes the least label next to a node, then the label of that label; rounds end when nothing changes,
-    after about the logarithm of the longest path.  Every round is settled in the shared folder."""
-    both = settle(edges.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("other"))))
-    labels = settle(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("label")))
-    while True:
-        near = both.join(labels.select(F.col("node").alias("other"), "label"), "other").groupBy("node").agg(F.min("label").alias("near"))
-        lower = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        moved = settle(lower.join(jump, "label", "left").select("node", "old", F.coalesce("further", "label").alias("label")))
-        labels = moved.select("node", "label")
-        if moved.where(F.col("old") != F.col("label")).isEmpty():
-            return labels
+    """``node, label``: the least node of each node's component, by contraction.
+
+    In a round each node points to the least node next to it, pointers are followed to their ends by doubling, and edges
+    become edges between the ends; those inside of one go.  So a round's rows are the edges that are left, not all of
+    them once more.  Every round is settled in the shared folder."""
+    rest = settle(_between(edges))
+    labels = None
+    while labels is None or not rest.isEmpty():
+        both = rest.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(rest.select(F.col("b").alias("node"), F.col("a").alias("other")))
+        ends = settle(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("label")))
+        while True:
+            moved = settle(ends.join(ends.toDF("label", "further"), "label").select("node", F.col("label").alias("old"), F.col("further").alias("label")))
+            ends = moved.select("node", "label")
+            if moved.where(F.col("old") != F.col("label")).isEmpty():
+                break
+        rest = settle(_between(rest.join(ends.toDF("a", "x"), "a").join(ends.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))))
+        labels = ends if labels is None else settle(_led_on(labels, ends))
+    return labels
+
+
+def _between(edges: DataFrame) -> DataFrame:
+    """Distinct edges of different nodes, the lesser first."""
+    return edges.where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _led_on(labels: DataFrame, further: DataFrame) -> DataFrame:
+    """``labels`` with the labels that ``further`` has for them."""
+    return labels.join(further.toDF("label", "__further"), "label", "left").select("node", F.coalesce("__further", "label").alias("label"))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 3) -> DataFrame:

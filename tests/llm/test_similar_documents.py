@@ -67,3 +67,14 @@ def test_large_family(spark):
     words = [f"w{r.randrange(5000)}" for _ in range(150)]
     texts = {d: edited(r, words, r.choice([1, 2, 3, 4, 9])) for d in range(700)}
     assert stage(spark, texts) == kept(texts)
+
+
+def test_components_of_paths_and_stars(spark):
+    """A path in bad order, a star whose centre is largest, loops and repeated edges: least nodes, in few rounds."""
+    r = random.Random(8)
+    names = r.sample(range(1000, 9000), 700)
+    edges = [*zip(names, names[1:])] + [(i, 999) for i in range(300, 600)] + [(5, 5), (7, 6), (6, 7), (6, 7)]
+    got = {x["node"]: x["label"] for x in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    want = dict.fromkeys(names, min(names)) | dict.fromkeys([999, *range(300, 600)], 300) | {6: 6, 7: 6}
+    assert got == want
+    assert simhash.components(spark.createDataFrame([], "a long, b long")).count() == 0
