@@ -1,6 +1,6 @@
 """SimHash near-duplicates: fingerprints of word shingles, linked through BK-trees, and their components.
 
-The pipeline's stage links by the similarity of shingle sets instead."""
+The pipeline's stage takes these links first, checks them on the shingle sets, and adds by min-hashes those that differ in more bits."""
 
 from __future__ import annotations
 
@@ -248,22 +248,24 @@ def min_hashes(hashes: np.ndarray) -> np.ndarray:
 
 
 def _sketches(docs: DataFrame, shingle: int) -> DataFrame:
-    """``doc_id, key, node, sketch, bands``: equal shingle sets are one node; a sketch has a byte of each min-hash."""
+    """``doc_id, key, node, code, sketch, bands``: equal shingle sets are one node; a code is the text's fingerprint as in
+    :func:`near_duplicates`, a sketch has a byte of each min-hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = xxhash.xxh64_intdigest
         for batch in batches:
-            nodes, sketches, bands = [], [], []
+            nodes, codes, sketches, bands = [], [], [], []
             for t in batch.column(2):
+                codes.append(_signed(simhash(t.as_py() or "")))
                 hashes = shingle_hashes(t.as_py() or "", shingle)
                 least = min_hashes(hashes)
                 nodes.append(_signed(of(hashes.tobytes(), SEED)))
                 sketches.append(least.astype(np.uint8).tobytes())
                 bands.append([_signed(of(x.tobytes(), i)) for i, x in enumerate(least[: BANDS * ROWS].reshape(BANDS, ROWS))])
-            columns = [batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(sketches, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
-            yield pa.record_batch(columns, names=["doc_id", "key", "node", "sketch", "bands"])
+            columns = [batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(codes, pa.int64()), pa.array(sketches, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.record_batch(columns, names=["doc_id", "key", "node", "code", "sketch", "bands"])
 
-    return docs.mapInArrow(run, "doc_id long, key long, node long, sketch binary, bands array<long>")
+    return docs.mapInArrow(run, "doc_id long, key long, node long, code long, sketch binary, bands array<long>")
 
 
 def _shingled(texts: DataFrame, shingle: int) -> DataFrame:
@@ -333,48 +335,69 @@ def _across(rows: DataFrame, least_equal: int, nearest: bool) -> DataFrame:
     return rows.select(*keys, "node", "label", "home", "sketch", "band").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long").distinct()
 
 
-def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, part_rows: int = 256) -> DataFrame:
+def _near_prints(coded: DataFrame, radius: int) -> DataFrame:
+    """``a, b``: pairs of nodes that connect all whose fingerprints differ in at most ``radius`` bits, as in
+    :func:`near_duplicates`: each node with the first of its code, and first ones along the links of BK-trees."""
+    codes = settle(coded.select("node", "code").distinct())
+    first = settle(codes.groupBy("code").agg(F.min("node").alias("first")))
+    same = codes.join(first, "code").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    near = links(first.select("code"), radius).join(first.toDF("a", "x"), "a").join(first.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    return _between(same.unionByName(near))
+
+
+def _joined(labels: DataFrame, found: DataFrame) -> DataFrame:
+    """``labels`` after the links ``found``: only their labels are contracted, not all earlier links once more."""
+    between = found.join(labels.toDF("a", "x"), "a").join(labels.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    return settle(_led_on(labels, components(between)))
+
+
+def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, part_rows: int = 256, radius: int = 3) -> DataFrame:
     """``doc_id, component_id``: one row for each row of ``docs``.
 
     Documents are linked if the Jaccard similarity of their sets of ``shingle`` words is at least ``similarity``;
-    every link is checked on the sets.  Candidates share a bucket (a band of min-hashes).  First each node is held
-    against two nodes of each of its buckets: any one, and the one that meets most others in its buckets, which is what
-    copies of one text have in common.  Then it is held against all nodes of its buckets that are not yet in its
-    component, unless their sketches differ too much (4.5 standard deviations): first against the likest of each other
-    component, which joins most of them, then against all of those that are left.  So a group of near copies costs rows in
-    proportion to its size.  Buckets of more than ``part_rows`` are searched in parts: nodes outside the bucket's
-    smallest-labelled component go to every part."""
+    every link is checked on the sets.  Candidates come first from fingerprints that differ in at most ``radius`` bits,
+    found by BK-trees.  Texts of that similarity often differ in more bits (ten on average), so the others share a bucket
+    (a band of min-hashes).  There each node is held against two nodes of each of its buckets: any one, and the one that
+    meets most others in its buckets, which is what copies of one text have in common.  Then it is held against all nodes
+    of its buckets that are not yet in its component, unless their sketches differ too much (4.5 standard deviations):
+    first against the likest of each other component, which joins most of them, then against all of those that are left.
+    So a group of near copies costs rows in proportion to its
+    size.  Buckets of more than ``part_rows`` are searched in parts: nodes outside the bucket's smallest-labelled
+    component go to every part."""
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(doc_id), F.col(text)).alias("key"), F.col(text).alias("text"))
     coded = settle(_sketches(own, shingle))
     nodes = settle(coded.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("key").alias("key"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")))
+    prints = settle(_near_prints(coded, radius))
     members = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
     mixed = F.col("node").bitwiseXOR(F.col("bucket"))  # another centre in each bucket
     stars = members.groupBy("bucket").agg(F.min(mixed).alias("low"), F.max(mixed).alias("high")).where(F.col("low") < F.col("high"))
     shared = settle(members.join(stars.select("bucket", F.col("low").bitwiseXOR(F.col("bucket")).alias("centre")), "bucket"))
+    wanted = shared.select("node").unionByName(prints.select(F.explode(F.array("a", "b")).alias("node"))).distinct().join(nodes.select("node", "key"), "node")
+    shingles = settle(_shingled(own.join(wanted, "key").select("node", "text"), shingle).groupBy("node").agg(F.first("hashes").alias("hashes")))
+    labels = _joined(nodes.select("node", F.col("node").alias("label")), settle(_verified(prints, shingles, similarity)))
+
     sizes = shared.groupBy("bucket").agg(F.count("*").alias("n"))
     met = shared.join(sizes, "bucket").groupBy("node").agg(F.sum("n").alias("met"))
     hubs = shared.select("bucket", "node").join(met, "node").groupBy("bucket").agg(F.max(F.struct("met", "node"))["node"].alias("hub"))
-    wanted = shared.select("node").distinct().join(nodes.select("node", "key"), "node")
-    shingles = settle(_shingled(own.join(wanted, "key").select("node", "text"), shingle).groupBy("node").agg(F.first("hashes").alias("hashes")))
-    pairs = lambda df, other: df.where(F.col("node") != F.col(other)).select(F.least("node", other).alias("a"), F.greatest("node", other).alias("b"))
-    to_centres = settle(pairs(shared, "centre").unionByName(pairs(shared.join(hubs, "bucket"), "hub")).distinct())
-    linked = settle(_verified(to_centres, shingles, similarity))
+    pairs = lambda df, other: df.select(F.col("node").alias("a"), F.col(other).alias("b"))
+    to_centres = _between(pairs(shared, "centre").unionByName(pairs(shared.join(hubs, "bucket"), "hub")))
+    to_centres = settle(to_centres.join(prints, ["a", "b"], "left_anti"))
+    labels = _joined(labels, settle(_verified(to_centres, shingles, similarity)))
 
     parts = F.ceil(F.col("n") / part_rows).cast("int")
     at = F.pmod(F.xxhash64("node"), parts).cast("int")
     least_equal = int(HASHES * similarity - 4.5 * (HASHES * similarity * (1 - similarity)) ** 0.5)
-    checked = to_centres
+    checked = prints.unionByName(to_centres)
     for nearest in (True, False):
-        labelled = settle(shared.select("bucket", "band", "node").join(components(linked), "node", "left").withColumn("label", F.coalesce("label", "node")))
+        labelled = settle(shared.select("bucket", "band", "node").join(labels, "node"))
         open_ = labelled.groupBy("bucket").agg(F.min("label").alias("main"), F.max("label").alias("top"), F.count("*").alias("n")).where(F.col("main") < F.col("top")).drop("top")
         dealt = labelled.join(open_, "bucket").withColumn("at", at).withColumn("part", F.explode(F.when(F.col("label") == F.col("main"), F.array("at")).otherwise(F.sequence(F.lit(0), parts - 1))))
         dealt = dealt.withColumn("home", F.col("at") == F.col("part")).join(nodes.select("node", "sketch"), "node")
         rest = settle(_across(dealt, least_equal, nearest).join(checked, ["a", "b"], "left_anti"))
         checked = checked.unionByName(rest)
-        linked = linked.unionByName(settle(_verified(rest, shingles, similarity)))
-    labels = components(linked)
+        labels = _joined(labels, settle(_verified(rest, shingles, similarity)))
 
-    named = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    named = nodes.join(labels, "node")
     least = named.groupBy("label").agg(F.min("first").alias("component_id"))
     return coded.select("doc_id", "node").join(named.join(least, "label").select("node", "component_id"), "node").select("doc_id", "component_id")
 

@@ -69,6 +69,24 @@ def test_large_family(spark):
     assert stage(spark, texts) == kept(texts)
 
 
+def test_first_links_come_from_fingerprints(spark, monkeypatch):
+    """Copies whose fingerprints differ in at most 3 bits are linked by BK-trees, before any band of min-hashes is looked at."""
+    r = random.Random(7)
+    texts = {}
+    for g in range(20):
+        words = [f"w{r.randrange(5000)}" for _ in range(600)]
+        texts[2 * g], texts[2 * g + 1] = " ".join(words), edited(r, words, 1)
+    prints = {d: simhash.simhash(t) for d, t in texts.items()}
+    near = {2 * g for g in range(20) if (prints[2 * g] ^ prints[2 * g + 1]).bit_count() <= 3}
+    linked, verified = [], []
+    links, check = simhash.links, simhash._verified
+    monkeypatch.setattr(simhash, "links", lambda *a: linked.append(links(*a)) or linked[-1])
+    monkeypatch.setattr(simhash, "_verified", lambda *a: verified.append(check(*a)) or verified[-1])
+    assert stage(spark, texts) == kept(texts)
+    assert len(near) > 10 and linked[0].count() >= len({prints[d] ^ prints[d + 1] and d for d in near} - {0})
+    assert verified[0].count() == len(near)
+
+
 def test_components_of_paths_and_stars(spark):
     """A path in bad order, a star whose centre is largest, loops and repeated edges: least nodes, in few rounds."""
     r = random.Random(8)
