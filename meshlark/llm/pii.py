@@ -29,34 +29,47 @@ BASE = (
     Kind("card", r"[0-9]++(?:[ -][0-9]++)*+", lambda t: t.rlike("[0-9]"), lambda h: F.char_length(_digits(h)).between(12, 19) & F.call_function("luhn_check", _digits(h))),
     Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", lambda t: F.contains(t, F.lit("+")), lambda h: F.char_length(_digits(h)).between(9, 15)),
 )
-#: Words with a digit; identifiers are made of up to ``GRAM`` of them with single spaces between.
-TOKEN = Kind("token", r"(?<!\S)[^\s0-9]*+[0-9]\S*+", lambda t: t.rlike("[0-9]"), context=True)
-GRAM = 3
-#: What is less than so many letters and digits long doesn't identify anybody.
-LEAST = 5
+#: Words with a digit or an @; identifiers are made of them with single spaces between.
+TOKEN = Kind("token", r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+", lambda t: t.rlike("[0-9@]"), context=True)
+#: Seeds have no more words: a base span that is longer than a mail address has at most 19 digits, one a word at least.
+SEED_WORDS = 19
+#: What is less than so many letters and digits long identifies nobody by itself, but only in its place.
+ALONE = 5
 FOUND = "id"
 
 
 def candidates(found: DataFrame) -> DataFrame:
-    """``ROW, start, end, text, left, right``: words and short runs of words with digits, without the marks round them.
+    """``ROW, start, end, text, left, right``: words with digits or an @ and runs of them, without the marks round them.
 
-    ``left`` are up to two words before, ``right`` is the word after, on the same line."""
+    A run has single spaces between its words.  From each word on there are the runs of up to ``SEED_WORDS`` words, which
+    is as many as a seed can have, so that none that looks like a seed is missed; a run that goes on for longer is one
+    more candidate as a whole.  ``left`` are up to two words before, ``right`` is the word after, on the same line."""
     order = Window.partitionBy(*ROW).orderBy("i")
-    at = lambda c, k: F.lead(c, k).over(order) if k > 0 else F.lag(c, -k).over(order) if k < 0 else F.col(c)
-    said = F.concat_ws(" ", F.nullif(at("before", -1), F.lit("")), at("hit", -1), F.nullif(F.col("before"), F.lit("")))
-    left = F.when(F.col("fresh") | at("hit", -1).isNull(), F.col("before")).otherwise(last_words(said))
-    runs, whole, together = [], F.col("hit"), F.lit(True)
-    for n in range(GRAM):
-        if n:
-            together = together & F.coalesce(at("joined", n), F.lit(False))
-            whole = F.concat_ws(" ", whole, at("hit", n))
-        right = F.when(F.coalesce(at("joined", n + 1), F.lit(False)), at("hit", n + 1)).otherwise(at("after", n))
-        runs.append(F.when(together, F.struct(F.lit(n).alias("n"), whole.alias("text"), at("end", n).alias("end"), right.alias("right"))))
-    rows = found.withColumn("left", left).withColumn("run", F.array_compact(F.array(*runs))).select(*ROW, "start", "left", F.explode("run").alias("run"))
-    text = F.col("run.text")
-    front, back = F.regexp_extract(text, r"^[^\p{L}\p{N}+]*", 0), F.regexp_extract(text, r"[^\p{L}\p{N}]*$", 0)
-    cut = rows.select(*ROW, (F.col("start") + F.char_length(front)).alias("start"), (F.col("run.end") - F.char_length(back)).alias("end"), F.substr(text, F.char_length(front) + 1, F.char_length(text) - F.char_length(front) - F.char_length(back)).alias("text"), "left", F.col("run.right").alias("right"))
-    return cut.where(F.char_length(F.regexp_replace("text", r"[^\p{L}\p{N}]", "")) >= LEAST)
+    last = lambda c: F.lag(c).over(order)
+    said = F.concat_ws(" ", F.nullif(last("before"), F.lit("")), last("hit"), F.nullif(F.col("before"), F.lit("")))
+    left = F.when(F.col("fresh") | last("hit").isNull(), F.col("before")).otherwise(last_words(said))
+    words = found.withColumn("left", left).withColumn("run", F.sum(F.when(F.col("joined") & last("hit").isNotNull(), 0).otherwise(1)).over(order))
+    run = Window.partitionBy(*ROW, "run").orderBy("i")
+    ahead = F.collect_list(F.struct("hit", "end", "after")).over(run.rowsBetween(0, SEED_WORDS))
+    words = words.withColumn("nth", F.row_number().over(run)).withColumn("ahead", ahead)
+    of = F.explode(F.sequence(F.lit(1), F.least(F.size("ahead"), F.lit(SEED_WORDS))))
+    short = words.select(*ROW, "start", "left", "ahead", of.alias("n"))
+    text = F.array_join(F.transform(F.slice("ahead", 1, F.col("n")), lambda x: x["hit"]), " ")
+    right = F.coalesce(F.get("ahead", F.col("n"))["hit"], F.get("ahead", F.col("n") - 1)["after"])
+    short = short.select(*ROW, "start", "left", text.alias("whole"), F.get("ahead", F.col("n") - 1)["end"].alias("stop"), right.alias("right"))
+    long_ = words.where((F.col("nth") == 1) & (F.size("ahead") > SEED_WORDS)).select(*ROW, "run", F.col("start").alias("from"), F.col("left").alias("led"))
+    every = words.drop("ahead", "nth").join(long_, [*ROW, "run"]).groupBy(*ROW, "run").agg(F.first("from").alias("start"), F.first("led").alias("left"), F.sort_array(F.collect_list(F.struct("i", "hit"))).alias("hits"), F.max("end").alias("stop"), F.max_by("after", "i").alias("right"))
+    whole = every.select(*ROW, "start", "left", F.array_join(F.transform("hits", lambda x: x["hit"]), " ").alias("whole"), "stop", "right")
+    rows, text = short.unionByName(whole), F.col("whole")
+    front, back = F.regexp_extract(text, r"^[^\p{L}\p{N}+]*", 0), F.regexp_extract(text, r"(?<![^\p{L}\p{N}])[^\p{L}\p{N}]*$", 0)
+    cut = rows.select(*ROW, (F.col("start") + F.char_length(front)).alias("start"), (F.col("stop") - F.char_length(back)).alias("end"), F.substr(text, F.char_length(front) + 1, F.char_length(text) - F.char_length(front) - F.char_length(back)).alias("text"), "left", "right")
+    return cut.where(F.col("text").rlike(r"[\p{L}\p{N}]"))
+
+
+def named(text: Column, left: Column, right: Column) -> Column:
+    """What a candidate is the same instance as: its text wherever it stands, or, if that is short, between the same words."""
+    little = F.char_length(F.regexp_replace(text, r"[^\p{L}\p{N}]", "")) < ALONE
+    return F.when(little, F.concat_ws("\n", F.lower(text), F.lower(left), F.lower(right))).otherwise(F.lower(text))
 
 
 def refused(text: Column, left: Column, right: Column) -> Column:
@@ -69,15 +82,16 @@ def refused(text: Column, left: Column, right: Column) -> Column:
     return alone & dropped
 
 
-def lexical_patterns(text: Column, left: Column, right: Column) -> Column:
+def lexical_patterns(text: Column, left: Column, right: Column, longest: Column) -> Column:
     """The patterns that a candidate is an instance of: its shape (digits as 9, letters as a), and the words next to
     it, one or two before, one after or both, each with its rough shape (short and long runs of digits); and two words
-    before it whatever its shape."""
+    before it whatever its shape, of which only the longest candidate at a place is one, so that parts of it don't count
+    against the pattern."""
     shape = F.regexp_replace(F.regexp_replace(text, r"\p{L}+", "a"), "[0-9]", "9")
     rough = F.regexp_replace(F.regexp_replace(shape, "9{5,}", "N"), "9+", "n")
     one, two, after = F.lower(F.substring_index(left, " ", -1)), F.lower(left), F.lower(right)
     near = lambda name, *words: F.when(F.forall(F.array(*words), lambda w: w != ""), F.concat_ws("|", F.lit(name), *words, rough))
-    return F.array_compact(F.array(F.concat(F.lit("shape|"), shape), near("1", one), F.when(F.contains(two, F.lit(" ")), near("2", two)), F.when(F.contains(two, F.lit(" ")), F.concat(F.lit("said|"), two)), near("after", after), near("round", one, after)))
+    return F.array_compact(F.array(F.concat(F.lit("shape|"), shape), near("1", one), F.when(F.contains(two, F.lit(" ")), near("2", two)), F.when(longest & F.contains(two, F.lit(" ")), F.concat(F.lit("said|"), two)), near("after", after), near("round", one, after)))
 
 
 def score_instances(edges: DataFrame, rounds: int, least_seeds: int, sure: float) -> DataFrame:
@@ -100,7 +114,7 @@ def score_instances(edges: DataFrame, rounds: int, least_seeds: int, sure: float
 def find_pii(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rounds: int = 3, least_seeds: int = 5, sure: float = 0.9) -> DataFrame:
     """``ROW, kind, start, end``: base spans, discovered identifiers (kind ``id``), and one row without kind a document.
 
-    Base entities are the seeds.  Candidates are words with digits and short runs of them; those that a base span has
+    Base entities are the seeds.  Candidates are words with digits or an @ and runs of them; those that a base span has
     are its seed instances, those that overlap one otherwise are no candidates, and neither are those that a base pattern took alone and dropped.  Lexical patterns
     (:func:`lexical_patterns`) and instances form a graph over the whole corpus that :func:`score_instances` scores;
     instances that score at least ``sure`` are identifiers wherever they stand.  So what a base pattern drops because
@@ -118,8 +132,8 @@ def find_pii(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rounds
     before, after = order.rangeBetween(Window.unboundedPreceding, 0), order.rangeBetween(0, Window.unboundedFollowing)
     overlaps = (F.coalesce(F.max(F.when(~token, F.col("end"))).over(before), F.lit(0)) > F.col("start")) | (F.coalesce(F.min(F.when(~token, F.col("start"))).over(after), F.lit(1 << 60)) < F.col("end"))
     same = F.max(F.when(~token, F.lit(True))).over(Window.partitionBy(*ROW, "start", "end")).isNotNull()
-    judged = rows.withColumn("seed", same).withColumn("taken", overlaps).where(token & (F.col("seed") | ~F.col("taken")))
-    judged = settle(judged.select(*ROW, "start", "end", "seed", F.lower("text").alias("instance"), lexical_patterns(F.col("text"), F.col("left"), F.col("right")).alias("patterns")))
+    judged = rows.withColumn("seed", same).withColumn("taken", overlaps).where(token & (F.col("seed") | ~F.col("taken"))).withColumn("longest", F.col("end") == F.max("end").over(Window.partitionBy(*ROW, "start")))
+    judged = settle(judged.select(*ROW, "start", "end", "seed", named(F.col("text"), F.col("left"), F.col("right")).alias("instance"), lexical_patterns(F.col("text"), F.col("left"), F.col("right"), F.col("longest")).alias("patterns")))
     edges = judged.select("instance", "seed", F.explode("patterns").alias("pattern")).groupBy("pattern", "instance").agg(F.bool_or("seed").alias("seed"))
     sure_ = score_instances(edges, rounds, least_seeds, sure).where(F.col("score") >= sure).select("instance")
     new = judged.where(~F.col("seed")).join(sure_, "instance").select(*ROW, "start", "end")

@@ -199,3 +199,19 @@ def test_what_base_rules_refuse_is_not_found_again(spark):
     assert all(by[i] == [("card", 10, 26)] for i in range(20))
     assert not {100, 101, 102, 103} & by.keys()
     assert sorted(by[200]) == [("id", 10, 26), ("id", 27, 43)]
+
+
+def test_identifiers_of_many_words_short_ones_and_mails_without_digits(spark):
+    """Cards in four groups are seeds and are found; mails without digits teach contexts; a run of 22 words is found whole; four
+    letters and digits are an identifier in their place only."""
+    cards = ["4111 1111 1111 1111", "5500 0055 5555 5559", "4012 8888 8888 1881", "5105 1051 0510 5100", "4222 2222 2222 2220"]
+    rows = [(i, f"pay card {c} today") for i, c in enumerate(cards * 2)]
+    rows += [(50, f"pay card {cards[0]} {cards[2]} today")]
+    rows += [(100 + i, f"the door code is {a}{b}@host.org here") for i, (a, b) in enumerate((a, b) for a in "abcdefgh" for b in "klmnopq")]
+    run = " ".join(f"k{k}" for k in range(310, 332))
+    rows += [(200, f"the door code is {run} here"), (201, "the door code is k471 here"), (202, "in chapter k471 they meet")]
+    found = pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).where("kind = 'id'").collect()
+    by = {}
+    for r in found:
+        by.setdefault(r.doc_id, []).append((r.start, r.end))
+    assert {d: sorted(x) for d, x in by.items()} == {50: [(9, 28), (29, 48)], 200: [(17, 17 + len(run))], 201: [(17, 21)]}
