@@ -214,3 +214,23 @@ def test_a_set_has_one_triangulation_whatever_the_order():
         order_ = np.random.default_rng(seed).permutation(len(grid))
         made.add(frozenset(frozenset(order_[list(t)].tolist()) for t in geometry.delaunay(grid[order_]).tolist()))
     assert len(made) == 1
+
+
+def test_nearest_of_crowded_and_far_points(spark, monkeypatch):
+    """A crowd and points far from it and from each other: the right neighbours, and no point meets its whole frame."""
+    import random
+
+    from meshlark.operators import joins
+
+    r, wholes = random.Random(4), []
+    at = [(r.gauss(0, 1), r.gauss(0, 1)) for _ in range(500)] + [(r.uniform(-900, 900), r.uniform(-900, 900)) for _ in range(40)]
+    points = spark.createDataFrame([(1, i, *p) for i, p in enumerate(at)] + [(2, 0, 0.0, 0.0)], "frame int, region_id int, row double, col double")
+    got = {}
+    kind = type(points)
+    join = kind.join
+    monkeypatch.setattr(kind, "join", lambda self, other, on=None, how=None: (wholes.append(on) if on == "frame" and "i" in self.columns else None) or join(self, other, on, how))
+    for x in joins.knn_self_join(points, 6).collect():
+        got.setdefault((x["frame"], x["i"]), []).append((x["rank"], x["j"]))
+    near = lambda i: sorted((x for x in range(len(at)) if x != i), key=lambda x: ((at[i][0] - at[x][0]) ** 2 + (at[i][1] - at[x][1]) ** 2, x))[:6]
+    assert {k: [j for _, j in sorted(x)] for k, x in got.items()} == {(1, i): near(i) for i in range(len(at))}
+    assert not wholes
